@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +36,28 @@ def default_parallelism(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table in the folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def by_size(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``limit`` bytes of a text column, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexaudit.llm import queries_chat, queries_mixing
+from lexaudit.llm import queries_chat, queries_mixing, queries_packing, queries_warc
 
-_MODULES = (queries_chat, queries_mixing)
+_MODULES = (queries_chat, queries_mixing, queries_packing, queries_warc)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
