@@ -168,16 +168,22 @@ def _to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write a record for each page (``page_id``, ``url``, ``html``) to WARC files under ``path``."""
+    """Write a record for each page (``page_id``, ``url``, ``html``) to WARC files under ``path``.
+
+    Digests that several pages share are written to a table first: if its files turn out small,
+    the planner broadcasts it and no payload is shuffled."""
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = (
+    shared = f"{path}-shared"
+    (
         keyed.filter(F.octet_length("html") >= min_bytes)
         .groupBy(F.col("digest").alias("d"))
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select("d", "first")
+        .write.parquet(shared)
     )
+    firsts = pages.sparkSession.read.parquet(shared)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     joined = keyed.join(firsts, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", refers.alias("refers_to"))
     (
