@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         .withColumn("all_size", F.sum("source_size").over(W.partitionBy()).cast("double"))
         .withColumn("cap_before", F.coalesce(F.sum("cap").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(line.rowsBetween(0, W.unboundedFollowing)).cast("double"))
-        .withColumn("level", F.when(F.col("cap") / F.col("weight") >= rest, rest))
-        .withColumn("level", F.min("level").over(W.partitionBy()))
+        .withColumn("level", F.when(F.col("cap") / F.col("weight") >= rest, F.struct(F.row_number().over(line).alias("place"), rest.alias("level"))))
+        .withColumn("level", F.min("level").over(W.partitionBy())["level"])  # that of the first source below its cap
     )
     return levels.select("source", "source_size", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 

@@ -47,7 +47,8 @@ WITH sized AS (
   SELECT *, sum(source_size) OVER ()::DOUBLE AS tot_size,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
     (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS wleft FROM s1
-), s3 AS (SELECT *, min(CASE WHEN cap / weight >= (tot_size - before) / wleft THEN (tot_size - before) / wleft END) OVER () AS level FROM s2
+), s3 AS (
+  SELECT *, (SELECT arg_min((tot_size - before) / wleft, (cap / weight, source IS NULL, source)) FROM s2 WHERE cap / weight >= (tot_size - before) / wleft) AS level FROM s2
 ), s4 AS (SELECT source, source_size, n_docs, least(cap, level * weight) AS target FROM s3
 ), s5 AS (SELECT *, floor(sum(target) OVER () / {b})::BIGINT AS n_blocks FROM s4
 ), q AS (SELECT source, source_size, n_docs, target, quota FROM {_seats('s5', '', 'source', 'target', 'n_blocks', 'quota')}
