@@ -1,3 +1,77 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus through quality, near-duplicate and repeated-string filters, a source mix and packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read back as
+the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexaudit.llm import kneser, mixing, near, packing, substrings
+from lexaudit.llm.common import shared_path, vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kneser.classify(docs, labels, columns=COLUMNS, scores=(), kept_only=True)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: that with the smallest id, one row of it."""
+    classes = near.near_classes(docs)
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("k_node"), F.first("doc_id").alias("k_id"))
+    named = docs.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    kept = named.join(first, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "node"]).select(*COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that an earlier document has; texts of which nothing is left go.
+
+    A cut inside a character drops the rest of that character."""
+    left = substrings.remove_repeats(docs, keep=("lang", "source"), with_text=True)
+    text = F.try_validate_utf8(F.col("kept").cast("string"))
+    text = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    named = left.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return named.select("doc_id", "text", "lang", "source", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, rounded to whole documents."""
+    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(1)).cast("int")
+    copies = mixed.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
+    return copies.select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 4096 tokens."""
+    return packing.pack(packing.tokenized_pieces(docs, vocabulary(packing.VOCABULARY)))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
+
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is a table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = shared_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
