@@ -5,8 +5,8 @@ smaller doc_id. Documents are cut into super-windows: maximal runs of windows of
 with the same minimizer, the least hash of their ``K``-byte substrings. Equal windows have equal
 minimizers, so they meet in the shard their minimizer is dealt to, and nowhere else need be looked.
 
-In a shard, super-windows whose minimizer is known from one document only are set aside; the
-distinct others become one text, whose suffix and common-prefix arrays (external induced sorting,
+In a shard, super-windows that can share no window with another document are set aside (by the
+minimizer and half a window beside it); the distinct others become one text, whose suffix and common-prefix arrays (external induced sorting,
 ``suffix``) give all windows that are equal, and each such class its smallest doc_id. Ranges of
 windows whose class has a smaller doc_id than their own document go back to the documents, each
 with a hash of its bytes, so that rows that share a doc_id cannot take each other's ranges.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -35,13 +36,13 @@ from lexaudit.llm.common import by_size, default_parallelism
 from lexaudit.llm.suffix import suffix_array
 
 LENGTH = 50
-K = 16
+K = 12
 RUN = 64
 SHARD_BYTES = 6_000_000
 BLOCK_BYTES = 4_000_000
-FLUSH_BYTES = 6_000_000
-#: Bytes of super-windows for each byte of text: 67 for 18 windows on average.
-BLOW_UP = 3.7
+FLUSH_BYTES = 8_000_000
+#: Bytes of super-windows for each byte of text: 69 for 20 windows on average.
+BLOW_UP = 3.4
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -50,7 +51,7 @@ def kmer_hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of the K bytes at every place; places less than K bytes from the end get padding."""
     padded = np.concatenate([raw, np.zeros(K, np.uint8)])
     at = np.ndarray((len(raw),), "<u8", padded, 0, (1,)).astype(np.uint64)
-    after = np.ndarray((len(raw),), "<u8", padded, 8, (1,)).astype(np.uint64)
+    after = np.ndarray((len(raw),), "<u8", padded, K - 8, (1,)).astype(np.uint64)
     at *= _A
     after *= _B
     at ^= at >> np.uint64(29)
@@ -158,6 +159,41 @@ def _deal(n_shards: int):
     return run
 
 
+def _known_twice(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which entries' key is found in two documents or more."""
+    out = np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key)
+        k, d = key[order], doc[order]
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        several = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+        out[order] = np.repeat(several, np.diff(np.append(head, len(order))))
+    return out
+
+
+def _may_repeat(doc: np.ndarray, size: np.ndarray, base: np.ndarray, h: np.ndarray, inside: np.ndarray, key: np.ndarray, kmers: np.ndarray) -> np.ndarray:
+    """Super-windows that can share a window with another document.
+
+    A shared window holds the minimizer and ``LENGTH - K`` bytes around it, so half of these lie to one
+    side: some place of the minimizer, with as many bytes to its left or to its right, must be known
+    from two documents."""
+    side = (LENGTH - K + 1) // 2
+    known = _known_twice(doc, key)
+    first = np.cumsum(kmers) - kmers
+    least = np.flatnonzero(inside == np.repeat(key, kmers))
+    owner = np.searchsorted(first, least, side="right") - 1
+    at = least - first[owner]
+    some = known[owner]
+    owner, at = owner[some], at[some]
+    out = np.zeros(len(key), bool)
+    for fits, a, b in ((at + K + side <= size[owner], _A, 1), (at >= side, _C, -1)):
+        who = owner[fits]
+        p = base[who] + at[fits]
+        context = h[p] * a + h[p + b * (side // 2 + 1)] * _B + h[p + b * side] * (a ^ _B)
+        out[who[_known_twice(doc[who], context)]] = True
+    return out
+
+
 def repeated_ranges(doc: np.ndarray, n: np.ndarray, raw: np.ndarray, memory: int = 64 << 20) -> tuple[np.ndarray, ...]:
     """Of a shard's super-windows: which have repeated ranges, from which window to which, and the range's hash.
 
@@ -171,10 +207,7 @@ def repeated_ranges(doc: np.ndarray, n: np.ndarray, raw: np.ndarray, memory: int
     kmers = n + LENGTH - K
     inside = _gather(h, base, kmers)
     key = np.minimum.reduceat(inside, np.cumsum(kmers) - kmers)
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    several = np.minimum.reduceat(doc[order], head) != np.maximum.reduceat(doc[order], head)
-    pick = np.sort(order[np.repeat(several, np.diff(np.append(head, len(order))))])
+    pick = np.flatnonzero(_may_repeat(doc, size, base, h, inside, key, kmers))
     if not len(pick):
         return nothing
     blob = raw.tobytes()
@@ -249,27 +282,51 @@ def merged_spans(text: bytes, ranges: list[tuple[int, int, int]]) -> list[tuple[
     return [(a, b) for a, b in spans]
 
 
-def _apply(keep: list[pa.Field], with_text: bool):
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+def _pack(n_blocks: int):
+    """Rows by block, compressed: what the last step needs of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_size(whole, "text", FLUSH_BYTES):
+                block = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False) % n_blocks
+                order = np.argsort(block, kind="stable")
+                edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))
+                payloads = []
+                for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(order)], strict=True):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                        out.write_batch(batch.take(pa.array(order[a:b])))
+                    payloads.append(sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(block[order][edges], pa.int64()), pa.array(payloads, pa.binary())], ["block", "rows"])
+
+    return run
+
+
+def _apply(keep: tuple[str, ...], with_text: bool):
+    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
         by_doc: dict[int, list] = {}
         for p in found["payload"].to_pylist():
             step, start, size, check = _expand(p, _FOUND)
             for d, s, n, c in zip(np.cumsum(step).tolist(), start.tolist(), size.tolist(), check.tolist(), strict=True):
                 by_doc.setdefault(d, []).append((s, n, c))
-        out: list[list] = [[], [], [], []]
-        for d, t in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            text = t.encode()
-            spans = merged_spans(text, by_doc[d]) if d in by_doc else []
-            left = text
-            if spans:
-                edges = [0, *(x for span in spans for x in span), len(text)]
-                left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            row = (len(text), len(text) - len(left), len(spans), left if with_text else hashlib.sha256(left).hexdigest())
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_text else pa.string()]
-        columns = [docs["doc_id"], *(docs[f.name] for f in keep), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
-        return pa.Table.from_arrays(columns, ["doc_id", *(f.name for f in keep), "n_bytes", "n_removed", "n_spans", "kept" if with_text else "kept_sha256"])
+        tables = []
+        for rows in packed["rows"].to_pylist():
+            docs = next(iter(pa.ipc.open_stream(rows)))
+            out: list[list] = [[], [], [], []]
+            for d, t in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+                text = t.encode()
+                spans = merged_spans(text, by_doc[d]) if d in by_doc else []
+                left = text
+                if spans:
+                    edges = [0, *(x for span in spans for x in span), len(text)]
+                    left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                row = (len(text), len(text) - len(left), len(spans), left if with_text else hashlib.sha256(left).hexdigest())
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            columns = [docs["doc_id"], *(docs[c] for c in keep), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
+            tables.append(pa.Table.from_arrays(columns, ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept" if with_text else "kept_sha256"]))
+        return pa.concat_tables(tables)
 
     return run
 
@@ -284,8 +341,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     n_blocks = max(least, total // BLOCK_BYTES) | 1
     dealt = flat.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_deal(n_shards), "shard int, payload binary")
     found = dealt.groupBy("shard").applyInArrow(_search(n_blocks, memory), "block long, payload binary")
-    here = flat.withColumn("block", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n_blocks)))
-    fields = [f for f in flat.schema.fields if f.name in keep]
-    ddl = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
+    packed = flat.mapInArrow(_pack(n_blocks), "block long, rows binary")
+    ddl = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields if f.name in keep)
     kind = f"doc_id long{ddl}, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if with_text else "kept_sha256 string")
-    return here.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_apply([pa.field(f.name, pa.null()) for f in fields], with_text), kind)
+    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_apply(keep, with_text), kind)
