@@ -10,22 +10,25 @@ from lexaudit import schemas
 _BAD = "_corrupt_record"
 
 
+def _parsed(lines: DataFrame, schema: str, strict: bool) -> DataFrame:
+    """Columns of JSON lines (``value``) in place of them; blank lines are skipped."""
+    others = [c for c in lines.columns if c != "value"]
+    j = F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    parsed = lines.filter(F.trim("value") != "").withColumn("_file", F.input_file_name()).withColumn("_j", j)
+    bad = F.col(f"_j.{_BAD}").isNotNull()
+    if strict:
+        bad = F.when(bad, F.raise_error(F.concat(F.lit("invalid JSON in "), "_file", F.lit(": "), "value")).cast("boolean")).otherwise(F.lit(False))
+    return parsed.filter(~bad).select("_j.*", *others).drop(_BAD)
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines with a given schema. Blank lines are skipped; a bad line fails the query when read,
-    or, if not strict, is left out."""
-    raw = spark.read.schema(f"{schema}, {_BAD} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
-    if not strict:
-        return raw.cache().filter(F.col(_BAD).isNull()).drop(_BAD)  # a corrupt-record column alone can't be filtered on a bare scan
-    checked = raw.withColumn("_ok", F.when(F.col(_BAD).isNotNull(), F.raise_error(F.concat(F.lit("invalid JSON in "), F.input_file_name(), F.lit(": "), F.col(_BAD))).cast("boolean")).otherwise(F.lit(True)))
-    return checked.filter("_ok").drop("_ok", _BAD)
+    """JSON lines with a given schema. A bad line fails the query when read, or, if not strict, is left out."""
+    return _parsed(spark.read.text(path), schema, strict)
 
 
 def with_line_numbers(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with ``line_ord``, a number that follows the order of files and lines."""
-    lines = spark.read.text(path).withColumn("line_ord", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    parsed = lines.withColumn("_j", F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
-    bad = F.when(F.col(f"_j.{_BAD}").isNotNull(), F.raise_error(F.concat(F.lit("invalid JSON: "), "value")).cast("boolean")).otherwise(F.lit(True))
-    return parsed.filter(bad).select("_j.*", "line_ord").drop(_BAD)
+    return _parsed(spark.read.text(path).withColumn("line_ord", F.monotonically_increasing_id()), schema, True)
 
 
 def read_evidence(spark: SparkSession, canonical: str, audit: str, extra: tuple[str, str] | None = None, use_extra: bool = False) -> DataFrame:

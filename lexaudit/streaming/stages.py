@@ -116,8 +116,9 @@ def payload_problem(body: Column, allowed: tuple[str, ...] = ("document_id", "ca
     got = F.from_json(body, "document_id string, case_text string")
     return (
         F.when(body.isNull() | (F.octet_length(body) > MAX_BYTES), "body too large or missing")
-        .when(F.try_parse_json(body).isNull() | keys.isNull(), "not a JSON object")
+        .when(keys.isNull(), "not a JSON object")
         .when(F.size(names) > F.size(F.array_distinct(names)), "repeated key")
+        .when(F.try_parse_json(body).isNull(), "not a JSON object")
         .when(keys != F.array(*[F.lit(k) for k in sorted(allowed)]), "keys differ")
         .when(F.length(got["case_text"]) > MAX_CHARS, "text too long")
         .when(F.length(got["document_id"]) > MAX_ID, "id too long")
