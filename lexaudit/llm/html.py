@@ -64,6 +64,10 @@ _NAMES = frozenset(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+#: Containers that can be a main slot; the body as a whole is none.
+_SLOT = r"/(?:article|main|section|div|td|center)(?:\.[^/]*)?$"
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
@@ -186,6 +190,7 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts, pages, tokens = [], [], []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 found: dict[int, list] = {}
+                before: list[str] = []
                 for path, text, boiler, _ in blocks(html):
                     text_token = found.setdefault(_hash(f"{path}|{text}"), [None, 0, 0, False])
                     text_token[1] += 1
@@ -194,8 +199,9 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         prefix = "/".join(parts[:depth])
                         tag = parts[depth - 1].split(".")[0]
                         c = found.setdefault(_hash(prefix), [prefix, 0, 0, tag in ("article", "main")])
-                        c[1] += 1
+                        c[1] += before[:depth] != parts[:depth]  # an element is entered anew
                         c[2] += 0 if boiler else len(text)
+                    before = parts
                 hosts.append(host(url))
                 pages.append(_hash(f"{url}\0{html}"))
                 tokens.append([{"token": t, "path": p, "n": n, "chars": c, "named": named} for t, (p, n, c, named) in found.items()])
@@ -228,11 +234,12 @@ def templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = M
         F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "chars", "named"))).alias("containers"),
     )
     valid = classes.filter("size >= 2").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("constants"), F.flatten(F.collect_list("containers")).alias("containers"))
+    slots = F.filter("containers", lambda c: F.regexp_like(c["path"], F.lit(_SLOT)) & (c["chars"] > 0))
     depth = lambda c: F.size(F.split(c["path"], "/"))
     most = F.coalesce(F.array_max(F.transform("containers", lambda c: c["chars"])), F.lit(0))
-    named = F.filter("containers", lambda c: c["named"] & (c["chars"] > 0))
+    named = F.filter(slots, lambda c: c["named"])
     outer = F.array_min(F.transform(named, lambda c: F.struct(depth(c).alias("d"), (-c["chars"]).alias("less"), c["path"].alias("path"))))
-    heavy = F.filter("containers", lambda c: (c["chars"] > 0) & (c["chars"] >= main_share * F.col("most")))
+    heavy = F.filter(slots, lambda c: c["chars"] >= main_share * F.col("most"))
     deep = F.array_max(F.transform(heavy, lambda c: F.struct(depth(c).alias("d"), c["chars"].alias("more"), c["path"].alias("path"))))
     return valid.withColumn("most", most).select("host", F.coalesce(outer["path"], deep["path"]).alias("main"), "constants")
 
