@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexaudit import schemas as S
 from lexaudit.functions import stats
 from lexaudit.functions import text as T
-from lexaudit.operators import benchmarks, claims, evidence, gates, metrics, retrieval, review, selection, verdicts
+from lexaudit.operators import benchmarks, claims, evidence, gates, metrics, reports, retrieval, review, selection, verdicts
 from lexaudit.session import table
 from lexaudit.sources import io
 from lexaudit.streaming import stages
@@ -22,8 +22,8 @@ LONG = "long"
 
 
 def composed_evidence(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_partkey < 200")
-    number = (F.col("p_partkey") % 60).cast("string")
+    p = table(spark, d, "part")
+    number = F.floor(F.col("p_partkey") / 10).cast("string")
     act = F.concat(F.lit("The "), F.initcap("p_name"), F.lit(" "), F.initcap(F.lower("p_type")), F.lit(" Act, "), (F.lit(1950) + F.col("p_partkey") % 7).cast("string"))
     return p.select(
         F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("dataset_citation_key"), act.alias("act"), F.lit("Section").alias("provision_type"), number.alias("provision_number"),
@@ -32,7 +32,7 @@ def composed_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usable(spark: SparkSession, d: str) -> DataFrame:
-    audit = table(spark, d, "part").filter("p_partkey < 200").select(
+    audit = table(spark, d, "part").select(
         F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("dataset_citation_key"), F.when(F.col("p_partkey") % 5 == 4, "INVALID").otherwise("VERIFIED_EXACT").alias("audit_verdict")
     )
     return evidence.usable_evidence(composed_evidence(spark, d), audit)
@@ -42,13 +42,13 @@ def composed_claims(spark: SparkSession, d: str) -> DataFrame:
     """A claim for each line: it cites its part's act, sometimes with another type word, subsection or year."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    j = li.join(p, F.col("l_partkey") % 200 == F.col("p_partkey"))
+    j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
     act = F.concat(
         F.lit("the "), F.initcap("p_name"), F.lit(" "), F.initcap(F.when(F.col("l_suppkey") % 4 == 0, F.lit("small")).otherwise(F.lower("p_type"))), F.lit(" Act "),
         (F.lit(1950) + (F.col("p_partkey") + F.when(F.col("l_suppkey") % 5 == 0, 1).otherwise(0)) % 7).cast("string"),
     )
     citation = F.struct(
-        F.lit("Section").alias("provision_type"), (F.col("p_partkey") % 60).cast("string").alias("provision_number"),
+        F.lit("Section").alias("provision_type"), F.floor(F.col("p_partkey") / 10).cast("string").alias("provision_number"),
         F.when(F.col("l_suppkey") % 3 == 0, F.lit("1")).when(F.col("l_suppkey") % 3 == 1, F.lit("2")).alias("subsection"),
         act.alias("act_raw"), F.when(F.col("l_suppkey") % 11 == 0, F.lit("")).otherwise(T.normal_act(act)).alias("act_norm"),
     )
@@ -57,15 +57,15 @@ def composed_claims(spark: SparkSession, d: str) -> DataFrame:
 
 CTE = """
 ev AS (
-  SELECT 'K' || p_partkey AS k, (p_partkey % 60)::VARCHAR AS num, CASE WHEN p_partkey % 3 = 0 THEN '1' END AS sub, p_partkey AS ord,
+  SELECT 'K' || p_partkey AS k, (p_partkey // 10)::VARCHAR AS num, CASE WHEN p_partkey % 3 = 0 THEN '1' END AS sub, p_partkey AS ord,
     trim(regexp_replace(regexp_replace(regexp_replace(lower('The ' || p_name || ' ' || p_type || ' Act, ' || (1950 + p_partkey % 7)), '^the\\s+', ''), '[.,]', '', 'g'), '\\s+', ' ', 'g')) AS act
-  FROM part WHERE p_partkey < 200 AND p_partkey % 5 <> 4
+  FROM part WHERE p_partkey % 5 <> 4
 ), cl AS (
-  SELECT l_orderkey AS document_id, l_linenumber AS claim_id, (p_partkey % 60)::VARCHAR AS num,
+  SELECT l_orderkey AS document_id, l_linenumber AS claim_id, (p_partkey // 10)::VARCHAR AS num,
     CASE l_suppkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' END AS sub,
     CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE lower(p_name || ' ' || CASE WHEN l_suppkey % 4 = 0 THEN 'small' ELSE p_type END || ' act ' || (1950 + (p_partkey + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END) % 7)) END AS act,
     row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row
-  FROM lineitem JOIN part ON l_partkey % 200 = p_partkey
+  FROM lineitem JOIN part ON l_partkey = p_partkey
 ), ex AS (SELECT num, sub, act, max(ord) AS ord FROM ev GROUP BY ALL
 ), lo AS (SELECT num, act, max(ord) AS ord FROM ev WHERE sub IS NULL GROUP BY ALL
 ), m0 AS (
@@ -119,18 +119,18 @@ def act_normalize(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", T.normal_act(name).alias("act_norm"))
 
 
-@query("""SELECT 'K' || p_partkey AS dataset_citation_key, p_partkey AS pool_ord FROM part WHERE p_partkey < 200 AND p_partkey % 5 <> 4""")
+@query("""SELECT 'K' || p_partkey AS dataset_citation_key, p_partkey AS pool_ord FROM part WHERE p_partkey % 5 <> 4""")
 def usable_evidence(spark: SparkSession, d: str) -> DataFrame:
     return usable(spark, d).select("dataset_citation_key", "pool_ord")
 
 
-@query("""WITH b AS (SELECT 'K' || p_partkey AS k, p_partkey AS o FROM part WHERE p_partkey < 200 AND p_partkey % 5 <> 4),
-x AS (SELECT 'K' || (p_partkey + 150) AS k, p_partkey AS o, 'new ' || p_name AS t FROM part WHERE p_partkey < 100 AND p_partkey % 2 = 0),
+@query("""WITH b AS (SELECT 'K' || p_partkey AS k, p_partkey AS o FROM part WHERE p_partkey % 5 <> 4),
+x AS (SELECT 'K' || (p_partkey + 150) AS k, p_partkey AS o, 'new ' || p_name AS t FROM part WHERE p_size > 25),
 mx AS (SELECT max(o) AS m FROM b)
 SELECT coalesce(x.k, b.k) AS dataset_citation_key, x.t IS NOT NULL AS replaced, CASE WHEN b.k IS NOT NULL THEN b.o ELSE x.o + m + 1 END AS pool_ord FROM b FULL JOIN x ON b.k = x.k CROSS JOIN mx""")
 def evidence_overlay(spark: SparkSession, d: str) -> DataFrame:
     base = usable(spark, d)
-    p = table(spark, d, "part").filter("p_partkey < 100 and p_partkey % 2 = 0")
+    p = table(spark, d, "part").filter("p_size > 25")
     extra = p.select(F.concat(F.lit("K"), (F.col("p_partkey") + 150).cast("string")).alias("dataset_citation_key"), F.concat(F.lit("new "), "p_name").alias("canonical_text"), F.col("p_partkey").alias("pool_ord"))
     out = evidence.overlay(base, extra)
     return out.select("dataset_citation_key", F.startswith("canonical_text", F.lit("new ")).alias("replaced"), "pool_ord")
@@ -299,13 +299,13 @@ def diversity_first(spark: SparkSession, d: str) -> DataFrame:
     return top.select("document_id", "score", F.col("place").cast(LONG).alias("place"))
 
 
-@query("""SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'previously_evaluated' WHEN k = 0 THEN 'no_citations' WHEN m = 0 THEN 'no_evidence' ELSE 'eligible' END AS reason, count(*) AS n
-FROM (SELECT o_orderkey, o_custkey % 4 AS k, count(l_orderkey) FILTER (WHERE l_quantity > 40) AS m FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY 1""")
+@query("""SELECT CASE WHEN pri = '1-URGENT' THEN 'previously_evaluated' WHEN k = 0 THEN 'no_citations' WHEN m = 0 THEN 'no_evidence' ELSE 'eligible' END AS reason, count(*) AS n
+FROM (SELECT o_orderkey, o_orderpriority AS pri, o_custkey % 4 AS k, count(l_orderkey) FILTER (WHERE l_quantity > 40) AS m FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY 1""")
 def exclusion_funnel(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "lineitem").filter("l_quantity > 40").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_matched_exact"))
     o = table(spark, d, "orders").join(m, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     cases = o.select(F.col("o_orderkey").alias("document_id"), (F.col("o_custkey") % 4).alias("n_raw_citation_keys"), F.coalesce("n_matched_exact", F.lit(0)).alias("n_matched_exact"), F.lit(0).alias("n_matched_fuzzy"))
-    return selection.funnel(cases, cases.filter("document_id % 9 = 0"))
+    return selection.funnel(cases, o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("document_id")))
 
 
 @query("""SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1""")
@@ -479,4 +479,87 @@ def word_diffs(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", F.to_json(diff(F.col("0"), F.col("1"))).alias("segments"))
 
 
+@query("""WITH o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity < 3), n AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount < 0.01)
+SELECT CASE WHEN o.l_partkey IS NULL THEN 'added' WHEN n.l_partkey IS NULL THEN 'removed' ELSE 'kept' END AS change, count(*) AS n FROM o FULL JOIN n ON o.l_partkey = n.l_partkey GROUP BY 1""")
+def key_versions(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return reports.key_versions(li.filter("l_quantity < 3"), li.filter("l_discount < 0.01"), "l_partkey")
+
+
+def _arm(spark: SparkSession, d: str, shift: int) -> DataFrame:
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    v = F.get(F.array(*[F.lit(x) for x in S.LABELS]), ((F.col("p") + F.when(F.col("p") % 5 == 0, shift).otherwise(0)) % 3).cast("int"))
+    m = F.when((F.col("p") + shift) % 4 == 0, "no_evidence").otherwise("fuzzy")
+    return li.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("claim_ord"), F.lit("t").alias("claim_text"), m.alias("match_method"), v.alias("verdict"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL), l AS (SELECT ['entailed','contradicted','not_enough_information'] AS ls),
+x AS (SELECT p % 4 <> 0 AS a, (p + 1) % 4 <> 0 AS b, ls[p % 3 + 1] AS v, ls[(p + CASE WHEN p % 5 = 0 THEN 1 ELSE 0 END) % 3 + 1] AS w FROM g CROSS JOIN l)
+SELECT CASE WHEN NOT a AND b THEN 'evidence_gained' WHEN a AND NOT b THEN 'evidence_lost' ELSE 'evidence_unchanged' END AS evidence_change,
+  CASE WHEN v = w THEN 'verdict_unchanged' ELSE 'changed_' || v || '_to_' || w END AS verdict_change, count(*) AS n FROM x GROUP BY ALL""")
+def change_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return reports.change_matrix(reports.zipped_arms(_arm(spark, d, 0), _arm(spark, d, 1)))
+
+
+@query("""WITH a AS (SELECT l_orderkey, count(*) AS x FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS y FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+c AS (SELECT coalesce(y, 0) - coalesce(x, 0) AS dl FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey)
+SELECT count(*) FILTER (WHERE dl > 0) AS n_more, count(*) FILTER (WHERE dl < 0) AS n_fewer, count(*) FILTER (WHERE dl = 0) AS n_same, sum(dl)::BIGINT AS net FROM c""")
+def parser_comparison(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return reports.parser_comparison(li.filter("l_returnflag <> 'A'"), li.filter("l_returnflag <> 'N'"), "l_orderkey").drop("p_sign")
+
+
+@query("""SELECT l_shipmode AS mode, n, first_seen, row_number() OVER (ORDER BY n DESC, first_seen)::INTEGER AS rank FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n, min(l_orderkey) AS first_seen FROM lineitem GROUP BY 1)""")
+def ranked_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.ranked_counts(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "mode"), "mode", "l_orderkey")
+
+
+@query(f"""WITH {PRED} SELECT l_returnflag AS batch, count(*) AS n_claims, count(*) FILTER (WHERE pe > 0.2) AS n_with_evidence, count(*) FILTER (WHERE first = 'ENTAILED') AS n_entailed, count(*) FILTER (WHERE first = 'CONTRADICTED') AS n_contradicted,
+  count(*) FILTER (WHERE first = 'NOT_ENOUGH_INFORMATION') AS n_not_enough_information, 0::BIGINT AS n_no_evidence, round(avg(pe), 6) AS mean_confidence, round(quantile_cont(pe, 0.5), 6) AS median_confidence FROM p GROUP BY 1""")
+def batch_table(spark: SparkSession, d: str) -> DataFrame:
+    p = _predictions(spark, d)
+    e = F.col("raw_scores")["entailment"]
+    c = p.select(F.col("l_returnflag").alias("batch"), F.when(e > 0.2, "fuzzy").otherwise("no_evidence").alias("match_method"), F.col("first").alias("verdict"), e.alias("confidence"))
+    b = reports.batch_table(c)
+    return b.withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("median_confidence", F.round("median_confidence", 6))
+
+
+@query("""SELECT l_orderkey % 10 AS g, round(p1 - p2, 6) AS delta, round((p1 - p2) / sqrt(pool * (1 - pool) * (1.0 / n1 + 1.0 / n2)), 6) AS z FROM (SELECT l_orderkey % 10 AS l_orderkey, count(*) FILTER (WHERE l_linestatus = 'O') AS n1, count(*) FILTER (WHERE l_linestatus = 'F') AS n2,
+  count(*) FILTER (WHERE l_linestatus = 'O' AND l_returnflag = 'R') / count(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE AS p1, count(*) FILTER (WHERE l_linestatus = 'F' AND l_returnflag = 'R') / count(*) FILTER (WHERE l_linestatus = 'F')::DOUBLE AS p2,
+  count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE AS pool FROM lineitem WHERE l_linestatus IN ('O', 'F') GROUP BY 1)""")
+def two_proportion_z(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").filter("l_linestatus in ('O', 'F')")
+    o, r = F.col("l_linestatus") == "O", F.col("l_returnflag") == "R"
+    c = li.groupBy((F.col("l_orderkey") % 10).alias("g")).agg(F.count_if(o & r).alias("x1"), F.count_if(o).alias("n1"), F.count_if(~o & r).alias("x2"), F.count_if(~o).alias("n2"))
+    z = stats.two_proportion_z(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2"))
+    return c.select("g", F.round(F.col("x1") / F.col("n1") - F.col("x2") / F.col("n2"), 6).alias("delta"), F.round(z["z"], 6).alias("z"))
+
+
+@query("""SELECT count(*) AS n_checked, count(*) FILTER (WHERE contains('Section ' || l_partkey || ' and ' || l_suppkey || '.', 'Section ' || l_suppkey)) AS n_sentence_kept,
+  count(*) FILTER (WHERE contains('Section ' || l_partkey || ' and ' || l_suppkey || '.', l_suppkey::VARCHAR) AND contains('Section ' || l_partkey || ' and ' || l_suppkey || '.', l_linenumber::VARCHAR)) AS n_spans_kept FROM lineitem""")
+def preservation(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    s = lambda c: F.col(c).cast("string")
+    return reports.preservation(li.select(F.concat(F.lit("Section "), s("l_partkey"), F.lit(" and "), s("l_suppkey"), F.lit(".")).alias("corrected_text"), F.concat(F.lit("Section "), s("l_suppkey")).alias("claim_text"), F.array(s("l_suppkey"), s("l_linenumber")).alias("assertion_spans")))
+
+
+@query()
+def case_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Composed texts to nested records: extraction, linkage, replayed scores, verdicts, flagged claims."""
+    extracted = claim_extraction(spark, d)
+    c = extracted.select("document_id", "claim_id", "claim_ord", "claim_text", F.struct("provision_type", "provision_number", "subsection", "act_raw", "act_norm").alias("citation"), "assertion_text", F.array("assertion_text").alias("assertion_spans"))
+    matched = evidence.match_evidence(c, usable(spark, d))
+    a = F.pmod(F.xxhash64("claim_text"), F.lit(100)) / 100.0
+    scores = F.create_map(F.lit("entailment"), a, F.lit("neutral"), (1 - a) / 2, F.lit("contradiction"), (1 - a) / 2)
+    v = verdicts.verdict(scores)
+    has = F.col("evidence").isNotNull()
+    judged = matched.withColumn("verdict", F.when(has, v["label"]).otherwise(S.NO_EVIDENCE)).withColumn("confidence", F.when(has, v["confidence"])).withColumn("sub_reason", F.when(has, v["sub_reason"]))
+    judged = judged.withColumn("trigger_reason", verdicts.trigger(F.col("verdict"), F.col("sub_reason"))).withColumn("negation_caveat", F.coalesce(verdicts.negation_caveat(F.col("verdict"), F.col("claim_text")), F.lit(False)))
+    flagged = gates.flagged_claim(judged).select("document_id", F.col("claim_id").alias("triggered_for_claim_id"), "trigger_reason")
+    docs = judged.select("document_id").distinct()
+    status = docs.join(flagged, "document_id", "left").withColumn("status", F.when(F.col("triggered_for_claim_id").isNull(), "not_triggered").otherwise("correction_failed"))
+    fixed = status.withColumn("final_field", gates.final_field(F.col("status"), F.lit("original"), F.lit("corrected")))
+    return reports.case_records(docs, judged, fixed).select("document_id", F.to_json(F.struct("evidence", "verification", "correction", "final_field")).alias("record"), F.size("claims").alias("n_claims"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
