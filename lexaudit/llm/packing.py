@@ -11,9 +11,8 @@ A node passes on at most ``PASS_ON`` bins, those with most room; it closes the o
 are, so no task's memory grows with the input. Nothing is dropped: a bin that no other fits
 stays a sequence.
 
-Words are tokenised once per task and kept (the tokenizer treats words independently); texts with
-characters beyond printable ASCII and the Latin blocks, or with a special token's mark, go
-through the tokenizer whole, as do all others in effect.
+Ids are kept by word in each worker; texts with characters beyond printable ASCII, Latin letters
+and common punctuation, or with a special token's mark, go through the tokenizer whole.
 
 Defined cases: null text is empty and yields the end id alone; ids that repeat or are null stay
 rows of their own; an empty table gives no rows; other columns are ignored.
@@ -22,6 +21,7 @@ rows of their own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import by_size, cut
+from lexaudit.llm.common import arrow_map, by_size, cut
 
 CAPACITY = 4096
 SLACK = 8
@@ -39,15 +39,19 @@ FAN_IN = 8
 PASS_ON = 50_000
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-_CACHE_WORDS = 400_000
+_CACHE = 600_000
 
 #: Fixed value: how the tokenizer splits lower-case text into words.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€]|<\|")
+_UNUSUAL = re.compile("[^\\t\\n\\r -~\\u00a1-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]|<\\|")
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by words that are kept."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    The tokenizer never joins what white space or its word pattern splits, so ids are kept for
+    runs of non-space characters and for the words in them. Words are learned as one text: the
+    last token of each word is one that ends words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,28 +59,59 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > _CACHE_WORDS:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _learn(self, runs: set[str]) -> None:
+        split = {r: _WORDS.findall(r) for r in runs if not r.isalpha()}
+        new = {r for r in runs if r not in split}.union(*split.values()).difference(self.known)
+        words = list(new)
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            for word, a, b in zip(some, [0, *last], last, strict=False):
+                self.known[word] = raw[a:b]
+            if len(last) != len(some):
+                raise AssertionError("words and word ends differ in number")
+        for r, own in split.items():
+            self.known[r] = b"".join(map(self.known.__getitem__, own))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        found: list[tuple] = []
+        missing: set[str] = set()
+        for text in texts:
+            if _UNUSUAL.search(text):
+                found.append((None, text, ()))
+                continue
+            runs = text.lower().split()
+            ids = list(map(self.known.get, runs))
+            holes = [i for i, own in enumerate(ids) if own is None]
+            missing.update([runs[i] for i in holes])
+            found.append((ids, [runs[i] for i in holes], holes))
+        self._learn(missing)
+        for ids, runs, holes in found:
+            if ids is None:
+                yield np.asarray(self.tokenizer.encode(runs, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            for i, run in zip(holes, runs, strict=True):
+                ids[i] = self.known[run]
+            yield b"".join(ids)
+        if len(self.known) > _CACHE:
             self.known.clear()
-        for at in range(0, len(words), 10_000):
-            some = words[at : at + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _WORDS.findall(text.lower())
-        if new := set(words).difference(self.known):
-            self._learn(sorted(new))
-            if not self.known.keys() >= new:
-                raise AssertionError("words just learned are missing")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:  # the store was emptied while this text's words were being learned
-            self._learn(sorted(set(words).difference(self.known)))
-            return b"".join(map(self.known.__getitem__, words))
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for a worker process, whatever tasks it runs."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -87,14 +122,13 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     schema = _PIECES.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
+        tokenizer = word_tokenizer(path)
         end = np.asarray([END_ID], "<u4").tobytes()
         for whole in batches:
-            tokenizer = tokenizer or WordTokenizer(path)
-            for batch in by_size(whole, "text"):
+            for batch in by_size(whole, "text", 2_000_000):
                 out: list[list] = [[] for _ in schema]
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = tokenizer.encode(text or "") + end
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(batch.column("text").to_pylist()), strict=True):
+                    ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         row = [doc, n, at // 4, len(part) // 4, zlib.crc32(part)]
@@ -103,7 +137,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, kind)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, kind)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +231,7 @@ def _node(level: int, capacity: int, slack: int, pass_on: int):
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN, pass_on: int = PASS_ON) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
-    leaves = cut(pieces.mapInArrow(_leaves(capacity, slack), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, open boolean, node long"))
+    leaves = cut(arrow_map(pieces, _leaves(capacity, slack), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, open boolean, node long"))
     nodes = leaves.rdd.getNumPartitions()
     kind = "node long, bin long, fill long, open boolean, members array<struct<bin: long, offset: long>>"
     items = (
