@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Most bytes of an Arrow batch.
+BATCH_BYTES = 6 << 20
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; set one of our own only where none is set (local tests)."""
@@ -61,3 +66,33 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def trim() -> None:
+    """Give unused memory of this worker back; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, whatever the texts' length; workers give memory back after a task.
+
+    The bound is a setting of the session, which is only ever lowered."""
+    conf = df.sparkSession.conf
+    if _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def _bytes(size: str) -> int:
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    plain = size.lower().removesuffix("b")
+    return int(plain[:-1]) * unit[plain[-1]] if plain and plain[-1] in unit else int(plain)

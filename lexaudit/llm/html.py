@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import by_size, shared_path
+from lexaudit.llm.common import arrow_map, by_size, shared_path
 
 MIN_SHARE = 0.5
 MIN_PAGES = 3
@@ -211,7 +211,7 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def page_tokens(pages: DataFrame) -> DataFrame:
     """Per page: host, page key, and its tokens with counts and, for containers, text outside boilerplate."""
     picked = pages.select("url", F.coalesce("html", F.lit("")).alias("html"))
-    return picked.mapInArrow(_page_tokens, "host string, page long, tokens array<struct<token: long, path: string, n: int, chars: long, named: boolean>>")
+    return arrow_map(picked, _page_tokens, "host string, page long, tokens array<struct<token: long, path: string, n: int, chars: long, named: boolean>>")
 
 
 def templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES, main_share: float = MAIN_SHARE) -> DataFrame:
@@ -275,4 +275,4 @@ def extract(pages: DataFrame) -> DataFrame:
     at = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), at.alias("p_host"))
     joined = keyed.join(known, F.col("p_host") == F.col("t_host"), "left").select("page_id", "url", "html", "main", "constants")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return arrow_map(joined, _extract, "page_id long, url string, text string, n_chars long")

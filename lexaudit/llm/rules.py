@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import WORD, by_size, cut
+from lexaudit.llm.common import WORD, arrow_map, by_size, cut
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS = 10
@@ -113,7 +113,7 @@ def text_features(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *made], schema=_FEATURES)
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")]
-    return docs.select(*cols).mapInArrow(run, _FEATURES_DDL)
+    return arrow_map(docs.select(*cols), run, _FEATURES_DDL)
 
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")

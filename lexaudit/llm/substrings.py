@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import by_size, default_parallelism
+from lexaudit.llm.common import arrow_map, by_size, default_parallelism, trim
 from lexaudit.llm.suffix import suffix_array
 
 LENGTH = 50
@@ -40,7 +40,9 @@ K = 12
 RUN = 64
 SHARD_BYTES = 6_000_000
 BLOCK_BYTES = 4_000_000
-FLUSH_BYTES = 8_000_000
+FLUSH_BYTES = 6_000_000
+SLICE_BYTES = 700_000
+HASH_STEP = 500_000
 #: Bytes of super-windows for each byte of text: 69 for 20 windows on average.
 BLOW_UP = 3.4
 
@@ -50,16 +52,20 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD
 def kmer_hashes(raw: np.ndarray) -> np.ndarray:
     """A hash of the K bytes at every place; places less than K bytes from the end get padding."""
     padded = np.concatenate([raw, np.zeros(K, np.uint8)])
-    at = np.ndarray((len(raw),), "<u8", padded, 0, (1,)).astype(np.uint64)
-    after = np.ndarray((len(raw),), "<u8", padded, K - 8, (1,)).astype(np.uint64)
-    at *= _A
-    after *= _B
-    at ^= at >> np.uint64(29)
-    at += after
-    at ^= at >> np.uint64(32)
-    at *= _C
-    at ^= at >> np.uint64(29)
-    return at
+    out = np.empty(len(raw), np.uint64)
+    for a in range(0, len(raw), HASH_STEP):  # piecewise, so that few arrays of this size are held
+        n = min(HASH_STEP, len(raw) - a)
+        at = np.ndarray((n,), "<u8", padded, a, (1,)).astype(np.uint64)
+        after = np.ndarray((n,), "<u8", padded, a + K - 8, (1,)).astype(np.uint64)
+        at *= _A
+        after *= _B
+        at ^= at >> np.uint64(29)
+        at += after
+        at ^= at >> np.uint64(32)
+        at *= _C
+        at ^= at >> np.uint64(29)
+        out[a : a + n] = at
+    return out
 
 
 def window_minima(h: np.ndarray, width: int = LENGTH - K + 1) -> np.ndarray:
@@ -137,7 +143,7 @@ def _deal(n_shards: int):
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(payloads, pa.binary())], ["shard", "payload"])
 
         for whole in batches:
-            for batch in by_size(whole, "text", 1_500_000):
+            for batch in by_size(whole, "text", SLICE_BYTES):
                 texts = [t.encode() for t in batch.column("text").to_pylist()]
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 raw, owner, start, n, key = super_windows(texts)
@@ -171,18 +177,19 @@ def _known_twice(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _may_repeat(doc: np.ndarray, size: np.ndarray, base: np.ndarray, h: np.ndarray, inside: np.ndarray, key: np.ndarray, kmers: np.ndarray) -> np.ndarray:
+def _may_repeat(doc: np.ndarray, size: np.ndarray, base: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Super-windows that can share a window with another document.
 
     A shared window holds the minimizer and ``LENGTH - K`` bytes around it, so half of these lie to one
     side: some place of the minimizer, with as many bytes to its left or to its right, must be known
-    from two documents."""
+    from two documents. Hashes that reach beyond a super-window are overwritten."""
     side = (LENGTH - K + 1) // 2
+    h[((base + size)[:, None] - np.arange(1, K)).ravel()] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    key = np.minimum.reduceat(h, base)
     known = _known_twice(doc, key)
-    first = np.cumsum(kmers) - kmers
-    least = np.flatnonzero(inside == np.repeat(key, kmers))
-    owner = np.searchsorted(first, least, side="right") - 1
-    at = least - first[owner]
+    least = np.flatnonzero(h == np.repeat(key, size))
+    owner = np.searchsorted(base, least, side="right") - 1
+    at = least - base[owner]
     some = known[owner]
     owner, at = owner[some], at[some]
     out = np.zeros(len(key), bool)
@@ -203,16 +210,12 @@ def repeated_ranges(doc: np.ndarray, n: np.ndarray, raw: np.ndarray, memory: int
     nothing = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     if len(raw) < LENGTH:
         return nothing
-    h = kmer_hashes(raw)
-    kmers = n + LENGTH - K
-    inside = _gather(h, base, kmers)
-    key = np.minimum.reduceat(inside, np.cumsum(kmers) - kmers)
-    pick = np.flatnonzero(_may_repeat(doc, size, base, h, inside, key, kmers))
+    pick = np.flatnonzero(_may_repeat(doc, size, base, kmer_hashes(raw)))
     if not len(pick):
         return nothing
-    blob = raw.tobytes()
+    blob = raw.data
     number: dict[bytes, int] = {}
-    which = np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in zip(base[pick].tolist(), (base + size)[pick].tolist(), strict=True)), np.int64, len(pick))
+    which = np.fromiter((number.setdefault(bytes(blob[a:b]), len(number)) for a, b in zip(base[pick].tolist(), (base + size)[pick].tolist(), strict=True)), np.int64, len(pick))
     least = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc[pick])
     text = b"\xff".join(number) + b"\xff"
@@ -254,6 +257,8 @@ def _search(n_blocks: int, memory: int):
         raw = np.concatenate([p[3] for p in parts])
         del parts
         which, lo, hi, check = repeated_ranges(doc, n, raw, memory)
+        del raw
+        trim()
         ids, start, size = doc[which], place[which] + lo, hi - lo + LENGTH
         block = ids % n_blocks
         order = np.lexsort((start, ids, block))
@@ -339,9 +344,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     least = 2 * default_parallelism(spark)
     n_shards = max(least, int(total * BLOW_UP // SHARD_BYTES)) | 1
     n_blocks = max(least, total // BLOCK_BYTES) | 1
-    dealt = flat.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_deal(n_shards), "shard int, payload binary")
+    dealt = arrow_map(flat.filter("doc_id is not null").select("doc_id", "text"), _deal(n_shards), "shard int, payload binary")
     found = dealt.groupBy("shard").applyInArrow(_search(n_blocks, memory), "block long, payload binary")
-    packed = flat.mapInArrow(_pack(n_blocks), "block long, rows binary")
+    packed = arrow_map(flat, _pack(n_blocks), "block long, rows binary")
     ddl = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields if f.name in keep)
     kind = f"doc_id long{ddl}, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if with_text else "kept_sha256 string")
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_apply(keep, with_text), kind)

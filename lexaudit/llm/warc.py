@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexaudit.llm.common import arrow_map
+
 #: Field names of ARC header lines by version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -187,7 +189,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     joined = keyed.join(firsts, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", refers.alias("refers_to"))
     (
-        joined.mapInArrow(_to_records, "value string")
+        arrow_map(joined, _to_records, "value string")
         .write.mode("errorifexists")
         .option("lineSep", TERMINATOR.decode())
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
@@ -222,4 +224,4 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the WARC files under ``path``; payloads are held against their digests."""
     files = spark.read.format("binaryFile").load(path).select("content")
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string"
-    return files.mapInArrow(_from_files, kind)
+    return arrow_map(files, _from_files, kind)

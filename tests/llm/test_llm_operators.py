@@ -467,7 +467,7 @@ def test_kneser_ney(spark):
         grams = [s[j - 3 : j + 1] for j in range(3, len(s))]
         want[i] = -sum(math.log(brute_kneser(train, [g])[g]) for g in grams) / len(grams) if grams else None
     for shard_grams in (1 << 20, 3):
-        got = {r["doc_id"]: r["mean_nll"] for r in kneser.score(rows, model, {"doc_id": "long", "mean_nll": "double"}, shard_grams=shard_grams).collect()}
+        got = {r["doc_id"]: r["mean_nll"] for r in kneser.score(rows, kneser.answered(rows, model, shard_grams), {"doc_id": "long", "mean_nll": "double"}).collect()}
         assert got.keys() == want.keys()
         assert all((got[i] is None) == (want[i] is None) and (want[i] is None or abs(got[i] - want[i]) < 1e-5) for i in want), (got, want)
     total = brute_kneser(train, ["the" + c for c in sorted({x for t in train for x in t})])
@@ -507,3 +507,30 @@ def test_pipeline(spark, sf):
     for name, stage in p.STAGES[:-1]:
         out = stage(spark, source, sf)
         assert out.dtypes == source.dtypes, name
+
+
+def test_pipeline_stages_against_brute_force(spark, docs):
+    import corpus_pipeline as p
+
+    named = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+    rows = [(r["doc_id"], r["text"] or "") for r in named.collect()]
+    kept = p.near_dedup(spark, named, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in brute_classes(rows)})
+    texts = Counter((r["doc_id"], r["text"]) for r in p.suffix_dedup(spark, named, "").collect())
+    first: dict = {}
+    for d, t in rows:
+        b = t.encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(first.get(b[i : i + 50], d), d)
+    want = Counter()
+    for d, t in rows:
+        b, gone = t.encode(), set()
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone.update(range(i, i + 50))
+        left = bytes(x for i, x in enumerate(b) if i not in gone).decode("utf-8", "ignore")
+        if not gone or left.strip(" "):
+            want[d, left] += 1
+    assert texts == want
+    mixed = Counter(r["doc_id"] for r in p.source_mix(spark, named, "").collect())
+    assert set(mixed) <= {d for d, _ in rows} and max(mixed.values()) <= 3 * max(Counter(d for d, _ in rows).values())
