@@ -9,9 +9,13 @@
    its shingles. Checked links form components.
 4. Members that are not in the pivot's component get further checks: against every member of
    another component in buckets of at most ``SMALL`` nodes, and in larger ones against ``SALTS``
-   more pivots, the most central nodes of as many random shares of the bucket. Checks are linear
-   in the number of memberships. New links merge components.
-5. A class is a component; its id is its smallest doc_id.
+   more pivots, the most central nodes of as many random shares of the bucket. New links merge
+   components.
+5. Where a larger bucket still has several components, each member outside its largest one meets
+   all members of the others, exactly. The bucket is dealt into blocks of about ``BLOCK`` shingles
+   and a task checks two blocks; no pair is a row. So the links among a bucket's members are
+   whole, up to those inside a component.
+6. A class is a component; its id is its smallest doc_id.
 
 Similarity is the Jaccard index of shingles (of their numbers, if weighted by number); links need
 ``SIMILARITY`` or more.
@@ -41,6 +45,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 SMALL = 48
 SALTS = 24
+BLOCK = 200_000
 _WORD = re.compile(WORD)
 
 
@@ -135,6 +140,70 @@ def _checked(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     return arrow_map(joined, run, "a binary, b binary")
 
 
+def block_links(a: list[tuple], b: list[tuple], least: float) -> list[tuple[bytes, bytes]]:
+    """Links between nodes (node, label, hashes, weights) of ``a`` and of ``b`` that join different labels, as far as they join anything new."""
+    n = np.fromiter((len(x[2]) for x in b), np.int64, len(b))
+    some = np.flatnonzero(n)  # nodes without shingles are in no bucket
+    if not len(some):
+        return []
+    b, n = [b[i] for i in some], n[some]
+    starts = np.cumsum(n) - n
+    distinct, at = np.unique(np.concatenate([x[2] for x in b]), return_inverse=True)
+    counted = bool(len(b[0][3]))
+    weight = np.concatenate([x[3] for x in b]) if counted else None
+    sums = np.add.reduceat(weight, starts) if counted else n.astype(np.float64)
+    of_label: dict[bytes, int] = {}
+    bl = np.fromiter((of_label.setdefault(x[1], len(of_label)) for x in b), np.int64, len(b))
+    labels = [of_label.setdefault(x[1], len(of_label)) for x in a]
+    own = np.arange(len(of_label))  # the group of each label
+    mark = np.zeros(len(distinct))
+    out = []
+    for x, label in zip(a, labels, strict=True):
+        total = float(x[3].sum()) if counted else float(len(x[2]))
+        apart = own[bl] != own[label]
+        apart &= np.minimum(sums, total) >= (least - 1e-9) * np.maximum(sums, total)
+        if not apart.any():
+            continue
+        spot = np.minimum(np.searchsorted(distinct, x[2]), len(distinct) - 1)
+        hit = distinct[spot] == x[2]
+        mark[spot[hit]] = x[3][hit] if counted else 1.0
+        low = np.add.reduceat(np.minimum(mark[at], weight) if counted else mark[at], starts)
+        mark[spot] = 0.0
+        for i in np.flatnonzero(apart & (low >= (least - 1e-12) * (sums + total - low))):
+            if own[bl[i]] != own[label]:
+                own[own == own[bl[i]]] = own[label]
+                out.append((x[0], b[i][0]))
+    return out
+
+
+def _blocked(apart: DataFrame, known: DataFrame, least: float, block: int) -> DataFrame:
+    """Links (a, b) between members of different labels in a bucket. ``apart``: key, node, n, label; buckets of several labels.
+
+    Members of a bucket's largest label (the main one) don't meet each other."""
+    per = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    main = per.groupBy(F.col("key").alias("mk")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max_by("s", F.struct("c", "label")).alias("ms"), F.sum("s").alias("all"))
+    main = main.select("mk", "main", F.ceil(F.col("ms") / block).cast("int").alias("q"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("ms")) / block)).cast("int").alias("p"))
+    dealt = apart.join(main, F.col("key") == F.col("mk")).withColumn("out", F.col("label") != F.col("main"))
+    # blocks 0 to p - 1 are outsiders, p to p + q - 1 the main label; of a pair (i, j), i is of outsiders and i <= j
+    dealt = dealt.withColumn("blk", F.when(F.col("out"), F.pmod(F.xxhash64("node", "key"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node", "key"), F.greatest(F.col("q"), F.lit(1)))).cast("int"))
+    last = F.col("p") + F.greatest(F.col("q"), F.lit(1)) - 1
+    others = F.when(F.col("out"), F.sequence(F.lit(0), last)).otherwise(F.sequence(F.lit(0), F.col("p") - 1))
+    pairs = dealt.select("key", "node", "label", "blk", F.explode(others).alias("o")).select("key", "node", "label", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    ready = pairs.join(known.select(F.col("node").alias("kn"), "hashes", "weights"), F.col("node") == F.col("kn")).select("key", "i", "j", "blk", "node", "label", "hashes", "weights")
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {c: table.column(c).to_pylist() for c in ("blk", "node", "label", "hashes", "weights")}
+        nodes = [(n, lab, np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32).astype(np.float64)) for n, lab, h, w in zip(*list(cols.values())[1:], strict=True)]
+        i = table.column("i")[0].as_py()
+        j = table.column("j")[0].as_py()
+        one = [x for x, k in zip(nodes, cols["blk"], strict=True) if k == i]
+        two = [x for x, k in zip(nodes, cols["blk"], strict=True) if k == j]
+        links = block_links(one, two, least)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+    return ready.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame, seeds: DataFrame | None = None, rounds: int = 60) -> DataFrame:
     """Smallest node of each node's component: (node, label), for nodes with links (or in ``seeds``).
 
@@ -159,7 +228,7 @@ def components(links: DataFrame, seeds: DataFrame | None = None, rounds: int = 6
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False, small: int = SMALL, salts: int = SALTS) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False, small: int = SMALL, salts: int = SALTS, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, class_id, node."""
     rows = cut(sketches(docs, counted))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -197,6 +266,13 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = Fal
     more_links = cut(_checked(second, known, least))
     labels = components(links.union(more_links), labels)
 
+    at = large.select("key", "node", "n").join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left")
+    at = cut(at.select("key", "node", "n", F.coalesce("label", "node").alias("label")))
+    mixed = at.groupBy(F.col("key").alias("mk")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("mk")
+    rest = cut(_blocked(at.join(mixed, F.col("key") == F.col("mk"), "left_semi"), known, least, block))
+    if not rest.isEmpty():
+        labels = components(links.union(more_links).union(rest), labels)
+
     placed = nodes.select("node", "doc").join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select(
         "node", "doc", F.coalesce("label", "node").alias("label")
     )

@@ -335,6 +335,47 @@ def test_near_classes(spark, docs, none, small):
     assert near.near_classes(none).count() == 0
 
 
+def classes_of_variants(texts):
+    """Classes of unweighted shingle sets by all pairs: a label for each text."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    number: dict = {}
+    ids = [[number.setdefault(s, len(number)) for s in x] for x in sets]
+    seen = Counter(i for x in ids for i in x)
+    n = np.array([len(x) for x in sets], np.float32)
+    place = {i: k for k, i in enumerate(i for i, c in seen.items() if c > 1)}
+    has = np.zeros((len(sets), len(place)), np.float32)
+    for row, x in enumerate(ids):
+        has[row, [place[i] for i in x if i in place]] = 1
+    both = has @ has.T
+    linked = both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-3
+    label = np.full(len(sets), -1)
+    for i in range(len(sets)):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            k = todo.pop()
+            new = np.flatnonzero(linked[k] & (label < 0))
+            label[new] = i
+            todo += new.tolist()
+    return label
+
+
+@pytest.mark.parametrize("block", [near.BLOCK, 40_000])
+def test_near_classes_of_thousands_of_variants(spark, block):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(3000):
+        w = list(base)
+        for k in r.sample(range(150), r.choice([2, 3])):
+            w[k] = r.choice(words)
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["class_id"] for x in near.near_classes(df, block=block).collect()}
+    want = dict(enumerate(classes_of_variants(texts).tolist()))
+    assert got == want
+
+
 # ---------------------------------------------------------------- warc
 
 
