@@ -97,6 +97,22 @@ def test_rules(docs, none):
     assert rules.quality_rules(none, vocabulary(rules.VOCABULARY)).count() == 0
 
 
+def test_small_classes_are_judged(spark):
+    r = random.Random(8)
+    words = ["the", "house", "water", "people", "green", "small", "river", "under", "music", "paper", "winter", "garden", "between", "morning", "of", "and", "in"]
+    good = lambda n: " ".join(r.choice(words) + str(r.randrange(10)) for _ in range(n))
+    junk = lambda n: " ".join("".join(chr(r.randrange(0x10900, 0x10A00)) for _ in range(5)) for _ in range(n))
+    rows = [(i, good(r.randint(80, 100)), "en") for i in range(200)]
+    rows += [(1000, good(3000), "en"), (1001, junk(400), "en"), (1002, good(90), "xx"), (1003, junk(400), "xx"), (1004, junk(90), None), (1005, good(12), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in rules.quality_rules(df, vocabulary(rules.VOCABULARY)).collect()}
+    assert len(got) == len(rows) and not any(got[i] for i in (1001, 1003, 1004))
+    assert got[1000] and got[1002] and got[1005] and all(got[i] for i in range(200))
+    few = spark.createDataFrame(rows[:30] + rows[201:202], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in rules.quality_rules(few, vocabulary(rules.VOCABULARY)).collect()}
+    assert not got.pop(1001) and all(got.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60))
 def test_repeated_words(words):
