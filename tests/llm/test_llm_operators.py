@@ -113,6 +113,13 @@ def test_small_classes_are_judged(spark):
     assert not got.pop(1001) and all(got.values())
 
 
+def test_fence_by_labels(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = rules.quality_rules(d, vocabulary(rules.VOCABULARY)).filter("not base_failed").join(labels.select("doc_id", "quality"), "doc_id")
+    rates = {x["quality"]: x["r"] for x in judged.groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("r")).collect()}
+    assert rates[0] > 0.8 and rates[1] < 0.05
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60))
 def test_repeated_words(words):
