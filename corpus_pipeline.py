@@ -24,9 +24,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that with the smallest id, one row of it."""
-    classes = near.near_classes(docs)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("k_node"), F.first("doc_id").alias("k_id"))
+    """One document of each near-duplicate class: that with the smallest id, nulls last, one row of it."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
+    first = near.near_classes(docs).groupBy("label").agg(F.min(rank).alias("k")).select(F.col("k.id").alias("k_id"), F.col("k.node").alias("k_node"))
     named = docs.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     kept = named.join(first, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node")), "left_semi")
     return kept.dropDuplicates(["doc_id", "node"]).select(*COLUMNS)

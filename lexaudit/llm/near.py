@@ -229,7 +229,10 @@ def components(links: DataFrame, seeds: DataFrame | None = None, rounds: int = 6
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False, small: int = SMALL, salts: int = SALTS, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, class_id, node."""
+    """Per row of ``docs`` (doc_id, text): doc_id, class_id, node, label.
+
+    The label, a component's smallest node, names the class; different classes can share a class_id,
+    where ids repeat or are null."""
     rows = cut(sketches(docs, counted))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     member = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -278,5 +281,5 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = Fal
     )
     placed = cut(placed)
     firsts = placed.groupBy(F.col("label").alias("fl")).agg(F.min("doc").alias("class_id"))
-    classes = placed.join(firsts, F.col("label") == F.col("fl")).select(F.col("node").alias("cn"), "class_id")
-    return rows.select("doc_id", "node").join(classes, F.col("node") == F.col("cn")).select("doc_id", "class_id", "node")
+    classes = placed.join(firsts, F.col("label") == F.col("fl")).select(F.col("node").alias("cn"), "class_id", "label")
+    return rows.select("doc_id", "node").join(classes, F.col("node") == F.col("cn")).select("doc_id", "class_id", "node", "label")

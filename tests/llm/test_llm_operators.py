@@ -598,3 +598,16 @@ def test_pipeline_stages_against_brute_force(spark, docs):
     assert texts == want
     mixed = Counter(r["doc_id"] for r in p.source_mix(spark, named, "").collect())
     assert set(mixed) <= {d for d, _ in rows} and max(mixed.values()) <= 3 * max(Counter(d for d, _ in rows).values())
+
+
+def test_near_dedup_keeps_one_of_each_class(spark, docs):
+    import corpus_pipeline as p
+
+    named = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+    kept = Counter(x["doc_id"] for x in p.near_dedup(spark, named, "").collect())
+    assert kept[7] == 2 and kept[1] == 1 and not kept[2] and not kept[8]  # doc_id 7 has two unrelated texts
+    texts = [" ".join(f"t{i}w{k}" for k in range(60)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (6, texts[4]), (None, texts[5]), (9, texts[5]), (None, None), (None, "")]
+    df = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = Counter((x["doc_id"], x["text"] or "") for x in p.near_dedup(spark, df, "").collect())
+    assert got == Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (9, texts[5]), (None, "")])
