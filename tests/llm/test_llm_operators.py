@@ -553,6 +553,20 @@ def test_classifier(spark, docs, none):
     assert kneser.classify(docs, labels.limit(0)).filter("not kept").count() == 0
 
 
+def test_rare_language_has_threshold_and_model(spark):
+    ids = [r[0] for r in spark.range(12_000).orderBy(F.xxhash64("id")).collect()]
+    rare, words = set(ids[-5:]), ["la", "maison", "est", "grande", "et", "belle"]
+    text = lambda i: " ".join(random.Random(i).choice(words) for _ in range(40 if i in rare else 4))
+    rows = [(i, text(i), "yy" if i in rare else "en") for i in ids] + [(20_000, "#$%&" * 60, "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    for most in ({}, {"max_trusted": 2000}):
+        got = {r["doc_id"]: r for r in kneser.classify(df, labels, **most).filter("lang = 'yy'").collect()}
+        assert all(r["threshold"] is not None for r in got.values())
+        assert not got[20_000]["kept"] and all(got[i]["kept"] for i in rare)
+    assert kneser._shares({"a": 5, None: 100, "b": 1000}, 105) == {"a": 1.0, None: 0.5, "b": 0.05}
+
+
 # ---------------------------------------------------------------- registry and pipeline
 
 
