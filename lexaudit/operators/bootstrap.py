@@ -83,7 +83,9 @@ def grouped_folds(rows: DataFrame, group: str, label: str, n_splits: int = 5, se
 
     Groups, the largest first and ties in a seeded order, go to the fold where the label counts stay
     most even. The group table is small (one row a group and label) and is dealt on the driver."""
-    counts = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(label).alias("y")).count().limit(MAX_UNITS * 10).collect()
+    counts = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(label).alias("y")).count().limit(MAX_UNITS * 10 + 1).collect()
+    if len(counts) > MAX_UNITS * 10:
+        raise ValueError(f"over {MAX_UNITS * 10} groups and labels: aggregate to clusters first")
     labels = sorted({r["y"] for r in counts})
     table: dict[str, np.ndarray] = {}
     for r in counts:

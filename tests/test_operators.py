@@ -254,3 +254,11 @@ def test_retrieval(spark):
     index = retrieval.bm25_index(names)
     own = retrieval.bm25_similarity(names.withColumnRenamed("act_norm", "query"), index).filter("query = doc").collect()
     assert len(own) == 3 and all(abs(r["similarity"] - 1) < 1e-9 for r in own)
+
+
+def test_folds_of_too_many_groups_raise(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "MAX_UNITS", 3)
+    df = spark.range(40).selectExpr("id", "cast(id as string) as g", "'Yes' as y")
+    assert bootstrap.grouped_folds(df.limit(30), "g", "y", 3).count() == 30
+    with pytest.raises(ValueError, match="over 30"):
+        bootstrap.grouped_folds(df, "g", "y", 3)
