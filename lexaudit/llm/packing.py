@@ -2,20 +2,24 @@
 
 1. Every document becomes ids of a public tokenizer plus an end id; only documents longer than a
    sequence are cut, into full pieces and a shorter last one. Full pieces are sequences already.
-2. Each partition best-fits its other pieces, longest first, into bins. Bins with at most
-   ``slack`` tokens free are done.
+2. Each partition best-fits its pieces into bins, longest first in chunks of ``CHUNK`` pieces; bins
+   stay open for later chunks. Bins with at most ``slack`` tokens free are done.
 3. The underfull bins become items of their own and meet in a tree: each node takes the bins of
-   ``FAN_IN`` nodes below it and best-fits them again, until one node is left.
+   ``FAN_IN`` nodes below it and best-fits them again, until one node is left. A bin that goes into
+   another points to it; the few moves are composed and joined to the pieces at the end.
 
-A node passes on at most ``PASS_ON`` bins, those with most room; it closes the others as they
-are, so no task's memory grows with the input. Nothing is dropped: a bin that no other fits
-stays a sequence.
+A node takes no more bins of one fill than can find use in the rounds that are left (``reach``; the
+others would come out as they went in), so its memory is bounded by the capacity, not by the input.
+A leaf holds a chunk of pieces and the fills of its partition's bins. Nothing is dropped: a bin that
+no other fits stays a sequence.
 
 Ids are kept by word in each worker; texts with characters beyond printable ASCII, Latin letters
 and common punctuation, or with a special token's mark, go through the tokenizer whole.
 
 Defined cases: null text is empty and yields the end id alone; ids that repeat or are null stay
-rows of their own; an empty table gives no rows; other columns are ignored.
+rows of their own; equal pieces are packed one by one, and which of them is where follows the order
+of rows; an empty table gives no rows; a long text is tokenized whole, in one task; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,7 @@ from lexaudit.llm.common import arrow_map, by_size, cut
 CAPACITY = 4096
 SLACK = 8
 FAN_IN = 8
-PASS_ON = 50_000
+CHUNK = 200_000
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 _CACHE = 600_000
@@ -140,121 +145,142 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, kind)
 
 
+class Bins:
+    """Bins that are not full, by free space; a bit mask finds the least free space that is large enough."""
+
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity, self.mask = capacity, 0
+        self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.fill: list[int] = []
+
+    def put(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bin and offset of each item; longest items first, fullest bin that fits."""
+        at, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        by_free, fill, mask = self.by_free, self.fill, self.mask
+        order = np.argsort(-lengths, kind="stable")
+        for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
+            fits = mask >> n
+            if fits:
+                free = n + (fits & -fits).bit_length() - 1
+                b = by_free[free].pop()
+                if not by_free[free]:
+                    mask &= ~(1 << free)
+            else:
+                free, b = self.capacity, len(fill)
+                fill.append(0)
+            at[i], offset[i] = b, fill[b]
+            fill[b] += n
+            left = free - n
+            if left:
+                by_free[left].append(b)
+                mask |= 1 << left
+        self.mask = mask
+        return at, offset
+
+
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each item, and the fill of each bin; longest items first, fullest bin that fits.
-
-    Bins are kept by free space; a bit mask finds the least free space that is large enough."""
-    at, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    fill: list[int] = []
-    mask = 0
-    order = np.argsort(-lengths, kind="stable")
-    for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
-        fits = mask >> n
-        if fits:
-            free = n + (fits & -fits).bit_length() - 1
-            b = by_free[free].pop()
-            if not by_free[free]:
-                mask &= ~(1 << free)
-        else:
-            free, b = capacity, len(fill)
-            fill.append(0)
-        at[i], offset[i] = b, fill[b]
-        fill[b] += n
-        left = free - n
-        if left:
-            by_free[left].append(b)
-            mask |= 1 << left
-    return at, offset, np.asarray(fill, np.int64)
-
-
-def _open(fill: np.ndarray, capacity: int, slack: int, pass_on: int) -> np.ndarray:
-    """Which bins go on: not nearly full, those with most room first."""
-    is_open = fill < capacity - slack
-    if is_open.sum() > pass_on:
-        rank = np.argsort(np.where(is_open, fill, capacity), kind="stable")[:pass_on]
-        is_open = np.zeros(len(fill), bool)
-        is_open[rank] = True
-    return is_open
+    """Bin and offset of each item, and the fill of each bin."""
+    bins = Bins(capacity)
+    at, offset = bins.put(lengths)
+    return at, offset, np.asarray(bins.fill, np.int64)
+
+
+def _places(fill: np.ndarray) -> np.ndarray:
+    """Each bin's number among those of its fill."""
+    order = np.argsort(fill, kind="stable")
+    f = fill[order]
+    head = np.concatenate([[True], f[1:] != f[:-1]])
+    out = np.empty(len(fill), np.int64)
+    out[order] = np.arange(len(f)) - np.maximum.accumulate(np.where(head, np.arange(len(f)), 0))
+    return out
 
 
 def _leaves(capacity: int, slack: int):
-    kind = pa.schema([*_PIECES, ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("open", pa.bool_()), ("node", pa.int64())])
+    """Pieces with bin and offset, and a row (with ``fill``) for each bin that is not nearly full."""
+    kind = pa.schema([*_PIECES, ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("place", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         node = TaskContext.get().partitionId()
-        made = 0
+        bins = Bins(capacity)
 
         def pack(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            nonlocal made
             t = pa.Table.from_batches(rows).combine_chunks()
-            b, offset, fill = best_fit(t["length"].to_numpy(), capacity)
-            is_open = _open(fill, capacity, slack, PASS_ON)
-            more = [pa.array((node << 40) + made + b), pa.array(offset), pa.array(fill[b]), pa.array(is_open[b]), pa.array(np.full(len(b), node))]
-            made += len(fill)
-            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in t.columns), *more], schema=kind)
+            b, offset = bins.put(t["length"].to_numpy())
+            none = pa.nulls(len(b), pa.int64())
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in t.columns), pa.array((node << 40) + b), pa.array(offset), none, none, none], schema=kind)
 
         held, n = [], 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= 200_000:
+            if n >= CHUNK:  # bins stay open for the pieces of later chunks
                 yield pack(held)
                 held, n = [], 0
         if n:
             yield pack(held)
+        fill = np.asarray(bins.fill, np.int64)
+        some = np.flatnonzero(fill < capacity - slack)
+        for a in range(0, len(some), CHUNK):
+            own, place = some[a : a + CHUNK], _places(fill[some])[a : a + CHUNK]
+            made = [pa.array((node << 40) + own), pa.nulls(len(own), pa.int64()), pa.array(fill[own]), pa.array(place), pa.array(np.full(len(own), node))]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(own), f.type) for f in _PIECES), *made], schema=kind)
 
     return run
 
 
-_MEMBERS = pa.list_(pa.struct([("bin", pa.int64()), ("offset", pa.int64())]))
-
-
-def _node(level: int, capacity: int, slack: int, pass_on: int):
-    kind = pa.schema([("node", pa.int64()), ("bin", pa.int64()), ("fill", pa.int64()), ("open", pa.bool_()), ("members", _MEMBERS)])
+def _node(capacity: int, slack: int):
+    """Of bins (bin, fill): a row for each that moves into another (moved, bin, shift), and for each that is still not nearly full (bin, fill, place)."""
+    kind = pa.schema([("node", pa.int64()), ("bin", pa.int64()), ("moved", pa.int64()), ("shift", pa.int64()), ("fill", pa.int64()), ("place", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bin")
-        node = table["node"][0].as_py()
+        node, ident = table["node"][0].as_py(), table["bin"].to_numpy()
         b, offset, fill = best_fit(table["fill"].to_numpy(), capacity)
-        is_open = _open(fill, capacity, slack, pass_on)
-        members: list[list] = [[] for _ in fill]
-        for to, off, inner in zip(b.tolist(), offset.tolist(), table["members"].to_pylist(), strict=True):
-            members[to] += [{"bin": m["bin"], "offset": m["offset"] + off} for m in inner]
-        ids = (np.int64(level) << 58) + (np.int64(node) << 32) + np.arange(len(fill))
-        return pa.Table.from_arrays([pa.array(np.full(len(fill), node)), pa.array(ids), pa.array(fill), pa.array(is_open), pa.array(members, _MEMBERS)], schema=kind)
+        host = np.empty(len(fill), np.int64)
+        host[b[offset == 0]] = ident[offset == 0]
+        gone, some = np.flatnonzero(offset > 0), np.flatnonzero(fill < capacity - slack)
+        n, none = len(gone), pa.nulls(len(gone), pa.int64())
+        moved = pa.Table.from_arrays([pa.array(np.full(n, node)), pa.array(host[b[gone]]), pa.array(ident[gone]), pa.array(offset[gone]), none, none], schema=kind)
+        none = pa.nulls(len(some), pa.int64())
+        left = pa.Table.from_arrays([pa.array(np.full(len(some), node)), pa.array(host[some]), none, none, pa.array(fill[some]), pa.array(_places(fill[some]))], schema=kind)
+        return pa.concat_tables([moved, left])
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN, pass_on: int = PASS_ON) -> DataFrame:
+def reach(fan_in: int, levels: int) -> int:
+    """How many bins of one fill can find use in ``levels`` more rounds.
+
+    Best fit leaves one bin at most that is half full or less: of two, the second would have gone into
+    the first. Two bins over half never meet, so a round moves at most one bin from each of ``fan_in``
+    nodes and takes as many hosts of a fill at most. Bins beyond that number stay as they are."""
+    return fan_in * levels
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
-    leaves = cut(arrow_map(pieces, _leaves(capacity, slack), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, open boolean, node long"))
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, place long, node long"
+    leaves = cut(arrow_map(pieces, _leaves(capacity, slack), kind))
     nodes = leaves.rdd.getNumPartitions()
-    kind = "node long, bin long, fill long, open boolean, members array<struct<bin: long, offset: long>>"
-    items = (
-        leaves.filter("open")
-        .groupBy("bin")
-        .agg(F.first("fill").alias("fill"), F.first("node").alias("node"))
-        .select("node", "bin", "fill", F.array(F.struct(F.col("bin"), F.lit(0).cast("long").alias("offset"))).alias("members"))
-    )
-    done, level = None, 0
-    while True:
-        level += 1
-        nodes = -(-nodes // fan_in)
-        last = nodes == 1
-        met = items.withColumn("node", F.floor(F.col("node") / fan_in)).select("node", "bin", "fill", "members")
-        packed = met.groupBy("node").applyInArrow(_node(level, capacity, slack, pass_on), kind)
-        packed = packed if last else cut(packed)
-        closed = packed if last else packed.filter("not open")
-        done = closed if done is None else done.unionByName(closed)
-        if last:
-            break
-        items = packed.filter("open").drop("open")
-    moved = done.select(F.col("bin").alias("to"), F.explode("members").alias("m")).select("to", F.col("m.bin").alias("from"), F.col("m.offset").alias("shift"))
-    joined = leaves.join(moved, F.col("bin") == F.col("from"), "left")
+    levels = 1
+    while fan_in**levels < nodes:
+        levels += 1
+    items = leaves.filter("fill is not null").select("node", "bin", "fill", "place")
+    moves = None
+    for level in range(levels):
+        used = items.filter(F.col("place") < reach(fan_in, levels - level))
+        met = used.select(F.floor(F.col("node") / fan_in).alias("node"), "bin", "fill")
+        packed = cut(met.groupBy("node").applyInArrow(_node(capacity, slack), "node long, bin long, moved long, shift long, fill long, place long"))
+        now = packed.filter("moved is not null").select(F.col("moved").alias("from"), F.col("bin").alias("to"), "shift")
+        if moves is None:
+            moves = now
+        else:  # what went into a bin that moves now goes along
+            on = now.select(F.col("from").alias("f"), F.col("to").alias("t"), F.col("shift").alias("more"))
+            along = moves.join(on, F.col("to") == F.col("f"), "left")
+            moves = along.select("from", F.coalesce("t", "to").alias("to"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")).unionByName(now)
+        items = packed.filter("fill is not null").select("node", "bin", "fill", "place")
+    placed = leaves.filter("length is not null")
+    joined = placed.join(moves, F.col("bin") == F.col("from"), "left")
     return joined.select(
         *_PIECES.names,
         F.coalesce("to", "bin").alias("sequence_id"),
