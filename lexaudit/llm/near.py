@@ -6,15 +6,16 @@
    key are candidates.
 3. No bucket is expanded into all pairs. A bucket's pivot is its most central node, the one that
    meets most others over all its buckets; each member is checked against the pivot, exactly, by
-   its shingles. Checked links form components.
-4. Members that are not in the pivot's component get further checks: against every member of
-   another component in buckets of at most ``SMALL`` nodes, and in larger ones against ``SALTS``
-   more pivots, the most central nodes of as many random shares of the bucket. New links merge
-   components.
+   its shingles. Checked links form components. A pivot's checks are dealt out in shares of about
+   ``SHARE`` members, each with a copy of the pivot's shingles.
+4. Where a bucket has several components, members that are not in its largest one get further
+   checks: against every member of another component in buckets of at most ``SMALL`` nodes, and in
+   larger ones against ``SALTS`` more pivots, the most central nodes of as many random shares of the
+   bucket. New links merge components.
 5. Where a larger bucket still has several components, each member outside its largest one meets
-   all members of the others, exactly. The bucket is dealt into blocks of about ``BLOCK`` shingles
-   and a task checks two blocks; no pair is a row. So the links among a bucket's members are
-   whole, up to those inside a component.
+   that whole component, and the other members outside it in the bucket. Both sides are dealt into
+   blocks of about ``BLOCK`` shingles and a task checks two blocks; no pair is a row. So every two
+   members of a bucket have been compared, or are in one component.
 6. A class is a component; its id is its smallest doc_id.
 
 Similarity is the Jaccard index of shingles (of their numbers, if weighted by number); links need
@@ -22,7 +23,8 @@ Similarity is the Jaccard index of shingles (of their numbers, if weighted by nu
 
 Defined cases: null text is empty; texts without words have no shingles and link to nothing but
 equal texts; null ids never become class ids unless a class has no other; rows that repeat are in
-one class; an empty table gives no rows; other columns are ignored.
+one class; nodes as central as each other rank by their MD5; an empty table gives no rows; a long text
+is read whole, in one task, and its shingles are one row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 SMALL = 48
-SALTS = 24
+SALTS = 12
+SHARE = 256
 BLOCK = 200_000
 _WORD = re.compile(WORD)
 
@@ -120,8 +123,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / max(1e-300, a[1].sum() + b[1].sum() - low))
 
 
-def _checked(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) that are similar enough."""
+def _checked(pairs: DataFrame, known: DataFrame, least: float, share: int = SHARE) -> DataFrame:
+    """Those of the pairs (a, b) that are similar enough. Any ``b`` may be in many pairs: it is copied to shares of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +137,13 @@ def _checked(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
+    pairs = cut(pairs)
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
+    copies = known.join(shares, F.col("node") == F.col("b")).select(F.col("node").alias("bn"), F.col("hashes").alias("bh"), F.col("weights").alias("bw"), "shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("turn"))
     one = known.select(F.col("node").alias("an"), F.col("hashes").alias("ah"), F.col("weights").alias("aw"))
-    two = known.select(F.col("node").alias("bn"), F.col("hashes").alias("bh"), F.col("weights").alias("bw"))
-    joined = pairs.join(one, F.col("a") == F.col("an")).join(two, F.col("b") == F.col("bn")).select("a", "b", "ah", "aw", "bh", "bw")
+    most = cut(shares.filter("shares > 1").select(F.col("b").alias("many"), "shares"))  # one a hub
+    dealt = pairs.join(most, F.col("b") == F.col("many"), "left").withColumn("at", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int")).select("a", "b", "at")
+    joined = dealt.join(one, F.col("a") == F.col("an")).join(copies.drop("shares"), (F.col("b") == F.col("bn")) & (F.col("at") == F.col("turn"))).select("a", "b", "ah", "aw", "bh", "bw")
     return arrow_map(joined, run, "a binary, b binary")
 
 
@@ -176,46 +183,66 @@ def block_links(a: list[tuple], b: list[tuple], least: float) -> list[tuple[byte
     return out
 
 
-def _blocked(apart: DataFrame, known: DataFrame, least: float, block: int) -> DataFrame:
-    """Links (a, b) between members of different labels in a bucket. ``apart``: key, node, n, label; buckets of several labels.
-
-    Members of a bucket's largest label (the main one) don't meet each other."""
-    per = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    main = per.groupBy(F.col("key").alias("mk")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max_by("s", F.struct("c", "label")).alias("ms"), F.sum("s").alias("all"))
-    main = main.select("mk", "main", F.ceil(F.col("ms") / block).cast("int").alias("q"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("ms")) / block)).cast("int").alias("p"))
-    dealt = apart.join(main, F.col("key") == F.col("mk")).withColumn("out", F.col("label") != F.col("main"))
-    # blocks 0 to p - 1 are outsiders, p to p + q - 1 the main label; of a pair (i, j), i is of outsiders and i <= j
-    dealt = dealt.withColumn("blk", F.when(F.col("out"), F.pmod(F.xxhash64("node", "key"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node", "key"), F.greatest(F.col("q"), F.lit(1)))).cast("int"))
-    last = F.col("p") + F.greatest(F.col("q"), F.lit(1)) - 1
-    others = F.when(F.col("out"), F.sequence(F.lit(0), last)).otherwise(F.sequence(F.lit(0), F.col("p") - 1))
-    pairs = dealt.select("key", "node", "label", "blk", F.explode(others).alias("o")).select("key", "node", "label", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    ready = pairs.join(known.select(F.col("node").alias("kn"), "hashes", "weights"), F.col("node") == F.col("kn")).select("key", "i", "j", "blk", "node", "label", "hashes", "weights")
+def _met(sides: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members of different labels that meet in a task. ``sides``: task (three columns t, i, j), blk, node, label."""
+    ready = sides.join(known.select(F.col("node").alias("kn"), "hashes", "weights"), F.col("node") == F.col("kn")).select("t", "i", "j", "blk", "node", "label", "hashes", "weights")
 
     def run(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_pylist() for c in ("blk", "node", "label", "hashes", "weights")}
         nodes = [(n, lab, np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32).astype(np.float64)) for n, lab, h, w in zip(*list(cols.values())[1:], strict=True)]
-        i = table.column("i")[0].as_py()
-        j = table.column("j")[0].as_py()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         one = [x for x, k in zip(nodes, cols["blk"], strict=True) if k == i]
         two = [x for x, k in zip(nodes, cols["blk"], strict=True) if k == j]
         links = block_links(one, two, least)
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
-    return ready.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
-
-
-def components(links: DataFrame, seeds: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+    return ready.groupBy("t", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def _blocked(apart: DataFrame, whole: DataFrame, known: DataFrame, least: float, block: int) -> DataFrame:
+    """Links (a, b) between members of different labels in a bucket. ``apart``: key, node, n, label, of buckets of
+    several labels; ``whole``: node, n, label, of all nodes that are in a bucket.
+
+    A member outside its bucket's largest label, the main one, meets all nodes of that label, and the bucket's other
+    members outside it. Members of the main label don't meet each other."""
+    per = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = cut(per.groupBy(F.col("key").alias("mk")).agg(F.max_by("label", F.struct("c", "label")).alias("main")))
+    outside = cut(apart.join(main, F.col("key") == F.col("mk")).filter(F.col("label") != F.col("main")).select("key", "node", "n", "label", "main"))
+
+    # against the main labels
+    asked = outside.select("main", "node", "n", "label").distinct()
+    p = asked.groupBy(F.col("main").alias("m")).agg(F.ceil(F.sum("n") / block).cast("int").alias("p"))
+    q = whole.join(p, F.col("label") == F.col("m"), "left_semi").groupBy(F.col("label").alias("ql")).agg(F.ceil(F.sum("n") / block).cast("int").alias("q"))
+    plan = cut(p.join(q, F.col("m") == F.col("ql")).select("m", "p", "q"))
+    # blocks 0 to p - 1 are those that ask, p to p + q - 1 the main label's
+    row = F.pmod(F.xxhash64("node", "m"), F.col("p")).cast("int")
+    column = (F.col("p") + F.pmod(F.xxhash64("node", "m"), F.col("q"))).cast("int")
+    one = asked.join(plan, F.col("main") == F.col("m")).select("m", "node", "label", row.alias("i"), F.explode(F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).alias("j"))
+    two = whole.join(plan, F.col("label") == F.col("m")).select("m", "node", "label", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), column.alias("j"))
+    sides = one.select(F.col("m").alias("t"), "i", "j", F.col("i").alias("blk"), "node", "label").unionByName(two.select(F.col("m").alias("t"), "i", "j", F.col("j").alias("blk"), "node", "label"))
+    links = _met(sides, known, least)
+
+    # among themselves, by bucket
+    sums = outside.groupBy(F.col("key").alias("sk")).agg(F.ceil(F.sum("n") / block).cast("int").alias("p"), F.count_distinct("label").alias("labels"))
+    sums = cut(sums.filter("labels > 1").select("sk", "p"))
+    dealt = outside.join(sums, F.col("key") == F.col("sk")).withColumn("blk", F.pmod(F.xxhash64("node", "key"), F.col("p")).cast("int"))
+    met = dealt.select(F.col("key").cast("string").cast("binary").alias("t"), "node", "label", "blk", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("o"))
+    met = met.select("t", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "label")
+    return links.unionByName(_met(met, known, least))
+
+
+def components(links: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Smallest node of each node's component: (node, label), for nodes with links (or in ``seeds``).
 
     Each round takes the least label among neighbours, then the label's own label, and is cut off
-    from its past in the shared folder; it ends when a round changes nothing."""
+    from its past in the shared folder; it ends when a round changes nothing. Labels only fall, so it ends."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.filter(F.col("a") != F.col("b")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     if seeds is not None:
         labels = seeds.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
     labels = cut(labels)
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("least"))
         near = labels.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         up = near.select(F.col("node").alias("u"), F.col("label").alias("ul"))
@@ -225,7 +252,6 @@ def components(links: DataFrame, seeds: DataFrame | None = None, rounds: int = 6
         labels = jumped.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = False, small: int = SMALL, salts: int = SALTS, block: int = BLOCK) -> DataFrame:
@@ -236,7 +262,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = Fal
     rows = cut(sketches(docs, counted))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     member = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = member.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut(member.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = cut(member.join(shared, F.col("key") == F.col("k")).select("key", "node", "n", "size"))
     degree = members.groupBy(F.col("node").alias("d")).agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, F.col("node") == F.col("d")).select("key", "node", "n", "size", F.struct(F.col("degree"), F.col("node")).alias("rank"))
@@ -246,7 +272,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = Fal
         """Sizes alone allow the similarity (unweighted sets only)."""
         return F.lit(True) if counted else F.least(a, b) >= F.lit(least - 1e-9) * F.greatest(a, b)
 
-    pivots = ranked.groupBy(F.col("key").alias("k")).agg(F.max("rank").alias("p"), F.max_by("n", "rank").alias("pn"))
+    # what a bucket's members are joined to is cut off first: then the planner can split a hot bucket
+    pivots = cut(ranked.groupBy(F.col("key").alias("k")).agg(F.max("rank").alias("p"), F.max_by("n", "rank").alias("pn")))
     star = ranked.join(pivots, F.col("key") == F.col("k")).filter((F.col("node") != F.col("p.node")) & close("n", "pn"))
     first = star.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
     known = cut(_node_shingles(docs, members.select("node").distinct(), counted))
@@ -256,30 +283,42 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = Fal
     labelled = ranked.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select(
         "key", "node", "n", "size", "rank", F.coalesce("label", "node").alias("label")
     )
-    mixed = labelled.groupBy(F.col("key").alias("mk")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("mk")
+    labelled = cut(labelled)
+    mixed = cut(_mixed(labelled))
     apart = cut(labelled.join(mixed, F.col("key") == F.col("mk"), "left_semi"))
-    a = apart.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), "size", F.col("rank").alias("ar"))
+    a = apart.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), "size")
     b = apart.filter(F.col("size") <= small).select(F.col("key").alias("bk"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
     in_small = a.filter(F.col("size") <= small).join(b, (F.col("key") == F.col("bk")) & (F.col("al") != F.col("bl")) & (F.col("a") < F.col("b")) & close("an", "bn"))
     large = apart.filter(F.col("size") > small).withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.lit(salts)))
+    per = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = cut(per.groupBy(F.col("key").alias("mk")).agg(F.max_by("label", F.struct("c", "label")).alias("main")))
     more = large.groupBy(F.col("key").alias("bk"), "salt").agg(F.max("rank").alias("p"), F.max_by("n", "rank").alias("bn"), F.max_by("label", "rank").alias("bl"))
-    more = more.select("bk", F.col("p.node").alias("b"), "bn", "bl")
-    in_large = a.filter(F.col("size") > small).join(more, (F.col("key") == F.col("bk")) & (F.col("al") != F.col("bl")) & close("an", "bn"))
-    second = in_small.select("a", "b").union(in_large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    more = cut(more.select("bk", F.col("p.node").alias("b"), "bn", "bl"))
+    outside = a.filter(F.col("size") > small).join(main, F.col("key") == F.col("mk")).filter(F.col("al") != F.col("main"))
+    in_large = outside.join(more, (F.col("key") == F.col("bk")) & (F.col("al") != F.col("bl")) & close("an", "bn"))
+    second = in_small.select("a", "b").union(in_large.select("a", "b")).distinct()
     more_links = cut(_checked(second, known, least))
     labels = components(links.union(more_links), labels)
 
     at = large.select("key", "node", "n").join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left")
     at = cut(at.select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-    mixed = at.groupBy(F.col("key").alias("mk")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("mk")
-    rest = cut(_blocked(at.join(mixed, F.col("key") == F.col("mk"), "left_semi"), known, least, block))
-    if not rest.isEmpty():
-        labels = components(links.union(more_links).union(rest), labels)
+    mixed = cut(_mixed(at))
+    if not mixed.isEmpty():
+        whole = nodes.select("node", "n").join(members.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi")
+        whole = whole.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", "n", F.coalesce("label", "node").alias("label"))
+        rest = cut(_blocked(at.join(mixed, F.col("key") == F.col("mk"), "left_semi"), cut(whole), known, least, block))
+        if not rest.isEmpty():
+            labels = components(links.union(more_links).union(rest), labels)
 
     placed = nodes.select("node", "doc").join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select(
         "node", "doc", F.coalesce("label", "node").alias("label")
     )
     placed = cut(placed)
-    firsts = placed.groupBy(F.col("label").alias("fl")).agg(F.min("doc").alias("class_id"))
-    classes = placed.join(firsts, F.col("label") == F.col("fl")).select(F.col("node").alias("cn"), "class_id", "label")
+    firsts = cut(placed.groupBy(F.col("label").alias("fl")).agg(F.min("doc").alias("class_id")))
+    classes = cut(placed.join(firsts, F.col("label") == F.col("fl")).select(F.col("node").alias("cn"), "class_id", "label"))
     return rows.select("doc_id", "node").join(classes, F.col("node") == F.col("cn")).select("doc_id", "class_id", "node", "label")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Buckets of several labels: mk."""
+    return labelled.groupBy(F.col("key").alias("mk")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("mk")
