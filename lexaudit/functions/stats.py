@@ -31,19 +31,44 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     return F.when(b + c == 0, F.lit(1.0)).otherwise(erfc(F.sqrt(mcnemar_chi2(b, c) / 2)))
 
 
+def _log_factorial(n: Column) -> Column:
+    """By Stirling's series; good to 12 digits from 100 on."""
+    return n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n) + 1 / (12 * n) - 1 / (360 * n * n * n)
+
+
 def sign_test(b: Column, c: Column) -> Column:
     """Exact two-sided p of a split b to c: twice the lower tail of fair coin flips, at most 1.
 
-    Terms are summed by their ratios in logarithms, so counts of any size do."""
-    n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    start = F.struct((-n * F.lit(math.log(2.0))).cast("double").alias("log"), F.exp(-n * F.lit(math.log(2.0))).cast("double").alias("sum"))
+    Up to 1000 flips of the rarer side terms are summed from the first, by their ratios, of over 1000 flips in logarithms.
+    Beyond, they are summed downward from the last, over 24 standard deviations: what is left out is less
+    than a double shows, and memory grows with the root of the counts."""
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    few = F.when((k >= 1) & (k <= 1000), F.sequence(F.lit(1), F.least(k, F.lit(1000.0)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    unit = F.pow(F.lit(0.5), F.least(n, F.lit(1000.0)))
+
+    def grow(acc: Column, i: Column) -> Column:
+        term = acc["term"] * (n - i + 1) / i
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    short = F.aggregate(few, F.struct(unit.alias("term"), unit.alias("sum")), grow, lambda acc: acc["sum"])  # no rounding while terms are exact
+    start = F.struct((-n * F.lit(math.log(2.0))).alias("log"), F.exp(-n * F.lit(math.log(2.0))).alias("sum"))
 
     def step(acc: Column, i: Column) -> Column:
-        log = acc["log"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        log = acc["log"] + F.log(n - i + 1) - F.log(i.cast("double"))
         return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
 
-    tail = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["sum"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    near = F.when(n <= 1000, short).otherwise(F.aggregate(few, start, step, lambda acc: acc["sum"]))
+    big, rare = F.greatest(n, F.lit(200.0)), F.greatest(k, F.lit(100.0))
+    top = _log_factorial(big) - _log_factorial(rare) - _log_factorial(F.greatest(big - rare, F.lit(100.0))) - big * math.log(2.0)
+    down = F.when(k > 1000, F.sequence(F.lit(0), F.least(k - 1, 12 * F.sqrt(n)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def fall(acc: Column, i: Column) -> Column:
+        term = acc["term"] * (k - i) / (n - k + i + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    far = F.exp(top) * F.aggregate(down, first, fall, lambda acc: acc["sum"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(k <= 1000, near).otherwise(far)))
 
 
 def wilson(successes: Column, n: Column, z: float = Z_EXACT) -> Column:

@@ -8,10 +8,27 @@ from pyspark.sql import functions as F
 from lexaudit.functions.grammar import ALIASES, KEYWORDS, STOPWORDS
 
 
+#: Between sentences, and what ends a part that is no whole sentence.
+SENTENCE_BREAK = r"(?dU)(?<=[.!?])\s+(?=[A-Z0-9])"
+ABBREVIATED_END = r"Arts?\.\z"
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def sentence_count(text: Column) -> Column:
+    """Sentences of a text; an abbreviated keyword does not end one, and blank text has none."""
+    parts = F.filter(F.split(stripped(text), SENTENCE_BREAK), lambda p: F.length(p) > 0)
+    merged = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.regexp_like(p, F.lit(ABBREVIATED_END)))
+    return F.size(parts) - F.size(merged)
+
+
 def provision_type(keyword: Column) -> Column:
     """Singular, capitalised keyword; an abbreviated article in full."""
     word = F.rtrim(F.lower(keyword), F.lit("."))

@@ -68,6 +68,16 @@ STRESS = (
     ("shall_negated", " shall ", " makes compliance with this requirement entirely optional, and it need not be followed under any circumstances."),
 )
 STRESS_CONDITION = ("condition_reversed_unless_except", r"(?i)\b(unless|except|without prejudice|provided that)\b", " applies unconditionally in every case, without any of the exceptions or qualifying conditions it actually states.")
+#: The first edition's contradictions: what the text has (any case), and what is replaced in it, in turn.
+FIRST_EDITION = (
+    (("shall not",), (("shall not", "shall at all times"), ("Shall not", "Shall at all times"))),
+    (("shall be punished",), (("shall be punished with", "is completely exempt from punishment and cannot be penalized for"), ("shall also be liable to fine", "shall not be subject to any fine"))),
+    (("shall have power",), (("shall have power", "has no power or authority"), ("shall have powers", "has no powers or authority"))),
+    (("shall",), (("shall", "shall not"), ("Shall", "Shall not"))),
+    (("may",), (("may", "shall under no circumstances"), ("May", "Shall under no circumstances"))),
+)
+REPEALED = ("This provision has been completely repealed and imposes no legal effect whatsoever regarding ", ".")
+FIRST_NEI = " requires prior written authorization from the High Court Registrar and mandatory filing within 14 business days of the alleged occurrence."
 STRESS_OTHER = ("generic_negation", " has no legal effect in this case and imposes no obligation, right, or restriction of any kind.")
 # ---- end of fixed values
 
@@ -203,6 +213,27 @@ def stress_claims(evidence: DataFrame) -> DataFrame:
     )
 
 
+def first_edition(evidence: DataFrame) -> DataFrame:
+    """The benchmark's first edition: an entailed, a contradicted and an open item for each record."""
+    t = F.col("canonical_text")
+    name = F.concat("provision_type", F.lit(" "), "provision_number", F.lit(" of "), "act")
+    denied = F
+    for marks, changes in FIRST_EDITION:
+        new = t
+        for old, text in changes:
+            new = F.replace(new, F.lit(old), F.lit(text))
+        denied = denied.when(F.contains(F.lower(t), F.lit(marks[0])), new)
+    denied = denied.otherwise(F.concat(F.lit(REPEALED[0]), F.substring(t, 1, 30), F.lit(REPEALED[1])))
+    items = (
+        ("entailed", F.concat(F.lit("According to "), name, F.lit(", "), t), S.ENTAILED, "faithful_paraphrase_with_attribution"),
+        ("contradicted", F.concat(name, F.lit(" provides that "), denied), S.CONTRADICTED, "deterministic_negation"),
+        ("nei", F.concat(name, F.lit(FIRST_NEI)), S.NEI, "interpretive_beyond_evidence"),
+    )
+    made = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("hypothesis"), F.lit(label).alias("expected_label"), F.lit(rule).alias("construction_rule")) for k, h, label, rule in items]))
+    rows = evidence.select("dataset_citation_key", made.alias("i"))
+    return rows.select(F.concat(F.lit("bench_"), T.short_id(F.col("dataset_citation_key")), F.lit("_"), F.col("i.kind")).alias("benchmark_id"), F.col("dataset_citation_key").alias("evidence_key"), "i.hypothesis", "i.expected_label", "i.construction_rule")
+
+
 def evidence_id_parts(evidence_id: Column, kinds: tuple[str, ...] = ("Article", "Section")) -> Column:
     """(type, number, act) of an id like ``Section 1 in An Act``; null if it is none."""
     pattern = rf"^({'|'.join(kinds)}) (.+?) in (.+)$"

@@ -1,38 +1,41 @@
 """Bootstrap intervals from replicate weights, folds and the majority baseline.
 
-Draws are made on the driver from a seeded generator over units (items or clusters) and joined as
-weights, so replicates meet pre-aggregated counts, not rows."""
+Draws over units (items or clusters) are made by tasks, from a hash of seed, replicate and draw, and joined
+as weights, so replicates meet pre-aggregated counts, not rows."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexaudit import schemas as S
 from lexaudit.operators import metrics
+from lexaudit.session import cut
 
 MAX_UNITS = 100_000
 
 
-def replicate_weights(spark: SparkSession, units: list, replicates: int, seed: int) -> DataFrame:
-    """(replicate, unit, weight): times each unit is drawn in each resample of as many units."""
+def numbered_units(rows: DataFrame, unit: str) -> tuple[DataFrame, int]:
+    """(unit, u): distinct units as strings, numbered in their order from 0, null last; and how many there are."""
+    units = cut(rows.select(F.col(unit).cast("string").alias("unit")).distinct())
+    n = units.count()
+    if n > MAX_UNITS:
+        raise ValueError(f"over {MAX_UNITS} units: aggregate to clusters first")
+    return units.withColumn("u", (F.row_number().over(W.orderBy(F.col("unit").asc_nulls_last())) - 1).cast("long")), n
+
+
+def replicate_weights(units: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, unit, weight): times each of the ``n`` numbered units is drawn in each resample of as many."""
     if replicates < 100:
         raise ValueError("at least 100 replicates")
-    if len(units) < 2:
+    if n < 2:
         raise ValueError("at least two units")
-    if len(units) > MAX_UNITS:
-        raise ValueError(f"over {MAX_UNITS} units: aggregate to clusters first")
-    rng = np.random.default_rng(seed)
-    n = len(units)
-    rows = []
-    for r in range(replicates):
-        drawn, times = np.unique(rng.integers(0, n, n), return_counts=True)
-        rows += [(r, int(i), int(t)) for i, t in zip(drawn, times, strict=True)]
-    weights = spark.createDataFrame(rows, "replicate int, u int, weight int")
-    keys = spark.createDataFrame([(i, str(u)) for i, u in enumerate(units)], "k int, unit string")
-    return weights.join(F.broadcast(keys), F.col("u") == F.col("k")).select("replicate", "unit", "weight")
+    draws = units.sparkSession.range(replicates, numPartitions=min(replicates, 200)).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "draw")), 1, 8), 16, 10).cast("long"), F.lit(n))
+    weights = draws.groupBy("replicate", drawn.alias("d")).agg(F.count(F.lit(1)).alias("weight"))
+    return weights.join(F.broadcast(units), F.col("d") == F.col("u")).select("replicate", "unit", "weight")  # at most MAX_UNITS units
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95, by_index: bool = False, *by: str) -> DataFrame:
@@ -54,14 +57,14 @@ def cluster_counts(rows: DataFrame, unit: str, gold: str, predicted: str, *by: s
 
 def weighted_metrics(counts: DataFrame, weights: DataFrame, *by: str, labels: tuple[str, ...] = S.LABELS) -> DataFrame:
     """Metrics of every replicate, from cluster counts and weights."""
-    matrix = counts.join(weights, "unit").groupBy("replicate", *by, "gold", "predicted").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
+    drawn = weights.withColumnRenamed("unit", "_unit")
+    matrix = counts.join(drawn, F.col("unit").eqNullSafe(F.col("_unit"))).groupBy("replicate", *by, "gold", "predicted").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
     return metrics.summary(matrix, "replicate", *by, labels=labels)
 
 
 def cluster_bootstrap(rows: DataFrame, unit: str, gold: str, predicted: str, replicates: int = 2000, seed: int = 1, level: float = 0.95, labels: tuple[str, ...] = S.LABELS) -> DataFrame:
     """Intervals of accuracy and macro F1, whole clusters resampled: (metric, low, high, n)."""
-    units = [r[0] for r in rows.select(F.col(unit).cast("string")).distinct().orderBy(unit).limit(MAX_UNITS + 1).collect()]
-    weights = replicate_weights(rows.sparkSession, units, replicates, seed)
+    weights = replicate_weights(*numbered_units(rows, unit), replicates, seed)
     values = weighted_metrics(cluster_counts(rows, unit, gold, predicted), weights, labels=labels)
     parts = [interval(values, m, level).select(F.lit(m).alias("metric"), "low", "high", "n") for m in ("accuracy", "macro_f1")]
     return parts[0].unionByName(parts[1])
@@ -69,8 +72,7 @@ def cluster_bootstrap(rows: DataFrame, unit: str, gold: str, predicted: str, rep
 
 def paired_bootstrap(rows: DataFrame, unit: str, gold: str, first: str, second: str, metric: str = "accuracy", replicates: int = 2000, seed: int = 1, level: float = 0.95, by_index: bool = False, labels: tuple[str, ...] = S.LABELS) -> DataFrame:
     """Interval of the second arm's gain, both arms on the same resamples: (delta, low, high, n)."""
-    units = [r[0] for r in rows.select(F.col(unit).cast("string")).distinct().orderBy(unit).limit(MAX_UNITS + 1).collect()]
-    weights = replicate_weights(rows.sparkSession, units, replicates, seed)
+    weights = replicate_weights(*numbered_units(rows, unit), replicates, seed)
     arms = [weighted_metrics(cluster_counts(rows, unit, gold, p), weights, labels=labels).select("replicate", F.col(metric).alias(a)) for a, p in (("x", first), ("y", second))]
     deltas = arms[0].join(arms[1], "replicate").withColumn("delta", F.col("y") - F.col("x"))
     whole = [metrics.summary(metrics.confusion(rows, gold, p, labels=labels), labels=labels).select(F.col(metric).alias(a)) for a, p in (("x", first), ("y", second))]
@@ -79,24 +81,26 @@ def paired_bootstrap(rows: DataFrame, unit: str, gold: str, first: str, second:
 
 
 def grouped_folds(rows: DataFrame, group: str, label: str, n_splits: int = 5, seed: int = 1) -> DataFrame:
-    """Adds ``fold``: groups stay whole, folds get like numbers of rows and labels.
+    """Adds ``fold``: groups stay whole, folds get like numbers of rows and labels; null groups and labels are values.
 
     Groups, the largest first and ties in a seeded order, go to the fold where the label counts stay
-    most even. The group table is small (one row a group and label) and is dealt on the driver."""
-    counts = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(label).alias("y")).count().limit(MAX_UNITS * 10 + 1).collect()
-    if len(counts) > MAX_UNITS * 10:
-        raise ValueError(f"over {MAX_UNITS * 10} groups and labels: aggregate to clusters first")
-    labels = sorted({r["y"] for r in counts})
-    table: dict[str, np.ndarray] = {}
+    most even, on the driver. Of over ``MAX_UNITS`` groups and labels, whose sums are even anyhow, each
+    goes to a fold by a seeded hash."""
+    per = cut(rows.groupBy(F.col(group).cast("string").alias("g"), F.col(label).cast("string").alias("y")).count())
+    if per.count() > MAX_UNITS:
+        return rows.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.lit(n_splits)) + 1).cast("int"))
+    counts = per.collect()
+    order = {y: i for i, y in enumerate(sorted({r["y"] for r in counts}, key=lambda y: (y is None, y or "")))}
+    table: dict[str | None, np.ndarray] = {}
     for r in counts:
-        table.setdefault(r["g"], np.zeros(len(labels)))[labels.index(r["y"])] += r["count"]
+        table.setdefault(r["g"], np.zeros(len(order)))[order[r["y"]]] += r["count"]
     if not 2 <= n_splits <= len(table):
         raise ValueError(f"splits must be between 2 and the number of groups ({len(table)})")
     rng = np.random.default_rng(seed)
-    names = sorted(table)
+    names = sorted(table, key=lambda g: (g is None, g or ""))
     rng.shuffle(names)
     total = sum(table.values())
-    folds = np.zeros((n_splits, len(labels)))
+    folds = np.zeros((n_splits, len(order)))
     dealt = []
     for name in sorted(names, key=lambda g: -table[g].sum()):
         cost = [(np.std((folds + np.eye(n_splits)[f][:, None] * table[name]) / total, axis=0).sum(), folds[f].sum()) for f in range(n_splits)]
@@ -104,11 +108,16 @@ def grouped_folds(rows: DataFrame, group: str, label: str, n_splits: int = 5, se
         folds[best] += table[name]
         dealt.append((name, best + 1))
     fold = rows.sparkSession.createDataFrame(dealt, "_g string, fold int")
-    return rows.join(fold, F.col(group).cast("string") == F.col("_g")).drop("_g")
+    return rows.join(fold, F.col(group).cast("string").eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def leaking_groups(folded: DataFrame, group: str) -> DataFrame:
+    """(group, n): groups that are in several folds."""
+    return folded.groupBy(group).agg(F.count_distinct("fold").alias("n")).filter("n > 1")
 
 
 def check_no_leak(folded: DataFrame, group: str) -> None:
-    bad = folded.groupBy(group).agg(F.count_distinct("fold").alias("n")).filter("n > 1").limit(1).collect()
+    bad = leaking_groups(folded, group).limit(1).collect()
     if bad:
         raise ValueError(f"group in several folds: {bad[0][0]}")
 

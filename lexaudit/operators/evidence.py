@@ -54,69 +54,82 @@ def _pool(evidence: DataFrame) -> DataFrame:
     )
 
 
-def _last_of(pool: DataFrame, *keys: str) -> DataFrame:
-    """One record a key: the last of the pool."""
-    return pool.groupBy(*keys).agg(F.max_by("e", "e.pool_ord").alias("e"))
-
-
-def _best_by_name(cited: DataFrame, pool: DataFrame, score: Column | None = None) -> DataFrame:
-    """For each distinct (c_type, c_number, c_act), the record of its provision whose act is most like it;
-    ties go to the first of the pool. Words and years are taken once a name, not once a pair."""
-    asked = cited.select("c_type", "c_number", "c_act").distinct().withColumn("c_words", T.significant_words(F.col("c_act"))).withColumn("c_years", T.years(F.col("c_act")))
-    names = pool.withColumn("e_words", T.significant_words(F.col("e_act"))).withColumn("e_years", T.years(F.col("e_act")))
-    near = asked.join(names, (F.col("c_type") == F.col("e_type")) & (F.col("c_number") == F.col("e_number")))
-    scored = near.withColumn("score", score if score is not None else T.token_overlap(F.col("c_words"), F.col("e_words")))
-    allowed = ~T.years_conflict(F.col("c_years"), F.col("e_years"))
-    rank = F.when(allowed, F.struct(F.col("score"), (-F.col("e.pool_ord")).alias("early")))
-    return scored.groupBy(F.col("c_type").alias("f_type"), F.col("c_number").alias("f_number"), F.col("c_act").alias("f_act")).agg(
-        F.max("score").alias("most"), F.max(rank).alias("best"), F.max_by(F.when(allowed, F.col("e")), rank).alias("e_fuzzy")
+def _candidates(evidence: DataFrame) -> DataFrame:
+    """The records of each provision: e_type, e_number, and their words and years, taken once a record."""
+    rows = _pool(evidence).select(
+        "e_type", "e_number", F.struct("e_sub", "e_act", T.significant_words(F.col("e_act")).alias("words"), T.years(F.col("e_act")).alias("years"), F.col("e.pool_ord").alias("ord"), "e").alias("r")
     )
+    return rows.groupBy("e_type", "e_number").agg(F.collect_list("r").alias("found"))
 
 
-_SAME_NAME = "c_type <=> f_type and c_number <=> f_number and c_act <=> f_act"
+def _last(records: Column) -> Column:
+    """Of records, the last of the pool."""
+    return F.array_max(F.transform(records, lambda r: F.struct(r["ord"].alias("ord"), r["e"].alias("e"))))["e"]
 
 
-def match_evidence(claims: DataFrame, evidence: DataFrame, threshold: float = FUZZY_LEAST, score: Column | None = None) -> DataFrame:
-    """Adds ``evidence``, ``match_method`` and ``fuzzy_score`` to claims (with ``citation``).
+def match_evidence(claims: DataFrame, evidence: DataFrame, threshold: float = FUZZY_LEAST, scores: DataFrame | None = None) -> DataFrame:
+    """Adds ``evidence``, ``match_method``, ``fuzzy_score`` and ``name_overlap`` to claims (with ``citation``).
 
     In order: the exact provision with its subsection (null equals null); if it has one, the
     provision without; else the most similar act of the same provision, unless both name years
-    and share none. ``score`` replaces the word overlap, over columns c_act and e_act."""
-    pool = _pool(broadcast_evidence(evidence))
-    c = claims.withColumn("c_type", F.col("citation.provision_type")).withColumn("c_number", F.col("citation.provision_number"))
-    c = c.withColumn("c_sub", F.col("citation.subsection")).withColumn("c_act", F.col("citation.act_norm"))
-    on = (F.col("c_type") == F.col("x_type")) & (F.col("c_number") == F.col("x_number")) & (F.col("c_act") == F.col("x_act"))
-    exact = _last_of(pool, "e_type", "e_number", "e_sub", "e_act").select(
-        F.col("e_type").alias("x_type"), F.col("e_number").alias("x_number"), F.col("e_sub").alias("x_sub"), F.col("e_act").alias("x_act"), F.col("e").alias("e_exact")
-    )
-    c = c.join(exact, on & F.col("c_sub").eqNullSafe(F.col("x_sub")) & (F.col("c_act") != ""), "left").drop("x_type", "x_number", "x_sub", "x_act")
-    loose = _last_of(pool.filter("e_sub is null"), "e_type", "e_number", "e_act").select(
-        F.col("e_type").alias("x_type"), F.col("e_number").alias("x_number"), F.col("e_act").alias("x_act"), F.col("e").alias("e_loose")
-    )
-    c = c.join(loose, on & F.col("c_sub").isNotNull() & F.col("e_exact").isNull() & (F.col("c_act") != ""), "left").drop("x_type", "x_number", "x_act")
-    open_ = c.filter(F.col("e_exact").isNull() & F.col("e_loose").isNull())
-    fuzzy = _best_by_name(open_, pool, score).select("f_type", "f_number", "f_act", F.col("best.score").alias("fuzzy_score"), "e_fuzzy")
-    unmatched = F.col("e_exact").isNull() & F.col("e_loose").isNull()
-    c = c.join(fuzzy, F.expr(_SAME_NAME) & unmatched, "left").drop("f_type", "f_number", "f_act")
-    hit = F.col("fuzzy_score") >= threshold
-    method = F.when(F.coalesce("e_exact", "e_loose").isNotNull(), F.lit("exact_normalized")).when(hit, F.lit("fuzzy")).otherwise(F.lit("no_evidence"))
-    found = F.coalesce(F.col("e_exact"), F.col("e_loose"), F.when(hit, F.col("e_fuzzy")))
-    return c.withColumn("match_method", method).withColumn("evidence", found).drop("e_exact", "e_loose", "e_fuzzy", "c_type", "c_number", "c_sub", "c_act")
+    and share none; ties go to the first of the pool. ``scores`` (query, doc, similarity) replaces the
+    word overlap of act names; pairs that it doesn't have count 0. ``name_overlap`` is the greatest word
+    overlap whatever the years, of claims that have no exact record; null without a record of the provision.
+
+    Each distinct citation is resolved once, in one join with the records of its provision, which are few; claims
+    are joined to that. Nothing here is computed once a claim."""
+    own = [c for c in claims.columns if c not in ("evidence", "match_method", "fuzzy_score", "name_overlap")]
+    fields = {"c_type": "provision_type", "c_number": "provision_number", "c_sub": "subsection", "c_act": "act_norm"}
+    cited = claims.select(*[F.col(f"citation.{v}").alias(k) for k, v in fields.items()]).distinct()
+    r = _resolved(cited, evidence, threshold, scores)
+    same = F.lit(True)
+    for k, v in fields.items():
+        same &= F.col(f"citation.{v}").eqNullSafe(F.col(k))
+    return claims.select(*own).join(r, same, "left").drop(*fields)
+
+
+def _resolved(cited: DataFrame, evidence: DataFrame, threshold: float, scores: DataFrame | None) -> DataFrame:
+    """Distinct citations (c_type, c_number, c_sub, c_act) with what ``match_evidence`` adds."""
+    pool = broadcast_evidence(_candidates(evidence))
+    c_type, c_number, c_sub, c_act = map(F.col, ("c_type", "c_number", "c_sub", "c_act"))
+    c = cited.join(pool, (c_type == F.col("e_type")) & (c_number == F.col("e_number")), "left")
+    same = F.filter("found", lambda r: (r["e_act"] == c_act) & (c_act != "") & (r["e_sub"].eqNullSafe(c_sub) | (c_sub.isNotNull() & r["e_sub"].isNull())))
+    c = c.withColumn("_same", same)
+    exact, loose = _last(F.filter("_same", lambda r: r["e_sub"].eqNullSafe(c_sub))), _last(F.filter("_same", lambda r: r["e_sub"].isNull()))
+    c = c.withColumn("_exact", F.when(F.size("_same") > 0, F.coalesce(exact, loose))).withColumn("_open", F.when(F.col("_exact").isNull(), F.col("found")))
+    c = c.withColumn("_words", F.when(F.col("_open").isNotNull(), T.significant_words(c_act))).withColumn("_years", F.when(F.col("_open").isNotNull(), T.years(c_act)))
+    overlap = lambda r: T.token_overlap(F.col("_words"), r["words"])
+    if scores is not None:
+        by_name = scores.groupBy(F.col("query").alias("_query")).agg(F.map_from_entries(F.collect_list(F.struct("doc", F.col("similarity").cast("double")))).alias("_scores"))
+        c = c.join(by_name, c_act == F.col("_query"), "left")
+    likeness = overlap if scores is None else lambda r: F.coalesce(F.col("_scores")[r["e_act"]], F.lit(0.0))
+    scored = F.transform("_open", lambda r: F.struct(overlap(r).alias("overlap"), T.years_conflict(F.col("_years"), r["years"]).alias("apart"), likeness(r).alias("score"), (-r["ord"]).alias("early"), r["e"].alias("e")))
+    c = c.withColumn("_scored", scored)
+    best = F.array_max(F.transform(F.filter("_scored", lambda s: ~s["apart"]), lambda s: F.struct(s["score"].alias("score"), s["early"].alias("early"), s["e"].alias("e"))))
+    c = c.withColumn("_best", best).withColumn("name_overlap", F.array_max(F.transform("_scored", lambda s: s["overlap"])))
+    hit = F.col("_best.score") >= threshold
+    method = F.when(F.col("_exact").isNotNull(), F.lit("exact_normalized")).when(hit, F.lit("fuzzy")).otherwise(F.lit("no_evidence"))
+    found = F.coalesce("_exact", F.when(hit, F.col("_best.e")))
+    return c.select("c_type", "c_number", "c_sub", "c_act", F.col("_best.score").alias("fuzzy_score"), method.alias("match_method"), found.alias("evidence"), "name_overlap")
 
 
 def no_evidence_taxonomy(claims: DataFrame, evidence: DataFrame, low: float = 0.5, high: float = FUZZY_LEAST) -> DataFrame:
-    """Adds ``no_evidence_category`` to unmatched claims (null to others); years veto nothing here."""
-    c = claims.withColumn("c_type", F.col("citation.provision_type")).withColumn("c_number", F.col("citation.provision_number")).withColumn("c_act", F.col("citation.act_norm"))
-    missing = F.col("match_method") == "no_evidence"
-    best = _best_by_name(c.filter(missing), _pool(evidence)).select("f_type", "f_number", "f_act", "most")
-    joined = c.join(best, F.expr(_SAME_NAME) & missing, "left").drop("f_type", "f_number", "f_act", "c_type", "c_number", "c_act")
+    """Adds ``no_evidence_category`` to unmatched claims (null to others); years veto nothing here.
+
+    Claims that ``match_evidence`` has been through bring their ``name_overlap``."""
+    if "name_overlap" not in claims.columns:
+        pool = broadcast_evidence(_candidates(evidence))
+        joined = claims.join(pool, (F.col("citation.provision_type") == F.col("e_type")) & (F.col("citation.provision_number") == F.col("e_number")), "left")
+        words = T.significant_words(F.col("citation.act_norm"))
+        claims = joined.withColumn("name_overlap", F.array_max(F.transform("found", lambda r: T.token_overlap(words, r["words"])))).drop("e_type", "e_number", "found")
+    most = F.col("name_overlap")
     category = F.when(F.col("match_method") != "no_evidence", F.lit(None)).otherwise(
         F.when(F.col("citation.act_norm") == "", F.lit("unresolved_act"))
-        .when(F.col("most").isNull(), F.lit("provision_absent"))
-        .when((F.col("most") >= low) & (F.col("most") < high), F.lit("matching_defect"))
+        .when(most.isNull(), F.lit("provision_absent"))
+        .when((most >= low) & (most < high), F.lit("matching_defect"))
         .otherwise(F.lit("wrong_act_or_edition"))
     )
-    return joined.withColumn("no_evidence_category", category).drop("most")
+    return claims.withColumn("no_evidence_category", category)
 
 
 def ambiguous_numbers(claims: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexaudit.session import cut
+
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight``: rows over classes times the class' rows."""
@@ -41,7 +43,7 @@ def pipeline(categorical: list[str], numeric: list[str], label: str):
 
 def out_of_fold(folded: DataFrame, categorical: list[str], numeric: list[str], label: str, ident: str) -> DataFrame:
     """(ident, fold, label, predicted): each fold by a model of the others. One fit a fold."""
-    data = folded.cache()
+    data = cut(folded)
     out = None
     for fold in [r[0] for r in data.select("fold").distinct().orderBy("fold").collect()]:
         model = pipeline(categorical, numeric, label).fit(balanced_weights(data.filter(F.col("fold") != fold), label))

@@ -51,7 +51,11 @@ def summary(matrix: DataFrame, *by: str, labels: tuple[str, ...] = S.LABELS) ->
         _ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
     )
     whole = matrix.groupBy(*by).agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)).cast("double"), F.sum("n")).alias("accuracy"))
-    return whole.join(classes, list(by)) if by else whole.join(classes)
+    named = classes.select(*[F.col(b).alias(f"_{b}") for b in by], *[c for c in classes.columns if c not in by])
+    same = F.lit(True)
+    for b in by:  # a null group is a group
+        same &= F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return whole.join(named, same).drop(*[f"_{b}" for b in by])
 
 
 def strata(rows: DataFrame, condition: str, attributed: str) -> DataFrame:
@@ -59,7 +63,7 @@ def strata(rows: DataFrame, condition: str, attributed: str) -> DataFrame:
     own = F.array(
         F.lit("ALL"),
         F.when(F.col(attributed), F.lit("attributed")).otherwise(F.lit("non_attributed")),
-        F.concat(F.lit("condition:"), F.col(condition)),
+        F.concat(F.lit("condition:"), F.coalesce(condition, F.lit("none"))),
     )
     return rows.withColumn("stratum", F.explode(own))
 
@@ -123,8 +127,9 @@ def quantiles(rows: DataFrame, column: str, points: tuple[float, ...] = (0.1, 0.
 
 
 def confidence_stats(rows: DataFrame, label: str = "verdict", value: str = "confidence") -> DataFrame:
-    """n, mean, median, min, max by label and over all (null label), in one grouping-sets pass."""
+    """n, mean, median, min, max by label and over all (``is_total``), in one grouping-sets pass."""
     return rows.filter(F.col(value).isNotNull()).rollup(label).agg(
+        (F.grouping(label) == 1).alias("is_total"),
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")
     )
 

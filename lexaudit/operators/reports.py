@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexaudit import schemas as S
 from lexaudit.functions import stats
 from lexaudit.functions import text as T
+from lexaudit.session import cut
 
 
 def nei_breakdown(claims: DataFrame) -> DataFrame:
@@ -116,8 +117,20 @@ def correction_pairs(a: DataFrame, b: DataFrame, doc: str = "document_id") -> Da
 
 
 def ranked_counts(rows: DataFrame, column: str, order: str) -> DataFrame:
-    """Values by frequency; ties in the order of first sight."""
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen")).withColumn("rank", F.row_number().over(W.orderBy(F.col("n").desc(), "first_seen")))
+    """Values by frequency; ties in the order of first sight.
+
+    Values are sorted over all tasks; a value's rank is its place in its task behind those of the tasks before."""
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
+    ordered = cut(counts.orderBy(F.col("n").desc(), "first_seen", column).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted(ordered.groupBy(part.alias("p")).count().collect())  # one a task
+    before, total = [], 0
+    for r in sizes:
+        before.append((r["p"], total))
+        total += r["count"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "_p long, _before long"))
+    placed = ordered.join(starts, part == F.col("_p"))
+    return placed.withColumn("rank", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("_at", "_p", "_before")
 
 
 def case_records(fields: DataFrame, claims: DataFrame, corrections: DataFrame, doc: str = "document_id") -> DataFrame:

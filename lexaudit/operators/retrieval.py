@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexaudit.functions import text as T
+from lexaudit.session import cut
 
 #: Public defaults of the Okapi scoring: term saturation, length weight, share of the mean idf given to common terms.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -40,6 +45,18 @@ def bm25_similarity(queries: DataFrame, index: DataFrame, query: str = "query")
     return scored.select("query", "doc", F.when(F.col("self") > 0, F.least(F.lit(1.0), F.col("score") / F.col("self"))).otherwise(F.lit(0.0)).alias("similarity"))
 
 
+def bm25_among(queries: DataFrame, names: DataFrame, index: DataFrame, *by: str) -> DataFrame:
+    """(query, doc, similarity) of the names that share ``by`` with a query, by the self-score ratio of ``bm25_similarity``.
+
+    ``queries``: query and ``by``; ``names``: doc and ``by``. Only such pairs are scored."""
+    own = index.groupBy(F.col("doc").alias("d")).agg(F.sum("weight").alias("self"))  # a name has all of its terms
+    pairs = queries.join(names.distinct(), list(by)).select("query", "doc").distinct()
+    asked = pairs.select("query", "doc", F.explode(T.significant_words(F.col("query"))).alias("q"))
+    weights = index.select(F.col("doc").alias("i"), "term", "weight")
+    scored = asked.join(weights, (F.col("doc") == F.col("i")) & (F.col("q") == F.col("term"))).groupBy("query", "doc").agg(F.sum("weight").alias("score")).join(own, F.col("doc") == F.col("d"))
+    return scored.select("query", "doc", F.when(F.col("self") > 0, F.least(F.lit(1.0), F.col("score") / F.col("self"))).otherwise(F.lit(0.0)).alias("similarity"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -49,19 +66,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", most_queries: int = 1000) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", block: int = 1000) -> DataFrame:
     """The k most similar items of each query vector: (query_id, id, similarity, rank); ties by id.
 
-    A stated query set of at most ``most_queries`` goes to every task; each task keeps its own k best
-    of every query before anything is shuffled."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"over {most_queries} queries: ask in blocks")
-    q = queries.select(F.col(ident).alias("query_id"), F.col(vector).alias("qv"))
-    scored = items.select(F.col(ident).alias("id"), F.col(vector).alias("iv")).join(F.broadcast(q)).select("query_id", "id", F.round(cosine(F.col("qv"), F.col("iv")), 6).alias("similarity"))
-    part = scored.withColumn("_p", F.spark_partition_id())
-    order = [F.col("similarity").desc(), F.col("id")]
-    local = part.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "_p").orderBy(*order))).filter(F.col("_r") <= k)
-    return local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    Queries go out in blocks of at most ``block``; a task multiplies its items' vectors with a block's in Arrow
+    batches and passes on its own k best of every query, so no pair is a row. Null vectors are like nothing."""
+    asked = cut(queries.select(F.col(ident).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null"))
+    n_blocks = max(1, -(-asked.count() // block))
+    asked = cut(asked.withColumn("b", F.ntile(n_blocks).over(W.orderBy("query_id")))) if n_blocks > 1 else asked.withColumn("b", F.lit(1))
+    rows = items.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    out = None
+    for b in range(1, n_blocks + 1):
+        some = asked.filter(F.col("b") == b).select("query_id", "v").collect()  # at most a block
+        found = rows.mapInArrow(_best_of([r["query_id"] for r in some], [r["v"] for r in some], k), "query_id long, id long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _best_of(idents: list[int], vectors: list[list[float]], k: int):
+    """For batches of (id, v): each query's k best of a task."""
+    kind = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not idents:
+            return
+        asked = np.array(vectors, np.float64)
+        lengths = np.sqrt((asked * asked).sum(1))
+        best_id = np.zeros((len(idents), 0), np.int64)
+        best = np.zeros((len(idents), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.array(batch.column("v").to_pylist(), np.float64)
+            norm = lengths[:, None] * np.sqrt((own * own).sum(1))[None, :]
+            like = np.round(np.divide(asked @ own.T, norm, out=np.zeros(norm.shape), where=norm > 0), 6)
+            ids = np.broadcast_to(batch.column("id").to_numpy(), like.shape)
+            best, best_id = np.concatenate([best, like], 1), np.concatenate([best_id, ids], 1)
+            top = np.lexsort((best_id, -best), axis=1)[:, :k]
+            best, best_id = np.take_along_axis(best, top, 1), np.take_along_axis(best_id, top, 1)
+        n = best.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(idents, np.int64), n)), pa.array(best_id.ravel()), pa.array(best.ravel())], schema=kind)
+
+    return run
 
 
 def suggest(similar: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
@@ -71,6 +118,41 @@ def suggest(similar: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("act_rank", "pool_ord"))).filter(F.col("rank") <= k)
 
 
+# ---- fixed values: act names a citation may use, with a part of the act's name that it means, or must not be taken for
+SAME_ACT = (
+    ("Evidence Act", "indian evidence"), ("the Indian Evidence Act", "indian evidence"), ("Penal Code", "indian penal code"), ("Code of Criminal Procedure", "code of criminal procedure"),
+    ("Criminal Procedure Code", "code of criminal procedure"), ("Code of Civil Procedure", "code of civil procedure"), ("Civil Procedure Code", "code of civil procedure"),
+    ("Prevention of Corruption Act", "prevention of corruption"), ("Corruption Act", "prevention of corruption"), ("Arbitration and Conciliation Act", "arbitration and conciliation"),
+    ("Transfer of Property Act", "transfer of property"), ("Negotiable Instruments Act", "negotiable instruments"), ("Industrial Disputes Act", "industrial disputes"), ("Land Acquisition Act", "land acquisition"),
+    ("Limitation Act", "limitation act"), ("Customs Act", "customs act"), ("Income Tax Act", "income tax act"), ("Essential Commodities Act", "essential commodities"),
+    ("Representation of the People Act", "representation of the people"), ("General Clauses Act", "general clauses"), ("Arms Act", "arms act"),
+)
+OTHER_ACT = (
+    ("Code of Civil Procedure", "code of criminal procedure"), ("Code of Criminal Procedure", "code of civil procedure"), ("Civil Procedure Code", "code of criminal procedure"),
+    ("Prevention of Corruption Act", "prevention of food adulteration"), ("Prevention of Food Adulteration Act", "prevention of corruption"), ("Arbitration Act, 1940", "arbitration and conciliation"),
+    ("Arbitration and Conciliation Act, 1996", "arbitration act 1940"), ("Income Tax Act", "income tax rules"), ("Income Tax Rules", "income tax act 1961"),
+)
+# ---- end of fixed values
+
+
+def name_pairs(acts: DataFrame, name: str = "act_norm") -> DataFrame:
+    """(query, doc, should_match): the name pairs, each with the first act of ``acts`` whose name has the part."""
+    spark = acts.sparkSession
+    pairs = F.broadcast(spark.createDataFrame([(q, p, True) for q, p in SAME_ACT] + [(q, p, False) for q, p in OTHER_ACT], "raw string, part string, should_match boolean"))
+    docs = acts.select(F.col(name).alias("doc")).distinct()
+    found = docs.join(pairs, F.contains("doc", F.col("part"))).groupBy("raw", "part", "should_match").agg(F.min("doc").alias("doc"))
+    return found.select(T.normal_act(F.col("raw")).alias("query"), "doc", "should_match")
+
+
+def pair_similarities(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """Name pairs by each method, word overlap and BM25's self-score ratio: adds ``method`` and ``similarity``."""
+    overlap = T.token_overlap(T.significant_words(F.col("query")), T.significant_words(F.col("doc")))
+    by_words = pairs.withColumn("method", F.lit("jaccard")).withColumn("similarity", overlap)
+    scored = bm25_among(pairs.select("query", F.lit(1).alias("k")).distinct(), pairs.select(F.lit(1).alias("k"), "doc"), index, "k").select(F.col("query").alias("_q"), F.col("doc").alias("_d"), "similarity")
+    by_terms = pairs.withColumn("method", F.lit("bm25")).join(scored, (F.col("query") == F.col("_q")) & (F.col("doc") == F.col("_d")), "left").drop("_q", "_d")
+    return by_words.unionByName(by_terms.withColumn("similarity", F.coalesce("similarity", F.lit(0.0))))
+
+
 def method_report(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Name pairs (query, doc, should_match, method, similarity): accepted and rejected by method."""
     hit = F.coalesce("similarity", F.lit(0.0)) >= threshold

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType
 
 from lexaudit import schemas as S
+from lexaudit.functions import stats
 from lexaudit.functions import text as T
 
 THRESHOLD = 0.70
@@ -57,20 +59,27 @@ def pair_hash(premise: Column, hypothesis_: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", premise, hypothesis_), 256)
 
 
-def replay(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None) -> DataFrame:
     """Adds recorded scores (premise_hash, hypothesis_hash, raw_scores, token_count) to pairs.
 
-    A pair that was too long for the model, or has no recorded score, fails the query when read."""
-    s = scores.select(F.col("premise_hash").alias("_p"), F.col("hypothesis_hash").alias("_h"), "raw_scores", "token_count")
+    Of scores by several models (``verifier_model``) name one. A pair that was too long for the model, has no
+    recorded score or has several fails the query when read."""
+    own = scores if model is None else scores.filter(F.col("verifier_model") == model)
+    s = own.groupBy(F.col("premise_hash").alias("_p"), F.col("hypothesis_hash").alias("_h")).agg(F.first("raw_scores").alias("raw_scores"), F.max("token_count").alias("token_count"), F.count(F.lit(1)).alias("_n"))
     keyed = pairs.withColumn("_ph", F.sha2("premise", 256)).withColumn("_hh", F.sha2("hypothesis", 256))
     joined = keyed.join(s, (F.col("_ph") == F.col("_p")) & (F.col("_hh") == F.col("_h")), "left")
-    checked = F.when(F.col("token_count") > TOKEN_LIMIT, F.raise_error(F.lit("input exceeds the token limit"))).otherwise(F.col("raw_scores"))
-    return joined.withColumn("raw_scores", checked).drop("_ph", "_hh", "_p", "_h")
+    wrong = (
+        F.when(F.col("_n").isNull() | F.col("raw_scores").isNull(), F.concat(F.lit("no recorded score for: "), "hypothesis"))
+        .when(F.col("_n") > 1, F.concat(F.lit("several recorded scores for: "), "hypothesis"))
+        .when(F.col("token_count") > TOKEN_LIMIT, F.lit("input exceeds the token limit"))
+    )
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.col("raw_scores"))
+    return joined.withColumn("raw_scores", checked).drop("_ph", "_hh", "_p", "_h", "_n")
 
 
 def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
     """Adds ``raw_scores`` from a scorer, made once a task and fed Arrow batches of (premise, hypothesis)."""
-    schema = pairs.schema.add("raw_scores", "map<string,double>")
+    schema = pairs.schema.add("raw_scores", MapType(StringType(), DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
@@ -81,18 +90,32 @@ def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], p
     return pairs.mapInPandas(run, schema)
 
 
-def verify(claims: DataFrame, scores: DataFrame, framing: str = "labeled", threshold: float = THRESHOLD) -> DataFrame:
+def verify(claims: DataFrame, scores: DataFrame, framing: str = "labeled", threshold: float = THRESHOLD, model: str | None = None) -> DataFrame:
     """Claims (matched, see ``evidence.match_evidence``) with verdict columns. Only claims with evidence are scored."""
     has = claims.filter("evidence is not null")
     asked = has.withColumn("premise", T.premise(F.lit(framing), F.col("evidence.canonical_text"), F.col("evidence.provision_type"), F.col("evidence.provision_number"), F.col("evidence.act")))
     asked = asked.withColumn("hypothesis", hypothesis(F.col("claim_text"), F.col("assertion_text"), F.col("assertion_spans"), F.col("citation.provision_number")))
-    scored = replay(asked, scores).withColumn("_v", verdict(F.col("raw_scores"), threshold)).drop("token_count")
+    scored = replay(asked, scores, model).withColumn("_v", verdict(F.col("raw_scores"), threshold)).drop("token_count")
     with_ = scored.select("*", F.col("_v.label").alias("verdict"), F.col("_v.confidence").alias("confidence"), F.col("_v.sub_reason").alias("sub_reason")).drop("_v")
     none = claims.filter("evidence is null").withColumn("verdict", F.lit(S.NO_EVIDENCE))
     both = with_.unionByName(none, allowMissingColumns=True)
     return both.withColumn("trigger_reason", trigger(F.col("verdict"), F.col("sub_reason"))).withColumn("negation_caveat", F.coalesce(negation_caveat(F.col("verdict"), F.col("claim_text")), F.lit(False)))
 
 
+def chunk_verdict(chunks: Column, threshold: float = THRESHOLD) -> Column:
+    """Of a pair whose premise was scored in chunks (arrays in the order of ``SCORE_LABELS``): the verdict of the
+    chunks' mean, that of the first chunk alone, and whether the other chunks change it."""
+
+    def named(scores: Column) -> Column:
+        return F.create_map(*[x for i, (k, _) in enumerate(S.SCORE_LABELS) for x in (F.lit(k), F.round(F.get(scores, F.lit(i)), 9))])
+
+    whole, first = verdict(named(stats.softmax_chunk_mean(chunks)), threshold), verdict(named(F.get(chunks, F.lit(0))), threshold)
+    return F.struct(
+        whole["label"].alias("label"), whole["confidence"].alias("confidence"), whole["sub_reason"].alias("sub_reason"), first["label"].alias("prefix_label"), first["confidence"].alias("prefix_confidence"),
+        ((F.size(chunks) > 1) & (whole["label"] != first["label"])).alias("changes"),
+    )
+
+
 def verdict_counts(claims: DataFrame, *by: str, labels: tuple[str, ...] = S.VERDICTS) -> DataFrame:
     """A column for each label, zero where there is none; other labels are ignored."""
     return claims.groupBy(*by).agg(*(F.count_if(F.col("verdict") == label).alias(label) for label in labels))

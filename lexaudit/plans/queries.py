@@ -39,18 +39,22 @@ def usable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def composed_claims(spark: SparkSession, d: str) -> DataFrame:
-    """A claim for each line: it cites its part's act, sometimes with another type word, subsection or year."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    """A claim for each line: it cites its part's act, sometimes with another type word, subsection or year.
+
+    The four names of each part's act are composed once, not once a line."""
+    flags = F.explode(F.array(*[F.struct(F.lit(a).alias("small"), F.lit(b).alias("later")) for a in (False, True) for b in (False, True)]))
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", flags.alias("f")).select("p_partkey", "p_name", "p_type", "f.small", "f.later")
     act = F.concat(
-        F.lit("the "), F.initcap("p_name"), F.lit(" "), F.initcap(F.when(F.col("l_suppkey") % 4 == 0, F.lit("small")).otherwise(F.lower("p_type"))), F.lit(" Act "),
-        (F.lit(1950) + (F.col("p_partkey") + F.when(F.col("l_suppkey") % 5 == 0, 1).otherwise(0)) % 7).cast("string"),
+        F.lit("the "), F.initcap("p_name"), F.lit(" "), F.initcap(F.when(F.col("small"), F.lit("small")).otherwise(F.lower("p_type"))), F.lit(" Act "),
+        (F.lit(1950) + (F.col("p_partkey") + F.col("later").cast("int")) % 7).cast("string"),
     )
+    names = p.select("p_partkey", "small", "later", act.alias("act"), T.normal_act(act).alias("norm"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    j = li.join(names, (F.col("l_partkey") == F.col("p_partkey")) & ((F.col("l_suppkey") % 4 == 0) == F.col("small")) & ((F.col("l_suppkey") % 5 == 0) == F.col("later")))
     citation = F.struct(
         F.lit("Section").alias("provision_type"), F.floor(F.col("p_partkey") / 10).cast("string").alias("provision_number"),
         F.when(F.col("l_suppkey") % 3 == 0, F.lit("1")).when(F.col("l_suppkey") % 3 == 1, F.lit("2")).alias("subsection"),
-        act.alias("act_raw"), F.when(F.col("l_suppkey") % 11 == 0, F.lit("")).otherwise(T.normal_act(act)).alias("act_norm"),
+        F.col("act").alias("act_raw"), F.when(F.col("l_suppkey") % 11 == 0, F.lit("")).otherwise(F.col("norm")).alias("act_norm"),
     )
     return j.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("claim_id"), citation.alias("citation"))
 
@@ -260,10 +264,10 @@ def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("p10", "p25", "p50", "p75", "p90", "mean")], "n")
 
 
-@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS min, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY ROLLUP (event_type)""")
+@query("""SELECT event_type, grouping(event_type) = 1 AS is_total, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS min, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY ROLLUP (event_type)""")
 def confidence_stats(spark: SparkSession, d: str) -> DataFrame:
     s = metrics.confidence_stats(table(spark, d, "events"), "event_type", "value")
-    return s.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "min", "max")
+    return s.select("event_type", "is_total", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "min", "max")
 
 
 @query("""SELECT CASE WHEN v < 0.6 THEN 0 WHEN v < 0.7 THEN 1 WHEN v < 0.8 THEN 2 WHEN v < 0.9 THEN 3 ELSE 4 END AS bin, count(*) AS n FROM (SELECT l_discount * 10 AS v FROM lineitem) WHERE v >= 0.5 AND v <= 1.0 GROUP BY 1""")
@@ -314,24 +318,11 @@ def dup_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.select("h", "n", F.get("ids", F.lit(0)).alias("first_id"))
 
 
-@query("""SELECT md5(text) AS h, CASE WHEN count(DISTINCT coalesce(source, chr(1))) > 1 THEN 'VARIANT' ELSE min(source) END AS source, count(*) AS n FROM documents GROUP BY text""")
-def variant_merge(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.md5("text").alias("h"), "source")
-    kinds = F.collect_set(F.coalesce("source", F.lit("\x01")))
-    return docs.groupBy("h").agg(F.when(F.size(kinds) > 1, "VARIANT").otherwise(F.min("source")).alias("source"), F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def anti_previously_seen(spark: SparkSession, d: str) -> DataFrame:
     return selection.anti_seen(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), "doc_id")
 
 
-@query("""SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30 GROUP BY 1 HAVING count(*) >= 2)""")
-def semi_overlap(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "lineitem").filter("l_quantity > 30").groupBy("l_orderkey").count().filter("count >= 2")
-    return table(spark, d, "orders").join(hits, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
-
-
 def _records(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     text = F.concat(F.lit("Whoever keeps a "), F.col("p_name"), F.lit(" of "), F.lower("p_type"), F.lit(" make shall be punished with imprisonment which may extend to "), F.col("p_size").cast("string"), F.lit(" years."))
@@ -371,11 +362,6 @@ def stress_claims(spark: SparkSession, d: str) -> DataFrame:
     return benchmarks.stress_claims(_records(spark, d)).select("claim_id", "claim_text", "transform_rule")
 
 
-@query()
-def controlled_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return benchmarks.controlled(_records(spark, d))[0]
-
-
 @query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q CROSS JOIN embeddings e)
 SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 5""")
 def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -395,14 +381,6 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_scores(p.select(F.col("p_name").alias("query")).distinct(), index).select("query", "doc", F.round("score", 6).alias("score"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws)))::DOUBLE, 6) AS jaccard FROM b x JOIN b y ON y.item_id = x.item_id + 1 WHERE len(x.ws) > 0 AND len(y.ws) > 0""")
-def benchmark_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", benchmarks.words(F.col("text")).alias("ws"))
-    y = b.select((F.col("item_id") - 1).alias("at"), F.col("item_id").alias("b"), F.col("ws").alias("vs"))
-    return b.join(y, F.col("item_id") == F.col("at")).filter((F.size("ws") > 0) & (F.size("vs") > 0)).select(F.col("item_id").alias("a"), "b", F.round(T.token_overlap(F.col("ws"), F.col("vs")), 6).alias("jaccard"))
-
-
 @query("""SELECT conv_id, role, min(turn) AS first_ord, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1, 2""")
 def claims_by_turn(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("role").alias("claim_text"), F.col("turn").alias("claim_ord"), F.col("turn").cast("string").alias("claim_id"))
@@ -450,15 +428,6 @@ def reference_keys(spark: SparkSession, d: str) -> DataFrame:
     return p.select(r.alias("reference"), F.concat(F.lit("["), F.array_join(keys, ", "), F.lit("]")).alias("keys"))
 
 
-@query()
-def claim_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's lines as one composed text, read back into claims."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    sentence = F.concat(F.lit("Section "), (F.col("l_partkey") % 60).cast("string"), F.when(F.col("l_linenumber") % 3 == 0, F.lit(" deals with trade.")).otherwise(F.concat(F.lit(" of the Trade Act, "), (1950 + F.col("l_partkey") % 3).cast("string"), F.lit(" prescribes a fine."))))
-    texts = li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", sentence.alias("s")))), lambda x: x["s"]), " ").alias("text"))
-    return claims.extract_claims(texts).select("document_id", "claim_id", "claim_ord", "claim_text", "citation.*", "assertion_text")
-
-
 @query("""SELECT 'missing text' AS "check", count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n FROM documents UNION ALL SELECT 'unknown lang', count(*) FILTER (WHERE lang NOT IN ('en', 'de')) FROM documents
 UNION ALL SELECT 'repeated doc_id', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)""")
 def data_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -471,14 +440,6 @@ def last_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.last_tokens(F.col("text"), 100).alias("tail"))
 
 
-@query()
-def word_diffs(spark: SparkSession, d: str) -> DataFrame:
-    from lexaudit.functions.diff import diff
-
-    c = table(spark, d, "conversations").filter("turn < 2").groupBy("conv_id").pivot("turn", [0, 1]).agg(F.first("text"))
-    return c.select("conv_id", F.to_json(diff(F.col("0"), F.col("1"))).alias("segments"))
-
-
 @query("""WITH o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity < 3), n AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount < 0.01)
 SELECT CASE WHEN o.l_partkey IS NULL THEN 'added' WHEN n.l_partkey IS NULL THEN 'removed' ELSE 'kept' END AS change, count(*) AS n FROM o FULL JOIN n ON o.l_partkey = n.l_partkey GROUP BY 1""")
 def key_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -543,23 +504,4 @@ def preservation(spark: SparkSession, d: str) -> DataFrame:
     return reports.preservation(li.select(F.concat(F.lit("Section "), s("l_partkey"), F.lit(" and "), s("l_suppkey"), F.lit(".")).alias("corrected_text"), F.concat(F.lit("Section "), s("l_suppkey")).alias("claim_text"), F.array(s("l_suppkey"), s("l_linenumber")).alias("assertion_spans")))
 
 
-@query()
-def case_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Composed texts to nested records: extraction, linkage, replayed scores, verdicts, flagged claims."""
-    extracted = claim_extraction(spark, d)
-    c = extracted.select("document_id", "claim_id", "claim_ord", "claim_text", F.struct("provision_type", "provision_number", "subsection", "act_raw", "act_norm").alias("citation"), "assertion_text", F.array("assertion_text").alias("assertion_spans"))
-    matched = evidence.match_evidence(c, usable(spark, d))
-    a = F.pmod(F.xxhash64("claim_text"), F.lit(100)) / 100.0
-    scores = F.create_map(F.lit("entailment"), a, F.lit("neutral"), (1 - a) / 2, F.lit("contradiction"), (1 - a) / 2)
-    v = verdicts.verdict(scores)
-    has = F.col("evidence").isNotNull()
-    judged = matched.withColumn("verdict", F.when(has, v["label"]).otherwise(S.NO_EVIDENCE)).withColumn("confidence", F.when(has, v["confidence"])).withColumn("sub_reason", F.when(has, v["sub_reason"]))
-    judged = judged.withColumn("trigger_reason", verdicts.trigger(F.col("verdict"), F.col("sub_reason"))).withColumn("negation_caveat", F.coalesce(verdicts.negation_caveat(F.col("verdict"), F.col("claim_text")), F.lit(False)))
-    flagged = gates.flagged_claim(judged).select("document_id", F.col("claim_id").alias("triggered_for_claim_id"), "trigger_reason")
-    docs = judged.select("document_id").distinct()
-    status = docs.join(flagged, "document_id", "left").withColumn("status", F.when(F.col("triggered_for_claim_id").isNull(), "not_triggered").otherwise("correction_failed"))
-    fixed = status.withColumn("final_field", gates.final_field(F.col("status"), F.lit("original"), F.lit("corrected")))
-    return reports.case_records(docs, judged, fixed).select("document_id", F.to_json(F.struct("evidence", "verification", "correction", "final_field")).alias("record"), F.size("claims").alias("n_claims"))
-
-
 __all__ = ["ORACLE_SQL", "QUERIES"]

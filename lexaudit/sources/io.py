@@ -26,6 +26,19 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, strict:
     return _parsed(spark.read.text(path), schema, strict)
 
 
+def bad_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """(file, line, value) of the lines that are no JSON of the schema, lines counted from 1. Reads files whole; for reports of errors."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "value")).filter(F.trim("value") != "")
+    j = F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    return lines.filter(j[_BAD].isNotNull()).select("file", (F.col("at") + 1).alias("line"), "value")
+
+
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a stopped run has written: JSON lines without those that are broken off; nothing if the path isn't there."""
+    return read_jsonl(spark, path, schema, strict=False) if existing(spark, [path]) else spark.createDataFrame([], schema)
+
+
 def with_line_numbers(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with ``line_ord``, a number that follows the order of files and lines."""
     return _parsed(spark.read.text(path).withColumn("line_ord", F.monotonically_increasing_id()), schema, True)
@@ -107,7 +120,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def manifest(spark: SparkSession, root: str, expected: list[str]) -> DataFrame:

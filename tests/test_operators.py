@@ -1,12 +1,15 @@
 """Operators on small tables: linkage, gates, metrics, selection, review, benchmarks, streams."""
 
+import math
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexaudit import schemas as S
 from lexaudit.functions import stats
 from lexaudit.functions import text as T
-from lexaudit.operators import benchmarks, bootstrap, claims, evidence, gates, metrics, retrieval, review, selection, verdicts
+from lexaudit.operators import benchmarks, bootstrap, claims, evidence, gates, learning, metrics, retrieval, review, selection, verdicts
 from lexaudit.sources import io
 from lexaudit.streaming import stages
 
@@ -210,8 +213,13 @@ def test_bootstrap_and_folds(spark):
     bootstrap.check_no_leak(folds, "case_reference")
     assert folds.select("fold").distinct().count() == 4
     assert bootstrap.majority_baseline(folds, "y", ("Yes", "No", "Partially")).filter("predicted = 'Yes'").count() == 120
-    with pytest.raises(ValueError):
-        bootstrap.replicate_weights(spark, ["a", "b"], 10, 1)
+    units, n = bootstrap.numbered_units(df, "case_reference")
+    with pytest.raises(ValueError, match="replicates"):
+        bootstrap.replicate_weights(units, n, 10, 1)
+    with pytest.raises(ValueError, match="two units"):
+        bootstrap.replicate_weights(units, 1, 100, 1)
+    drawn = bootstrap.replicate_weights(units, n, 100, 1).groupBy("replicate").agg(F.sum("weight").alias("n")).collect()
+    assert len(drawn) == 100 and {r["n"] for r in drawn} == {12}
 
 
 def test_streaming_states(spark, tmp_path):
@@ -256,9 +264,90 @@ def test_retrieval(spark):
     assert len(own) == 3 and all(abs(r["similarity"] - 1) < 1e-9 for r in own)
 
 
-def test_folds_of_too_many_groups_raise(spark, monkeypatch):
+def test_folds_of_any_number_of_groups(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "if(id % 40 = 0, null, cast(id % 40 as string)) as g", "if(id % 7 = 0, null, 'Yes') as y")
+    for most in (100_000, 3):  # dealt on the driver, or by hash
+        monkeypatch.setattr(bootstrap, "MAX_UNITS", most)
+        folds = bootstrap.grouped_folds(df, "g", "y", 3)
+        assert folds.count() == 400 and folds.select("fold").distinct().count() == 3
+        bootstrap.check_no_leak(folds, "g")
+    with pytest.raises(ValueError, match="several folds"):
+        bootstrap.check_no_leak(folds.withColumn("fold", F.col("id") % 2), "g")
     monkeypatch.setattr(bootstrap, "MAX_UNITS", 3)
-    df = spark.range(40).selectExpr("id", "cast(id as string) as g", "'Yes' as y")
-    assert bootstrap.grouped_folds(df.limit(30), "g", "y", 3).count() == 30
-    with pytest.raises(ValueError, match="over 30"):
-        bootstrap.grouped_folds(df, "g", "y", 3)
+    with pytest.raises(ValueError, match="over 3 units"):
+        bootstrap.numbered_units(df, "g")
+
+
+def test_sign_test_of_large_counts(spark):
+    rows = [(2, 3), (900, 1100), (1500, 1600), (40_000, 41_000), (10**9, 10**9 + 10**5), (5, 10**6), (3000, 3000)]
+    df = spark.createDataFrame(rows, "b long, c long")
+    got = [r[0] for r in df.select(stats.sign_test(F.col("b"), F.col("c"))).collect()]
+    for (b, c), p in zip(rows, got, strict=True):
+        n, k = b + c, min(b, c)
+        if n < 10**5:
+            total, term = 0, 1
+            for i in range(k + 1):
+                total += term
+                term = term * (n - i) // (i + 1)
+            want = min(1.0, float(Fraction(2 * total, 2**n)))
+            assert abs(p - want) <= 1e-9 * want, (b, c, p, want)
+    z = (10**5 - 1) / math.sqrt(2 * 10**9 + 10**5)
+    assert abs(got[4] / math.erfc(z / math.sqrt(2)) - 1) < 0.01 and got[5] == 0.0
+
+
+def test_nulls_in_strata_and_totals(spark):
+    df = spark.createDataFrame([("a", "ENTAILED", "ENTAILED", 0.5), (None, "ENTAILED", None, 0.7)], "c string, g string, p string, v double")
+    s = {r["c"]: r["accuracy"] for r in metrics.summary(metrics.confusion(df, "g", "p", "c"), "c").collect()}
+    assert s == {"a": 1.0, None: 0.0}
+    rows = {(r["c"], r["is_total"]): r["n"] for r in metrics.confidence_stats(df, "c", "v").collect()}
+    assert rows == {("a", False): 1, (None, False): 1, (None, True): 2}
+
+
+def test_replay_raises(spark):
+    pairs = spark.createDataFrame([("p", "h")], "premise string, hypothesis string")
+    hashed = lambda rows: spark.createDataFrame(rows, "p string, h string, raw_scores map<string,double>, verifier_model string, token_count int").select(F.sha2("p", 256).alias("premise_hash"), F.sha2("h", 256).alias("hypothesis_hash"), "raw_scores", "verifier_model", "token_count")
+    one = ("p", "h", {"entailment": 1.0}, "m", 10)
+    assert verdicts.replay(pairs, hashed([one])).first()["raw_scores"] == {"entailment": 1.0}
+    assert verdicts.replay(pairs, hashed([one, (*one[:3], "n", 10)]), "m").count() == 1
+    for rows, said in (([("p", "other", {}, "m", 1)], "no recorded score"), ([one, (*one[:3], "n", 10)], "several recorded"), ([(*one[:4], 513)], "token limit")):
+        with pytest.raises(Exception, match=said):
+            verdicts.replay(pairs, hashed(rows)).collect()
+
+
+def test_missing_proposals_raise(spark):
+    from lexaudit.plans import queries_workflow as Q
+    from lexaudit.operators import workflow
+
+    text = spark.createDataFrame([("d", Q._S1)], "document_id string, text string")
+    pool, scores = Q._trade_act(spark), Q._trade_scores(spark)
+    judged = verdicts.verify(evidence.match_evidence(claims.extract_claims(text), pool), scores)
+    none = spark.createDataFrame([], "document_id string, target_claim_id string, proposal string")
+    with pytest.raises(Exception, match="no proposal for document d"):
+        workflow.correct(text, judged, none, pool, scores).collect()
+    made = workflow.generate_with(spark.createDataFrame([("a",)], "case_text string"), lambda: lambda t: t + "!")
+    assert made.first()["text"] == "a!"
+
+
+def test_feature_models_out_of_fold(spark):
+    rows = [(i, f"g{i % 12}", "a" if i % 2 else "b", float(i % 2) + 0.1 * (i % 3), None if i % 10 == 0 else float(i % 5), "Yes" if i % 2 else "No") for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, cat string, x double, y double, label string")
+    folded = bootstrap.grouped_folds(df, "g", "label", 2)
+    got = learning.out_of_fold(folded, ["cat"], ["x", "y"], "label", "id").collect()
+    assert len(got) == 120 and all(r["label"] == r["predicted"] for r in got)
+    a = {r["left_out"]: r["accuracy"] for r in learning.ablations(folded, {"kind": (["cat"], []), "numbers": ([], ["x", "y"])}, "label", "id").collect()}
+    assert a.keys() == {"all", "kind", "numbers"} and a["all"] == 1.0
+
+
+def test_erfc_and_p_values(spark):
+    one = spark.createDataFrame([(15, 0, 40, 100, 30, 100)], "b long, c long, x long, n long, y long, m long")
+    z = stats.two_proportion_z(F.col("x"), F.col("n"), F.col("y"), F.col("m"))
+    r = one.select(stats.mcnemar_p(F.col("b"), F.col("c")).alias("p"), z["z"].alias("z"), z["p"].alias("q")).first()
+    assert abs(r["p"] - math.erfc(math.sqrt(196 / 15 / 2))) < 1e-12 and abs(r["q"] - math.erfc(abs(r["z"]) / math.sqrt(2))) < 1e-12
+
+
+def test_bad_lines_have_numbers(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k":\n{"k": 2}\n{"k": 3')
+    bad = io.bad_lines(spark, str(tmp_path / "a.jsonl"), "k long").orderBy("line").collect()
+    assert [(r["line"], r["value"]) for r in bad] == [(3, '{"k":'), (5, '{"k": 3')]
+    assert sorted(r["k"] for r in io.written(spark, str(tmp_path / "a.jsonl"), "k long").collect()) == [1, 2]
+    assert io.written(spark, str(tmp_path / "none"), "k long").count() == 0
