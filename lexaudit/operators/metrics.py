@@ -20,7 +20,7 @@ def confusion(rows: DataFrame, gold: str, predicted: str, *by: str, labels: tupl
     seen = rows.groupBy(*by, F.col(gold).alias("gold"), p.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     pairs = F.explode(F.array(*[F.struct(F.lit(g).alias("gold"), F.lit(q).alias("predicted"), F.lit(0).cast("long").alias("n")) for g in labels for q in labels]))
     groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
-    dense = groups.select(*by, pairs.alias("c")).select(*by, "c.gold", "c.predicted", "c.n")
+    dense = groups.select(*by, pairs.alias("_cell")).select(*by, "_cell.gold", "_cell.predicted", "_cell.n")
     return seen.unionByName(dense).groupBy(*by, "gold", "predicted").agg(F.sum("n").alias("n"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, MapType, StringType
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 from lexaudit import schemas as S
 from lexaudit.functions import stats
@@ -79,7 +79,7 @@ def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None) -> Dat
 
 def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
     """Adds ``raw_scores`` from a scorer, made once a task and fed Arrow batches of (premise, hypothesis)."""
-    schema = pairs.schema.add("raw_scores", MapType(StringType(), DoubleType()))
+    schema = StructType([*pairs.schema.fields, StructField("raw_scores", MapType(StringType(), DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexaudit import schemas as S
 from lexaudit.functions import text as T
@@ -23,7 +24,7 @@ from lexaudit.session import cut
 
 def generate_with(cases: DataFrame, generator: Callable[[], Callable[[pd.Series], pd.Series]], text: str = "case_text") -> DataFrame:
     """Adds ``text`` to cases from a generator, made once a task and fed Arrow batches of case texts."""
-    schema = cases.schema.add("text", "string")
+    schema = StructType([*cases.schema.fields, StructField("text", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
@@ -50,7 +51,7 @@ def targets(claims: DataFrame, by_span: bool = False, doc: str = "document_id")
 def propose_with(asked: DataFrame, corrector: Callable[[], Callable[[pd.DataFrame], pd.Series]], doc: str = "document_id") -> DataFrame:
     """Proposals for ``targets`` from a corrector, made once a task and fed Arrow batches of (original, evidence_text)."""
     rows = asked.select(doc, "target_claim_id", "original", "evidence_text")
-    kind = rows.select(doc, "target_claim_id").schema.add("proposal", "string")
+    kind = StructType([*rows.select(doc, "target_claim_id").schema.fields, StructField("proposal", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None

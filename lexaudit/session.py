@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names; only where there is none (local tests) one is made."""
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names; in local mode one is made where there is none."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexaudit-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexaudit-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
 

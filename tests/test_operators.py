@@ -272,7 +272,7 @@ def test_folds_of_any_number_of_groups(spark, monkeypatch):
         assert folds.count() == 400 and folds.select("fold").distinct().count() == 3
         bootstrap.check_no_leak(folds, "g")
     with pytest.raises(ValueError, match="several folds"):
-        bootstrap.check_no_leak(folds.withColumn("fold", F.col("id") % 2), "g")
+        bootstrap.check_no_leak(folds.withColumn("fold", F.col("id") % 3), "g")
     monkeypatch.setattr(bootstrap, "MAX_UNITS", 3)
     with pytest.raises(ValueError, match="over 3 units"):
         bootstrap.numbered_units(df, "g")
