@@ -8,12 +8,17 @@ and payload digest), ISO timestamps, record types and SHA-256 digests.
 
 Archives are written by Spark's text writer with the record terminator as line separator, so each
 part file is a plain WARC file wherever Spark can write; they are read back whole, by declared
-length. One text file holds at most ``RECORDS_PER_FILE`` records, which bounds a reading task.
+length. A task begins a new file after about ``FILE_BYTES``, which bounds a reading task, and no file
+has more than ``RECORDS_PER_FILE`` records. Revisits name the record they refer to by identifier, URI
+and date.
 
 Defined cases: null url becomes ``urn:none``; white space in a url is percent-encoded; null html
 is an empty payload; a date that does not parse becomes the epoch; rows that tie on page_id and
 payload are all responses; a null page_id never refers and, if alone, is a response; an empty
-table writes no records. A declared length that runs past the end raises ``ValueError``.
+table writes no records; of pages that share the smallest page_id and a payload, the one with the least
+url is referred to; a payload of any length is one record, and may be a file by itself; columns that
+are not asked for are ignored, whatever their names. A declared length that runs past the end raises
+``ValueError``.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import arrow_map
+from lexaudit.llm.common import arrow_map, by_size
 
 #: Field names of ARC header lines by version.
 ARC_FIELDS = {
@@ -38,6 +43,8 @@ ARC_FIELDS = {
 CRLF = b"\r\n"
 TERMINATOR = CRLF * 2
 RECORDS_PER_FILE = 2000
+FILE_BYTES = 64_000_000
+DATE = "20200101000000"
 MIN_REVISIT_BYTES = 100
 
 
@@ -105,16 +112,21 @@ def iso_date(date: str) -> str:
     return "{}-{}-{}T{}:{}:{}Z".format(*m.groups()) if m else "1970-01-01T00:00:00Z"
 
 
-def to_warc(record: ArcRecord, extra: dict[str, str] | None = None, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record, without its terminator. A revisit keeps headers only."""
+def record_id(url: str, date: str, digest: str, page: str = "") -> str:
+    """A name-based identifier: the same record has the same one whenever it is converted."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url}|{date}|{digest}|{page}')}>"
+
+
+def to_warc(record: ArcRecord, extra: dict[str, str] | None = None, refers_to: str | None = None, refers_url: str | None = None) -> bytes:
+    """The WARC record of an ARC record, without its terminator. A revisit (of the page ``refers_to`` at
+    ``refers_url``, with the same date and payload) keeps headers only."""
     head, payload = http_payload(record.body)
     digest = hashlib.sha256(payload).hexdigest()
     block = head if refers_to is not None else record.body
     kind = "revisit" if refers_to is not None else "response" if head else "resource"
-    name = f"{record.url}|{record.date}|{digest}|{(extra or {}).get('X-Page-Id', '')}"
     fields = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        "WARC-Record-ID": record_id(record.url, record.date, digest, (extra or {}).get("X-Page-Id", "")),
         "WARC-Target-URI": record.url,
         "WARC-Date": iso_date(record.date),
         "WARC-IP-Address": record.ip,
@@ -125,7 +137,13 @@ def to_warc(record: ArcRecord, extra: dict[str, str] | None = None, refers_to: s
         "X-Payload-Length": str(len(payload)),
     } | (extra or {})
     if refers_to is not None:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": refers_to}
+        fields |= {
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            "WARC-Refers-To": record_id(refers_url or "", record.date, digest, refers_to),
+            "WARC-Refers-To-Target-URI": refers_url or "",
+            "WARC-Refers-To-Date": iso_date(record.date),
+            "X-Refers-To-Page": refers_to,
+        }
     lines = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
     return b"WARC/1.1\r\n" + lines.encode() + CRLF + block
 
@@ -150,26 +168,32 @@ def _clean_url(url: str | None) -> str:
     return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) if url else "urn:none"
 
 
-def _to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for n, batch in enumerate(batches):
-        rows = batch.to_pylist()
-        for at in range(0, len(rows), 256):
-            some = rows[at : at + 256]
-            legacy = []
-            for r in some:
-                payload = (r["html"] or "").encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                legacy.append((_clean_url(r["url"]), "0.0.0.0", "20200101000000", "text/html", head + payload))
-            arc = write_arc(legacy, version=1 + (n + at // 256) % 2)
-            out = []
-            for r, record in zip(some, parse_arc(arc), strict=True):
-                refers = None if r["refers_to"] is None else str(r["refers_to"])
-                page = "" if r["page_id"] is None else str(r["page_id"])
-                out.append(to_warc(record, {"X-Page-Id": page}, refers).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
+def _to_records(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = count = 0
+        for n, batch in enumerate(batches):
+            for part in by_size(batch, "html", 1_000_000):
+                some = part.to_pylist()
+                legacy = []
+                for r in some:
+                    payload = (r["html"] or "").encode()
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+                    legacy.append((_clean_url(r["url"]), "0.0.0.0", DATE, "text/html", head + payload))
+                arc = write_arc(legacy, version=1 + (n + count) % 2)
+                out, files = [], []
+                for r, record in zip(some, parse_arc(arc), strict=True):
+                    refers = None if r["refers_to"] is None else str(r["refers_to"])
+                    page = "" if r["page_id"] is None else str(r["page_id"])
+                    out.append(to_warc(record, {"X-Page-Id": page}, refers, _clean_url(r["refers_url"])).decode())
+                    files.append(size // file_bytes)
+                    size += len(record.body)
+                    count += 1
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(files, pa.int32())], ["value", "file"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write a record for each page (``page_id``, ``url``, ``html``) to WARC files under ``path``.
 
     Digests that several pages share are written to a table first: if its files turn out small,
@@ -180,17 +204,18 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     (
         keyed.filter(F.octet_length("html") >= min_bytes)
         .groupBy(F.col("digest").alias("d"))
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("d", "first")
+        .select("d", F.col("first.page_id").alias("first"), F.col("first.url").alias("refers_url"))
         .write.parquet(shared)
     )
     firsts = pages.sparkSession.read.parquet(shared)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined = keyed.join(firsts, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    joined = keyed.join(firsts, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", refers.alias("refers_to"), "refers_url")
     (
-        arrow_map(joined, _to_records, "value string")
-        .write.mode("errorifexists")
+        arrow_map(joined, _to_records(file_bytes), "value string, file int")
+        .write.partitionBy("file")
+        .mode("errorifexists")
         .option("lineSep", TERMINATOR.decode())
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .text(path)
