@@ -15,8 +15,10 @@ Shards and blocks are sized by the input's bytes. A text that occurs thousands o
 to references within a map task, and is one entry of its shard's text. A shard's queues spill.
 
 Defined cases: null text is empty; a row without doc_id keeps all and removes nothing elsewhere;
-rows that share a doc_id don't remove each other; an empty table gives no rows; texts shorter than
-``LENGTH`` bytes stay whole.
+rows that share a doc_id don't remove each other; rows that repeat stay rows of their own; an empty
+table gives no rows; texts shorter than ``LENGTH`` bytes stay whole; a long text is cut into
+super-windows in one task and dealt out; columns that are not asked for are ignored, and one in
+``keep`` must not have a name made here.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +105,15 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
+def _dealt(ids: np.ndarray, n: int) -> np.ndarray:
+    """The block of each id, by a hash, so that ids in even steps spread too."""
+    mixed = ids.astype(np.int64).view(np.uint64) * _A
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= _C
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(n)).astype(np.int64)
+
+
 def _squeeze(*columns: np.ndarray) -> bytes:
     """Arrays as one compressed string; numbers with their bytes transposed."""
     parts = [len(columns[0]).to_bytes(4, "little")]
@@ -260,7 +272,7 @@ def _search(n_blocks: int, memory: int):
         del raw
         trim()
         ids, start, size = doc[which], place[which] + lo, hi - lo + LENGTH
-        block = ids % n_blocks
+        block = _dealt(ids, n_blocks)
         order = np.lexsort((start, ids, block))
         edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else np.zeros(0, np.int64)
         blocks, payloads = [], []
@@ -293,7 +305,11 @@ def _pack(n_blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, "text", FLUSH_BYTES):
-                block = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False) % n_blocks
+                block = _dealt(pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False), n_blocks)
+                none = np.flatnonzero(pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False))
+                if len(none):  # nothing is removed from rows without an id, so any block does
+                    salt = TaskContext.get().partitionId()
+                    block[none] = [xxhash.xxh3_64_intdigest(batch.column("text")[int(i)].as_py(), salt) % n_blocks for i in none]
                 order = np.argsort(block, kind="stable")
                 edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))
                 payloads = []
@@ -339,6 +355,8 @@ def _apply(keep: tuple[str, ...], with_text: bool):
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False, memory: int = 64 << 20) -> DataFrame:
     """Per row: doc_id, the columns in ``keep``, n_bytes, n_removed, n_spans, and the kept bytes or their SHA-256."""
     spark = docs.sparkSession
+    if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"}.intersection(keep):
+        raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     total = flat.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     least = 2 * default_parallelism(spark)
