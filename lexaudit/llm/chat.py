@@ -12,7 +12,8 @@ character, so occurrences cannot overlap and the escape is reversible.
 
 Defined cases: null role or text counts as empty; a null turn sorts first; turns that tie are
 ordered by role, then text; repeated rows stay; an empty table gives no rows; columns that are
-not asked for are ignored. A null ``conv_id`` is a conversation of its own.
+not asked for are ignored, whatever their names. A null ``conv_id`` is a conversation of its own. A
+conversation is one row of the result, so its length is bounded by what a row can hold.
 """
 
 from __future__ import annotations

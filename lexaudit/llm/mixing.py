@@ -14,8 +14,10 @@
 Shards hold about ``shard_docs`` documents, so a source of any size is spread over many tasks.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own (last);
-ids that repeat or are null stay rows of their own; an empty table gives no rows; other columns
-pass through untouched unless they clash with the output's names, which then win.
+ids that repeat or are null stay rows of their own; documents that tie in the seeded
+order are lined up by id and size; a text of any length is one row, whose words may be taken in part;
+an empty table gives no rows; other columns pass through untouched unless they clash with the output's
+names, which then win.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ nearest classes of its language, without the trend by length; a language of fewe
 where it leaves the bands of all other languages, or of all documents where no language has more.
 
 Defined cases: null text has no words and fails the base rules; a null language is a language of
-its own; ids that repeat or are null stay rows of their own; an empty table gives no rows; other
-columns are ignored.
+its own; ids that repeat or are null stay rows of their own; a measure that ties with a band's edge is
+inside; a text of any length is read in whole by one task; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

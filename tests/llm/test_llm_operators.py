@@ -521,6 +521,17 @@ def test_warc_revisits(spark, tmp_path):
     kinds = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got)
     n = len(big.encode())
     assert kinds == Counter([(3, "revisit", 1, n), (1, "response", None, n), (1, "response", None, n), (None, "revisit", 1, n), (2, "response", None, 4), (5, "response", None, 4), (4, "response", None, 0), (6, "response", None, 120)])
+    for file_bytes, files in ((warc.FILE_BYTES, 1), (1, 8)):  # files end after so many bytes
+        at = str(tmp_path / f"f{file_bytes}")
+        warc.write_archives(df.coalesce(1).withColumn("page", F.lit("clash")).withColumn("file", F.lit("clash")), at, file_bytes=file_bytes)
+        contents = [r["content"] for r in spark.read.format("binaryFile").load(at).collect() if r["content"]]
+        assert len(contents) == files
+        fields = [f for c in contents for f, _ in warc.parse_warc(c)]
+        ids = {f["WARC-Record-ID"]: (f["X-Page-Id"], f["WARC-Target-URI"], f["WARC-Date"]) for f in fields}
+        revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+        assert len(revisits) == 2
+        for f in revisits:
+            assert ids[f["WARC-Refers-To"]] == (f["X-Refers-To-Page"], f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"]) == ("1", "http://b", f["WARC-Date"])
     warc.write_archives(df.limit(0), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
@@ -575,6 +586,13 @@ def test_substrings(spark, docs, none):
     assert substrings.remove_repeats(none).count() == 0
     kept = substrings.remove_repeats(df, with_text=True).collect()
     assert all(len(x["kept"]) == x["n_bytes"] - x["n_removed"] for x in kept)
+    with pytest.raises(ValueError, match="made here"):
+        substrings.remove_repeats(df.withColumn("n_bytes", F.lit(1)), keep=("n_bytes",))
+
+
+def test_blocks_of_ids_in_even_steps():
+    block = substrings._dealt(np.arange(10_000) * 49, 49)
+    assert np.bincount(block, minlength=49).max() < 300
 
 
 # ---------------------------------------------------------------- perplexity
@@ -756,6 +774,18 @@ def test_pipeline_stages_against_brute_force(spark, docs):
     assert set(mixed) <= {d for d, _ in rows} and max(mixed.values()) <= 3 * max(Counter(d for d, _ in rows).values())
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    odd = odd_documents(spark).select(*columns).union(spark.createDataFrame([(None, None, None, None, None), (None, "a null id", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long"))
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.coalesce(2).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (7, 1, None), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = Counter(r["doc_id"] for r in p.run(spark, str(tmp_path / name)).filter("piece = 0").collect())
+        assert (not got) if name == "empty" else {1, 5, 6, 7, None} <= set(got)
+
+
 def test_near_dedup_keeps_one_of_each_class(spark, docs):
     import corpus_pipeline as p
 
