@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -98,6 +99,7 @@ def vocabulary(name: str) -> str:
 
 def trim() -> None:
     """Give unused memory of this worker back; workers live on between tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.llm import dart
-from lexaudit.llm.common import WORD, arrow_map, by_size, cut
+from lexaudit.llm.common import WORD, arrow_map, by_size, cut, trim
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -102,7 +102,7 @@ def _node_shingles(docs: DataFrame, nodes: DataFrame, counted: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_size(whole, "text", 500_000):
+            for batch in by_size(whole, "text", 250_000):
                 sets = [shingles(t, counted=counted) for t in batch.column("text").to_pylist()]
                 hashes = pa.array([s[0].tobytes() for s in sets], pa.binary())
                 weights = pa.array([s[1].astype(np.float32).tobytes() if counted else b"" for s in sets], pa.binary())
@@ -187,7 +187,7 @@ def _met(sides: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between members of different labels that meet in a task. ``sides``: task (three columns t, i, j), blk, node, label."""
     ready = sides.join(known.select(F.col("node").alias("kn"), "hashes", "weights"), F.col("node") == F.col("kn")).select("t", "i", "j", "blk", "node", "label", "hashes", "weights")
 
-    def run(table: pa.Table) -> pa.Table:
+    def met(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_pylist() for c in ("blk", "node", "label", "hashes", "weights")}
         nodes = [(n, lab, np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32).astype(np.float64)) for n, lab, h, w in zip(*list(cols.values())[1:], strict=True)]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -196,6 +196,11 @@ def _met(sides: DataFrame, known: DataFrame, least: float) -> DataFrame:
         links = block_links(one, two, least)
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
+    def run(table: pa.Table) -> pa.Table:
+        links = met(table)
+        trim()
+        return links
+
     return ready.groupBy("t", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
