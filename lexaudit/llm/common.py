@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,15 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.parquet(path), lambda: files.delete(where, True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows as a table that the planner makes; reading it starts no Python worker."""
+    fields = StructType.fromDDL(ddl).fields
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+    listed = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True))) for row in rows))
+    return spark.range(1).select(F.explode(listed).alias("r")).select("r.*")
+
+
 def pack_rows(rows: pa.RecordBatch) -> bytes:
     """Rows as one compressed value."""
     sink = pa.BufferOutputStream()
