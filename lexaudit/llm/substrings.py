@@ -274,7 +274,9 @@ def _search(n_blocks: int, memory: int):
         ids, start, size = doc[which], place[which] + lo, hi - lo + LENGTH
         block = _dealt(ids, n_blocks)
         order = np.lexsort((start, ids, block))
-        edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+        if not len(order):  # nothing in this shard repeats
+            return pa.table({"block": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
+        edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))
         blocks, payloads = [], []
         for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(order)], strict=True):
             own = order[a:b]

@@ -590,6 +590,14 @@ def test_substrings(spark, docs, none):
         substrings.remove_repeats(df.withColumn("n_bytes", F.lit(1)), keep=("n_bytes",))
 
 
+def test_substrings_where_nothing_repeats(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(str(r.random()) for _ in range(20))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(df).collect()
+    assert len(got) == 30 and all(x["n_removed"] == x["n_spans"] == 0 for x in got)
+
+
 def test_blocks_of_ids_in_even_steps():
     block = substrings._dealt(np.arange(10_000) * 49, 49)
     assert np.bincount(block, minlength=49).max() < 300
@@ -783,7 +791,8 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
         docs.coalesce(2).write.parquet(str(tmp_path / name / "documents.parquet"))
         spark.createDataFrame([(1, 1, 0), (7, 1, None), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
         got = Counter(r["doc_id"] for r in p.run(spark, str(tmp_path / name)).filter("piece = 0").collect())
-        assert (not got) if name == "empty" else {1, 5, 6, 7, None} <= set(got)
+        ids = {r["doc_id"] for r in docs.collect()}
+        assert (not got) if name == "empty" else 4 in got and len(got) > 3 and set(got) <= ids  # 4 has no words: the mix takes it once
 
 
 def test_near_dedup_keeps_one_of_each_class(spark, docs):
