@@ -134,16 +134,32 @@ def final_field(status_: Column, original: Column, corrected: Column, compatible
     return F.struct(F.when(status_ == "corrected", corrected).otherwise(original).alias("text"), source.alias("source"))
 
 
+#: Titles of the gates shown for a correction, in order; that of a splice stands in the third's place.
+TITLES = (
+    "Evidence available for the flagged claim", "Target span valid", "Structural span preserved", "Unflagged claims preserved (scope)", "No unauthorized citation added",
+    "Ordinal citation-identity integrity", "Re-verification reaches ENTAILED", "No untouched sibling claim regresses", "Final decision",
+)
+SPLICE_TITLE = "Deterministic splice"
+#: The row that a status blocks; a correction that ships blocks none, others without a row of their own the re-verification.
+_BLOCKS = {
+    "correction_span_invalid": 2, "correction_splice_unavailable": 3, "correction_structural_span_lost": 3, "correction_scope_violation": 4, "correction_unauthorized_addition": 5,
+    "correction_ordinal_ambiguous": 6, "correction_sibling_regression": 8, "corrected": len(TITLES) + 1,
+}
+_BLOCKS_OTHERS = 7
+
+
 def gate_rows(status_: Column) -> Column:
-    """PASS, BLOCK or SKIPPED by gate, in order, for display."""
-    gates = [s for s in ORDER if s not in ("not_triggered", "corrected")]
-    at = F.array_position(F.array(*[F.lit(g) for g in gates]), status_)
+    """The gates as shown, ``array<struct<name, result>>``: PASS up to the one that blocks, which is the last; none without a correction."""
+    blocks = F.lit(_BLOCKS_OTHERS)
+    for name, at in _BLOCKS.items():
+        blocks = F.when(status_ == name, F.lit(at)).otherwise(blocks)
 
-    def row(i: int, g: str) -> Column:
-        result = F.when(status_ == "not_triggered", "SKIPPED").when((at == 0) | (at > i), "PASS").when(at == i, "BLOCK").otherwise("SKIPPED")
-        return F.struct(F.lit(g.removeprefix("correction_")).alias("name"), result.alias("result"))
+    def row(i: int, title: str) -> Column:
+        named = F.when(status_ == "correction_splice_unavailable", F.lit(SPLICE_TITLE)).otherwise(F.lit(title)) if i == 3 else F.lit(title)
+        return F.struct(named.alias("name"), F.when(blocks == i, "BLOCK").otherwise("PASS").alias("result"))
 
-    return F.array(*[row(i + 1, g) for i, g in enumerate(gates)])
+    rows = F.array(*[row(i, t) for i, t in enumerate(TITLES, 1)])
+    return F.when((status_ == "not_triggered") | status_.startswith("not_applicable"), F.slice(rows, 1, 0)).otherwise(F.slice(rows, F.lit(1), F.least(blocks, F.lit(len(TITLES)))))
 
 
 #: Stages of the failure matrix and the stage at which a status fails.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexaudit.plans import queries_metrics, queries_review, queries_workflow
+from lexaudit.plans import queries_metrics, queries_review, queries_streaming, queries_workflow
 from lexaudit.plans.queries import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "queries_metrics", "queries_review", "queries_workflow"]
+__all__ = ["ORACLE_SQL", "QUERIES", "queries_metrics", "queries_review", "queries_streaming", "queries_workflow"]

@@ -1,15 +1,11 @@
-"""Stage events of runs: payload rules, the protocol as a state machine, batch and streaming.
+"""Stage events of runs: payload rules, the grammar of lines, and the protocol over a table.
 
 A run is an ordered sequence of {stage, status, data} events. It ends with ``run/complete`` or with
-an error; nothing may follow, and an end must come. The watermark that gives up stalled runs is an
-addition of this engine."""
+an error; nothing may follow, and an end must come. ``machine`` has the protocol over a stream, ``sink`` the
+lines as they are served."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,59 +61,14 @@ def run_states(events: DataFrame) -> DataFrame:
     )
 
 
-_STATE = "run_id string, n_events long, state string, first_bad_seq long"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Events of one run in a micro-batch, in order. The state is kept until the watermark passes."""
-    if state.hasTimedOut:
-        n, name, bad = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], n, "stalled" if name == "open" else name, None if bad < 0 else bad)], columns=["run_id", "n_events", "state", "first_bad_seq"])
-        return
-    n, name, bad = state.get if state.exists else (0, "open", -1)
-    for e in pd.concat(list(batches)).sort_values("seq").itertuples():
-        n += 1
-        valid = bool(getattr(e, "valid", True)) and isinstance(e.stage, str) and isinstance(e.status, str)
-        if name == "protocol_error":
-            continue
-        if name != "open" or not valid:
-            name, bad = "protocol_error", int(e.seq)
-        elif e.stage == "error":
-            name = "failed"
-        elif e.stage == "run" and e.status == "complete":
-            name = "complete"
-    state.update((n, name, bad))
-    if state.getCurrentWatermarkMs() > 0:
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 600_000)
-    yield pd.DataFrame([(key[0], n, name, None if bad < 0 else bad)], columns=["run_id", "n_events", "state", "first_bad_seq"])
-
-
-def stream_states(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Run states as updates of a stream of events with a timestamp ``ts``; runs without an end that
-    the watermark passes are reported as stalled."""
-    marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("run_id").applyInPandasWithState(_advance, _STATE, "n long, state string, bad long", "update", "EventTimeTimeout")
-
-
-def event_sink(states: DataFrame, path: str, checkpoint: str):
-    """A stream of state updates appended as JSON lines, batch by batch."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").json(path)
-
-    return states.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
-
-
 def payload_problem(body: Column, allowed: tuple[str, ...] = ("document_id", "case_text")) -> Column:
     """Why a request body is refused; null if it isn't: size, JSON object, exact keys, each key once, lengths."""
     keys = F.array_sort(F.json_object_keys(body))
-    names = F.regexp_extract_all(body, F.lit(r'(?<!\\)"((?:[^"\\]|\\.)*)"\s*:'), 1)
     got = F.from_json(body, "document_id string, case_text string")
     return (
         F.when(body.isNull() | (F.octet_length(body) > MAX_BYTES), "body too large or missing")
         .when(keys.isNull(), "not a JSON object")
-        .when(F.size(names) > F.size(F.array_distinct(names)), "repeated key")
+        .when(F.size(keys) > F.size(F.array_distinct(keys)), "repeated key")
         .when(F.try_parse_json(body).isNull(), "not a JSON object")
         .when(keys != F.array(*[F.lit(k) for k in sorted(allowed)]), "keys differ")
         .when(F.length(got["case_text"]) > MAX_CHARS, "text too long")
@@ -126,18 +77,14 @@ def payload_problem(body: Column, allowed: tuple[str, ...] = ("document_id", "ca
 
 
 def correction_events(status: Column) -> Column:
-    """The sub-events of a correction in their fixed order: ``array<struct<stage, status>>``."""
-
-    def e(stage: str, s: str) -> Column:
-        return F.struct(F.lit(stage).alias("stage"), F.lit(s).alias("status"))
-
-    triggered = status != "not_triggered"
-    rechecked = status.isin("corrected", "correction_failed", "correction_sibling_regression")
-    made = ~status.isin("correction_span_invalid")
-    return F.when(~triggered, F.array(e("correction", "skipped"), e("safety", "skipped"), e("recheck", "skipped"))).otherwise(
-        F.concat(
-            F.when(made, F.array(e("correction", "started"), e("correction", "complete"))).otherwise(F.array(e("correction", "started"), e("correction", "failed"))),
-            F.when(made, F.array(e("safety", "started"), e("safety", "complete"))).otherwise(F.array(e("safety", "skipped"))),
-            F.when(rechecked, F.array(e("recheck", "started"), e("recheck", "complete"))).otherwise(F.array(e("recheck", "skipped"))),
-        )
-    )
+    """The sub-events of a correction in their fixed order: ``array<struct<stage, status>>``.
+
+    Without a target all three stages are skipped. Else the structural gates answer first, the re-check runs
+    where they pass, and the safety stage ends with the decision after it."""
+
+    def e(*pairs: tuple[str, str]) -> Column:
+        return F.array(*(F.struct(F.lit(stage).alias("stage"), F.lit(s).alias("status")) for stage, s in pairs))
+
+    rechecked = F.when(status.isin("corrected", "correction_failed", "correction_sibling_regression"), e(("recheck", "started"), ("recheck", "complete"))).otherwise(e(("recheck", "skipped")))
+    made = F.concat(e(("correction", "started"), ("correction", "complete"), ("safety", "started"), ("safety", "complete")), rechecked, e(("safety", "complete")))
+    return F.when(status.isin("not_triggered", "correction_span_invalid"), e(("correction", "skipped"), ("safety", "skipped"), ("recheck", "skipped"))).otherwise(made)

@@ -222,18 +222,11 @@ def test_bootstrap_and_folds(spark):
     assert len(drawn) == 100 and {r["n"] for r in drawn} == {12}
 
 
-def test_streaming_states(spark, tmp_path):
+def test_run_states(spark):
     events = [("r1", 0, "claims", "started"), ("r1", 1, "run", "complete"), ("r2", 0, "error", "failed"), ("r3", 0, "run", "complete"), ("r3", 1, "claims", "started"), ("r4", 0, "claims", "started")]
     df = spark.createDataFrame(events, "run_id string, seq long, stage string, status string")
     want = {"r1": "complete", "r2": "failed", "r3": "protocol_error", "r4": "open"}
     assert {r["run_id"]: r["state"] for r in stages.run_states(df).collect()} == want
-    src = str(tmp_path / "in")
-    df.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.json(src)
-    stream = spark.readStream.schema("run_id string, seq long, stage string, status string, ts timestamp").json(src)
-    q = stages.stream_states(stream).writeStream.outputMode("update").format("memory").queryName("states").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r["run_id"]: r["state"] for r in spark.sql("select * from states").collect()} == want
 
 
 def test_events_and_payloads(spark):
