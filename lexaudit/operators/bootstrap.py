@@ -1,7 +1,8 @@
 """Bootstrap intervals from replicate weights, folds and the majority baseline.
 
 Draws over units (items or clusters) are made by tasks, from a hash of seed, replicate and draw, and joined
-as weights, so replicates meet pre-aggregated counts, not rows."""
+as weights, so replicates meet pre-aggregated counts, not rows. Units are numbered by ranges, in as many
+tasks as there are partitions, and draws are dealt out by number: any number of units goes one way."""
 
 from __future__ import annotations
 
@@ -14,16 +15,30 @@ from lexaudit import schemas as S
 from lexaudit.operators import metrics
 from lexaudit.session import cut
 
-MAX_UNITS = 100_000
+#: Units up to which they are sent to all tasks; more are joined by a shuffle.
+BROADCAST_UNITS = 100_000
+_DRAWS = 500_000
+ROUNDS = 20
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds ``u``, the place of each row in an order without ties, from 0: sorted by ranges, which are counted."""
+    shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(shares, *order).sortWithinPartitions(*order))
+    found = {r["p"]: r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    before, starts = 0, []
+    for p in range(max(found, default=0) + 1):
+        starts.append(before)
+        before += found.get(p, 0)
+    at = placed.withColumn("_at", F.monotonically_increasing_id())  # the partition's number, then the row's, in 33 bits
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.shiftright("_at", 33).cast("int"))
+    return at.withColumn("u", start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
 def numbered_units(rows: DataFrame, unit: str) -> tuple[DataFrame, int]:
     """(unit, u): distinct units as strings, numbered in their order from 0, null last; and how many there are."""
-    units = cut(rows.select(F.col(unit).cast("string").alias("unit")).distinct())
-    n = units.count()
-    if n > MAX_UNITS:
-        raise ValueError(f"over {MAX_UNITS} units: aggregate to clusters first")
-    return units.withColumn("u", (F.row_number().over(W.orderBy(F.col("unit").asc_nulls_last())) - 1).cast("long")), n
+    units = numbered(rows.select(F.col(unit).cast("string").alias("unit")).distinct(), F.col("unit").asc_nulls_last())
+    return units, units.count()
 
 
 def replicate_weights(units: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
@@ -32,10 +47,12 @@ def replicate_weights(units: DataFrame, n: int, replicates: int, seed: int) -> D
         raise ValueError("at least 100 replicates")
     if n < 2:
         raise ValueError("at least two units")
-    draws = units.sparkSession.range(replicates, numPartitions=min(replicates, 200)).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    every = units.sparkSession.range(replicates * n, numPartitions=max(1, min(replicates * n // _DRAWS, 100_000)))
+    draws = every.select(F.expr(f"int(id div {n}L)").alias("replicate"), (F.col("id") % F.lit(n)).alias("draw"))
     drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "draw")), 1, 8), 16, 10).cast("long"), F.lit(n))
     weights = draws.groupBy("replicate", drawn.alias("d")).agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(F.broadcast(units), F.col("d") == F.col("u")).select("replicate", "unit", "weight")  # at most MAX_UNITS units
+    named = F.broadcast(units) if n <= BROADCAST_UNITS else units
+    return weights.join(named, F.col("d") == F.col("u")).select("replicate", "unit", "weight")
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95, by_index: bool = False, *by: str) -> DataFrame:
@@ -80,34 +97,65 @@ def paired_bootstrap(rows: DataFrame, unit: str, gold: str, first: str, second:
     return observed.join(interval(deltas, "delta", level, by_index))
 
 
+def _moves(groups: DataFrame, totals: np.ndarray) -> list[tuple]:
+    """For each pair of folds the group whose move between them lessens the spread most: (gain, group, from, to, counts)."""
+    k, width = totals.shape
+    scale = np.maximum(totals.sum(axis=0), 1) ** 2
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in totals])
+    a, b = F.get(table, F.col("fold") - 1), F.get(table, F.col("to") - 1)
+    v = [F.get(F.col("v"), F.lit(i)) for i in range(width)]
+    gain = sum((2 * v[i] * (F.get(a, F.lit(i)) - F.get(b, F.lit(i)) - v[i]) / float(scale[i]) for i in range(width)), F.lit(0.0))
+    tried = groups.withColumn("to", F.explode(F.sequence(F.lit(1), F.lit(k)))).filter("to <> fold").withColumn("gain", gain).filter("gain > 0")
+    best = tried.groupBy("fold", "to").agg(F.max(F.struct("gain", F.col("u").alias("u"), "v")).alias("m"))
+    return [(r["m"]["gain"], r["m"]["u"], r["fold"], r["to"], np.asarray(r["m"]["v"], float)) for r in best.collect()]
+
+
 def grouped_folds(rows: DataFrame, group: str, label: str, n_splits: int = 5, seed: int = 1) -> DataFrame:
     """Adds ``fold``: groups stay whole, folds get like numbers of rows and labels; null groups and labels are values.
 
-    Groups, the largest first and ties in a seeded order, go to the fold where the label counts stay
-    most even, on the driver. Of over ``MAX_UNITS`` groups and labels, whose sums are even anyhow, each
-    goes to a fold by a seeded hash."""
-    per = cut(rows.groupBy(F.col(group).cast("string").alias("g"), F.col(label).cast("string").alias("y")).count())
-    if per.count() > MAX_UNITS:
-        return rows.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed), F.col(group).cast("string")), F.lit(n_splits)) + 1).cast("int"))
-    counts = per.collect()
-    order = {y: i for i, y in enumerate(sorted({r["y"] for r in counts}, key=lambda y: (y is None, y or "")))}
-    table: dict[str | None, np.ndarray] = {}
-    for r in counts:
-        table.setdefault(r["g"], np.zeros(len(order)))[order[r["y"]]] += r["count"]
-    if not 2 <= n_splits <= len(table):
-        raise ValueError(f"splits must be between 2 and the number of groups ({len(table)})")
-    rng = np.random.default_rng(seed)
-    names = sorted(table, key=lambda g: (g is None, g or ""))
-    rng.shuffle(names)
-    total = sum(table.values())
-    folds = np.zeros((n_splits, len(order)))
-    dealt = []
-    for name in sorted(names, key=lambda g: -table[g].sum()):
-        cost = [(np.std((folds + np.eye(n_splits)[f][:, None] * table[name]) / total, axis=0).sum(), folds[f].sum()) for f in range(n_splits)]
-        best = min(range(n_splits), key=lambda f: cost[f])
-        folds[best] += table[name]
-        dealt.append((name, best + 1))
-    fold = rows.sparkSession.createDataFrame(dealt, "_g string, fold int")
+    Groups are sorted by the size classes (powers of two) of their label counts, then by their rows, ties in a
+    seeded order, and dealt to the folds to and fro: two folds' counts then differ by twice the largest group
+    of each class at most. Then rounds move groups: tasks propose for each pair of folds the move that lessens
+    the squared spread of label shares most, and a round takes those that still do after the ones before,
+    until there is none or ``ROUNDS`` are over. The driver holds a row a pair of folds and the moves made. Labels are
+    few; their counts are a group's columns. The folds are planned by jobs that run at once."""
+    named = rows.select(F.col(group).cast("string").alias("g"), F.col(label).cast("string").alias("y"))
+    labels = [r["y"] for r in named.select("y").distinct().orderBy(F.col("y").asc_nulls_last()).collect()]
+    counts = named.groupBy("g").agg(*(F.count_if(F.col("y").eqNullSafe(F.lit(y))).cast("double").alias(f"n{i}") for i, y in enumerate(labels)))
+    v = F.array(*[F.col(f"n{i}") for i in range(len(labels))]) if labels else F.array().cast("array<double>")
+    sized = counts.select("g", v.alias("v"))
+    kind = F.transform("v", lambda x: F.floor(F.log2(x + 1)))
+    order = [kind.desc(), F.aggregate("v", F.lit(0.0), lambda x, y: x + y).desc(), F.xxhash64(F.lit(seed), "g"), F.col("g").asc_nulls_last()]
+    placed = numbered(sized, *order)
+    place, back = F.col("u") % n_splits, F.floor(F.col("u") / n_splits) % 2
+    dealt = cut(placed.withColumn("fold", (F.when(back == 0, place).otherwise(n_splits - 1 - place) + 1).cast("int")))
+    n = dealt.count()
+    if not 2 <= n_splits <= n:
+        raise ValueError(f"splits must be between 2 and the number of groups ({n})")
+    totals = np.zeros((n_splits, len(labels)))
+    for r in dealt.groupBy("fold").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"n{i}") for i in range(len(labels)))).collect():
+        totals[r["fold"] - 1] = [r[f"n{i}"] for i in range(len(labels))]
+    moved: dict[int, int] = {}
+
+    def now() -> DataFrame:
+        if not moved:
+            return dealt
+        small = rows.sparkSession.createDataFrame(list(moved.items()), "_u long, _to int")
+        return dealt.join(F.broadcast(small), F.col("u") == F.col("_u"), "left").withColumn("fold", F.coalesce("_to", "fold")).drop("_u", "_to")
+
+    scale = np.maximum(totals.sum(axis=0), 1) ** 2
+    for _ in range(ROUNDS):
+        taken: set[int] = set()
+        for _gain, u, a, b, counts_ in sorted(_moves(now(), totals), key=lambda m: (-m[0], m[1], m[3])):
+            still = (2 * counts_ * (totals[a - 1] - totals[b - 1] - counts_) / scale).sum()
+            if still > 1e-12 and u not in taken:
+                totals[a - 1] -= counts_
+                totals[b - 1] += counts_
+                moved[u] = b
+                taken.add(u)
+        if not taken:
+            break
+    fold = now().select(F.col("g").alias("_g"), F.col("fold").alias("fold"))
     return rows.join(fold, F.col(group).cast("string").eqNullSafe(F.col("_g"))).drop("_g")
 
 

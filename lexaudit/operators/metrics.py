@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexaudit import schemas as S
 from lexaudit.functions import stats
+from lexaudit.operators.quantiles import grouped_with_quantiles
 
 FAILED = "INFERENCE_FAILURE"
 
@@ -122,16 +123,19 @@ def transitions(pairs: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, column: str, points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9), *by: str) -> DataFrame:
-    """Exact quantiles, linear between ranks."""
-    return rows.groupBy(*by).agg(*(F.percentile(column, p).alias(f"p{round(100 * p)}") for p in points), F.avg(column).alias("mean"), F.count(column).alias("n"))
+    """Exact quantiles, linear between ranks, of groups of any size."""
+    return grouped_with_quantiles(rows, list(by), column, {f"p{round(100 * p)}": p for p in points}, F.avg(column).alias("mean"), F.count(column).alias("n"))
 
 
 def confidence_stats(rows: DataFrame, label: str = "verdict", value: str = "confidence") -> DataFrame:
-    """n, mean, median, min, max by label and over all (``is_total``), in one grouping-sets pass."""
-    return rows.filter(F.col(value).isNotNull()).rollup(label).agg(
-        (F.grouping(label) == 1).alias("is_total"),
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+    """n, mean, median, min, max by label and over all (``is_total``)."""
+    has = rows.filter(F.col(value).isNotNull())
+    plain = [F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")]
+    ends = [F.min(value).alias("min"), F.max(value).alias("max")]
+    each = grouped_with_quantiles(has, [label], value, {"median": 0.5}, *plain, *ends).withColumn("is_total", F.lit(False))
+    total = grouped_with_quantiles(has, [], value, {"median": 0.5}, *plain, *ends).filter("n > 0").withColumn("is_total", F.lit(True))
+    whole = total.withColumn(label, F.lit(None).cast(dict(rows.dtypes)[label]))
+    return each.unionByName(whole).select(label, "is_total", "n", "mean", "median", "min", "max")
 
 
 def histogram(rows: DataFrame, value: str, edges: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
@@ -145,7 +149,8 @@ def histogram(rows: DataFrame, value: str, edges: tuple[float, ...] = (0.5, 0.6,
 
 
 def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("stdev"))
+    found = grouped_with_quantiles(rows, list(by), value, {"median": 0.5}, F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"))
+    return found.select(*by, "mean", "median", "stdev")
 
 
 def run_summary(cases: DataFrame) -> DataFrame:

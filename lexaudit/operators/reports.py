@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexaudit import schemas as S
 from lexaudit.functions import stats
 from lexaudit.functions import text as T
+from lexaudit.operators.quantiles import grouped_with_quantiles
 from lexaudit.session import cut
 
 
@@ -38,13 +39,13 @@ def key_versions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def batch_table(claims: DataFrame, batch: str = "batch") -> DataFrame:
     """Per batch: claims, coverage, verdicts, confidence and correction statuses."""
     has = F.col("match_method") != "no_evidence"
-    return claims.groupBy(batch).agg(
+    found = [
         F.count(F.lit(1)).alias("n_claims"),
         F.count_if(has).alias("n_with_evidence"),
         *[F.count_if(F.col("verdict") == v).alias(f"n_{v.lower()}") for v in S.VERDICTS],
         F.avg("confidence").alias("mean_confidence"),
-        F.percentile("confidence", 0.5).alias("median_confidence"),
-    )
+    ]
+    return grouped_with_quantiles(claims, [batch], "confidence", {"median_confidence": 0.5}, *found)
 
 
 def zipped_arms(a: DataFrame, b: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -122,10 +122,19 @@ def verdict_counts(claims: DataFrame, *by: str, labels: tuple[str, ...] = S.VERD
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float], gold: str = "expected_label") -> DataFrame:
-    """Replay of stored scores at many thresholds: (threshold, gold, predicted, n, n_low)."""
-    points = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    at = scored.select(gold, "raw_scores", points.alias("threshold")).withColumn("v", verdict(F.col("raw_scores"), F.col("threshold")))
-    return at.groupBy("threshold", F.col(gold).alias("gold"), F.col("v.label").alias("predicted")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v.sub_reason").isNotNull()).alias("n_low"))
+    """Replay of stored scores at many thresholds: (threshold, gold, predicted, n, n_low).
+
+    Each row is counted once, by its label and by how many thresholds its confidence reaches; sums over those
+    counts give every threshold, so that the work grows with the rows and not with the thresholds."""
+    points = sorted(float(t) for t in thresholds)
+    top = verdict(F.col("raw_scores"), F.lit(float("-inf")))
+    judged = scored.select(F.col(gold).alias("gold"), top.alias("v")).select("gold", F.col("v.label").alias("label"), F.col("v.confidence").alias("c"))
+    reached = sum((F.when(F.col("c") < t, 0).otherwise(1) for t in points), F.lit(0))  # no scores: no threshold makes a low confidence
+    counts = judged.groupBy("gold", "label", reached.alias("reached")).agg(F.count(F.lit(1)).alias("n"))
+    at = counts.select("*", F.posexplode(F.array(*[F.lit(t) for t in points])).alias("i", "threshold"))
+    low = F.col("reached") <= F.col("i")
+    predicted = F.when(low, F.lit(S.NEI)).otherwise(F.col("label"))
+    return at.groupBy("threshold", "gold", predicted.alias("predicted")).agg(F.sum("n").alias("n"), F.sum(F.when(low, F.col("n")).otherwise(0)).alias("n_low"))
 
 
 def drop_private(df: DataFrame) -> DataFrame:

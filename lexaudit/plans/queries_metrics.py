@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexaudit import schemas as S
 from lexaudit.functions import stats
-from lexaudit.operators import bootstrap, learning, metrics, reports
+from lexaudit.operators import bootstrap, learning, metrics, quantiles, reports, verdicts
 from lexaudit.plans.queries import PRED, _predictions, query
 from lexaudit.session import table
 
@@ -240,3 +240,57 @@ def grouped_folds(spark: SparkSession, d: str) -> DataFrame:
 def balanced_weights(spark: SparkSession, d: str) -> DataFrame:
     w = learning.balanced_weights(_folded(spark, d), "y")
     return w.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"))
+
+
+# ---------------------------------------------------------------- exact quantiles of one group, batched feature models
+
+
+@query("SELECT round(quantile_cont(l_extendedprice, 0.01), 6) AS q0, round(quantile_cont(l_extendedprice, 0.5), 6) AS q1, round(quantile_cont(l_extendedprice, 0.999), 6) AS q2 FROM lineitem")
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of one group that is the whole table."""
+    q = quantiles.exact_quantiles(table(spark, d, "lineitem"), [], "l_extendedprice", [0.01, 0.5, 0.999])
+    return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
+
+
+@query(f"""WITH {PRED}, t AS (SELECT range / 200.0::DOUBLE AS threshold FROM range(100, 190)),
+s AS (SELECT threshold, gold, greatest(pe, pn, pc) AS c, CASE WHEN pe >= pn AND pe >= pc THEN 'ENTAILED' WHEN pn >= pc THEN 'NOT_ENOUGH_INFORMATION' ELSE 'CONTRADICTED' END AS l FROM p CROSS JOIN t)
+SELECT round(threshold, 6) AS threshold, count(*) FILTER (WHERE gold = CASE WHEN c < threshold THEN 'NOT_ENOUGH_INFORMATION' ELSE l END) AS n_right, count(*) AS n FROM s GROUP BY 1""")
+def fine_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Ninety thresholds over all predictions."""
+    s = verdicts.threshold_sweep(_predictions(spark, d), [k / 200 for k in range(100, 190)])
+    right = F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0))
+    return s.groupBy(F.round("threshold", 6).alias("threshold")).agg(right.alias("n_right"), F.sum("n").alias("n"))
+
+
+def _shipments(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with a label that follows from their way of shipping and the side of 25 of their quantity, folds by supplier."""
+    l = table(spark, d, "lineitem")
+    label = F.when(F.col("l_partkey") % 3 == 0, "Yes").when(F.col("l_partkey") % 3 == 1, "No").otherwise("Partially")
+    return l.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("fold"), label.alias("label"), (F.col("l_partkey") % 3).cast("string").alias("mode"),
+        F.when(F.col("l_suppkey") % 9 > 0, F.col("l_quantity").cast("double")).alias("quantity"), F.when(F.col("l_linenumber") % 5 == 0, None).otherwise(F.col("l_returnflag")).alias("flag"),
+    )
+
+
+@query("""SELECT concat_ws('-', l_orderkey, l_linenumber) AS id, (l_suppkey % 4 + 1)::INT AS fold, ['Yes', 'No', 'Partially'][l_partkey % 3 + 1] AS label,
+['Yes', 'No', 'Partially'][l_partkey % 3 + 1] AS predicted FROM lineitem""")
+def feature_models(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions out of fold by models that can tell the label from one of the features."""
+    return learning.out_of_fold(_shipments(spark, d), ["mode", "flag"], ["quantity"], "label", "id")
+
+
+@query("""SELECT left_out, round(accuracy, 6) AS accuracy FROM (VALUES ('all', 1.0::DOUBLE), ('kind', NULL), ('amount', 1.0), ('flag', 1.0)) v(left_out, accuracy)""")
+def feature_ablations(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy without each group of features; without the telling one it is near chance, which is not compared."""
+    a = learning.ablations(_shipments(spark, d), {"kind": (["mode"], []), "amount": ([], ["quantity"]), "flag": (["flag"], [])}, "label", "id")
+    return a.select("left_out", F.when((F.col("left_out") == "kind") & (F.col("accuracy") < 0.5), F.lit(None)).otherwise(F.round("accuracy", 6)).alias("accuracy"))
+
+
+@query(f"""WITH {_FOLDED}, t AS (SELECT y, count(*) AS n FROM f GROUP BY 1) SELECT y, n AS n_rows, true AS even FROM t""")
+def fold_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each label's rows in each of the folds are within the largest supplier's of an equal share."""
+    rows = _folded(spark, d).drop("fold")
+    folded = bootstrap.grouped_folds(rows, "l_suppkey", "y", 5)
+    most = rows.groupBy("y", "l_suppkey").count().groupBy("y").agg(F.max("count").alias("most"))
+    per = folded.groupBy("y", "fold").count().groupBy("y").agg(F.sum("count").alias("n_rows"), F.max("count").alias("high"), F.min("count").alias("low"))
+    return per.join(most, "y").select("y", "n_rows", ((F.col("high") - F.col("low")) <= 2 * F.col("most")).alias("even"))

@@ -257,18 +257,21 @@ def test_retrieval(spark):
     assert len(own) == 3 and all(abs(r["similarity"] - 1) < 1e-9 for r in own)
 
 
-def test_folds_of_any_number_of_groups(spark, monkeypatch):
+def test_folds_of_any_number_of_groups(spark):
     df = spark.range(400).selectExpr("id", "if(id % 40 = 0, null, cast(id % 40 as string)) as g", "if(id % 7 = 0, null, 'Yes') as y")
-    for most in (100_000, 3):  # dealt on the driver, or by hash
-        monkeypatch.setattr(bootstrap, "MAX_UNITS", most)
-        folds = bootstrap.grouped_folds(df, "g", "y", 3)
-        assert folds.count() == 400 and folds.select("fold").distinct().count() == 3
-        bootstrap.check_no_leak(folds, "g")
+    folds = bootstrap.grouped_folds(df, "g", "y", 3)
+    assert folds.count() == 400 and folds.select("fold").distinct().count() == 3
+    bootstrap.check_no_leak(folds, "g")
     with pytest.raises(ValueError, match="several folds"):
         bootstrap.check_no_leak(folds.withColumn("fold", F.col("id") % 3), "g")
-    monkeypatch.setattr(bootstrap, "MAX_UNITS", 3)
-    with pytest.raises(ValueError, match="over 3 units"):
-        bootstrap.numbered_units(df, "g")
+    with pytest.raises(ValueError, match="splits"):
+        bootstrap.grouped_folds(df, "g", "y", 41)
+    many = spark.range(300_000).selectExpr("id", "concat('g', cast(sqrt(id) * 300 as int)) as g", "if(hash(id) % 3 = 0, 'a', 'b') as y")
+    folded = bootstrap.grouped_folds(many, "g", "y", 4)
+    bootstrap.check_no_leak(folded, "g")
+    assert folded.count() == 300_000 and many.select("g").distinct().count() > 100_000
+    for r in folded.groupBy("y").pivot("fold", [1, 2, 3, 4]).count().collect():
+        assert max(r[1:]) - min(r[1:]) <= 2 * 300
 
 
 def test_sign_test_of_large_counts(spark):
