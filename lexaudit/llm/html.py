@@ -15,10 +15,9 @@
    them. The main slot is the template's element that holds the article: the outermost ``article`` or
    ``main``, else the deepest with ``MAIN_SHARE`` of the text that is not constant and not in an element
    that is named or tagged as something else. An element with most of the text is never such a one.
-5. A page's text is what fills the main slot: its blocks without the template's constants and without
-   the template's other elements. Constants inside the main slot stay, if they make up over
-   ``MAX_FURNITURE`` of its text: then pages are near copies of one article, not one frame. Elements of
-   which the template knows nothing go by their tag, role or names.
+5. A page's text is what fills the main slot, without the template's other elements inside it. Text that
+   all pages of a host share inside the slot stays: it is the articles' own (a dateline, a licence, a paragraph
+   told twice). Elements of which the template knows nothing go by their tag, role or names.
    Pages that lack the main slot, and hosts with too few pages, are read by tags and names alone.
 
 Hosts' templates are bounded by the size of a page. They are written to a table; the planner
@@ -53,7 +52,6 @@ from lexaudit.llm.common import arrow_map, by_size, stored
 MIN_SHARE = 0.5
 MIN_PAGES = 3
 MAIN_SHARE = 0.8
-MAX_FURNITURE = 0.1
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -419,8 +417,8 @@ def valid_classes(found: DataFrame, made: DataFrame) -> DataFrame:
     return best.filter(2 * F.col("b.n") > F.col("support")).select("host", "class", F.col("b.n").alias("n"), "b.at.place", "b.at.nested")
 
 
-def _template(row: dict, main_share: float, max_furniture: float) -> dict:
-    """A host's main slot, the other elements of its template, and its constants."""
+def _template(row: dict, main_share: float) -> dict:
+    """A host's main slot, the other elements of its template, and the constants outside the slot."""
     valid = {v["class"] for v in row["valid"]}
     every = {m["token"]: m for c in row["classes"] for m in c["members"] if m["tag"] is not None}
     members = [m for c in row["classes"] if c["class"] in valid for m in c["members"]]
@@ -453,14 +451,12 @@ def _template(row: dict, main_share: float, max_furniture: float) -> dict:
     named = [t for t in slots if known[t]["article"] and 4 * free[t] > rest]
     heavy = [t for t in slots if free[t] >= main_share * rest]
     main = min(named, key=lambda t: (len(line[t]), -free[t], t)) if named else max(heavy, key=lambda t: (len(line[t]), free[t], -t), default=None)
-    within = [m for m in texts if main is not None and main in around(m)]
-    copies = main is not None and sum(m["chars"] for m in within) > max_furniture * known[main]["chars"]
-    constants = [m["token"] for m in texts if not (copies and m in within)]
+    constants = [m["token"] for m in texts if main is None or main not in around(m)]
     return {"host": row["host"], "main": main, "out": sorted(doubt), "constants": sorted(constants)}
 
 
-def templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES, main_share: float = MAIN_SHARE, max_furniture: float = MAX_FURNITURE) -> DataFrame:
-    """Per host: ``main`` (entry of the main slot, null if none), ``out`` (other elements) and ``constants`` (texts of the template)."""
+def templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = MIN_PAGES, main_share: float = MAIN_SHARE) -> DataFrame:
+    """Per host: ``main`` (entry of the main slot, null if none), ``out`` (other elements) and ``constants`` (texts of the template outside it)."""
     found, drop_tokens = stored(page_tokens(pages), "tokens")
     made, drop_classes = stored(classes(found, min_share, min_pages), "classes")
     valid = valid_classes(found, made).groupBy(F.col("host").alias("h")).agg(F.collect_list(F.struct("class", "n", "place", "nested")).alias("valid"))
@@ -469,7 +465,7 @@ def templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("host", pa.string()), ("main", pa.int64()), ("out", pa.list_(pa.int64())), ("constants", pa.list_(pa.int64()))])
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([_template(r, main_share, max_furniture) for r in batch.to_pylist()], kind)
+            yield pa.RecordBatch.from_pylist([_template(r, main_share) for r in batch.to_pylist()], kind)
 
     known, _ = stored(arrow_map(both, run, "host string, main long, out array<long>, constants array<long>"), "templates")
     drop_tokens()
@@ -477,7 +473,7 @@ def templates(pages: DataFrame, min_share: float = MIN_SHARE, min_pages: int = M
     return known
 
 
-def main_text(html: str, main: int | None, out: set[int], constants: set[int]) -> str:
+def main_text(html: str, main: int | None, out: set[int]) -> str:
     """A page's article by its host's template."""
     page = parse(html)
     entry = [_signed(page.token(e)) if e else 0 for e in range(len(page.name))]
@@ -485,7 +481,7 @@ def main_text(html: str, main: int | None, out: set[int], constants: set[int]) -
         return "\n".join(by_rules(page))
     inside = page.under([t == main for t in entry])
     gone = page.under([i and t != main and (t in out or d) for i, t, d in zip(inside, entry, doubtful(page), strict=True)])
-    return "\n".join(text for e, text, _, _ in page.blocks if inside[e] and not gone[e] and _signed(_hash(text, page.path[e])) not in constants)
+    return "\n".join(text for e, text, _, _ in page.blocks if inside[e] and not gone[e])
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -495,15 +491,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in by_size(whole, "html", 1_000_000):
             texts = []
-            for row in batch.select(["html", "main", "out", "constants"]).to_pylist():
-                texts.append(main_text(row["html"], row["main"], set(row["out"] or ()), set(row["constants"] or ())))
+            for row in batch.select(["html", "main", "out"]).to_pylist():
+                texts.append(main_text(row["html"], row["main"], set(row["out"] or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=_OUT)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page (``page_id``, ``url``, ``html``): page_id, url, text, n_chars."""
-    known = templates(pages).select(F.col("host").alias("t_host"), "main", "out", "constants")
+    known = templates(pages).select(F.col("host").alias("t_host"), "main", "out")
     at = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), at.alias("p_host"))
-    joined = keyed.join(known, F.col("p_host") == F.col("t_host"), "left").select("page_id", "url", "html", "main", "out", "constants")
+    joined = keyed.join(known, F.col("p_host") == F.col("t_host"), "left").select("page_id", "url", "html", "main", "out")
     return arrow_map(joined, _extract, "page_id long, url string, text string, n_chars long")
