@@ -16,7 +16,7 @@ bounded store of merged matches. Decoding gathers the tokens' bytes.
 
 Defined cases: null text is empty and has no ids; null ids decode to no bytes; rows that repeat, or share
 an id, are encoded one by one; a text of any length is encoded in whole by one task, its matches in blocks of
-``BLOCK``, so that only the text and its ids are held; special tokens' marks are ordinary text; an id
+``BLOCK``, so that only the text and its ids are held (and one match's linked bytes, some 200 bytes for each); special tokens' marks are ordinary text; an id
 outside the vocabulary raises ``ValueError``; an empty table gives no rows; a column of ``keep`` that
 clashes with one of the result raises ``ValueError``, other columns are ignored, whatever their names.
 """
