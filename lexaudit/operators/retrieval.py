@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexaudit.functions import text as T
-from lexaudit.session import cut
+from lexaudit.operators import vectors
 
 #: Public defaults of the Okapi scoring: term saturation, length weight, share of the mean idf given to common terms.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -40,7 +36,7 @@ def bm25_scores(queries: DataFrame, index: DataFrame, query: str = "query") -> D
 
 def bm25_similarity(queries: DataFrame, index: DataFrame, query: str = "query") -> DataFrame:
     """Scores as a share of the score a name gets for itself, at most 1; 0 where that isn't positive."""
-    own = bm25_scores(index.select(F.col("doc").alias("query")).distinct(), index).filter("query = doc").select(F.col("doc").alias("d"), F.col("score").alias("self"))
+    own = index.groupBy(F.col("doc").alias("d")).agg(F.sum("weight").alias("self"))  # a name has all of its terms
     scored = bm25_scores(queries, index, query).join(own, F.col("doc") == F.col("d"))
     return scored.select("query", "doc", F.when(F.col("self") > 0, F.least(F.lit(1.0), F.col("score") / F.col("self"))).otherwise(F.lit(0.0)).alias("similarity"))
 
@@ -66,49 +62,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", block: int = 1000) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k most similar items of each query vector: (query_id, id, similarity, rank); ties by id.
 
-    Queries go out in blocks of at most ``block``; a task multiplies its items' vectors with a block's in Arrow
-    batches and passes on its own k best of every query, so no pair is a row. Null vectors are like nothing."""
-    asked = cut(queries.select(F.col(ident).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null"))
-    n_blocks = max(1, -(-asked.count() // block))
-    asked = cut(asked.withColumn("b", F.ntile(n_blocks).over(W.orderBy("query_id")))) if n_blocks > 1 else asked.withColumn("b", F.lit(1))
-    rows = items.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
-    out = None
-    for b in range(1, n_blocks + 1):
-        some = asked.filter(F.col("b") == b).select("query_id", "v").collect()  # at most a block
-        found = rows.mapInArrow(_best_of([r["query_id"] for r in some], [r["v"] for r in some], k), "query_id long, id long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _best_of(idents: list[int], vectors: list[list[float]], k: int):
-    """For batches of (id, v): each query's k best of a task."""
-    kind = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not idents:
-            return
-        asked = np.array(vectors, np.float64)
-        lengths = np.sqrt((asked * asked).sum(1))
-        best_id = np.zeros((len(idents), 0), np.int64)
-        best = np.zeros((len(idents), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.array(batch.column("v").to_pylist(), np.float64)
-            norm = lengths[:, None] * np.sqrt((own * own).sum(1))[None, :]
-            like = np.round(np.divide(asked @ own.T, norm, out=np.zeros(norm.shape), where=norm > 0), 6)
-            ids = np.broadcast_to(batch.column("id").to_numpy(), like.shape)
-            best, best_id = np.concatenate([best, like], 1), np.concatenate([best_id, ids], 1)
-            top = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(best, top, 1), np.take_along_axis(best_id, top, 1)
-        n = best.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(idents, np.int64), n)), pa.array(best_id.ravel()), pa.array(best.ravel())], schema=kind)
-
-    return run
+    By an index of cells that is exact by bounds (``vectors``); its jobs run while the result is planned. Null
+    vectors are like nothing."""
+    return vectors.search(vectors.cell_index(items, ident, vector), queries, k, ident, vector)[0]
+
+
+def cosine_among(queries: DataFrame, names: DataFrame, embedded: DataFrame, *by: str) -> DataFrame:
+    """(query, doc, similarity) of the names that share ``by`` with a query, by the cosine of their vectors.
+
+    ``queries``: query and ``by``; ``names``: doc and ``by``; ``embedded``: name, vector (one a name). Names without a
+    vector, or with one of no length, are like nothing: 0. Such scores take the place of word overlap in linkage."""
+    pairs = queries.join(names.distinct(), list(by)).select("query", "doc").distinct()
+    a = embedded.select(F.col("name").alias("_a"), F.col("vector").alias("_v"))
+    b = embedded.select(F.col("name").alias("_b"), F.col("vector").alias("_w"))
+    both = pairs.join(a, F.col("query") == F.col("_a"), "left").join(b, F.col("doc") == F.col("_b"), "left")
+    return both.select("query", "doc", F.coalesce(cosine(F.col("_v"), F.col("_w")), F.lit(0.0)).alias("similarity"))
 
 
 def suggest(similar: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
@@ -144,13 +115,19 @@ def name_pairs(acts: DataFrame, name: str = "act_norm") -> DataFrame:
     return found.select(T.normal_act(F.col("raw")).alias("query"), "doc", "should_match")
 
 
-def pair_similarities(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Name pairs by each method, word overlap and BM25's self-score ratio: adds ``method`` and ``similarity``."""
+def pair_similarities(pairs: DataFrame, index: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
+    """Name pairs by each method: word overlap, BM25's self-score ratio and, given vectors (name, vector), their cosine: adds ``method`` and ``similarity``."""
     overlap = T.token_overlap(T.significant_words(F.col("query")), T.significant_words(F.col("doc")))
-    by_words = pairs.withColumn("method", F.lit("jaccard")).withColumn("similarity", overlap)
-    scored = bm25_among(pairs.select("query", F.lit(1).alias("k")).distinct(), pairs.select(F.lit(1).alias("k"), "doc"), index, "k").select(F.col("query").alias("_q"), F.col("doc").alias("_d"), "similarity")
-    by_terms = pairs.withColumn("method", F.lit("bm25")).join(scored, (F.col("query") == F.col("_q")) & (F.col("doc") == F.col("_d")), "left").drop("_q", "_d")
-    return by_words.unionByName(by_terms.withColumn("similarity", F.coalesce("similarity", F.lit(0.0))))
+    out = pairs.withColumn("method", F.lit("jaccard")).withColumn("similarity", overlap)
+    asked, named = pairs.select("query", F.lit(1).alias("k")).distinct(), pairs.select(F.lit(1).alias("k"), "doc")
+    others = {"bm25": bm25_among(asked, named, index, "k")}
+    if embedded is not None:
+        others["embedding"] = cosine_among(asked, named, embedded, "k")
+    for method, scored in others.items():
+        s = scored.select(F.col("query").alias("_q"), F.col("doc").alias("_d"), "similarity")
+        own = pairs.withColumn("method", F.lit(method)).join(s, (F.col("query") == F.col("_q")) & (F.col("doc") == F.col("_d")), "left").drop("_q", "_d")
+        out = out.unionByName(own.withColumn("similarity", F.coalesce("similarity", F.lit(0.0))))
+    return out
 
 
 def method_report(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexaudit import schemas as S
 from lexaudit.functions import stats
 from lexaudit.functions import text as T
-from lexaudit.operators import claims, evidence, gates, reports, retrieval, verdicts, workflow
+from lexaudit.operators import bootstrap, claims, evidence, gates, reports, retrieval, verdicts, workflow
 from lexaudit.plans.queries import CTE, composed_claims, query, usable
 from lexaudit.session import cut, table
 
@@ -251,6 +251,28 @@ def evidence_by_bm25(spark: SparkSession, d: str) -> DataFrame:
     return matched.groupBy("match_method").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A name's vector: that of the embedding whose number is the hash of its first word, so that forms of an act may share one.
+@query(f"""WITH {CTE}, e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS x, count(*) OVER () AS n FROM embeddings),
+q AS (SELECT DISTINCT act AS query, num FROM m0 WHERE e1 IS NULL AND e2 IS NULL), pr AS (SELECT DISTINCT q.query, q.num, w.act AS doc FROM q JOIN w ON q.num = w.num),
+nm AS (SELECT DISTINCT name FROM (SELECT query AS name FROM q UNION ALL SELECT act FROM w)),
+vec AS (SELECT name, x FROM (SELECT name, ('0x' || substr(md5(split_part(name, ' ', 1)), 1, 8))::BIGINT % (SELECT any_value(n) FROM e) AS i FROM nm) JOIN e USING (i)),
+sim AS (SELECT pr.query, pr.num, pr.doc, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM pr JOIN vec a ON a.name = pr.query JOIN vec b ON b.name = pr.doc),
+b2 AS (SELECT v.row, max(coalesce(sim, 0)) FILTER (WHERE NOT veto) AS top FROM v JOIN fz ON v.row = fz.row JOIN w ON w.num = v.num AND w.ord = fz.ord LEFT JOIN sim ON sim.query = v.act AND sim.num = v.num AND sim.doc = w.act GROUP BY 1)
+SELECT CASE WHEN e1 IS NOT NULL OR e2 IS NOT NULL THEN 'exact_normalized' WHEN round(top, 6) >= 0.8 THEN 'fuzzy' ELSE 'no_evidence' END AS match_method, count(*) AS n FROM m0 LEFT JOIN b2 USING (row) GROUP BY 1""")
+def evidence_by_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Linkage with the cosine of the names' vectors in place of the word overlap."""
+    c, e = composed_claims(spark, d), usable(spark, d)
+    table_ = bootstrap.numbered(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id"))
+    n = table_.count()
+    names = c.select(F.col("citation.act_norm").alias("name")).union(e.select("act_norm")).distinct()
+    at = F.conv(F.substring(F.md5(F.split("name", " ")[0]), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
+    embedded = names.withColumn("u", at).join(table_, "u").select("name", F.col("embedding").alias("vector"))
+    cited = c.select(F.col("citation.act_norm").alias("query"), F.col("citation.provision_number").alias("number")).distinct()
+    similar = retrieval.cosine_among(cited, e.select(F.col("provision_number").alias("number"), F.col("act_norm").alias("doc")), embedded, "number")
+    matched = evidence.match_evidence(c, e, scores=similar.withColumn("similarity", F.round("similarity", 6)))
+    return matched.groupBy("match_method").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- corrections
 
 _S1, _S2 = "Section 1 of the Trade Act, 1950 prescribes a fine of ten.", "Section 2 of the Trade Act, 1950 prescribes a term of two years."

@@ -88,3 +88,52 @@ def test_invariants(text):
 def test_word_diff():
     assert word_diff("a b c", "a x c") == [{"type": "same", "text": "a "}, {"type": "removed", "text": "b "}, {"type": "added", "text": "x "}, {"type": "same", "text": "c"}]
     assert word_diff(None, "") == []
+
+
+def test_word_diff_keeps_as_many_words_as_can_be():
+    import random
+
+    from lexaudit.functions.diff import _TOKEN
+
+    r = random.Random(4)
+    for n in (0, 1, 2, 5, 17, 40):
+        for _ in range(20):
+            a, b = ("".join(r.choice(["a ", "b ", "c  ", "d\n"]) for _ in range(r.randint(0, n))) for _ in range(2))
+            if r.random() < 0.5:
+                b = a[: len(a) // 2 * 2] + b
+            x, y = _TOKEN.findall(a), _TOKEN.findall(b)
+            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i in range(len(x) - 1, -1, -1):
+                for j in range(len(y) - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+            want, i, j = [], 0, 0
+            while i < len(x) or j < len(y):
+                if i < len(x) and j < len(y) and x[i] == y[j]:
+                    kind, word, i, j = "same", x[i], i + 1, j + 1
+                elif i < len(x) and (j == len(y) or best[i + 1][j] >= best[i][j + 1]):
+                    kind, word, i = "removed", x[i], i + 1
+                else:
+                    kind, word, j = "added", y[j], j + 1
+                if want and want[-1]["type"] == kind:
+                    want[-1]["text"] += word
+                else:
+                    want.append({"type": kind, "text": word})
+            assert word_diff(a, b) == want
+
+
+def test_word_diff_of_long_texts_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    r = random.Random(5)
+    a = [f"w{r.randint(0, 3000)} " for _ in range(12_000)]
+    b = [w for w in a if r.random() > 0.02]
+    for _ in range(200):
+        b.insert(r.randrange(len(b)), "new ")
+    tracemalloc.start()
+    got = word_diff("".join(a), "".join(b))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    kept = sum(len(s["text"].split()) for s in got if s["type"] == "same")
+    assert kept >= len([w for w in b if w != "new "]) and most < 60 << 20  # a full matrix has 550 MB
+    assert "".join(s["text"] for s in got if s["type"] != "added") == "".join(a) and "".join(s["text"] for s in got if s["type"] != "removed") == "".join(b)
