@@ -10,7 +10,8 @@ from lexaudit.functions import stats
 from lexaudit.functions import text as T
 from lexaudit.operators import bootstrap, claims, evidence, gates, reports, retrieval, verdicts, workflow
 from lexaudit.plans.queries import CTE, composed_claims, query, usable
-from lexaudit.session import cut, table
+from lexaudit.session import cut, scratch, table
+from lexaudit.sources import io
 
 # ---------------------------------------------------------------- golden texts of the citation grammar
 
@@ -503,3 +504,81 @@ def corrector_hook(spark: SparkSession, d: str) -> DataFrame:
 
     judged, _ = corrected_orders(spark, d, BY_SENTENCE)
     return workflow.propose_with(workflow.targets(judged), corrector)
+
+
+# ---------------------------------------------------------------- every form of citation, composed from columns
+
+#: Text and claims (type, number, subsection, act, assertion, spans) of each form; {a} to {d} are numbers of the row, {y} is a year.
+FORMS = [
+    ("Sections {a} and {b} of the Indian Penal Code, 1860 apply.", [("Section", "{a}", None, IPC, None, None), ("Section", "{b}", None, IPC, None, None)]),
+    ("Articles {a}A, {b}A, {c}B, and {d}C of the Constitution of India protect laws.", [("Article", n, None, "constitution of india", None, None) for n in ("{a}A", "{b}A", "{c}B", "{d}C")]),
+    ("Section {a}, Part II of the Indian Penal Code, 1860 applies.", [("Section", "{a}", "Part II", IPC, None, None)]),
+    ("The Indian Penal Code, 1860 governs murder (Section {a}).", [("Section", "{a}", None, IPC, None, None)]),
+    ("Section {a} CrPC applies.", [("Section", "{a}", None, CRPC, None, None)]),
+    ("Section {a}, IPC applies.", [("Section", "{a}", None, IPC, None, None)]),
+    (
+        "Section {a} of the Indian Penal Code prescribes death, while Section {b} of the Indian Penal Code deals with common intention.",
+        [("Section", "{a}", None, IPC, "Section {a} of the Indian Penal Code prescribes death", None), ("Section", "{b}", None, IPC, "Section {b} of the Indian Penal Code deals with common intention.", None)],
+    ),
+    ("Sections {a} and {b} of the Indian Penal Code, 1860, which respectively deal with alpha-item and beta-item.", [("Section", "{a}", None, IPC, None, ["{a}", "alpha-item"]), ("Section", "{b}", None, IPC, None, ["{b}", "beta-item"])]),
+    (
+        "Sections {a}, {b}, and {c} of the Industrial Disputes Act, 1947, which respectively deal with first-topic, second-topic, and third-topic.",
+        [("Section", n, None, "industrial disputes act 1947", None, [n, x]) for n, x in (("{a}", "first-topic"), ("{b}", "second-topic"), ("{c}", "third-topic"))],
+    ),
+    ("Sections {a} (murder), {b} (common intention) apply.", [("Section", "{a}", "murder", "", "Sections {a} (murder)", None), ("Section", "{b}", "common intention", "", "{b} (common intention)", None)]),
+    ("Section {a}(2) of the Prevention of Corruption Act, 1947 applies.", [("Section", "{a}", "2", "prevention of corruption act 1947", None, None)]),
+    ("Murder (Section {a}) is grave.", [("Section", "{a}", None, "", None, None)]),
+    ("The Regulations {y} apply.", []),
+    ("Art.{a} of the Constitution of India guarantees it.", [("Article", "{a}", None, "constitution of india", None, None)]),
+]
+_FORM_ROWS = [(i, f"c{k + 1}", *c[:4], c[4] or text, "|".join(c[5] or [c[4] or text])) for i, (text, found) in enumerate(FORMS) for k, c in enumerate(found)]
+_FILL = "replace(replace(replace(replace({0}, '{{a}}', a), '{{b}}', b), '{{c}}', c), '{{d}}', d)"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS document_id, p_partkey % {len(FORMS)} AS form, (100 + p_partkey % 300)::VARCHAR AS a, (401 + p_partkey % 90)::VARCHAR AS b, (501 + p_size)::VARCHAR AS c, (601 + p_partkey % 7)::VARCHAR AS d FROM part)
+SELECT document_id, claim_id, provision_type, {_FILL.format('provision_number')} AS provision_number, subsection, act_norm, {_FILL.format('assertion_text')} AS assertion_text, {_FILL.format('spans')} AS spans
+FROM p JOIN {values(_FORM_ROWS, 'form, claim_id, provision_type, provision_number, subsection, act_norm, assertion_text, spans')} USING (form)""")
+def citation_forms(spark: SparkSession, d: str) -> DataFrame:
+    """A text for every part, in one of the forms that the grammar knows, read into claims."""
+    p = table(spark, d, "part")
+    text = F.get(F.array(*[F.lit(t) for t, _ in FORMS]), (F.col("p_partkey") % len(FORMS)).cast("int"))
+    numbers = {"a": 100 + F.col("p_partkey") % 300, "b": 401 + F.col("p_partkey") % 90, "c": 501 + F.col("p_size"), "d": 601 + F.col("p_partkey") % 7, "y": 1950 + F.col("p_partkey") % 60}
+    for name, n in numbers.items():
+        text = F.replace(text, F.lit("{" + name + "}"), n.cast("string"))
+    found = claims.extract_claims(p.select(F.col("p_partkey").alias("document_id"), text.alias("text")))
+    return found.select("document_id", "claim_id", "citation.provision_type", "citation.provision_number", "citation.subsection", "citation.act_norm", "assertion_text", F.array_join("assertion_spans", "|").alias("spans"))
+
+
+# ---------------------------------------------------------------- sources that the tables are written to and read from
+
+
+@query("""SELECT c_custkey::VARCHAR AS document_id, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS case_text,
+CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Section ' || c_nationkey || ' in ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ',Section 1 in Act' ELSE '' END END AS keys FROM customer""")
+def case_files(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as files of JSON arrays, one a nation, read as cases; some without a text or sections."""
+    path = scratch(spark, "cases")
+    section = F.concat(F.lit("Section "), F.col("c_nationkey").cast("string"), F.lit(" in "), F.col("c_mktsegment"))
+    sections = F.when(F.col("c_custkey") % 5 != 0, F.when(F.col("c_custkey") % 2 == 0, F.create_map(section, F.lit("x"), F.lit("Section 1 in Act"), F.lit("y"))).otherwise(F.create_map(section, F.lit("x"))))
+    one = F.struct(F.col("c_custkey").cast("string").alias("document_id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("summarized_text"), sections.alias("sections"))
+    table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.collect_list(one)).alias("value")).write.partitionBy("c_nationkey").text(path)
+    return io.read_cases(spark, [path]).select("document_id", "case_text", F.array_join("raw_citation_keys", ",").alias("keys"))
+
+
+@query("""SELECT o_orderpriority AS priority, true AS present, (sum(length(o_orderkey::VARCHAR) + 1))::BIGINT AS size, sha256(string_agg(o_orderkey::VARCHAR || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM orders GROUP BY 1
+UNION ALL SELECT 'none', false, NULL, NULL""")
+def file_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' keys as a file for each priority, and their manifest; one file that is expected is missing."""
+    path = scratch(spark, "manifest")
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("priority"), "o_orderkey")
+    o.repartition("priority").sortWithinPartitions("priority", "o_orderkey").select("priority", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("priority").text(path)
+    names = [r["f"] for r in spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "(priority=[^/]+/[^/]+)$", 1).alias("f")).collect()]
+    found = io.manifest(spark, path, [*names, "priority=none/part.txt"])
+    return found.select(F.url_decode(F.regexp_extract("path", "priority=([^/]+)/", 1)).alias("priority"), "present", "size", "sha256")
+
+
+@query("SELECT conv_id, turn, left(coalesce(text, ''), 20) || ' (' || length(coalesce(text, '')) || ')' AS text FROM conversations")
+def generated_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A generator that is given every turn's text."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("case_text"))
+    made = workflow.generate_with(c, lambda: lambda texts: texts.str.slice(0, 20) + " (" + texts.str.len().astype(str) + ")")
+    return made.select("conv_id", "turn", "text")
