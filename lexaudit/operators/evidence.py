@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexaudit import schemas
 from lexaudit.functions import text as T
+from lexaudit.session import cut
 
 FUZZY_LEAST = 0.8
 BROADCAST_ROWS = 200_000
@@ -76,12 +77,12 @@ def match_evidence(claims: DataFrame, evidence: DataFrame, threshold: float = FU
     word overlap of act names; pairs that it doesn't have count 0. ``name_overlap`` is the greatest word
     overlap whatever the years, of claims that have no exact record; null without a record of the provision.
 
-    Each distinct citation is resolved once, in one join with the records of its provision, which are few; claims
-    are joined to that. Nothing here is computed once a claim."""
+    Each distinct citation is resolved once, in one join with the records of its provision, which are few, and
+    the answers are cut off while the result is planned; claims are joined to them. Nothing here is computed once a claim."""
     own = [c for c in claims.columns if c not in ("evidence", "match_method", "fuzzy_score", "name_overlap")]
     fields = {"c_type": "provision_type", "c_number": "provision_number", "c_sub": "subsection", "c_act": "act_norm"}
     cited = claims.select(*[F.col(f"citation.{v}").alias(k) for k, v in fields.items()]).distinct()
-    r = _resolved(cited, evidence, threshold, scores)
+    r = cut(_resolved(cited, evidence, threshold, scores))  # else filters on the answers run the lambdas again
     same = F.lit(True)
     for k, v in fields.items():
         same &= F.col(f"citation.{v}").eqNullSafe(F.col(k))

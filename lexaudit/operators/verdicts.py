@@ -59,22 +59,25 @@ def pair_hash(premise: Column, hypothesis_: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", premise, hypothesis_), 256)
 
 
-def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None) -> DataFrame:
+def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None, asked: Column | None = None) -> DataFrame:
     """Adds recorded scores (premise_hash, hypothesis_hash, raw_scores, token_count) to pairs.
 
     Of scores by several models (``verifier_model``) name one. A pair that was too long for the model, has no
-    recorded score or has several fails the query when read."""
+    recorded score or has several fails the query when read. Rows that aren't ``asked`` get null and are dealt
+    out by their position, as they have no pair to meet."""
     own = scores if model is None else scores.filter(F.col("verifier_model") == model)
     s = own.groupBy(F.col("premise_hash").alias("_p"), F.col("hypothesis_hash").alias("_h")).agg(F.first("raw_scores").alias("raw_scores"), F.max("token_count").alias("token_count"), F.count(F.lit(1)).alias("_n"))
-    keyed = pairs.withColumn("_ph", F.sha2("premise", 256)).withColumn("_hh", F.sha2("hypothesis", 256))
+    ask = F.lit(True) if asked is None else asked
+    idle = F.concat(F.lit("-"), (F.monotonically_increasing_id() % 1024).cast("string"))
+    keyed = pairs.withColumn("_ask", ask).withColumn("_ph", F.when(F.col("_ask"), F.sha2("premise", 256)).otherwise(idle)).withColumn("_hh", F.sha2("hypothesis", 256))
     joined = keyed.join(s, (F.col("_ph") == F.col("_p")) & (F.col("_hh") == F.col("_h")), "left")
     wrong = (
         F.when(F.col("_n").isNull() | F.col("raw_scores").isNull(), F.concat(F.lit("no recorded score for: "), "hypothesis"))
         .when(F.col("_n") > 1, F.concat(F.lit("several recorded scores for: "), "hypothesis"))
         .when(F.col("token_count") > TOKEN_LIMIT, F.lit("input exceeds the token limit"))
     )
-    checked = F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(F.col("raw_scores"))
-    return joined.withColumn("raw_scores", checked).drop("_ph", "_hh", "_p", "_h", "_n")
+    checked = F.when(F.col("_ask") & wrong.isNotNull(), F.raise_error(wrong)).when(F.col("_ask"), F.col("raw_scores"))
+    return joined.withColumn("raw_scores", checked).drop("_ask", "_ph", "_hh", "_p", "_h", "_n")
 
 
 def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
@@ -92,13 +95,13 @@ def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], p
 
 def verify(claims: DataFrame, scores: DataFrame, framing: str = "labeled", threshold: float = THRESHOLD, model: str | None = None) -> DataFrame:
     """Claims (matched, see ``evidence.match_evidence``) with verdict columns. Only claims with evidence are scored."""
-    has = claims.filter("evidence is not null")
-    asked = has.withColumn("premise", T.premise(F.lit(framing), F.col("evidence.canonical_text"), F.col("evidence.provision_type"), F.col("evidence.provision_number"), F.col("evidence.act")))
-    asked = asked.withColumn("hypothesis", hypothesis(F.col("claim_text"), F.col("assertion_text"), F.col("assertion_spans"), F.col("citation.provision_number")))
-    scored = replay(asked, scores, model).withColumn("_v", verdict(F.col("raw_scores"), threshold)).drop("token_count")
-    with_ = scored.select("*", F.col("_v.label").alias("verdict"), F.col("_v.confidence").alias("confidence"), F.col("_v.sub_reason").alias("sub_reason")).drop("_v")
-    none = claims.filter("evidence is null").withColumn("verdict", F.lit(S.NO_EVIDENCE))
-    both = with_.unionByName(none, allowMissingColumns=True)
+    has = F.col("evidence").isNotNull()
+    premise = T.premise(F.lit(framing), F.col("evidence.canonical_text"), F.col("evidence.provision_type"), F.col("evidence.provision_number"), F.col("evidence.act"))
+    said = hypothesis(F.col("claim_text"), F.col("assertion_text"), F.col("assertion_spans"), F.col("citation.provision_number"))
+    asked = claims.withColumn("premise", F.when(has, premise)).withColumn("hypothesis", F.when(has, said))
+    scored = replay(asked, scores, model, has).withColumn("_v", verdict(F.col("raw_scores"), threshold)).drop("token_count")
+    label = F.when(has, F.col("_v.label")).otherwise(F.lit(S.NO_EVIDENCE))
+    both = scored.select("*", label.alias("verdict"), F.col("_v.confidence").alias("confidence"), F.col("_v.sub_reason").alias("sub_reason")).drop("_v")
     return both.withColumn("trigger_reason", trigger(F.col("verdict"), F.col("sub_reason"))).withColumn("negation_caveat", F.coalesce(negation_caveat(F.col("verdict"), F.col("claim_text")), F.lit(False)))
 
 
