@@ -1,7 +1,7 @@
 """Evidence: usable records, their overlay, and linkage of citations to them.
 
-The evidence table is a curated statute list. It is left to the planner whether it is broadcast:
-``broadcast_evidence`` hints it only after counting it against a bound."""
+Whether the table of records is broadcast is left to the planner, by the bytes that it has. A provision may
+have any number of records: they are dealt to blocks."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from lexaudit.functions import text as T
 from lexaudit.session import cut
 
 FUZZY_LEAST = 0.8
-BROADCAST_ROWS = 200_000
+#: Records of a provision in one row, about.
+BLOCK = 1_000
 
 
 def usable_evidence(canonical: DataFrame, audit: DataFrame, verdicts: tuple[str, ...] = schemas.USABLE, ordinal: str = "line_ord") -> DataFrame:
@@ -40,11 +41,6 @@ def overlay(base: DataFrame, extra: DataFrame) -> DataFrame:
     return placed.drop("_src", "_place", "_r", "_shift")
 
 
-def broadcast_evidence(evidence: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the table is within the bound; else leave joins to the planner."""
-    return F.broadcast(evidence) if evidence.limit(most + 1).count() <= most else evidence
-
-
 def _pool(evidence: DataFrame) -> DataFrame:
     return evidence.select(
         F.col("provision_type").alias("e_type"),
@@ -55,17 +51,24 @@ def _pool(evidence: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(evidence: DataFrame) -> DataFrame:
-    """The records of each provision: e_type, e_number, and their words and years, taken once a record."""
+def _blocks(evidence: DataFrame) -> DataFrame:
+    """The records of each provision in blocks of about ``BLOCK``: e_type, e_number and ``found``, with words and years taken once a record."""
     rows = _pool(evidence).select(
-        "e_type", "e_number", F.struct("e_sub", "e_act", T.significant_words(F.col("e_act")).alias("words"), T.years(F.col("e_act")).alias("years"), F.col("e.pool_ord").alias("ord"), "e").alias("r")
+        "e_type", "e_number", F.struct("e_act", T.significant_words(F.col("e_act")).alias("words"), T.years(F.col("e_act")).alias("years"), F.col("e.pool_ord").alias("ord"), "e").alias("r")
     )
-    return rows.groupBy("e_type", "e_number").agg(F.collect_list("r").alias("found"))
+    count = rows.groupBy(F.col("e_type").alias("_t"), F.col("e_number").alias("_n")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    dealt = rows.join(count, F.col("e_type").eqNullSafe(F.col("_t")) & F.col("e_number").eqNullSafe(F.col("_n"))).withColumn("_block", F.pmod(F.xxhash64("r.e_act", "r.ord"), F.col("_blocks")))
+    return dealt.groupBy("e_type", "e_number", "_block").agg(F.collect_list("r").alias("found")).drop("_block")
 
 
-def _last(records: Column) -> Column:
-    """Of records, the last of the pool."""
-    return F.array_max(F.transform(records, lambda r: F.struct(r["ord"].alias("ord"), r["e"].alias("e"))))["e"]
+def _exact(cited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Adds ``_exact``: the last record of the same provision, act and subsection, or else of the provision without one."""
+    pool = _pool(evidence).groupBy("e_type", "e_number", "e_act", "e_sub").agg(F.max(F.struct(F.col("e.pool_ord").alias("ord"), "e")).alias("_last"))
+    names = lambda p, rows: rows.select(*[F.col(c).alias(f"_{p}{c}") for c in ("e_type", "e_number", "e_act", "e_sub")], F.col("_last.e").alias(f"_{p}"))
+    same = lambda p: (F.col("c_type") == F.col(f"_{p}e_type")) & (F.col("c_number") == F.col(f"_{p}e_number")) & (F.col("c_act") == F.col(f"_{p}e_act")) & (F.col("c_act") != "")
+    one = cited.join(names("own", pool), same("own") & F.col("c_sub").eqNullSafe(F.col("_owne_sub")), "left")
+    both = one.join(names("loose", pool.filter("e_sub is null")), same("loose"), "left")
+    return both.select("c_type", "c_number", "c_sub", "c_act", F.coalesce("_own", "_loose").alias("_exact"))
 
 
 def match_evidence(claims: DataFrame, evidence: DataFrame, threshold: float = FUZZY_LEAST, scores: DataFrame | None = None) -> DataFrame:
@@ -77,8 +80,8 @@ def match_evidence(claims: DataFrame, evidence: DataFrame, threshold: float = FU
     word overlap of act names; pairs that it doesn't have count 0. ``name_overlap`` is the greatest word
     overlap whatever the years, of claims that have no exact record; null without a record of the provision.
 
-    Each distinct citation is resolved once, in one join with the records of its provision, which are few, and
-    the answers are cut off while the result is planned; claims are joined to them. Nothing here is computed once a claim."""
+    Each distinct citation is resolved once, by lookups and, without an exact record, against the blocks of its
+    provision, and the answers are cut off while the result is planned; claims are joined to them. Nothing here is computed once a claim."""
     own = [c for c in claims.columns if c not in ("evidence", "match_method", "fuzzy_score", "name_overlap")]
     fields = {"c_type": "provision_type", "c_number": "provision_number", "c_sub": "subsection", "c_act": "act_norm"}
     cited = claims.select(*[F.col(f"citation.{v}").alias(k) for k, v in fields.items()]).distinct()
@@ -90,28 +93,29 @@ def match_evidence(claims: DataFrame, evidence: DataFrame, threshold: float = FU
 
 
 def _resolved(cited: DataFrame, evidence: DataFrame, threshold: float, scores: DataFrame | None) -> DataFrame:
-    """Distinct citations (c_type, c_number, c_sub, c_act) with what ``match_evidence`` adds."""
-    pool = broadcast_evidence(_candidates(evidence))
-    c_type, c_number, c_sub, c_act = map(F.col, ("c_type", "c_number", "c_sub", "c_act"))
-    c = cited.join(pool, (c_type == F.col("e_type")) & (c_number == F.col("e_number")), "left")
-    same = F.filter("found", lambda r: (r["e_act"] == c_act) & (c_act != "") & (r["e_sub"].eqNullSafe(c_sub) | (c_sub.isNotNull() & r["e_sub"].isNull())))
-    c = c.withColumn("_same", same)
-    exact, loose = _last(F.filter("_same", lambda r: r["e_sub"].eqNullSafe(c_sub))), _last(F.filter("_same", lambda r: r["e_sub"].isNull()))
-    c = c.withColumn("_exact", F.when(F.size("_same") > 0, F.coalesce(exact, loose))).withColumn("_open", F.when(F.col("_exact").isNull(), F.col("found")))
-    c = c.withColumn("_words", F.when(F.col("_open").isNotNull(), T.significant_words(c_act))).withColumn("_years", F.when(F.col("_open").isNotNull(), T.years(c_act)))
+    """Distinct citations (c_type, c_number, c_sub, c_act) with what ``match_evidence`` adds.
+
+    Exact records are looked up by equality. Only citations without one meet the blocks of their provision;
+    each block passes on its best record, so that no row or task holds all records of a provision."""
+    key = ["c_type", "c_number", "c_sub", "c_act"]
+    known = cut(_exact(cited, evidence))
+    c = known.filter("_exact is null").drop("_exact").join(_blocks(evidence), (F.col("c_type") == F.col("e_type")) & (F.col("c_number") == F.col("e_number")), "left")
+    c = c.withColumn("_words", T.significant_words(F.col("c_act"))).withColumn("_years", T.years(F.col("c_act")))
     overlap = lambda r: T.token_overlap(F.col("_words"), r["words"])
     if scores is not None:
         by_name = scores.groupBy(F.col("query").alias("_query")).agg(F.map_from_entries(F.collect_list(F.struct("doc", F.col("similarity").cast("double")))).alias("_scores"))
-        c = c.join(by_name, c_act == F.col("_query"), "left")
+        c = c.join(by_name, F.col("c_act") == F.col("_query"), "left")
     likeness = overlap if scores is None else lambda r: F.coalesce(F.col("_scores")[r["e_act"]], F.lit(0.0))
-    scored = F.transform("_open", lambda r: F.struct(overlap(r).alias("overlap"), T.years_conflict(F.col("_years"), r["years"]).alias("apart"), likeness(r).alias("score"), (-r["ord"]).alias("early"), r["e"].alias("e")))
-    c = c.withColumn("_scored", scored)
+    scored = F.transform("found", lambda r: F.struct(overlap(r).alias("overlap"), T.years_conflict(F.col("_years"), r["years"]).alias("apart"), likeness(r).alias("score"), (-r["ord"]).alias("early"), r["e"].alias("e")))
+    c = c.select(*key, scored.alias("_scored"))
     best = F.array_max(F.transform(F.filter("_scored", lambda s: ~s["apart"]), lambda s: F.struct(s["score"].alias("score"), s["early"].alias("early"), s["e"].alias("e"))))
-    c = c.withColumn("_best", best).withColumn("name_overlap", F.array_max(F.transform("_scored", lambda s: s["overlap"])))
+    most = c.select(*key, best.alias("_best"), F.array_max(F.transform("_scored", lambda s: s["overlap"])).alias("_overlap"))
+    open_ = most.groupBy(*key).agg(F.max("_best").alias("_best"), F.max("_overlap").alias("name_overlap"))
     hit = F.col("_best.score") >= threshold
-    method = F.when(F.col("_exact").isNotNull(), F.lit("exact_normalized")).when(hit, F.lit("fuzzy")).otherwise(F.lit("no_evidence"))
-    found = F.coalesce("_exact", F.when(hit, F.col("_best.e")))
-    return c.select("c_type", "c_number", "c_sub", "c_act", F.col("_best.score").alias("fuzzy_score"), method.alias("match_method"), found.alias("evidence"), "name_overlap")
+    method = F.when(hit, F.lit("fuzzy")).otherwise(F.lit("no_evidence"))
+    others = open_.select(*key, F.col("_best.score").alias("fuzzy_score"), method.alias("match_method"), F.when(hit, F.col("_best.e")).alias("evidence"), "name_overlap")
+    exact = known.filter("_exact is not null").select(*key, F.lit(None).cast("double").alias("fuzzy_score"), F.lit("exact_normalized").alias("match_method"), F.col("_exact").alias("evidence"), F.lit(None).cast("double").alias("name_overlap"))
+    return exact.unionByName(others)
 
 
 def no_evidence_taxonomy(claims: DataFrame, evidence: DataFrame, low: float = 0.5, high: float = FUZZY_LEAST) -> DataFrame:
@@ -119,10 +123,15 @@ def no_evidence_taxonomy(claims: DataFrame, evidence: DataFrame, low: float = 0.
 
     Claims that ``match_evidence`` has been through bring their ``name_overlap``."""
     if "name_overlap" not in claims.columns:
-        pool = broadcast_evidence(_candidates(evidence))
-        joined = claims.join(pool, (F.col("citation.provision_type") == F.col("e_type")) & (F.col("citation.provision_number") == F.col("e_number")), "left")
-        words = T.significant_words(F.col("citation.act_norm"))
-        claims = joined.withColumn("name_overlap", F.array_max(F.transform("found", lambda r: T.token_overlap(words, r["words"])))).drop("e_type", "e_number", "found")
+        key = {"_type": "provision_type", "_number": "provision_number", "_act": "act_norm"}
+        cited = claims.select(*[F.col(f"citation.{v}").alias(k) for k, v in key.items()]).distinct()
+        met = cited.join(_blocks(evidence), (F.col("_type") == F.col("e_type")) & (F.col("_number") == F.col("e_number")))
+        words = T.significant_words(F.col("_act"))
+        each = met.select(*key, F.array_max(F.transform("found", lambda r: T.token_overlap(words, r["words"]))).alias("_o")).groupBy(*key).agg(F.max("_o").alias("name_overlap"))
+        same = F.lit(True)
+        for k, v in key.items():
+            same &= F.col(f"citation.{v}").eqNullSafe(F.col(k))
+        claims = claims.join(each, same, "left").drop(*key)
     most = F.col("name_overlap")
     category = F.when(F.col("match_method") != "no_evidence", F.lit(None)).otherwise(
         F.when(F.col("citation.act_norm") == "", F.lit("unresolved_act"))

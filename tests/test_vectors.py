@@ -74,3 +74,43 @@ def test_three_methods_over_name_pairs(spark):
     assert got.keys() == {"jaccard", "bm25", "embedding"} and len({r["n_positive"] for r in got.values()}) == 1
     assert got["embedding"]["rejected_right"] == got["embedding"]["n_negative"]  # civil and criminal are apart
     assert got["embedding"]["accepted_right"] == got["embedding"]["n_positive"] - 1  # no vector for the arms act
+
+
+def test_linkage_with_many_records_of_a_provision(spark, monkeypatch):
+    """Blocks of a provision's records give what one block of all gives, and what a plain search gives."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lexaudit.operators import evidence
+
+    r = random.Random(2)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    act = lambda: " ".join(r.sample(words, r.randint(2, 5))) + r.choice(["", " 1950", " 1960"])
+    records = [(f"K{i}", f"Act {i}", "Section", "7" if i % 50 else "8", r.choice([None, None, "1"]), "text", i, act()) for i in range(6000)]
+    pool = spark.createDataFrame(records, "dataset_citation_key string, act string, provision_type string, provision_number string, subsection string, canonical_text string, pool_ord long, act_norm string")
+    cited = [("Section", r.choice(["7", "7", "8", "9"]), r.choice([None, "1", "2"]), r.choice([x[7] for x in records[:40]]) if r.random() < 0.3 else act()) for _ in range(150)] + [("Section", "7", None, ""), ("Section", "7", None, None), ("Section", None, None, "worda")]
+    c = spark.createDataFrame([(i, x) for i, x in enumerate(cited)], "id int, citation struct<provision_type: string, provision_number: string, subsection: string, act_norm: string>")
+    look = lambda: {x["id"]: (x["match_method"], x["k"], x["fuzzy_score"], x["name_overlap"]) for x in evidence.match_evidence(c, pool).select("id", "match_method", F.col("evidence.dataset_citation_key").alias("k"), "fuzzy_score", "name_overlap").collect()}
+    got = look()
+    monkeypatch.setattr(evidence, "BLOCK", 10**9)
+    assert look() == got
+    monkeypatch.setattr(evidence, "BLOCK", 37)
+    assert look() == got
+    for i, (_, number, sub, name) in enumerate(cited):
+        same = [x for x in records if x[3] == number]
+        own = [x for x in same if name and x[7] == name]
+        exact = [x for x in own if x[4] == sub] or [x for x in own if x[4] is None]
+        if exact:
+            assert got[i] == ("exact_normalized", exact[-1][0], None, None)
+            continue
+        if not same or not name:
+            assert got[i][0] == "no_evidence" and got[i][1] is None
+            continue
+        split = lambda t: ({w for w in t.split() if w[0] == "w"}, {w for w in t.split() if w[0] != "w"})
+        mine, years = split(name)
+        like = lambda x: len(mine & split(x[7])[0]) / len(mine | split(x[7])[0])  # noqa: E731, B023
+        open_ = [x for x in same if not (years and split(x[7])[1] and not years & split(x[7])[1])]
+        best = max(open_, key=lambda x: (like(x), -x[6]))
+        assert abs(got[i][2] - like(best)) < 1e-12 and abs(got[i][3] - max(map(like, same))) < 1e-12
+        assert got[i][:2] == (("fuzzy", best[0]) if like(best) >= 0.8 else ("no_evidence", None))
