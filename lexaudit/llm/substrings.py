@@ -261,7 +261,7 @@ _FOUND = [np.int64, np.uint32, np.uint16, np.uint64]
 
 
 def _search(n_blocks: int, memory: int):
-    def run(table: pa.Table) -> pa.Table:
+    def searched(table: pa.Table) -> pa.Table:
         parts = [_expand(p, _DEALT) for p in table["payload"].to_pylist()]
         doc = np.concatenate([np.cumsum(p[0]) for p in parts])
         place = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -284,6 +284,12 @@ def _search(n_blocks: int, memory: int):
             payloads.append(_squeeze(np.diff(ids[own], prepend=0), start[own].astype(np.uint32), size[own].astype(np.uint16), check[own]))
         return pa.table({"block": pa.array(blocks, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return searched(table)
+        finally:
+            trim()  # workers live on and wait for tasks of other stages
+
     return run
 
 
@@ -326,7 +332,7 @@ def _pack(n_blocks: int):
 
 
 def _apply(keep: tuple[str, ...], with_text: bool):
-    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
+    def applied(packed: pa.Table, found: pa.Table) -> pa.Table:
         by_doc: dict[int, list] = {}
         for p in found["payload"].to_pylist():
             step, start, size, check = _expand(p, _FOUND)
@@ -351,6 +357,12 @@ def _apply(keep: tuple[str, ...], with_text: bool):
             tables.append(pa.Table.from_arrays(columns, ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept" if with_text else "kept_sha256"]))
         return pa.concat_tables(tables)
 
+    def run(packed: pa.Table, found: pa.Table) -> pa.Table:
+        try:
+            return applied(packed, found)
+        finally:
+            trim()
+
     return run
 
 
