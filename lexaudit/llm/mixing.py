@@ -11,7 +11,9 @@
    line, read round and round up to ``max_epochs`` times. Where a round ends inside a document,
    that document's taken words are partial.
 
-Shards hold about ``shard_docs`` documents, so a source of any size is spread over many tasks.
+Shards hold about ``shard_docs`` documents, so a source of any size is spread over many tasks. The plans of
+sources and of shards, a row each, are cut off while the mix is planned: words are counted once for each of the two
+and once for the result.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own (last);
 ids that repeat or are null stay rows of their own; documents that tie in the seeded
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import word_count
+from lexaudit.llm.common import cut, word_count
 
 BLOCK_WORDS = 64
 SHARD_DOCS = 2000
@@ -112,13 +114,13 @@ def mix(
     aimed = targets(weighted, max_epochs).withColumn("n_blocks", F.floor(F.sum("target").over(W.partitionBy()) / block_words))
     quotas = sainte_lague(aimed, F.col("n_blocks"), [], ["source"], "target", "quota").select(F.col("source").alias("s"), "source_size", "target", "quota")
     counts = sizes.select(F.col("source").alias("s2"), "n_docs")
-    plan = quotas.join(counts, F.col("s").eqNullSafe(F.col("s2"))).select("s", "source_size", "target", "quota", F.ceil(F.col("n_docs") / shard_docs).alias("n_shards"))
+    plan = cut(quotas.join(counts, F.col("s").eqNullSafe(F.col("s2"))).select("s", "source_size", "target", "quota", F.ceil(F.col("n_docs") / shard_docs).alias("n_shards")))
     at = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("n_shards")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("shard", at)
     shards = dealt.groupBy("s", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     shared = sainte_lague(shards, F.col("quota"), ["s"], ["shard"], "shard_size", "blocks")
     words = F.least(F.col("blocks") * block_words, F.col("shard_size") * max_epochs)
-    shard_plan = shared.select(F.col("s").alias("ps"), F.col("shard").alias("pshard"), "shard_size", words.alias("words"))
+    shard_plan = cut(shared.select(F.col("s").alias("ps"), F.col("shard").alias("pshard"), "shard_size", words.alias("words")))
     both = dealt.join(shard_plan, F.col("s").eqNullSafe(F.col("ps")) & (F.col("shard") == F.col("pshard")))
     line = W.partitionBy("s", "shard").orderBy("digest", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(line), F.lit(0))
