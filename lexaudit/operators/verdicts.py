@@ -55,10 +55,6 @@ def hypothesis(claim_text: Column, assertion_text: Column, spans: Column, number
     return out
 
 
-def pair_hash(premise: Column, hypothesis_: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", premise, hypothesis_), 256)
-
-
 def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None, asked: Column | None = None) -> DataFrame:
     """Adds recorded scores (premise_hash, hypothesis_hash, raw_scores, token_count) to pairs.
 
@@ -80,15 +76,20 @@ def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None, asked:
     return joined.withColumn("raw_scores", checked).drop("_ask", "_ph", "_hh", "_p", "_h", "_n")
 
 
-def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
-    """Adds ``raw_scores`` from a scorer, made once a task and fed Arrow batches of (premise, hypothesis)."""
+def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]], size: int | None = None) -> DataFrame:
+    """Adds ``raw_scores`` from a scorer, made once a task and fed batches of (premise, hypothesis): of ``size`` rows
+    at most, as a language model takes them, or Arrow batches whole."""
+    if size is not None and size < 1:
+        raise ValueError("batches have a row at least")
     schema = StructType([*pairs.schema.fields, StructField("raw_scores", MapType(StringType(), DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
-        for b in batches:
+        for whole in batches:
             model = model or scorer()
-            yield b.assign(raw_scores=model(b))
+            for at in range(0, len(whole), size or max(len(whole), 1)):
+                b = whole.iloc[at : at + (size or len(whole))]
+                yield b.assign(raw_scores=model(b))
 
     return pairs.mapInPandas(run, schema)
 

@@ -494,6 +494,23 @@ def scorer_hook(spark: SparkSession, d: str) -> DataFrame:
     return s.select("document_id", "claim_id", F.round(F.col("raw_scores")["entailment"], 6).alias("entailment"))
 
 
+@query("""SELECT l_orderkey AS document_id, l_linenumber AS claim_id, CASE WHEN l_linenumber = 7 THEN 'CONTRADICTED' WHEN l_linenumber % 2 = 0 THEN 'NOT_ENOUGH_INFORMATION' ELSE 'ENTAILED' END AS label, true AS small FROM lineitem""")
+def batched_verifier(spark: SparkSession, d: str) -> DataFrame:
+    """A verifier that answers in words, sixteen pairs at a time, read into labels."""
+    answers = {"7": "It is CONTRADICTED.", "0": "Not enough information", "1": "Clearly ENTAILED, not contradicted"}
+
+    def scorer():
+        def answer(b):
+            told = b["claim_id"].map(lambda n: answers["7" if n == 7 else str(n % 2)])
+            return [{a: float(len(b))} for a in told]
+
+        return answer
+
+    s = verdicts.score_with(hook_rows(spark, d).select("document_id", "claim_id", "premise", "hypothesis"), scorer, 16)
+    answer = F.map_keys("raw_scores")[0]
+    return s.select("document_id", "claim_id", verdicts.llm_label(answer).alias("label"), (F.map_values("raw_scores")[0] <= 16).alias("small"))
+
+
 @query(f"""SELECT o_orderkey AS document_id, CASE WHEN kind = 7 THEN 'c1' WHEN kind = 0 THEN NULL ELSE 'c1' END AS target_claim_id, 'FIX ' || sentence AS proposal
 FROM orders JOIN {values([(i, _PAIR if k[0] == _PAIR else _S1) for i, k in enumerate(BY_SENTENCE) if i], 'kind, sentence')} ON o_orderkey % {len(BY_SENTENCE)} = kind""")
 def corrector_hook(spark: SparkSession, d: str) -> DataFrame:

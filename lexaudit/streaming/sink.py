@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from lexaudit.streaming.stages import wire_status
+
 FORMAT = "run_events"
 EVENTS = "run_id string, seq long, line string"
 _FLUSH = 1000
@@ -102,7 +104,7 @@ class RunEvents(DataSource):
 
 def event_line(stage: F.Column, status: F.Column, data: F.Column | None = None) -> F.Column:
     """An event as a line of the wire: stage, status and data, ``{}`` where there is none."""
-    parts = [stage.alias("stage"), F.when(status == "completed", "complete").otherwise(status).alias("status")]
+    parts = [stage.alias("stage"), wire_status(status).alias("status")]
     whole = F.to_json(F.struct(*parts, *([] if data is None else [data.alias("data")])), {"ignoreNullFields": "false"})
     return whole if data is not None else F.concat(F.substr(whole, F.lit(1), F.length(whole) - 1), F.lit(',"data":{}}'))
 

@@ -347,3 +347,11 @@ def test_bad_lines_have_numbers(spark, tmp_path):
     assert [(r["line"], r["value"]) for r in bad] == [(3, '{"k":'), (5, '{"k": 3')]
     assert sorted(r["k"] for r in io.written(spark, str(tmp_path / "a.jsonl"), "k long").collect()) == [1, 2]
     assert io.written(spark, str(tmp_path / "none"), "k long").count() == 0
+
+
+def test_scorers_get_batches_of_a_size(spark):
+    pairs = spark.range(50).selectExpr("id", "'p' as premise", "'h' as hypothesis").coalesce(1)
+    sizes = lambda size: sorted(r["raw_scores"]["n"] for r in verdicts.score_with(pairs, lambda: lambda b: [{"n": float(len(b))}] * len(b), size).collect())
+    assert sizes(16) == [2.0] * 2 + [16.0] * 48 and sizes(None) == [50.0] * 50
+    with pytest.raises(ValueError, match="row at least"):
+        verdicts.score_with(pairs, lambda: None, 0)
