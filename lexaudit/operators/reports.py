@@ -120,7 +120,7 @@ def correction_pairs(a: DataFrame, b: DataFrame, doc: str = "document_id") -> Da
 def ranked_counts(rows: DataFrame, column: str, order: str) -> DataFrame:
     """Values by frequency; ties in the order of first sight.
 
-    Values are sorted over all tasks; a value's rank is its place in its task behind those of the tasks before."""
+    Values are sorted over all tasks; a value's rank is its place in its task behind those of the tasks before. Jobs run while this is planned."""
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
     ordered = cut(counts.orderBy(F.col("n").desc(), "first_seen", column).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)

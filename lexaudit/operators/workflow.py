@@ -96,7 +96,7 @@ def correct(fields: DataFrame, claims: DataFrame, proposals: DataFrame, evidence
 
     ``claims`` are verified (``verdicts.verify``), ``proposals`` are (doc, target_claim_id, proposal): a whole
     sentence, or with ``by_span`` the last span's replacement. ``strictness`` says what of the other claims must
-    survive; below the whole sentence, and by span, their counterparts are verified again."""
+    survive; below the whole sentence, and by span, their counterparts are verified again. Jobs run while this is planned."""
     claims = cut(claims)
     first = cut(_spliced(fields, targets(claims, by_span, doc), proposals, by_span, doc))
     made = first.filter("spliced and structure_kept").select(doc, "target_claim_id", "corrected_text")

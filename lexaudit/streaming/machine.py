@@ -13,12 +13,14 @@ blocks expire by themselves instead, and nothing stalls."""
 from __future__ import annotations
 
 import contextlib
+import sys
 import zlib
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -159,6 +161,7 @@ def machine_states(
     if ttl_ms is None:
         flagged = flagged.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
         columns += ["at_ms", "ts"]
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the process that sets the states up gets no shipped code
     past = None if before is None else _flagged(before).select("run_id", "seq", "flags").groupBy("run_id")
     mode = "EventTime" if ttl_ms is None else "ProcessingTime"
     return flagged.select(*columns).groupBy("run_id").transformWithStateInPandas(RunMachine(stall_ms, keep_ms, ttl_ms), STATES, "Append", mode, past)
