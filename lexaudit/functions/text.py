@@ -57,9 +57,9 @@ def years(act_norm: Column) -> Column:
 
 
 def token_overlap(a: Column, b: Column) -> Column:
-    """Jaccard index of two word sets; 0 if one is empty."""
+    """Jaccard index of two sets of words, neither with repeats; 0 if one is empty."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(F.array_union(a, b)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def years_conflict(a: Column, b: Column) -> Column:

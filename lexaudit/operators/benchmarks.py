@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexaudit import schemas as S
 from lexaudit.functions import text as T
+from lexaudit.session import grown
 
 # ---- fixed values: rewriting rules (name, pattern, replacement), in order
 PARAPHRASES = (
@@ -134,14 +135,14 @@ def partners(evidence: DataFrame) -> DataFrame:
     base = evidence.select("pool_ord", F.col("dataset_citation_key").alias("_key"), words(F.col("canonical_text")).alias("_w"))
     reach = base.select("pool_ord", "_key", "_w", F.posexplode(F.array(*[F.lit(s) for s in STRIDES])).alias("place", "stride")).withColumn("_at", (F.col("pool_ord") + F.col("stride")) % max(1, n))
     other = evidence.select(F.col("pool_ord").alias("_o"), F.col("dataset_citation_key").alias("o_key"), F.trim("canonical_text").alias("o_text"), words(F.col("canonical_text")).alias("_ow"))
-    fit = reach.join(other, F.col("_at") == F.col("_o")).filter((F.col("_key") != F.col("o_key")) & (T.token_overlap(F.col("_w"), F.col("_ow")) < LEAST_TIE))
+    fit = reach.join(grown(other), F.col("_at") == F.col("_o")).filter((F.col("_key") != F.col("o_key")) & (T.token_overlap(F.col("_w"), F.col("_ow")) < LEAST_TIE))
     return fit.groupBy("pool_ord").agg(F.min_by(F.struct("o_key", "o_text"), "place").alias("partner"))
 
 
 def controlled(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Benchmark items, up to eight conditions a record, and what could not be made, with the reason."""
     e = evidence.withColumn("t", F.trim("canonical_text")).withColumn("c", cite(F.col("provision_type"), F.col("provision_number"), F.col("subsection"), F.col("act")))
-    e = e.withColumn("para", paraphrased(F.col("t"))).withColumn("neg", negated(F.col("t"))).join(partners(evidence), "pool_ord", "left")
+    e = e.withColumn("para", paraphrased(F.col("t"))).withColumn("neg", negated(F.col("t"))).join(grown(partners(evidence)), "pool_ord", "left")
 
     def item(condition: str, text: Column, label: str, rules: Column, attributed: bool, para: bool, ok: Column) -> Column:
         said = F.concat(F.lit("According to "), F.col("c"), F.lit(", "), lower_first(text)) if attributed else text

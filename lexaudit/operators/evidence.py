@@ -1,6 +1,6 @@
 """Evidence: usable records, their overlay, and linkage of citations to them.
 
-Whether the table of records is broadcast is left to the planner, by the bytes that it has. A provision may
+Records, citations and claims all grow with the input, so joins among them are sorted and merged. A provision may
 have any number of records: they are dealt to blocks."""
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexaudit import schemas
 from lexaudit.functions import text as T
-from lexaudit.session import cut
+from lexaudit.session import cut, grown
 
 FUZZY_LEAST = 0.8
 #: Records of a provision in one row, about.
@@ -22,7 +22,7 @@ def usable_evidence(canonical: DataFrame, audit: DataFrame, verdicts: tuple[str,
     """Audited records with a usable verdict. A repeated key keeps its last row and its first place."""
     key = "dataset_citation_key"
     audited = audit.select(F.col(key).alias("_k"), "audit_verdict").filter(F.col("audit_verdict").isin(*verdicts)).dropDuplicates(["_k"])
-    joined = canonical.join(audited, F.col(key) == F.col("_k")).drop("_k")
+    joined = canonical.join(grown(audited), F.col(key) == F.col("_k")).drop("_k")
     w = W.partitionBy(key)
     ranked = joined.withColumn("pool_ord", F.min(ordinal).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(ordinal).desc())))
     return ranked.filter("_r = 1").drop("_r").withColumn("act_norm", T.normal_act(F.col("act")))
@@ -57,7 +57,7 @@ def _blocks(evidence: DataFrame) -> DataFrame:
         "e_type", "e_number", F.struct("e_act", T.significant_words(F.col("e_act")).alias("words"), T.years(F.col("e_act")).alias("years"), F.col("e.pool_ord").alias("ord"), "e").alias("r")
     )
     count = rows.groupBy(F.col("e_type").alias("_t"), F.col("e_number").alias("_n")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    dealt = rows.join(count, F.col("e_type").eqNullSafe(F.col("_t")) & F.col("e_number").eqNullSafe(F.col("_n"))).withColumn("_block", F.pmod(F.xxhash64("r.e_act", "r.ord"), F.col("_blocks")))
+    dealt = rows.join(grown(count), F.col("e_type").eqNullSafe(F.col("_t")) & F.col("e_number").eqNullSafe(F.col("_n"))).withColumn("_block", F.pmod(F.xxhash64("r.e_act", "r.ord"), F.col("_blocks")))
     return dealt.groupBy("e_type", "e_number", "_block").agg(F.collect_list("r").alias("found")).drop("_block")
 
 
@@ -66,8 +66,8 @@ def _exact(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     pool = _pool(evidence).groupBy("e_type", "e_number", "e_act", "e_sub").agg(F.max(F.struct(F.col("e.pool_ord").alias("ord"), "e")).alias("_last"))
     names = lambda p, rows: rows.select(*[F.col(c).alias(f"_{p}{c}") for c in ("e_type", "e_number", "e_act", "e_sub")], F.col("_last.e").alias(f"_{p}"))
     same = lambda p: (F.col("c_type") == F.col(f"_{p}e_type")) & (F.col("c_number") == F.col(f"_{p}e_number")) & (F.col("c_act") == F.col(f"_{p}e_act")) & (F.col("c_act") != "")
-    one = cited.join(names("own", pool), same("own") & F.col("c_sub").eqNullSafe(F.col("_owne_sub")), "left")
-    both = one.join(names("loose", pool.filter("e_sub is null")), same("loose"), "left")
+    one = cited.join(grown(names("own", pool)), same("own") & F.col("c_sub").eqNullSafe(F.col("_owne_sub")), "left")
+    both = one.join(grown(names("loose", pool.filter("e_sub is null"))), same("loose"), "left")
     return both.select("c_type", "c_number", "c_sub", "c_act", F.coalesce("_own", "_loose").alias("_exact"))
 
 
@@ -85,35 +85,48 @@ def match_evidence(claims: DataFrame, evidence: DataFrame, threshold: float = FU
     own = [c for c in claims.columns if c not in ("evidence", "match_method", "fuzzy_score", "name_overlap")]
     fields = {"c_type": "provision_type", "c_number": "provision_number", "c_sub": "subsection", "c_act": "act_norm"}
     cited = claims.select(*[F.col(f"citation.{v}").alias(k) for k, v in fields.items()]).distinct()
-    r = cut(_resolved(cited, evidence, threshold, scores))  # else filters on the answers run the lambdas again
+    r = cut(_resolved(cited, cut(evidence), threshold, scores))  # else filters on the answers run the lambdas again
     same = F.lit(True)
     for k, v in fields.items():
         same &= F.col(f"citation.{v}").eqNullSafe(F.col(k))
-    return claims.select(*own).join(r, same, "left").drop(*fields)
+    return claims.select(*own).join(grown(r), same, "left").drop(*fields)
 
 
 def _resolved(cited: DataFrame, evidence: DataFrame, threshold: float, scores: DataFrame | None) -> DataFrame:
     """Distinct citations (c_type, c_number, c_sub, c_act) with what ``match_evidence`` adds.
 
-    Exact records are looked up by equality. Only citations without one meet the blocks of their provision;
-    each block passes on its best record, so that no row or task holds all records of a provision."""
-    key = ["c_type", "c_number", "c_sub", "c_act"]
+    Exact records are looked up by equality. Of citations without one, each provision and act meets the blocks of
+    its provision once, whatever the subsections; each block passes on its best record, so that no row or task
+    holds all records of a provision. Given ``scores`` are joined to pairs of act names, one at a time."""
+    key, name = ["c_type", "c_number", "c_sub", "c_act"], ["c_type", "c_number", "c_act"]
     known = cut(_exact(cited, evidence))
-    c = known.filter("_exact is null").drop("_exact").join(_blocks(evidence), (F.col("c_type") == F.col("e_type")) & (F.col("c_number") == F.col("e_number")), "left")
+    left = known.filter("_exact is null").select(*key)
+    c = left.select(*name).distinct().join(grown(_blocks(evidence)), (F.col("c_type") == F.col("e_type")) & (F.col("c_number") == F.col("e_number")), "left")
     c = c.withColumn("_words", T.significant_words(F.col("c_act"))).withColumn("_years", T.years(F.col("c_act")))
-    overlap = lambda r: T.token_overlap(F.col("_words"), r["words"])
-    if scores is not None:
-        by_name = scores.groupBy(F.col("query").alias("_query")).agg(F.map_from_entries(F.collect_list(F.struct("doc", F.col("similarity").cast("double")))).alias("_scores"))
-        c = c.join(by_name, F.col("c_act") == F.col("_query"), "left")
-    likeness = overlap if scores is None else lambda r: F.coalesce(F.col("_scores")[r["e_act"]], F.lit(0.0))
-    scored = F.transform("found", lambda r: F.struct(overlap(r).alias("overlap"), T.years_conflict(F.col("_years"), r["years"]).alias("apart"), likeness(r).alias("score"), (-r["ord"]).alias("early"), r["e"].alias("e")))
-    c = c.select(*key, scored.alias("_scored"))
-    best = F.array_max(F.transform(F.filter("_scored", lambda s: ~s["apart"]), lambda s: F.struct(s["score"].alias("score"), s["early"].alias("early"), s["e"].alias("e"))))
-    most = c.select(*key, best.alias("_best"), F.array_max(F.transform("_scored", lambda s: s["overlap"])).alias("_overlap"))
-    open_ = most.groupBy(*key).agg(F.max("_best").alias("_best"), F.max("_overlap").alias("name_overlap"))
+
+    def held(r: Column) -> Column:
+        return F.struct(T.token_overlap(F.col("_words"), r["words"]).alias("overlap"), T.years_conflict(F.col("_years"), r["years"]).alias("apart"), (-r["ord"]).alias("early"), r["e"].alias("e"))
+
+    def ranked(s: Column, score: Column) -> Column:
+        return F.struct(score.alias("score"), s["early"].alias("early"), s["e"].alias("e"))
+
+    if scores is None:
+        c = c.select(*name, F.transform("found", held).alias("_scored"))
+        best = F.array_max(F.transform(F.filter("_scored", lambda s: ~s["apart"]), lambda s: ranked(s, s["overlap"])))
+        most = c.select(*name, best.alias("_best"), F.array_max(F.transform("_scored", lambda s: s["overlap"])).alias("_overlap"))
+    else:
+        pairs = c.withColumn("r", F.explode_outer("found")).select(*name, F.when(F.col("r").isNotNull(), held(F.col("r"))).alias("s"), F.col("r.e_act").alias("_doc"))
+        given = scores.select(F.col("query").alias("_query"), F.col("doc").alias("_of"), F.col("similarity").cast("double").alias("_given"))
+        pairs = pairs.join(grown(given), (F.col("c_act") == F.col("_query")) & (F.col("_doc") == F.col("_of")), "left")
+        best = F.when(~F.col("s.apart"), ranked(F.col("s"), F.coalesce("_given", F.lit(0.0))))
+        most = pairs.select(*name, best.alias("_best"), F.col("s.overlap").alias("_overlap"))
+    met = most.groupBy(*[F.col(k).alias(f"_{k}") for k in name]).agg(F.max("_best").alias("_best"), F.max("_overlap").alias("name_overlap"))
+    same = F.lit(True)
+    for k in name:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
     hit = F.col("_best.score") >= threshold
     method = F.when(hit, F.lit("fuzzy")).otherwise(F.lit("no_evidence"))
-    others = open_.select(*key, F.col("_best.score").alias("fuzzy_score"), method.alias("match_method"), F.when(hit, F.col("_best.e")).alias("evidence"), "name_overlap")
+    others = left.join(grown(met), same).select(*key, F.col("_best.score").alias("fuzzy_score"), method.alias("match_method"), F.when(hit, F.col("_best.e")).alias("evidence"), "name_overlap")
     exact = known.filter("_exact is not null").select(*key, F.lit(None).cast("double").alias("fuzzy_score"), F.lit("exact_normalized").alias("match_method"), F.col("_exact").alias("evidence"), F.lit(None).cast("double").alias("name_overlap"))
     return exact.unionByName(others)
 
@@ -125,13 +138,13 @@ def no_evidence_taxonomy(claims: DataFrame, evidence: DataFrame, low: float = 0.
     if "name_overlap" not in claims.columns:
         key = {"_type": "provision_type", "_number": "provision_number", "_act": "act_norm"}
         cited = claims.select(*[F.col(f"citation.{v}").alias(k) for k, v in key.items()]).distinct()
-        met = cited.join(_blocks(evidence), (F.col("_type") == F.col("e_type")) & (F.col("_number") == F.col("e_number")))
+        met = cited.join(grown(_blocks(evidence)), (F.col("_type") == F.col("e_type")) & (F.col("_number") == F.col("e_number")))
         words = T.significant_words(F.col("_act"))
         each = met.select(*key, F.array_max(F.transform("found", lambda r: T.token_overlap(words, r["words"]))).alias("_o")).groupBy(*key).agg(F.max("_o").alias("name_overlap"))
         same = F.lit(True)
         for k, v in key.items():
             same &= F.col(f"citation.{v}").eqNullSafe(F.col(k))
-        claims = claims.join(each, same, "left").drop(*key)
+        claims = claims.join(grown(each), same, "left").drop(*key)
     most = F.col("name_overlap")
     category = F.when(F.col("match_method") != "no_evidence", F.lit(None)).otherwise(
         F.when(F.col("citation.act_norm") == "", F.lit("unresolved_act"))
@@ -165,7 +178,7 @@ def coverage_change(before: DataFrame, after: DataFrame, ident: tuple[str, ...]
     a = before.select(*ident, (F.col("match_method") != "no_evidence").alias("had"))
     b = after.select(*ident, (F.col("match_method") != "no_evidence").alias("has"))
     change = F.when(F.col("had") & F.col("has"), "both").when(F.col("has"), "gained").when(F.col("had"), "lost").otherwise("neither")
-    return a.join(b, list(ident)).groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
+    return a.join(grown(b), list(ident)).groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cases_with_overlap(cases: DataFrame, evidence: DataFrame, least: int = 1) -> DataFrame:
@@ -176,11 +189,11 @@ def cases_with_overlap(cases: DataFrame, evidence: DataFrame, least: int = 1) ->
     cited = keys.withColumn("c", F.get(claims_of(F.col("key")), F.lit(0))).filter("c is not null").select("document_id", "key", "c.citation")
     pool = _pool(evidence).select("e_type", "e_number", "e_sub", "e_act").distinct()
     hit = cited.join(
-        pool,
+        grown(pool),
         (F.col("citation.provision_type") == F.col("e_type"))
         & (F.col("citation.provision_number") == F.col("e_number"))
         & F.col("citation.subsection").eqNullSafe(F.col("e_sub"))
         & (F.col("citation.act_norm") == F.col("e_act")),
     )
     enough = hit.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return cases.join(enough.select("document_id"), "document_id", "left_semi")
+    return cases.join(grown(enough.select("document_id")), "document_id", "left_semi")

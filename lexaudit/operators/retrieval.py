@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexaudit.functions import text as T
 from lexaudit.operators import vectors
+from lexaudit.session import grown
 
 #: Public defaults of the Okapi scoring: term saturation, length weight, share of the mean idf given to common terms.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -46,10 +47,10 @@ def bm25_among(queries: DataFrame, names: DataFrame, index: DataFrame, *by: str)
 
     ``queries``: query and ``by``; ``names``: doc and ``by``. Only such pairs are scored."""
     own = index.groupBy(F.col("doc").alias("d")).agg(F.sum("weight").alias("self"))  # a name has all of its terms
-    pairs = queries.join(names.distinct(), list(by)).select("query", "doc").distinct()
+    pairs = queries.join(grown(names.distinct()), list(by)).select("query", "doc").distinct()
     asked = pairs.select("query", "doc", F.explode(T.significant_words(F.col("query"))).alias("q"))
     weights = index.select(F.col("doc").alias("i"), "term", "weight")
-    scored = asked.join(weights, (F.col("doc") == F.col("i")) & (F.col("q") == F.col("term"))).groupBy("query", "doc").agg(F.sum("weight").alias("score")).join(own, F.col("doc") == F.col("d"))
+    scored = asked.join(grown(weights), (F.col("doc") == F.col("i")) & (F.col("q") == F.col("term"))).groupBy("query", "doc").agg(F.sum("weight").alias("score")).join(grown(own), F.col("doc") == F.col("d"))
     return scored.select("query", "doc", F.when(F.col("self") > 0, F.least(F.lit(1.0), F.col("score") / F.col("self"))).otherwise(F.lit(0.0)).alias("similarity"))
 
 
@@ -75,10 +76,10 @@ def cosine_among(queries: DataFrame, names: DataFrame, embedded: DataFrame, *by:
 
     ``queries``: query and ``by``; ``names``: doc and ``by``; ``embedded``: name, vector (one a name). Names without a
     vector, or with one of no length, are like nothing: 0. Such scores take the place of word overlap in linkage."""
-    pairs = queries.join(names.distinct(), list(by)).select("query", "doc").distinct()
+    pairs = queries.join(grown(names.distinct()), list(by)).select("query", "doc").distinct()
     a = embedded.select(F.col("name").alias("_a"), F.col("vector").alias("_v"))
     b = embedded.select(F.col("name").alias("_b"), F.col("vector").alias("_w"))
-    both = pairs.join(a, F.col("query") == F.col("_a"), "left").join(b, F.col("doc") == F.col("_b"), "left")
+    both = pairs.join(grown(a), F.col("query") == F.col("_a"), "left").join(grown(b), F.col("doc") == F.col("_b"), "left")
     return both.select("query", "doc", F.coalesce(cosine(F.col("_v"), F.col("_w")), F.lit(0.0)).alias("similarity"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, MapType, StringType, StructField, Stru
 from lexaudit import schemas as S
 from lexaudit.functions import stats
 from lexaudit.functions import text as T
+from lexaudit.session import grown
 
 THRESHOLD = 0.70
 TOKEN_LIMIT = 512
@@ -66,7 +67,7 @@ def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None, asked:
     ask = F.lit(True) if asked is None else asked
     idle = F.concat(F.lit("-"), (F.monotonically_increasing_id() % 1024).cast("string"))
     keyed = pairs.withColumn("_ask", ask).withColumn("_ph", F.when(F.col("_ask"), F.sha2("premise", 256)).otherwise(idle)).withColumn("_hh", F.sha2("hypothesis", 256))
-    joined = keyed.join(s, (F.col("_ph") == F.col("_p")) & (F.col("_hh") == F.col("_h")), "left")
+    joined = keyed.join(grown(s), (F.col("_ph") == F.col("_p")) & (F.col("_hh") == F.col("_h")), "left")
     wrong = (
         F.when(F.col("_n").isNull() | F.col("raw_scores").isNull(), F.concat(F.lit("no recorded score for: "), "hypothesis"))
         .when(F.col("_n") > 1, F.concat(F.lit("several recorded scores for: "), "hypothesis"))

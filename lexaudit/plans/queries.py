@@ -11,7 +11,7 @@ from lexaudit import schemas as S
 from lexaudit.functions import stats
 from lexaudit.functions import text as T
 from lexaudit.operators import benchmarks, claims, evidence, gates, metrics, reports, retrieval, review, selection, verdicts
-from lexaudit.session import table
+from lexaudit.session import grown, table
 from lexaudit.sources import io
 from lexaudit.streaming import stages
 
@@ -50,7 +50,7 @@ def composed_claims(spark: SparkSession, d: str) -> DataFrame:
     )
     names = p.select("p_partkey", "small", "later", act.alias("act"), T.normal_act(act).alias("norm"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    j = li.join(names, (F.col("l_partkey") == F.col("p_partkey")) & ((F.col("l_suppkey") % 4 == 0) == F.col("small")) & ((F.col("l_suppkey") % 5 == 0) == F.col("later")))
+    j = li.join(grown(names), (F.col("l_partkey") == F.col("p_partkey")) & ((F.col("l_suppkey") % 4 == 0) == F.col("small")) & ((F.col("l_suppkey") % 5 == 0) == F.col("later")))
     citation = F.struct(
         F.lit("Section").alias("provision_type"), F.floor(F.col("p_partkey") / 10).cast("string").alias("provision_number"),
         F.when(F.col("l_suppkey") % 3 == 0, F.lit("1")).when(F.col("l_suppkey") % 3 == 1, F.lit("2")).alias("subsection"),

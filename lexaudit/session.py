@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: sorted and merged, never broadcast.
+
+    The planner goes by the bytes of compressed files or shuffle blocks, which may be a hundredth of what the rows take when
+    they are collected in the driver and hashed."""
+    return df.hint("merge")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, which goes when the driver ends."""
     path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
