@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.operators import benchmarks, evidence, retrieval, verdicts
-from lexaudit.plans import queries
+from lexaudit.plans import queries, queries_metrics
 
 
 def plan(df: DataFrame) -> str:
@@ -28,3 +28,11 @@ def test_linkage_and_benchmarks_broadcast_nothing(spark, sf):
     ):
         assert "SortMergeJoin" in plan(df)
         assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_factorial_cells_keep_the_order_of_lines_with_large_keys(spark, tmp_path):
+    """A part's key of over a million must not outweigh the line's number."""
+    rows = [(1, 2_000_000, 3, 1), (1, 18, 1, 2)]  # the first line of its item decides; its verdict is a contradiction
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (cell,) = queries_metrics.factorial_cells(spark, str(tmp_path)).filter("framing = 'labeled'").collect()
+    assert (cell["n"], cell["n_detected"]) == (1, 1)
