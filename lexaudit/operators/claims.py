@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,27 +14,30 @@ from lexaudit import schemas
 from lexaudit.functions import grammar
 
 
+@functools.lru_cache(maxsize=4096)
+def _of_sentence(sentence: str) -> list[dict]:
+    """A sentence's claims as rows; a worker keeps those of some thousand sentences, as citations are repeated word for word."""
+    return [
+        {
+            "claim_text": c.sentence,
+            "citation": {
+                "provision_type": c.citation.provision_type,
+                "provision_number": c.citation.provision_number,
+                "subsection": c.citation.subsection,
+                "act_raw": c.citation.act_raw,
+                "act_norm": c.citation.act_norm,
+            },
+            "assertion_text": c.assertion,
+            "assertion_spans": c.spans,
+        }
+        for c in grammar.sentence_claims(sentence)
+    ]
+
+
 @F.pandas_udf(schemas.EXTRACTED)
 def _claims(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield batch.map(
-            lambda text: [
-                {
-                    "sentence_ord": i,
-                    "claim_text": c.sentence,
-                    "citation": {
-                        "provision_type": c.citation.provision_type,
-                        "provision_number": c.citation.provision_number,
-                        "subsection": c.citation.subsection,
-                        "act_raw": c.citation.act_raw,
-                        "act_norm": c.citation.act_norm,
-                    },
-                    "assertion_text": c.assertion,
-                    "assertion_spans": c.spans,
-                }
-                for i, c in grammar.claims_of(text)
-            ]
-        )
+        yield batch.map(lambda text: [{"sentence_ord": i, **c} for i, s in enumerate(grammar.sentences(text or "")) for c in _of_sentence(s)])
 
 
 def claims_of(text: Column) -> Column:

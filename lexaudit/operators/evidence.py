@@ -182,11 +182,13 @@ def coverage_change(before: DataFrame, after: DataFrame, ident: tuple[str, ...]
 
 
 def cases_with_overlap(cases: DataFrame, evidence: DataFrame, least: int = 1) -> DataFrame:
-    """Cases of whose raw citation keys at least ``least`` hit the evidence exactly, by each key's first citation."""
+    """Cases of whose raw citation keys at least ``least`` hit the evidence exactly, by each key's first citation.
+
+    Each distinct key is parsed and looked up once; cases are joined to the keys that hit."""
     from lexaudit.operators.claims import claims_of
 
     keys = cases.select("document_id", F.explode("raw_citation_keys").alias("key"))
-    cited = keys.withColumn("c", F.get(claims_of(F.col("key")), F.lit(0))).filter("c is not null").select("document_id", "key", "c.citation")
+    cited = keys.select("key").distinct().withColumn("c", F.get(claims_of(F.col("key")), F.lit(0))).filter("c is not null").select(F.col("key").alias("_key"), "c.citation")
     pool = _pool(evidence).select("e_type", "e_number", "e_sub", "e_act").distinct()
     hit = cited.join(
         grown(pool),
@@ -195,5 +197,6 @@ def cases_with_overlap(cases: DataFrame, evidence: DataFrame, least: int = 1) ->
         & F.col("citation.subsection").eqNullSafe(F.col("e_sub"))
         & (F.col("citation.act_norm") == F.col("e_act")),
     )
-    enough = hit.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    met = keys.join(grown(cut(hit.select("_key"))), F.col("key") == F.col("_key"))
+    enough = met.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return cases.join(grown(enough.select("document_id")), "document_id", "left_semi")

@@ -117,14 +117,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY document_id, num, act ORDER BY c
 SELECT o.document_id, o.claim_id, n.claim_id AS new_claim_id FROM o LEFT JOIN n ON o.document_id = n.document_id AND o.num = n.num AND o.act = n.act AND o.k = n.k""")
 def claim_counterparts(spark: SparkSession, d: str) -> DataFrame:
     """Claims without each document's second, and their counterparts among those without its first."""
-    found = claims.extract_claims(order_texts(spark, d))
+    found = cut(claims.extract_claims(order_texts(spark, d)))  # read twice
     return gates.counterparts(found.filter("claim_ord != 2"), found.filter("claim_ord != 1")).select("document_id", "claim_id", "new_claim_id")
 
 
 @query(f"""WITH {TEXT_CLAIMS}, a AS (SELECT DISTINCT document_id, num, act FROM tc WHERE claim_ord > 1), b AS (SELECT DISTINCT document_id, num, act FROM tc)
 SELECT document_id, n_new FROM (SELECT DISTINCT document_id FROM a) JOIN (SELECT b.document_id, count(*) FILTER (WHERE a.num IS NULL)::INTEGER AS n_new FROM b LEFT JOIN a ON a.document_id = b.document_id AND a.num = b.num AND a.act = b.act GROUP BY 1) USING (document_id)""")
 def new_identities(spark: SparkSession, d: str) -> DataFrame:
-    found = claims.extract_claims(order_texts(spark, d))
+    found = cut(claims.extract_claims(order_texts(spark, d)))  # read twice
     return gates.new_identities(found.filter("claim_ord > 1"), found)
 
 

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.operators import benchmarks, evidence, retrieval, verdicts
-from lexaudit.plans import queries, queries_metrics
+from lexaudit.operators import benchmarks, claims, evidence, retrieval, verdicts
+from lexaudit.plans import queries, queries_metrics, queries_workflow
 
 
 def plan(df: DataFrame) -> str:
@@ -12,15 +12,15 @@ def plan(df: DataFrame) -> str:
 
 
 def test_linkage_and_benchmarks_broadcast_nothing(spark, sf):
-    claims, records = queries.composed_claims(spark, sf), queries.usable(spark, sf)
-    cited = claims.select(F.col("citation.act_norm").alias("query"), F.col("citation.provision_number").alias("number")).distinct()
+    cited_claims, records = queries.composed_claims(spark, sf), queries.usable(spark, sf)
+    cited = cited_claims.select(F.col("citation.act_norm").alias("query"), F.col("citation.provision_number").alias("number")).distinct()
     named = records.select(F.col("provision_number").alias("number"), F.col("act_norm").alias("doc"))
     vectors = named.select(F.col("doc").alias("name"), F.array(F.lit(1.0)).alias("vector"))
     scores = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in ("premise_hash", "hypothesis_hash")], F.create_map(F.lit("entailment"), F.lit(1.0)).alias("raw_scores"), F.lit(1).alias("token_count"))
     for df in (
-        claims,
+        cited_claims,
         records,
-        evidence.match_evidence(claims, records),
+        evidence.match_evidence(cited_claims, records),
         verdicts.replay(spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in ("premise", "hypothesis")]), scores),
         benchmarks.partners(queries._records(spark, sf)),
         benchmarks.controlled(queries._records(spark, sf))[0],
@@ -36,3 +36,16 @@ def test_factorial_cells_keep_the_order_of_lines_with_large_keys(spark, tmp_path
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     (cell,) = queries_metrics.factorial_cells(spark, str(tmp_path)).filter("framing = 'labeled'").collect()
     assert (cell["n"], cell["n_detected"]) == (1, 1)
+
+
+def test_texts_are_parsed_once(spark, sf):
+    """Queries that read claims twice, or keys that repeat, have them parsed before the result is read."""
+    for query in (queries_workflow.overlap_cases, queries_workflow.new_identities, queries_workflow.claim_counterparts):
+        assert "ArrowEvalPython" not in plan(query(spark, sf))
+
+
+def test_repeated_sentences_are_parsed_once_a_worker():
+    before = claims._of_sentence.cache_info().hits
+    first, second = (claims._of_sentence("Section 302 of the Indian Penal Code, 1860 prescribes death.") for _ in range(2))
+    assert first == second and claims._of_sentence.cache_info().hits == before + 1
+    assert claims._of_sentence.cache_info().maxsize  # bounded
