@@ -110,14 +110,28 @@ def _moves(groups: DataFrame, totals: np.ndarray) -> list[tuple]:
     return [(r["m"]["gain"], r["m"]["u"], r["fold"], r["to"], np.asarray(r["m"]["v"], float)) for r in best.collect()]
 
 
+def _swaps(groups: DataFrame, totals: np.ndarray) -> list[tuple]:
+    """For each two folds the groups whose counts lie furthest along the folds' difference, one of each: (u, its fold, counts, u, its fold, counts).
+
+    Where groups are large a move upsets the folds' sizes; two groups in exchange even out labels alone."""
+    k, width = totals.shape
+    scale = np.maximum(totals.sum(axis=0), 1) ** 2
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in totals])
+    own, other = F.get(table, F.col("fold") - 1), F.get(table, F.col("to") - 1)
+    along = sum((F.get("v", F.lit(i)) * (F.get(own, F.lit(i)) - F.get(other, F.lit(i))) / float(scale[i]) for i in range(width)), F.lit(0.0))
+    tried = groups.withColumn("to", F.explode(F.sequence(F.lit(1), F.lit(k)))).filter("to <> fold").withColumn("along", along)
+    best = {(r["fold"], r["to"]): (r["m"]["u"], np.asarray(r["m"]["v"], float)) for r in tried.groupBy("fold", "to").agg(F.max(F.struct("along", F.col("u").alias("u"), "v")).alias("m")).collect()}
+    return [(*best[a, b], a, *best[b, a], b) for a, b in sorted(best) if a < b and (b, a) in best]
+
+
 def grouped_folds(rows: DataFrame, group: str, label: str, n_splits: int = 5, seed: int = 1) -> DataFrame:
     """Adds ``fold``: groups stay whole, folds get like numbers of rows and labels; null groups and labels are values.
 
     Groups are sorted by the size classes (powers of two) of their label counts, then by their rows, ties in a
     seeded order, and dealt to the folds to and fro: two folds' counts then differ by twice the largest group
     of each class at most. Then rounds move groups: tasks propose for each pair of folds the move that lessens
-    the squared spread of label shares most, and a round takes those that still do after the ones before,
-    until there is none or ``ROUNDS`` are over. The driver holds a row a pair of folds and the moves made. Labels are
+    the squared spread of label shares most, and a round takes those that still do after the ones before, or
+    exchanges groups of two folds where no move does, until there is none or ``ROUNDS`` are over. The driver holds a row a pair of folds and the moves made. Labels are
     few; their counts are a group's columns. The folds are planned by jobs that run at once."""
     named = rows.select(F.col(group).cast("string").alias("g"), F.col(label).cast("string").alias("y"))
     labels = [r["y"] for r in named.select("y").distinct().orderBy(F.col("y").asc_nulls_last()).collect()]
@@ -153,6 +167,14 @@ def grouped_folds(rows: DataFrame, group: str, label: str, n_splits: int = 5, se
                 totals[b - 1] += counts_
                 moved[u] = b
                 taken.add(u)
+        if not taken:
+            for u, mine, a, w, theirs, b in _swaps(now(), totals):
+                x = mine - theirs
+                if (2 * x * (totals[a - 1] - totals[b - 1] - x) / scale).sum() > 1e-12 and not taken & {u, w}:
+                    totals[a - 1] -= x
+                    totals[b - 1] += x
+                    moved.update({u: b, w: a})
+                    taken |= {u, w}
         if not taken:
             break
     fold = now().select(F.col("g").alias("_g"), F.col("fold").alias("fold"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.operators import benchmarks, claims, evidence, retrieval, verdicts
+from lexaudit.operators import benchmarks, bootstrap, claims, evidence, retrieval, verdicts
 from lexaudit.plans import queries, queries_metrics, queries_workflow
 
 
@@ -49,3 +49,12 @@ def test_repeated_sentences_are_parsed_once_a_worker():
     first, second = (claims._of_sentence("Section 302 of the Indian Penal Code, 1860 prescribes death.") for _ in range(2))
     assert first == second and claims._of_sentence.cache_info().hits == before + 1
     assert claims._of_sentence.cache_info().maxsize  # bounded
+
+
+def test_folds_exchange_groups_where_no_move_helps(spark):
+    """Groups of one size, dealt so that folds differ in labels alone: a move would upset their sizes."""
+    groups = spark.createDataFrame([(u, 1 + u % 2, [60.0, 40.0] if u % 2 == 0 else [40.0, 60.0]) for u in range(8)], "u long, fold int, v array<double>")
+    totals = bootstrap.np.array([[240.0, 160.0], [160.0, 240.0]])
+    assert not [m for m in bootstrap._moves(groups, totals) if m[0] > 1e-12]
+    ((u, mine, a, w, theirs, b),) = bootstrap._swaps(groups, totals)
+    assert (a, b, u % 2, w % 2) == (1, 2, 0, 1) and list(mine - theirs) == [20.0, -20.0]
