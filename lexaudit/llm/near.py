@@ -49,6 +49,7 @@ SMALL = 48
 SALTS = 12
 SHARE = 256
 BLOCK = 200_000
+FEW = 100_000
 _WORD = re.compile(WORD)
 
 
@@ -123,7 +124,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / max(1e-300, a[1].sum() + b[1].sum() - low))
 
 
-def _checked(pairs: DataFrame, known: DataFrame, least: float, share: int = SHARE) -> DataFrame:
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of narrow rows, ``rows`` of them at most, in no more partitions than they need (``FEW`` rows each).
+
+    Each task leaves its figures in the driver, and shuffles of small tables have as many tasks as those of large ones."""
+    return df.coalesce(max(1, -(-rows // FEW)))
+
+
+def _checked(pairs: DataFrame, known: DataFrame, least: float, rows: int, share: int = SHARE) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough. Any ``b`` may be in many pairs: it is copied to shares of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +146,10 @@ def _checked(pairs: DataFrame, known: DataFrame, least: float, share: int = SHAR
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     pairs = cut(pairs)
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
+    shares = cut(few(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares")), rows))
     copies = known.join(shares, F.col("node") == F.col("b")).select(F.col("node").alias("bn"), F.col("hashes").alias("bh"), F.col("weights").alias("bw"), "shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("turn"))
     one = known.select(F.col("node").alias("an"), F.col("hashes").alias("ah"), F.col("weights").alias("aw"))
-    most = cut(shares.filter("shares > 1").select(F.col("b").alias("many"), "shares"))  # one a hub
+    most = shares.filter("shares > 1").select(F.col("b").alias("many"), "shares")  # one a hub
     dealt = pairs.join(most, F.col("b") == F.col("many"), "left").withColumn("at", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int")).select("a", "b", "at")
     joined = dealt.join(one, F.col("a") == F.col("an")).join(copies.drop("shares"), (F.col("b") == F.col("bn")) & (F.col("at") == F.col("turn"))).select("a", "b", "ah", "aw", "bh", "bw")
     return arrow_map(joined, run, "a binary, b binary")
@@ -236,23 +244,23 @@ def _blocked(apart: DataFrame, whole: DataFrame, known: DataFrame, least: float,
     return links.unionByName(_met(met, known, least))
 
 
-def components(links: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """Smallest node of each node's component: (node, label), for nodes with links (or in ``seeds``).
+def components(links: DataFrame, rows: int, seeds: DataFrame | None = None) -> DataFrame:
+    """Smallest node of each node's component: (node, label), for nodes with links (or in ``seeds``), ``rows`` of them at most.
 
-    Each round takes the least label among neighbours, then the label's own label, and is cut off
+    Each round takes the least label among neighbours, then the label that this one had, and is cut off
     from its past in the shared folder; it ends when a round changes nothing. Labels only fall, so it ends."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.filter(F.col("a") != F.col("b")).distinct())
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(few(links.filter(F.col("a") != F.col("b")).select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct(), 2 * rows))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     if seeds is not None:
         labels = seeds.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-    labels = cut(labels)
+    labels = cut(few(labels, rows))
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("least"))
         near = labels.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        up = near.select(F.col("node").alias("u"), F.col("label").alias("ul"))
+        up = labels.select(F.col("node").alias("u"), F.col("label").alias("ul"))
         jumped = near.join(up, F.col("label") == F.col("u"), "left").select("node", "old", F.least("label", "ul").alias("label"))
-        jumped = cut(jumped)
+        jumped = cut(few(jumped, rows))
         changed = not jumped.filter(F.col("label") != F.col("old")).isEmpty()
         labels = jumped.select("node", "label")
         if not changed:
@@ -265,9 +273,11 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = Fal
     The label, a component's smallest node, names the class; different classes can share a class_id,
     where ids repeat or are null."""
     rows = cut(sketches(docs, counted))
+    n_rows = rows.count()
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     member = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = cut(member.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    n_keys = BANDS * n_rows // 2  # buckets of two or more, at most
+    shared = cut(few(member.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), n_keys))
     members = cut(member.join(shared, F.col("key") == F.col("k")).select("key", "node", "n", "size"))
     degree = members.groupBy(F.col("node").alias("d")).agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, F.col("node") == F.col("d")).select("key", "node", "n", "size", F.struct(F.col("degree"), F.col("node")).alias("rank"))
@@ -278,48 +288,48 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, counted: bool = Fal
         return F.lit(True) if counted else F.least(a, b) >= F.lit(least - 1e-9) * F.greatest(a, b)
 
     # what a bucket's members are joined to is cut off first: then the planner can split a hot bucket
-    pivots = cut(ranked.groupBy(F.col("key").alias("k")).agg(F.max("rank").alias("p"), F.max_by("n", "rank").alias("pn")))
+    pivots = cut(few(ranked.groupBy(F.col("key").alias("k")).agg(F.max("rank").alias("p"), F.max_by("n", "rank").alias("pn")), n_keys))
     star = ranked.join(pivots, F.col("key") == F.col("k")).filter((F.col("node") != F.col("p.node")) & close("n", "pn"))
     first = star.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
     known = cut(_node_shingles(docs, members.select("node").distinct(), counted))
-    links = cut(_checked(first, known, least))
-    labels = components(links)
+    links = cut(_checked(first, known, least, n_rows))
+    labels = components(links, n_rows)
 
     labelled = ranked.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select(
         "key", "node", "n", "size", "rank", F.coalesce("label", "node").alias("label")
     )
     labelled = cut(labelled)
-    mixed = cut(_mixed(labelled))
+    mixed = cut(few(_mixed(labelled), n_keys))
     apart = cut(labelled.join(mixed, F.col("key") == F.col("mk"), "left_semi"))
     a = apart.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), "size")
     b = apart.filter(F.col("size") <= small).select(F.col("key").alias("bk"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
     in_small = a.filter(F.col("size") <= small).join(b, (F.col("key") == F.col("bk")) & (F.col("al") != F.col("bl")) & (F.col("a") < F.col("b")) & close("an", "bn"))
     large = apart.filter(F.col("size") > small).withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.lit(salts)))
     per = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = cut(per.groupBy(F.col("key").alias("mk")).agg(F.max_by("label", F.struct("c", "label")).alias("main")))
+    main = cut(few(per.groupBy(F.col("key").alias("mk")).agg(F.max_by("label", F.struct("c", "label")).alias("main")), n_keys))
     more = large.groupBy(F.col("key").alias("bk"), "salt").agg(F.max("rank").alias("p"), F.max_by("n", "rank").alias("bn"), F.max_by("label", "rank").alias("bl"))
     more = cut(more.select("bk", F.col("p.node").alias("b"), "bn", "bl"))
     outside = a.filter(F.col("size") > small).join(main, F.col("key") == F.col("mk")).filter(F.col("al") != F.col("main"))
     in_large = outside.join(more, (F.col("key") == F.col("bk")) & (F.col("al") != F.col("bl")) & close("an", "bn"))
     second = in_small.select("a", "b").union(in_large.select("a", "b")).distinct()
-    more_links = cut(_checked(second, known, least))
-    labels = components(links.union(more_links), labels)
+    more_links = cut(_checked(second, known, least, n_rows))
+    labels = components(links.union(more_links), n_rows, labels)
 
     at = large.select("key", "node", "n").join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left")
     at = cut(at.select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-    mixed = cut(_mixed(at))
+    mixed = cut(few(_mixed(at), n_keys))
     if not mixed.isEmpty():
         whole = nodes.select("node", "n").join(members.select(F.col("node").alias("w")).distinct(), F.col("node") == F.col("w"), "left_semi")
         whole = whole.join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select("node", "n", F.coalesce("label", "node").alias("label"))
         rest = cut(_blocked(at.join(mixed, F.col("key") == F.col("mk"), "left_semi"), cut(whole), known, least, block))
         if not rest.isEmpty():
-            labels = components(links.union(more_links).union(rest), labels)
+            labels = components(links.union(more_links).union(rest), n_rows, labels)
 
     placed = nodes.select("node", "doc").join(labels.select(F.col("node").alias("ln"), "label"), F.col("node") == F.col("ln"), "left").select(
         "node", "doc", F.coalesce("label", "node").alias("label")
     )
-    placed = cut(placed)
-    firsts = cut(placed.groupBy(F.col("label").alias("fl")).agg(F.min("doc").alias("class_id")))
+    placed = cut(few(placed, n_rows))
+    firsts = cut(few(placed.groupBy(F.col("label").alias("fl")).agg(F.min("doc").alias("class_id")), n_rows))
     classes = cut(placed.join(firsts, F.col("label") == F.col("fl")).select(F.col("node").alias("cn"), "class_id", "label"))
     return rows.select("doc_id", "node").join(classes, F.col("node") == F.col("cn")).select("doc_id", "class_id", "node", "label")
 

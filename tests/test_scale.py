@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexaudit.llm import near
 from lexaudit.operators import benchmarks, bootstrap, claims, evidence, retrieval, verdicts
 from lexaudit.plans import queries, queries_metrics, queries_workflow
 
@@ -58,3 +59,23 @@ def test_folds_exchange_groups_where_no_move_helps(spark):
     assert not [m for m in bootstrap._moves(groups, totals) if m[0] > 1e-12]
     ((u, mine, a, w, theirs, b),) = bootstrap._swaps(groups, totals)
     assert (a, b, u % 2, w % 2) == (1, 2, 0, 1) and list(mine - theirs) == [20.0, -20.0]
+
+
+def test_near_classes_leave_few_tasks_in_the_driver(spark):
+    """Small tables of the near-duplicate step don't run in as many tasks as there are shuffle partitions."""
+    rows = [(i, " ".join(f"w{(i % 40) * 100 + k}" for k in range(60)) + (f" x{i}" if i % 3 else "")) for i in range(400)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("near-tasks", "")
+        got = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("near-tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert {x["class_id"] for x in got} == set(range(40))
+    assert tasks < 1800  # 2308 when every small table had all partitions
