@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.functions import text as T
+from lexaudit.session import grown
 
 # ---- fixed values: spreadsheet headers, labels and reference patterns
 HEADERS = {
@@ -128,7 +129,11 @@ def act_match(reference: Column, candidate: Column) -> Column:
 
 def merge_variants(claims: DataFrame) -> DataFrame:
     """Model claims of several files as one: files together, conflicting verdicts and methods VARIANT,
-    evidence from the first file that has any. Nulls are a value of their own in conflicts."""
+    evidence from the first file that has any. Nulls are a value of their own in conflicts.
+
+    Claims that repeat are dropped first, so that a text is not made normal once a claim."""
+    named = ("document_id", "claim_id", "claim_text", "assertion_text", "provision_type", "provision_number", "act_raw", "act_norm", "verifier_model", "verdict", "evidence_match_method", "evidence_id", "evidence_text", "source_file", "source_ord")
+    claims = claims.select(*named).distinct()
     key = [
         F.col("document_id"),
         F.col("claim_id"),
@@ -162,11 +167,14 @@ def align(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     """One row an annotation: statement matches, aligned and type-mismatched references, the reason if none.
 
     Statements meet through their normal text as a join key (claim or assertion text), so no case
-    is compared with all its claims."""
+    is compared with all its claims. Each distinct case, statement and reference meets them once, whatever
+    the number of annotations that have them; these are joined to the answers."""
     merged = merge_variants(claims)
+    own = ["case_reference", "legal_statement", "legal_reference"]
+    asked = annotations.select(*own).distinct()
     texts = F.array_distinct(F.array("k_claim", "k_assertion"))
     by_text = merged.withColumn("_t", F.explode(texts)).withColumnRenamed("document_id", "_doc")
-    a = annotations.withColumn("_s", T.normal_text(F.col("legal_statement"))).withColumn("_ref", T.normal_text(F.col("legal_reference")))
+    a = asked.withColumn("_s", T.normal_text(F.col("legal_statement"))).withColumn("_ref", T.normal_text(F.col("legal_reference")))
     a = a.withColumn("_keys", provision_keys(F.col("legal_reference"))).withColumn("_act", reference_act(F.col("legal_reference")))
     counts = claims.groupBy(F.col("document_id").alias("_case")).agg(F.count(F.lit(1)).alias("n_case_claims"))
     joined = a.join(by_text, (F.col("case_reference") == F.col("_doc")) & (F.col("_s") == F.col("_t")) & (F.col("_s") != ""), "left")
@@ -180,7 +188,7 @@ def align(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     other = (F.size("_keys") > 0) & F.exists("_keys", lambda k: (k["number"] == F.col("k_number")) & (k["kind"] != kind)) & ~listed & (act == "match")
     ident = F.struct("_doc", "claim_id", "provision_type", "k_number", T.normal_text(F.col("act_norm")).alias("a"))
     rows = joined.withColumn("_hit", found & hit & (act != "mismatch")).withColumn("_any", found & (listed | by_reference)).withColumn("_other", found & other).withColumn("_id", ident)
-    out = rows.groupBy(*annotations.columns).agg(
+    out = rows.groupBy(*own).agg(
         F.count_if(found).alias("num_distinct_statement_matches"),
         F.count_distinct(F.when(F.col("_hit"), F.col("_id"))).alias("num_reference_aligned_matches"),
         F.count_distinct(F.when(F.col("_other"), F.col("_id"))).alias("num_typed_provision_mismatch_matches"),
@@ -192,7 +200,11 @@ def align(annotations: DataFrame, claims: DataFrame) -> DataFrame:
     reason = F.when(unmatched & (F.col("num_distinct_statement_matches") == 0), "no_exact_statement_match").when(unmatched & ~F.col("_any"), "no_provision_identifier_or_reference_text_match").when(
         unmatched, "act_name_incompatible_or_unresolved"
     )
-    return out.withColumn("unmatched_reason", reason).withColumn("case_found", F.col("n_case_claims").isNotNull()).drop("_any")
+    out = out.withColumn("unmatched_reason", reason).withColumn("case_found", F.col("n_case_claims").isNotNull()).drop("_any")
+    same = F.lit(True)
+    for c in own:
+        out, same = out.withColumnRenamed(c, f"_{c}"), same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return annotations.join(grown(out), same).drop(*(f"_{c}" for c in own))
 
 
 def alignment_coverage(aligned: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.llm import near
-from lexaudit.operators import benchmarks, bootstrap, claims, evidence, retrieval, verdicts
+from lexaudit.operators import benchmarks, bootstrap, claims, evidence, learning, retrieval, review, verdicts, workflow
 from lexaudit.plans import queries, queries_metrics, queries_workflow
 
 
@@ -79,3 +79,15 @@ def test_near_classes_leave_few_tasks_in_the_driver(spark):
             spark.conf.set(k, v)
     assert {x["class_id"] for x in got} == set(range(40))
     assert tasks < 1800  # 2308 when every small table had all partitions
+
+
+def test_equal_annotations_meet_claims_once(spark):
+    """Claims meet a case's distinct statements and references, and every annotation gets the answer."""
+    kinds = "source_row_number long, case_reference string, legal_statement string, legal_reference string"
+    asked = [(1, "c", "Rule holds.", "Section 5"), (1, "c", "Rule holds.", "Section 5"), (2, "c", "Rule holds.", None), (3, None, "Rule holds.", "Section 5")]
+    fields = ["document_id", "claim_id", "claim_text", "assertion_text", "provision_type", "provision_number", "act_raw", "act_norm", "verifier_model", "verdict", "evidence_match_method", "evidence_id", "evidence_text", "source_file", "source_ord"]
+    claim = ("c", "c1", "rule holds.", "", "Section", "5", "the Act, 1950", "act 1950", "m", "ENTAILED", "fuzzy", "E1", "t", "f", "f")
+    claims = spark.createDataFrame([claim, claim], ", ".join(f"{c} string" for c in fields))
+    got = review.align(spark.createDataFrame(asked, kinds), claims).collect()
+    found = sorted((r["source_row_number"], r["num_distinct_statement_matches"], r["num_reference_aligned_matches"], r["n_case_claims"], r["case_found"]) for r in got)
+    assert found == [(1, 1, 1, 2, True), (1, 1, 1, 2, True), (2, 1, 0, 2, True), (3, 0, 0, None, False)]
