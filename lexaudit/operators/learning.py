@@ -2,7 +2,8 @@
 
 All models, one for each fold and each group of features left out, are fitted together by Newton's method: an
 iteration is one job, in which tasks add up gradients and Hessians of all models over their rows, and the
-driver solves a small system a model. The driver holds categories, a few numbers a fold, and the models."""
+driver solves a small system a model. Rows of a fold that are equal in label and features are one row with
+their number. The driver holds categories, a few numbers a fold, and the models."""
 
 from __future__ import annotations
 
@@ -81,19 +82,30 @@ def _columns(folded: DataFrame, categorical: list[str], numeric: list[str], labe
     return folded.select(*(F.col(c).alias(f"i{i}") for i, c in enumerate(ident)), F.col("fold").cast("int").alias("fold"), F.col(label).cast("string").alias("y"), *nums, *cats)
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows that are equal in fold, label and features as one, with their number (``times``)."""
+    own = [c for c in rows.columns if not c.startswith("i")]
+    return cut(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("times")))
+
+
 def _prepared(data: DataFrame, features: Features, groups: dict[str, tuple[list[str], list[str]]]) -> list[Model]:
-    """Models without coefficients: class weights, medians, means and deviations of each fold's training rows."""
-    count = {(r["fold"], r["y"]): r["count"] for r in data.groupBy("fold", "y").count().collect()}
+    """Models without coefficients: class weights, medians, means and deviations of each fold's training rows. ``data`` is counted."""
+    count = {(r["fold"], r["y"]): r["n"] for r in data.groupBy("fold", "y").agg(F.sum("times").alias("n")).collect()}
     folds, wide = sorted({f for f, _ in count}), len(features.numeric)
     if len(folds) < 2:
         raise ValueError("at least two folds")
     medians, means, spread = ({f: np.zeros(wide) for f in folds} for _ in range(3))
     if wide:
-        long = data.select("fold", F.posexplode(F.array(*[F.col(f"n{i}") for i in range(wide)])).alias("at", "x"))
-        each = long.groupBy("fold", "at", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("train", F.explode(F.array(*[F.lit(f) for f in folds]))).filter("train <> fold")
+        long = data.select("fold", "times", F.posexplode(F.array(*[F.col(f"n{i}") for i in range(wide)])).alias("at", "x"))
+        each = long.groupBy("fold", "at", "x").agg(F.sum("times").alias("n")).withColumn("train", F.explode(F.array(*[F.lit(f) for f in folds]))).filter("train <> fold")
         for r in exact_quantiles(each, ["train", "at"], "x", [0.5], weight="n").collect():
             medians[r["train"]][r["at"]] = 0.0 if r["q0"] is None else r["q0"]
-        moments = [(r["fold"], r["at"], r["n"], r["k"], r["m"], r["v"]) for r in long.groupBy("fold", "at").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("k"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).collect()]
+        known = F.when(F.col("x").isNotNull(), F.col("times"))
+        sums = long.groupBy("fold", "at").agg(F.sum("times").alias("n"), F.coalesce(F.sum(known), F.lit(0)).alias("k"), F.try_divide(F.sum(known * F.col("x")), F.sum(known)).alias("m")).collect()
+        centre = F.broadcast(data.sparkSession.createDataFrame([(r["fold"], r["at"], r["m"]) for r in sums], "f int, a int, m double"))
+        away = long.join(centre, (F.col("fold") == F.col("f")) & (F.col("at") == F.col("a"))).groupBy("fold", "at")
+        spreads = {(r["fold"], r["at"]): r["v"] for r in away.agg(F.try_divide(F.sum(known * (F.col("x") - F.col("m")) ** 2), F.sum(known)).alias("v")).collect()}
+        moments = [(r["fold"], r["at"], r["n"], r["k"], r["m"], spreads[r["fold"], r["at"]]) for r in sums]
         for f in folds:
             for i in range(wide):
                 parts = [(k, m, v) for g, at, _, k, m, v in moments if g != f and at == i and k]
@@ -116,12 +128,12 @@ def _prepared(data: DataFrame, features: Features, groups: dict[str, tuple[list[
     return models
 
 
-def _sums(model: Model, fold: np.ndarray, y: np.ndarray, numbers: np.ndarray, hot: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss, gradient and Hessian of one model over some rows."""
+def _sums(model: Model, fold: np.ndarray, y: np.ndarray, times: np.ndarray, numbers: np.ndarray, hot: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of one model over some rows, each as often as its number says."""
     j, p = model.beta.shape
     mine = (fold != model.fold) & np.isin(y, model.classes)
     x, own = model.design(numbers[mine], hot[mine]), np.searchsorted(model.classes, y[mine])
-    w, share = model.weight[y[mine]], model.shares(x)
+    w, share = model.weight[y[mine]] * times[mine], model.shares(x)
     loss = -float((w * np.log(np.maximum(share[np.arange(len(own)), own], 1e-300))).sum())
     off = share - (np.arange(share.shape[1]) == own[:, None])
     share, off = share[:, -j:], off[:, -j:]
@@ -136,7 +148,7 @@ def _sums(model: Model, fold: np.ndarray, y: np.ndarray, numbers: np.ndarray, ho
 
 
 def fit(data: DataFrame, features: Features, models: list[Model], penalty: float = PENALTY) -> int:
-    """Coefficients of all models at once; the number of steps. Each minimises ``penalty`` x weighted loss + half the squared coefficients without constants."""
+    """Coefficients of all models at once, of counted ``data``; the number of steps. Each minimises ``penalty`` x weighted loss + half the squared coefficients without constants."""
     place = {c: i for i, c in enumerate(features.classes)}
 
     def job(at: list[np.ndarray]) -> dict[int, tuple]:
@@ -146,9 +158,9 @@ def fit(data: DataFrame, features: Features, models: list[Model], penalty: float
                 m.beta = beta
             for batch in batches:
                 fold, y = np.asarray(batch.column("fold").to_pylist()), np.array([place.get(c, -1) for c in batch.column("y").to_pylist()])
-                numbers, hot = features.read(batch)
+                times, (numbers, hot) = np.asarray(batch.column("times"), float), features.read(batch)
                 for i, m in enumerate(models):
-                    got = _sums(m, fold, y, numbers, hot)
+                    got = _sums(m, fold, y, times, numbers, hot)
                     total[i] = list(got) if i not in total else [a + b for a, b in zip(total[i], got, strict=True)]
             for i, (loss, gradient, hessian) in total.items():
                 yield pa.RecordBatch.from_pydict({"model": pa.array([i], pa.int32()), "loss": [loss], "g": [gradient.tobytes()], "h": [hessian.tobytes()]})
@@ -191,13 +203,16 @@ def fit(data: DataFrame, features: Features, models: list[Model], penalty: float
 
 def predictions(folded: DataFrame, groups: dict[str, tuple[list[str], list[str]]], label: str, *ident: str, categorical: list[str] | None = None, numeric: list[str] | None = None, penalty: float = PENALTY) -> tuple[DataFrame, list[Model], Features]:
     """(ident…, fold, label, left_out, predicted) for every row and every group of features left out, ``all`` for none; the models, and their features.
+    Without ``ident``, equal rows are one, and ``times`` is their number.
 
     ``groups`` has names of categorical and numeric columns by group. Rows of a class that is not among the
     training rows are judged by the classes that are; null labels are of no class and are only judged.
     Ties go to the first class in order. Medians are exact; jobs run while the models are planned."""
     categorical = list(dict.fromkeys(c for g in groups.values() for c in g[0])) if categorical is None else categorical
     numeric = list(dict.fromkeys(c for g in groups.values() for c in g[1])) if numeric is None else numeric
-    data = cut(_columns(folded, categorical, numeric, label, list(ident)))
+    rows = _columns(folded, categorical, numeric, label, list(ident))
+    rows = cut(rows) if ident else rows
+    data = _counted(rows)
     classes = [r["y"] for r in data.select("y").distinct().filter("y is not null").orderBy("y").collect()]
     known: dict[str, list[str]] = {c: [] for c in categorical}
     if categorical:
@@ -208,7 +223,8 @@ def predictions(folded: DataFrame, groups: dict[str, tuple[list[str], list[str]]
     models = _prepared(data, features, groups)
     fit(data, features, models, penalty)
     kinds = dict(folded.dtypes)
-    schema = ", ".join([*(f"i{i} {kinds[c]}" for i, c in enumerate(ident)), "fold int, y string, left_out string, predicted string"])
+    kept = [*(f"i{i}" for i in range(len(ident))), *([] if ident else ["times"]), "fold", "y"]
+    schema = ", ".join([*(f"i{i} {kinds[c]}" for i, c in enumerate(ident)), *([] if ident else ["times long"]), "fold int, y string, left_out string, predicted string"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.asarray(classes, object)
@@ -219,10 +235,10 @@ def predictions(folded: DataFrame, groups: dict[str, tuple[list[str], list[str]]
                 if len(mine):
                     said = names[m.classes[m.shares(m.design(numbers[mine], hot[mine])).argmax(axis=1)]]
                     some = batch.take(pa.array(mine))
-                    yield pa.RecordBatch.from_arrays([*(some.column(f"i{i}") for i in range(len(ident))), some.column("fold"), some.column("y"), pa.array([m.left_out] * len(mine)), pa.array(said.tolist(), pa.string())], names=[*(f"i{i}" for i in range(len(ident))), "fold", "y", "left_out", "predicted"])
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array([m.left_out] * len(mine)), pa.array(said.tolist(), pa.string())], names=[*kept, "left_out", "predicted"])
 
-    told = data.mapInArrow(judge, schema)
-    return told.select(*(F.col(f"i{i}").alias(c) for i, c in enumerate(ident)), "fold", F.col("y").alias(label), "left_out", "predicted"), models, features
+    told = (rows if ident else data).mapInArrow(judge, schema)
+    return told.select(*(F.col(f"i{i}").alias(c) for i, c in enumerate(ident)), *([] if ident else ["times"]), "fold", F.col("y").alias(label), "left_out", "predicted"), models, features
 
 
 def out_of_fold(folded: DataFrame, categorical: list[str], numeric: list[str], label: str, ident: str) -> DataFrame:
@@ -232,5 +248,6 @@ def out_of_fold(folded: DataFrame, categorical: list[str], numeric: list[str], l
 
 def ablations(folded: DataFrame, groups: dict[str, tuple[list[str], list[str]]], label: str, ident: str) -> DataFrame:
     """Accuracy out of fold with each group of features (name to categorical and numeric) left out, and with all."""
-    told = predictions(folded, groups, label, ident)[0]
-    return told.groupBy("left_out").agg(F.avg(F.col(label).eqNullSafe(F.col("predicted")).cast("double")).alias("accuracy"))
+    told = predictions(folded, groups, label)[0]
+    right = F.sum(F.when(F.col(label).eqNullSafe(F.col("predicted")), F.col("times")).otherwise(0))
+    return told.groupBy("left_out").agg((right / F.sum("times")).alias("accuracy"))

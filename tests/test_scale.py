@@ -91,3 +91,15 @@ def test_equal_annotations_meet_claims_once(spark):
     got = review.align(spark.createDataFrame(asked, kinds), claims).collect()
     found = sorted((r["source_row_number"], r["num_distinct_statement_matches"], r["num_reference_aligned_matches"], r["n_case_claims"], r["case_found"]) for r in got)
     assert found == [(1, 1, 1, 2, True), (1, 1, 1, 2, True), (2, 1, 0, 2, True), (3, 0, 0, None, False)]
+
+
+def test_models_are_fitted_on_counted_rows(spark, monkeypatch):
+    """Rows that are equal in fold, label and features are one row of the fit."""
+    rows = [(i, i % 2 + 1, "ab"[i % 4 // 2], float(i % 8)) for i in range(800)]
+    seen, fit = [], learning.fit
+    monkeypatch.setattr(learning, "fit", lambda data, *rest: seen.append(data.count()) or fit(data, *rest))
+    df = spark.createDataFrame(rows, "id long, fold int, label string, x double")
+    got = {r["left_out"]: r["accuracy"] for r in learning.ablations(df, {"x": ([], ["x"])}, "label", "id").collect()}
+    told = learning.out_of_fold(df, [], ["x"], "label", "id").collect()
+    assert seen == [8, 8] and len(told) == 800
+    assert got["all"] == sum(r["label"] == r["predicted"] for r in told) / 800
