@@ -35,6 +35,24 @@ def generate_with(cases: DataFrame, generator: Callable[[], Callable[[pd.Series]
     return cases.mapInPandas(run, schema)
 
 
+def distinct_cases(cases: DataFrame, doc: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """Cases that differ in anything but ``doc``, each under its least document, and (doc, first): which of them stands for a document.
+
+    What becomes of a case follows from its own columns, so equal cases need to be worked on once."""
+    own = [c for c in cases.columns if c != doc]
+    firsts = cut(cases.groupBy(*own).agg(F.min(doc).alias(doc)).select(*cases.columns))
+    same = F.lit(True)
+    for c in own:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    named = firsts.select(F.col(doc).alias("first"), *[F.col(c).alias(f"_{c}") for c in own])
+    return firsts, cut(cases.join(named, same).select(doc, "first"))
+
+
+def of_all(results: DataFrame, members: DataFrame, doc: str = "document_id") -> DataFrame:
+    """Results of distinct cases for every document that they stand for."""
+    return members.withColumnRenamed(doc, "_doc").join(results, F.col("first") == F.col(doc)).select(*[F.col("_doc").alias(doc) if c == doc else F.col(c) for c in results.columns])
+
+
 def target_spans(claim_text: Column, assertion_text: Column, spans: Column) -> Column:
     """What a rewrite of a claim may touch is the last span; the spans before it must stay."""
     own = F.array(F.coalesce(F.nullif(assertion_text, F.lit("")), claim_text))

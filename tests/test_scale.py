@@ -103,3 +103,12 @@ def test_models_are_fitted_on_counted_rows(spark, monkeypatch):
     told = learning.out_of_fold(df, [], ["x"], "label", "id").collect()
     assert seen == [8, 8] and len(told) == 800
     assert got["all"] == sum(r["label"] == r["predicted"] for r in told) / 800
+
+
+def test_equal_orders_are_corrected_once(spark, sf, monkeypatch):
+    """Orders of one text and proposal are one case of the correction workflow, and each gets its row."""
+    seen, correct = [], workflow.correct
+    monkeypatch.setattr(workflow, "correct", lambda fields, *rest: seen.append(fields.count()) or correct(fields, *rest))
+    fixed = queries_workflow.corrections_by_sentence(spark, sf)
+    assert seen == [len(queries_workflow.BY_SENTENCE)]
+    assert fixed.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
