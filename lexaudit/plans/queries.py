@@ -21,8 +21,14 @@ LONG = "long"
 # ---------------------------------------------------------------- composed inputs
 
 
+def dealt_parts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """``part`` dealt out by key: its file is so small that one or two tasks read it, which would do all composing and
+    hold all that is composed. A given number of partitions is one that the planner doesn't bring down again."""
+    return table(spark, d, "part").select(*columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def composed_evidence(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
+    p = dealt_parts(spark, d, "p_partkey", "p_name", "p_type")
     number = F.floor(F.col("p_partkey") / 10).cast("string")
     act = F.concat(F.lit("The "), F.initcap("p_name"), F.lit(" "), F.initcap(F.lower("p_type")), F.lit(" Act, "), (F.lit(1950) + F.col("p_partkey") % 7).cast("string"))
     return p.select(
@@ -43,7 +49,7 @@ def composed_claims(spark: SparkSession, d: str) -> DataFrame:
 
     The four names of each part's act are composed once, not once a line."""
     flags = F.explode(F.array(*[F.struct(F.lit(a).alias("small"), F.lit(b).alias("later")) for a in (False, True) for b in (False, True)]))
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", flags.alias("f")).select("p_partkey", "p_name", "p_type", "f.small", "f.later")
+    p = dealt_parts(spark, d, "p_partkey", "p_name", "p_type").select("*", flags.alias("f")).select("p_partkey", "p_name", "p_type", "f.small", "f.later")
     act = F.concat(
         F.lit("the "), F.initcap("p_name"), F.lit(" "), F.initcap(F.when(F.col("small"), F.lit("small")).otherwise(F.lower("p_type"))), F.lit(" Act "),
         (F.lit(1950) + (F.col("p_partkey") + F.col("later").cast("int")) % 7).cast("string"),
@@ -324,7 +330,7 @@ def anti_previously_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
+    p = dealt_parts(spark, d, "p_partkey", "p_name", "p_type", "p_brand", "p_size")
     text = F.concat(F.lit("Whoever keeps a "), F.col("p_name"), F.lit(" of "), F.lower("p_type"), F.lit(" make shall be punished with imprisonment which may extend to "), F.col("p_size").cast("string"), F.lit(" years."))
     return p.select(
         F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("dataset_citation_key"), F.col("p_partkey").alias("pool_ord"), text.alias("canonical_text"), F.lit("Section").alias("provision_type"),

@@ -112,3 +112,9 @@ def test_equal_orders_are_corrected_once(spark, sf, monkeypatch):
     fixed = queries_workflow.corrections_by_sentence(spark, sf)
     assert seen == [len(queries_workflow.BY_SENTENCE)]
     assert fixed.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_parts_are_dealt_out(spark, sf):
+    """What is composed of a part is composed by more tasks than read its small file."""
+    assert queries._records(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "hashpartitioning(p_partkey" in plan(queries.composed_claims(spark, sf)) and "REPARTITION_BY_NUM" in plan(queries.composed_claims(spark, sf))
