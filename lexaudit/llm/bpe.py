@@ -8,11 +8,11 @@ Texts are split by the vocabulary's pattern; each match becomes ids by itself, i
    compared with the key itself, byte by byte, so that no other match passes for it.
 2. **Heap over linked bytes** (``merged``) for matches that are no token: their bytes are a linked list, and a
    heap of (rank, place) gives the adjacent pair to merge next, leftmost first among equal ranks. Pairs are
-   looked up by their two ids, so a match of n bytes takes n log n steps. Results are kept in the
-   worker, up to ``KEPT`` of them.
+   looked up by their two ids, so a match of n bytes takes n log n steps. Matches of up to ``WIDE`` bytes
+   advance together, one entry of each one's heap per numpy step (``merged_together``).
 
-The vocabulary is a file of fixed size, read once by every worker; nothing of the corpus is kept but the
-bounded store of merged matches. Decoding gathers the tokens' bytes.
+The vocabulary is a file of fixed size, read once by every worker; nothing of the corpus is kept. Decoding
+gathers the tokens' bytes.
 
 Defined cases: null text is empty and has no ids; null ids decode to no bytes; rows that repeat, or share
 an id, are encoded one by one; a text of any length is encoded in whole by one task, its matches in blocks of
@@ -40,7 +40,9 @@ from lexaudit.llm.common import arrow_map, by_size
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 400_000
-KEPT = 200_000
+#: Longest match whose heap advances with others', and how many do so at once.
+WIDE, LANES = 64, 16_384
+_NONE = np.iinfo(np.int64).max
 _SLICE = 2_000_000
 
 
@@ -158,7 +160,17 @@ class Vocabulary:
         self.singles = [self.rank[bytes([b])] for b in range(256)]
         #: Ids of a token's two parts to its rank, for each cut of each token into two tokens.
         self.pairs = {(self.rank[t[:k]], self.rank[t[k:]]): i for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank}
-        self.kept: dict[bytes, np.ndarray] = {}
+        keys = np.fromiter((a << 32 | b for a, b in self.pairs), np.int64, len(self.pairs))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.pairs.values(), np.int64, len(keys))[order]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, -1 of those that are no token."""
+        if not len(self.pair_keys):
+            return np.full(len(a), -1)
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
     def merged(self, match: bytes) -> list[int]:
         """Ids of one match that is no token."""
@@ -189,6 +201,98 @@ class Vocabulary:
             i = after[i]
         return out
 
+    def merged_together(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of up to ``WIDE`` bytes, in order, and the number of each one's; like ``merged``, all at once."""
+        n, wide = len(size), int(size.max()) + 1
+        place = np.arange(wide)
+        inside = place < size[:, None]
+        ids = np.where(inside, np.asarray(self.singles)[data[np.minimum(start[:, None] + place, len(data) - 1)]], -1)
+        after, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+        rank = np.full((n, wide), -1)
+        row, col = np.nonzero(inside[:, 1:])
+        rank[row, col] = self._ranks(ids[row, col], ids[row, col + 1])
+        heap = np.full((n, 2 * wide + 1), _NONE)  # of (rank, place) as one number; a merge takes one out and puts two in at most
+        heap[:, :wide] = np.sort(np.where(rank >= 0, rank << 8 | place, _NONE), 1)
+        held = (rank >= 0).sum(1)
+        end = heap.shape[1] - 1
+
+        def push(lane: np.ndarray, entry: np.ndarray) -> None:
+            i = held[lane]
+            heap[lane, i] = entry
+            held[lane] += 1
+            while len(lane):
+                up = np.maximum(i - 1, 0) >> 1
+                above = heap[lane, up]
+                rises = np.flatnonzero(entry < above)
+                lane, i, up, entry, above = lane[rises], i[rises], up[rises], entry[rises], above[rises]
+                heap[lane, i], heap[lane, up] = above, entry
+                i = up
+
+        def pop(lane: np.ndarray) -> np.ndarray:
+            top = heap[lane, 0]
+            held[lane] -= 1
+            entry = heap[lane, held[lane]]
+            heap[lane, held[lane]] = _NONE
+            some = np.flatnonzero(held[lane])
+            lane, entry, i = lane[some], entry[some], np.zeros(len(some), np.int64)
+            heap[lane, 0] = entry
+            while len(lane):
+                one = np.minimum(2 * i + 1, end)
+                two = np.minimum(one + 1, end)
+                least = np.where(heap[lane, two] < heap[lane, one], two, one)
+                below = heap[lane, least]
+                sinks = np.flatnonzero(below < entry)
+                lane, i, least, entry, below = lane[sinks], i[sinks], least[sinks], entry[sinks], below[sinks]
+                heap[lane, i], heap[lane, least] = below, entry
+                i = least
+            return top
+
+        live = np.flatnonzero(held)
+        while len(live):
+            top = pop(live)
+            r, i = top >> 8, top & 255
+            ok = np.flatnonzero(rank[live, i] == r)  # else one of its two parts has been merged since
+            lane, r, i = live[ok], r[ok], i[ok]
+            gone = after[lane, i]
+            right, left = after[lane, gone], before[lane, i]
+            ids[lane, i], ids[lane, gone], rank[lane, gone] = r, -1, -1
+            after[lane, i], before[lane, right] = right, i
+            second = ids[lane, right]  # -1 beyond the end
+            rank[lane, i] = new = np.where(second >= 0, self._ranks(r, second), -1)
+            more = np.flatnonzero(new >= 0)
+            push(lane[more], new[more] << 8 | i[more])
+            some = np.flatnonzero(left >= 0)
+            lane, left = lane[some], left[some]
+            rank[lane, left] = new = self._ranks(ids[lane, left], r[some])
+            more = np.flatnonzero(new >= 0)
+            push(lane[more], new[more] << 8 | left[more])
+            live = live[held[live] > 0]
+        there = ids >= 0
+        return ids[there], there.sum(1)
+
+    def _all_merged(self, matches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches that are no tokens, in order, and the number of each one's; those of like length advance together."""
+        data, offsets = _buffers(matches)
+        size = np.diff(offsets)
+        by_size = np.argsort(size, kind="stable")
+        by_size = by_size[size[by_size] > 0]
+        short = by_size[: np.searchsorted(size[by_size], WIDE, side="right")]
+        groups, counts = [], np.zeros(len(size), np.int64)
+        for a in range(0, len(short), LANES):
+            own = short[a : a + LANES]
+            ids, counts[own] = self.merged_together(data, offsets[own], size[own])
+            groups.append((own, ids))
+        for i in by_size[len(short) :].tolist():
+            ids = np.asarray(self.merged(data[offsets[i] : offsets[i + 1]].tobytes()))
+            counts[i] = len(ids)
+            groups.append((np.array([i]), ids))
+        flat = np.empty(int(counts.sum()), np.int32)
+        first = np.cumsum(counts) - counts
+        for own, ids in groups:
+            c = counts[own]
+            flat[np.arange(len(ids)) + np.repeat(first[own] - (np.cumsum(c) - c), c)] = ids
+        return flat, counts
+
     def encode_matches(self, matches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all matches in order, and the number of ids of each match."""
         if not len(matches):
@@ -199,23 +303,14 @@ class Vocabulary:
         missed = np.flatnonzero(number < 0)
         if not len(missed):
             return number[which].astype(np.int32), np.ones(len(which), np.int64)
-        own: list[np.ndarray] = []
-        for match in known.dictionary.take(pa.array(missed)).to_pylist():
-            ids = self.kept.get(match)
-            if ids is None:
-                ids = np.asarray(self.merged(match), np.int32)
-                if len(match) <= 64:
-                    if len(self.kept) >= KEPT:
-                        self.kept.clear()
-                    self.kept[match] = ids
-            own.append(ids)
+        own, many = self._all_merged(known.dictionary.take(pa.array(missed)))
         sizes = np.ones(len(number), np.int64)
-        sizes[missed] = [len(x) for x in own]
+        sizes[missed] = many
         starts = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.empty(starts[-1], np.int32)
-        flat[starts[:-1]] = number
+        flat[starts[:-1][number >= 0]] = number[number >= 0]
         at = np.arange(int(sizes[missed].sum())) + np.repeat(starts[missed] - np.concatenate([[0], np.cumsum(sizes[missed])[:-1]]), sizes[missed])
-        flat[at] = np.concatenate(own)
+        flat[at] = own
         counts = sizes[which]
         ends = np.cumsum(counts)
         return flat[np.arange(int(ends[-1])) + np.repeat(starts[which] - (ends - counts), counts)], counts

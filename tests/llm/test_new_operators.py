@@ -81,6 +81,22 @@ def test_bpe_of_long_texts_and_runs(library):
     assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_heaps_of_short_matches_advance_together(monkeypatch):
+    vocab = bpe.Vocabulary(PATH, bpe.public_pattern())
+    some = random.Random(7)
+    words = [bytes(some.choices(b"abe \xd0\xbe\xd1\x82\xe4\xb8\x96", k=some.randint(1, 90))) for _ in range(400)] + [b"a" * 64, b"a" * 65, "не".encode() * 16, b"\xff"]
+    own = [vocab.merged(w) for w in words]
+    ids, sizes = vocab._all_merged(pa.array(words, pa.binary()))
+    assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == own[0] and ids.tolist() == [i for x in own for i in x] and sizes.tolist() == list(map(len, own))
+
+    def alone(match):
+        raise AssertionError(f"{match} is merged alone")
+
+    short = pa.array([w for w in words if len(w) <= bpe.WIDE], pa.binary())
+    monkeypatch.setattr(vocab, "merged", alone)
+    assert vocab.encode_matches(short)[1].sum() > 0
+
+
 def test_bpe_of_odd_and_empty_tables(spark, docs, library):
     encoded = bpe.encode(docs, PATH, keep=("doc_id", "text", "size"))
     rows = encoded.collect()
