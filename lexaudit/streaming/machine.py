@@ -1,8 +1,9 @@
 """The protocol of runs as a state machine with typed, keyed state over a stream of events.
 
-State of a run is one typed value (``_RUN``) and a map from blocks of ``1 << BITS`` sequence numbers to what is
-known of them; a micro-batch reads and writes the value and the blocks that its events touch, nothing
-else. Events may come in any order, late within the watermark, and more than once: the state follows
+State of a run is one typed value (``_RUN``) and a map of blocks, each the events of a span of sequence numbers. A
+block of more than ``HELD`` events is cut in pieces, so a run has as many blocks as its events need, however far
+apart their numbers are; the value has the blocks' first numbers. A micro-batch reads and writes the value and the
+blocks that its events touch, nothing else. Events may come in any order, late within the watermark, and more than once: the state follows
 from the set of (run, seq), of equal ones the first to come counts. When an end comes before an end that
 came earlier, the first event behind it is looked up in the map.
 
@@ -27,10 +28,11 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from lexaudit.streaming.stages import is_terminal
 
-BITS = 12
+HELD = 4096
 STATES = "run_id string, version long, n_events long, state string, first_bad_seq long"
-_RUN = "n long, end_seq long, failed boolean, after long, invalid long, version long, timer long, stalled boolean"
+_RUN = "n long, end_seq long, failed boolean, after long, invalid long, version long, timer long, stalled boolean, firsts binary"
 _SEEN, _END, _ERROR, _INVALID = 1, 2, 4, 8
+_LEAST = np.array([np.iinfo(np.int64).min])
 
 
 class RunMachine(StatefulProcessor):
@@ -44,16 +46,28 @@ class RunMachine(StatefulProcessor):
         self.run = handle.getValueState("run", _RUN)
         self.seen = handle.getMapState("seen", "block long", "flags binary", self.ttl_ms)
 
-    def _block(self, block: int) -> np.ndarray:
-        found = self.seen.getValue((block,)) if self.seen.containsKey((block,)) else None
-        return np.zeros(1 << BITS, np.uint8) if found is None else np.frombuffer(zlib.decompress(bytes(found[0])), np.uint8).copy()
+    def _block(self, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence numbers, ascending, and flags of a block's events."""
+        there = self.ttl_ms is None or self.seen.containsKey((first,))  # blocks that the value names may have expired
+        found = self.seen.getValue((first,)) if there else None
+        raw = b"" if found is None else zlib.decompress(bytes(found[0]))
+        n = len(raw) // 9
+        return np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.uint8, n, 8 * n)
 
-    def _next(self, seq: int) -> int | None:
+    def _put(self, first: int, seqs: np.ndarray, flags: np.ndarray) -> None:
+        self.seen.updateValue((first,), (zlib.compress(np.diff(seqs, prepend=0).tobytes() + flags.tobytes(), 1),))
+
+    @staticmethod
+    def _firsts(run: dict) -> np.ndarray:
+        """Where each block's span begins, ascending; none before the first event."""
+        return np.frombuffer(bytes(run["firsts"] or b""), np.int64)
+
+    def _next(self, run: dict, seq: int) -> int | None:
         """The least sequence number seen after ``seq``."""
-        first = seq >> BITS
-        for block in sorted(k[0] for k in self.seen.keys() if k[0] >= first):
-            at = np.flatnonzero(self._block(block)) + (block << BITS)
-            if len(at := at[at > seq]):
+        firsts = self._firsts(run)
+        for first in firsts[max(0, int(np.searchsorted(firsts, seq, "right")) - 1) :].tolist():
+            seqs, _ = self._block(first)
+            if len(at := seqs[seqs > seq]):
                 return int(at[0])
         return None
 
@@ -62,14 +76,26 @@ class RunMachine(StatefulProcessor):
         _, first = np.unique(seqs, return_index=True)
         seqs, flags = seqs[first], flags[first]
         new = np.zeros(len(seqs), bool)
-        for block in np.unique(seqs >> BITS).tolist():
-            mine = np.flatnonzero(seqs >> BITS == block)
-            known, at = self._block(block), seqs[mine] & ((1 << BITS) - 1)
-            fresh = known[at] == 0
-            if fresh.any():
-                known[at[fresh]] = flags[mine[fresh]]
-                self.seen.updateValue((block,), (zlib.compress(known.tobytes(), 1),))
-                new[mine[fresh]] = True
+        firsts = self._firsts(run)
+        begun = len(firsts) > 0
+        firsts = firsts if begun else _LEAST
+        span, cuts = np.searchsorted(firsts, seqs, "right") - 1, []
+        for i in np.unique(span).tolist():
+            mine = np.flatnonzero(span == i)
+            known, had = self._block(int(firsts[i])) if begun else (seqs[:0], flags[:0])
+            fresh = mine[~np.isin(seqs[mine], known)]
+            if not len(fresh):
+                continue
+            new[fresh] = True
+            merged = np.concatenate([known, seqs[fresh]])
+            order = np.argsort(merged, kind="stable")
+            merged, marks = merged[order], np.concatenate([had, flags[fresh]])[order]
+            pieces = [0, *(range(HELD // 2, len(merged) - HELD // 4, HELD // 2) if len(merged) > HELD else ()), len(merged)]
+            for a, b in zip(pieces, pieces[1:], strict=False):
+                self._put(int(merged[a] if a else firsts[i]), merged[a:b], marks[a:b])
+            cuts += merged[pieces[1:-1]].tolist()
+        if cuts or not begun:
+            run["firsts"] = np.sort(np.concatenate([firsts, np.array(cuts, np.int64)])).tobytes()
         seqs, flags = seqs[new], flags[new]
         if not len(seqs):
             return False
@@ -79,14 +105,14 @@ class RunMachine(StatefulProcessor):
         ends = np.flatnonzero(flags & _END)
         if len(ends) and (run["end_seq"] is None or seqs[ends[0]] < run["end_seq"]):
             run["end_seq"], run["failed"] = int(seqs[ends[0]]), bool(flags[ends[0]] & _ERROR)
-            run["after"] = self._next(run["end_seq"])
+            run["after"] = self._next(run, run["end_seq"])
         elif run["end_seq"] is not None:
             run["after"] = least(run["after"], *seqs[seqs > run["end_seq"]][:1])
         return True
 
     def _load(self) -> dict:
         names = [f.split()[0] for f in _RUN.split(", ")]
-        return dict(zip(names, self.run.get() if self.run.exists() else (0, None, False, None, None, 0, None, False), strict=True))
+        return dict(zip(names, self.run.get() if self.run.exists() else (0, None, False, None, None, 0, None, False, None), strict=True))
 
     @staticmethod
     def _state(run: dict) -> tuple[str, int | None]:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,57 @@ def test_machine_against_brute_force_with_a_restart(spark, tmp_path):
     assert want == brute_states(events)
 
 
+class HeldMap:
+    """A map state in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def keys(self):
+        self.calls += 1
+        return iter(list(self.held))
+
+
+def folded(batches):
+    m = machine.RunMachine(1, 1, None)
+    m.seen = HeldMap()
+    names = [f.split()[0] for f in machine._RUN.split(", ")]
+    state = dict(zip(names, (0, None, False, None, None, 0, None, False, None), strict=False))
+    for events in batches:
+        m._fold(state, np.array([e[0] for e in events], np.int64), np.array([e[1] for e in events], np.uint8))
+    return m, state
+
+
+def test_blocks_are_as_many_as_the_events_need():
+    r = random.Random(3)
+    far = [(r.randrange(1 << 50), 1) for _ in range(300)]
+    m, state = folded([far[:150], far[150:], far[100:200]])
+    assert state["n"] == 300 and len(m.seen.held) == 1 and m.seen.calls < 10
+    for spread in (1, 1 << 40):  # far more than a block holds, in any order, with repeats and early ends last
+        seqs = [spread * i for i in r.sample(range(20_000), 15_000)]
+        flags = {q: 1 | (2 if k in (5000, 12_000) else 0) | (8 if k in (9000, 14_000) else 0) for k, q in enumerate(seqs)}
+        batches = [[(q, flags[q]) for q in seqs[a : a + 900] + seqs[max(0, a - 50) : a]] for a in range(0, len(seqs), 900)]
+        m, state = folded(batches)
+        end = min(q for q in seqs if flags[q] & 2)
+        assert (state["n"], state["end_seq"], state["invalid"]) == (15_000, end, min(q for q in seqs if flags[q] & 8))
+        assert state["after"] == min((q for q in seqs if q > end), default=None)
+        sizes = [len(m._block(k[0])[0]) for k in m.seen.held]
+        assert sum(sizes) == 15_000 and max(sizes) <= machine.HELD and len(sizes) < 16
+        assert sorted(q for k in m.seen.held for q in m._block(k[0])[0].tolist()) == sorted(seqs)
+
+
 def test_machine_goes_on_from_a_table(spark, tmp_path):
     events, path = random_events(4, runs=8), str(tmp_path / "in")
     put(spark, events, path, 2, 5)
