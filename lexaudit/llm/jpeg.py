@@ -15,6 +15,7 @@ Coefficients are kept in zigzag order as int16 arrays of (blocks, 64).
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass, field
 
@@ -22,6 +23,8 @@ import numpy as np
 
 RESTART = 8
 _PAD = 16
+_RESTARTS = [bytes([0xFF, 0xD0 + i]) for i in range(8)]
+_AT_RESTART, _AT_END = re.compile(rb"\xff[\xd0-\xd7]"), re.compile(rb"\xff[^\x00\xd0-\xd7]")
 
 
 def _zigzag() -> np.ndarray:
@@ -214,7 +217,7 @@ def assemble(width: int, height: int, factors: list[tuple[int, int]], scans: lis
             parts.append(_segment(0xDA, bytes([1, i + 1, 0, ss, se, ah << 4 | al])))
             for n, data in enumerate(by_scan[k]):
                 if n:
-                    parts.append(bytes([0xFF, 0xD0 + (n - 1) % 8]))
+                    parts.append(_RESTARTS[(n - 1) % 8])
                 parts.append(data)
     parts.append(b"\xff\xd9")
     return b"".join(parts)
@@ -271,15 +274,7 @@ class Image:
 
 def _split(data: bytes) -> list[bytes]:
     """Restart intervals of entropy-coded data, unstuffed."""
-    parts, at = [], 0
-    i = data.find(b"\xff")
-    while i >= 0:
-        if 0xD0 <= data[i + 1] <= 0xD7:
-            parts.append(data[at:i])
-            at = i + 2
-        i = data.find(b"\xff", i + 2)
-    parts.append(data[at:])
-    return [p.replace(b"\xff\x00", b"\xff") for p in parts]
+    return [p.replace(b"\xff\x00", b"\xff") for p in _AT_RESTART.split(data)]
 
 
 def parse(data: bytes) -> Image:
@@ -324,13 +319,10 @@ def parse(data: bytes) -> Image:
             comps = [im.ids.index(body[1 + 2 * j]) for j in range(k)]
             which = [body[2 + 2 * j] for j in range(k)]
             ss, se, a = body[1 + 2 * k : 4 + 2 * k]
-            end = at
-            while True:
-                end = data.index(b"\xff", end)
-                if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                    end += 2
-                else:
-                    break
+            found = _AT_END.search(data, at)
+            if found is None:
+                raise ValueError("entropy-coded data without an end")
+            end = found.start()
             dc = [tables.get(w >> 4, b"") for w in which]
             im.scans.append(_Scan(comps, dc, tables.get(0x10 | which[0] & 15) if se else None, ss, se, a >> 4, a & 15, restart, [data[at:end]]))
             at = end
@@ -533,6 +525,17 @@ def decode_coefficients(files: list[bytes], max_blocks: int = 1 << 15) -> list[I
     return images
 
 
+def _waves(scans: list[_Scan]) -> list[list[_Scan]]:
+    """Scans that follow each other and have no component in common can be decoded together."""
+    out: list[list[_Scan]] = []
+    for s in scans:
+        if out and not any(set(s.comps) & set(x.comps) for x in out[-1]):
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
 def _accumulate(images: list[Image]) -> None:
     first: dict[tuple[int, int], int] = {}
     total = 0
@@ -542,21 +545,24 @@ def _accumulate(images: list[Image]) -> None:
             r, c = im.grid(i)
             total += r * c
     out = np.zeros((total, 64), np.int16)
-    for turn in range(max(len(im.scans) for im in images)):
-        alike: dict[tuple, list[int]] = {}
-        for a, im in enumerate(images):
-            if turn < len(im.scans):
-                s = im.scans[turn]
-                alike.setdefault((s.ss, s.se, s.ah, s.al, tuple(s.dc) if not s.se else (), s.ac), []).append(a)
+    own_rows: dict[tuple[int, int], np.ndarray] = {}  # of the scans of one component
+    waves = [_waves(im.scans) for im in images]
+    for turn in range(max(map(len, waves))):
+        alike: dict[tuple, list[tuple[int, _Scan]]] = {}
+        for a, wave in enumerate(waves):
+            for s in wave[turn] if turn < len(wave) else ():
+                alike.setdefault((s.ss, s.se, s.ah, s.al, tuple(s.dc) if not s.se else (), s.ac), []).append((a, s))
         for (ss, se, ah, al, dc, ac), members in alike.items():
             parts: list[bytes] = []
             rows, slots, counts = [], [], []
-            for a in members:
-                im, s = images[a], images[a].scans[turn]
+            for a, s in members:
+                im = images[a]
                 if len(s.comps) == 1:
                     i = s.comps[0]
-                    (_, gc), (rr, rc) = im.grid(i), im.real(i)
-                    row = first[a, i] + (np.arange(rr)[:, None] * gc + np.arange(rc)).ravel()
+                    row = own_rows.get((a, i))
+                    if row is None:
+                        (_, gc), (rr, rc) = im.grid(i), im.real(i)
+                        row = own_rows[a, i] = first[a, i] + (np.arange(rr)[:, None] * gc + np.arange(rc)).ravel()
                     slot = np.zeros(len(row), np.int64)
                     per = 1
                 else:  # interleaved: unit by unit, each component's blocks in turn
@@ -615,13 +621,23 @@ def plane(blocks: np.ndarray, rows: int, cols: int, quant: np.ndarray) -> np.nda
 def rgb(im: Image) -> np.ndarray:
     """The image's full-resolution RGB tensor (height, width, 3)."""
     hm, vm = max(h for h, _ in im.factors), max(v for _, v in im.factors)
-    planes = []
-    for i, (h, v) in enumerate(im.factors):
-        p = plane(im.coefficients[i], *im.grid(i), im.quant[im.quant_of[i]])
-        planes.append(np.repeat(np.repeat(p, vm // v, 0), hm // h, 1)[: im.height, : im.width])
+
+    def upsampled(p: np.ndarray, i: int) -> np.ndarray:
+        h, v = im.factors[i]
+        return np.repeat(np.repeat(p, vm // v, 0), hm // h, 1)[: im.height, : im.width]
+
+    planes = [plane(im.coefficients[i], *im.grid(i), im.quant[im.quant_of[i]]) for i in range(len(im.factors))]
+    y = upsampled(planes[0], 0)
     if len(planes) == 1:
-        return np.stack(planes * 3, -1)
-    y, cb, cr = (p.astype(np.float64) for p in planes[:3])
-    cb, cr = cb - 128, cr - 128
-    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1)
-    return np.clip(np.floor(out + 0.5 + 1e-6), 0, 255).astype(np.uint8)
+        return np.stack([y] * 3, -1)
+    cb, cr = planes[1:3]
+    alike = im.factors[1] == im.factors[2]
+    if not alike:
+        cb, cr = upsampled(cb, 1), upsampled(cr, 2)
+    cb, cr = cb.astype(np.float64) - 128, cr.astype(np.float64) - 128
+    # luma is whole, so what chroma adds to it is rounded by itself, before it is upsampled
+    out = np.empty((im.height, im.width, 3), np.uint8)
+    for k, more in enumerate((1.402 * cr, -0.344136 * cb - 0.714136 * cr, 1.772 * cb)):
+        whole = np.floor(more + 0.5 + 1e-6).astype(np.int16)
+        out[..., k] = np.clip((upsampled(whole, 1) if alike else whole) + y, 0, 255)
+    return out

@@ -1,11 +1,12 @@
 """Media columns: any bytes stored losslessly as the coefficients of a progressive JPEG.
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are read as signed
-8-bit coefficients; 64 of them are a block, and the blocks of a text are one grey image, a strip
-of up to ``ROW_BLOCKS`` blocks a row. The comment segment keeps the unpadded length.
+8-bit coefficients; 64 of them are a block. The blocks of a text are one colour image with halved chroma (4:2:0), of
+units of four blocks of Y, one of Cb and one of Cr, up to ``ROW_UNITS`` a row: first all blocks of Y, then those of
+Cb and of Cr, the last unit filled up with zeros. The comment segment keeps the unpadded length.
 
-Reading back decodes all scans to coefficients, takes the payload from them, and computes
-features from the RGB tensor. Texts are handled in slices of bounded size; one very long text is
+Reading back decodes all scans to coefficients, takes the payload from them, upsamples the chroma and stores the
+full-resolution RGB tensor as a column (``with_tensors``); features are computed from that column. Texts are handled in slices of bounded size; one very long text is
 encoded slice by slice, as restart intervals stand on their own.
 
 Defined cases: null text is empty (64 zero bytes); repeated rows stay, and ids need not be unique (no
@@ -27,26 +28,30 @@ from pyspark.sql import functions as F
 from lexaudit.llm import jpeg
 from lexaudit.llm.common import arrow_map, by_size
 
-ROW_BLOCKS = 8191
-MAX_BLOCKS = 65_535 // 8 * ROW_BLOCKS
+ROW_UNITS = 65_535 // 16
+#: Sampling factors of Y, Cb and Cr; a unit has as many blocks of each as their product.
+FACTORS = [(2, 2), (1, 1), (1, 1)]
+UNIT = sum(h * v for h, v in FACTORS)
+MAX_BLOCKS = ROW_UNITS * ROW_UNITS * UNIT
 SLICE_BYTES = 1_000_000
 SLICE_BLOCKS = SLICE_BYTES // 64 // jpeg.RESTART * jpeg.RESTART
 
 
 def strip(n_blocks: int) -> tuple[int, int]:
-    """Rows and columns of blocks that hold a text's blocks with fewer spare ones than rows."""
-    rows = -(-n_blocks // ROW_BLOCKS)
-    return rows, -(-n_blocks // rows)
+    """Rows and columns of units that hold a text's blocks with fewer spare units than rows."""
+    units = -(-n_blocks // UNIT)
+    rows = -(-units // ROW_UNITS)
+    return rows, -(-units // rows)
 
 
 def pack_texts(texts: list[bytes]) -> list[bytes]:
     """A JPEG of each text's bytes."""
     shapes = [strip(max(1, -(-len(t) // 64))) for t in texts]
-    if any(r > 65_535 // 8 for r, _ in shapes):
+    if any(r > ROW_UNITS for r, _ in shapes):
         raise ValueError(f"a text of over {MAX_BLOCKS * 64} bytes exceeds a JPEG's size")
-    n_blocks = [r * c for r, c in shapes]
+    n_blocks = [r * c * h * v for r, c in shapes for h, v in FACTORS]  # of each component of each text
     n_segs = [-(-n // jpeg.RESTART) for n in n_blocks]
-    padded = b"".join(t.ljust(64 * n, b"\0") for t, n in zip(texts, n_blocks, strict=True))
+    padded = b"".join(t.ljust(64 * UNIT * r * c, b"\0") for t, (r, c) in zip(texts, shapes, strict=True))
     blocks = np.frombuffer(padded, np.int8).reshape(-1, 64).astype(np.int16)
     within = np.concatenate([np.arange(n) for n in n_blocks])
     seg = np.repeat(np.cumsum(n_segs) - n_segs, n_blocks) + within // jpeg.RESTART
@@ -60,25 +65,23 @@ def pack_texts(texts: list[bytes]) -> list[bytes]:
         for all_, some in zip(scans, jpeg.encode_segments(blocks[at:end], here, int(here[-1]) + 1), strict=True):
             all_ += some
         at = end
-    out, first = [], 0
-    for t, (rows, cols), n in zip(texts, shapes, n_segs, strict=True):
-        own = [s[first : first + n] for s in scans]
-        out.append(jpeg.assemble(8 * cols, 8 * rows, [(1, 1)], [own], str(len(t)).encode()))
-        first += n
-    return out
+    edges = np.concatenate([[0], np.cumsum(n_segs)]).tolist()
+    own = [[s[a:b] for s in scans] for a, b in zip(edges, edges[1:], strict=False)]
+    k = len(FACTORS)
+    return [jpeg.assemble(16 * cols, 16 * rows, FACTORS, own[k * i : k * i + k], str(len(t)).encode()) for i, (t, (rows, cols)) in enumerate(zip(texts, shapes, strict=True))]
 
 
 def unpack(im: jpeg.Image) -> tuple[bytes, int]:
     """Payload (padded) and unpadded length of a decoded image."""
     n = int(im.comment)
     size = max(64, -(-n // 64) * 64)
-    return im.coefficients[0].astype(np.int8).tobytes()[:size], n
+    return b"".join(c.astype(np.int8).tobytes() for c in im.coefficients)[:size], n
 
 
-def feature(im: jpeg.Image) -> str:
-    """Size, mean level in 1/16, and a 64-bit average hash over 64 spans of the luma row means."""
-    tensor = jpeg.rgb(im)
-    luma = tensor.astype(np.int32) @ np.array([299, 587, 114], np.int32) // 1000
+def feature(tensor: np.ndarray) -> str:
+    """Size, mean level in 1/16, and a 64-bit average hash over 64 spans of the luma column means, of an RGB tensor."""
+    wide = tensor.astype(np.int32)
+    luma = (299 * wide[..., 0] + 587 * wide[..., 1] + 114 * wide[..., 2]) // 1000
     columns = luma.sum(0)
     edges = np.arange(65) * len(columns) // 64
     total = np.concatenate([[0], np.cumsum(columns)])
@@ -86,7 +89,7 @@ def feature(im: jpeg.Image) -> str:
     mean = (total[edges[1:]] - total[edges[:-1]]) / width
     level = luma.sum() / luma.size
     bits = int("".join("1" if m > level else "0" for m in mean), 2)
-    return f"{im.width}x{im.height}:{int(16 * int(luma.sum()) // luma.size)}:{bits:016x}"
+    return f"{tensor.shape[1]}x{tensor.shape[0]}:{int(16 * int(luma.sum()) // luma.size)}:{bits:016x}"
 
 
 def with_media(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,13 +105,14 @@ def with_media(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     return arrow_map(picked, run, "doc_id long, media binary")
 
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_PAYLOAD = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_TENSOR = "height int, width int, rgb binary"
 
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """Payload digests and features, all computed from the stored media."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = [c.split()[0] for c in _DIGEST.split(", ")]
+def with_tensors(media: DataFrame) -> DataFrame:
+    """Payload digests, read back from the stored media, and the full-resolution RGB tensor (height, width, its bytes by row)."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+    names = [c.split()[0] for c in f"{_PAYLOAD}, {_TENSOR}".split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -117,7 +121,21 @@ def media_digest(media: DataFrame) -> DataFrame:
                 rows = []
                 for doc, data, im in zip(batch.column("doc_id").to_pylist(), files, jpeg.decode_coefficients(files), strict=True):
                     payload, n = unpack(im)
-                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(im)))
+                    tensor = jpeg.rgb(im).tobytes()
+                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), im.height, im.width, tensor))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return arrow_map(media, run, _DIGEST)
+    return arrow_map(media, run, f"{_PAYLOAD}, {_TENSOR}")
+
+
+def media_digest(media: DataFrame) -> DataFrame:
+    """Payload digests, and features of the stored tensors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), batch.column("rgb"), strict=True)
+            found = [feature(np.frombuffer(x.as_buffer(), np.uint8).reshape(h, w, 3)) for h, w, x in shapes]
+            kept = batch.drop_columns(["height", "width", "rgb"])
+            yield kept.append_column("feature", pa.array(found, pa.string()))
+
+    return arrow_map(with_tensors(media), run, f"{_PAYLOAD}, feature string")

@@ -392,6 +392,26 @@ def test_inverse_transform_is_orthonormal():
     assert sorted(jpeg.ZIGZAG) == list(range(64)) and list(jpeg.ZIGZAG[:6]) == [0, 1, 8, 16, 9, 2]
 
 
+def test_media_chroma_is_upsampled_into_a_stored_tensor(spark):
+    texts = ["", "x" * 64, "né " * 700, "a longer text, of several units. " * 300]
+    stored = media.with_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in media.with_tensors(stored).collect()}
+    features = {r["doc_id"]: r["feature"] for r in media.media_digest(stored).collect()}
+    files = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    for i, r in rows.items():
+        im = jpeg.decode_coefficients([files[i]])[0]
+        assert im.factors == [(2, 2), (1, 1), (1, 1)]
+        tensor = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
+        y, cb, cr = (jpeg.plane(im.coefficients[k], *im.grid(k), np.ones(64)).astype(float) for k in range(3))
+        assert y.shape == (2 * cb.shape[0], 2 * cb.shape[1]) == tensor.shape[:2]
+        for px, py in {(0, 0), (r["width"] - 1, r["height"] - 1), (r["width"] // 2, 5)}:  # each chroma sample holds for four pixels
+            b, c = cb[py // 2, px // 2] - 128, cr[py // 2, px // 2] - 128
+            want = [y[py, px] + 1.402 * c, y[py, px] - 0.344136 * b - 0.714136 * c, y[py, px] + 1.772 * b]
+            assert np.abs(np.clip(want, 0, 255) - tensor[py, px]).max() <= 0.51
+        assert features[i] == media.feature(tensor) and features[i].startswith(f"{r['width']}x{r['height']}:")
+        assert media.unpack(im)[0].rstrip(b"\0") == texts[i].encode()
+
+
 def test_media_query(docs, none):
     got = media.media_digest(media.with_media(docs)).collect()
     want = Counter()
