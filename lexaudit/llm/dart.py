@@ -17,6 +17,8 @@ import math
 import numpy as np
 
 FINEST = 6
+#: Pairs of an element and a cell that are worked on at once.
+CHUNK = 1 << 15
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,14 +37,9 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _rank_cells(limit: float) -> list[tuple[float, float]]:
-    """(start, width) of the rank cells up to a limit: one finest, doubling ones to 1, unit ones."""
-    cells, start, width = [], 0.0, 2.0**-FINEST
-    while start < limit:
-        cells.append((start, width))
-        start += width
-        width = min(start, 1.0)
-    return cells
+#: Cells' starts up to 1 and widths, by number; those from 1 on have a width of 1. And the chance of at most j darts.
+_STARTS = np.array([0.0, *(2.0**-i for i in range(FINEST, -1, -1))])
+_WIDTHS = np.array([2.0**-FINEST, *_STARTS[1:]])
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
@@ -54,44 +51,77 @@ def _poisson_steps(mean: float) -> np.ndarray:
     return np.array(steps)
 
 
+_STEPS = np.array([_poisson_steps(w) for w in _WIDTHS])
+#: The least hash of a cell that has a dart.
+_SOME = np.ceil(_STEPS[:, 0] * 2.0**53).astype(np.uint64) << np.uint64(11)
+
+
+def _n_cells(limit: np.ndarray) -> np.ndarray:
+    """How many rank cells start below a limit."""
+    return np.where(limit > 1, len(_STARTS) - 1 + np.ceil(limit).astype(np.int64) - 1, np.searchsorted(_STARTS, limit, side="left"))
+
+
 def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n_sets: int, k: int) -> np.ndarray:
     """(n_sets, k) uint64 signatures. owner: the set of each element, ascending; weights above 0.
 
-    Sets without elements get zeros."""
-    sig = np.zeros((n_sets, k), np.uint64)
+    Sets without elements get zeros. Pairs of an element and a cell are taken ``CHUNK`` at a time, whatever
+    the sets' sizes: a small set has many cells, a large one many elements."""
+    sig = np.zeros(n_sets * k, np.uint64)
+    best = np.full(n_sets * k, np.inf)
     total = np.bincount(owner, weight, n_sets)
     limit = np.where(total > 0, (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300), 0.0)
     element = mix(element.astype(np.uint64))
+    levels = np.ceil(weight).astype(np.int64)
+    whole = bool((levels == weight).all())  # then every dart of a cell is below the weight
     todo = total > 0
     while todo.any():
         here = np.flatnonzero(todo[owner])
-        own, ids, w = owner[here], element[here], weight[here]
-        cap = limit[own]
-        at_own, at_rank, at_dart = [], [], []
-        for c, (start, width) in enumerate(_rank_cells(float(cap.max()))):
-            in_rank = np.flatnonzero(cap > start)
-            steps = _poisson_steps(width)
-            level = 0
-            while len(in_rank):
-                cell = mix(ids[in_rank] + np.uint64(int(_GOLDEN) * (1 + c + (level << 32)) % 2**64))
-                n = np.searchsorted(steps, _uniform(cell), side="right")
-                some = np.flatnonzero(n)
-                many = np.repeat(some, n[some])
-                nth = np.arange(len(many)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-                dart = mix(cell[many] + _GOLDEN * (nth + 1).astype(np.uint64))
-                rank = start + width * _uniform(mix(dart ^ np.uint64(0xA5A5A5A5)))
-                place = level + _uniform(mix(dart ^ np.uint64(0x5A5A5A5A)))
-                who = in_rank[many]
-                hit = (rank <= cap[who]) & (place < w[who])
-                at_own.append(own[who[hit]])
-                at_rank.append(rank[hit])
-                at_dart.append(dart[hit])
-                level += 1
-                in_rank = in_rank[w[in_rank] > level]
-        own, rank, dart = np.concatenate(at_own), np.concatenate(at_rank), np.concatenate(at_dart)
-        order = np.argsort(-rank, kind="stable")
-        own, dart = own[order], dart[order]
-        sig[own, (mix(dart) % np.uint64(k)).astype(np.int64)] = dart  # the earliest is written last
-        todo &= (sig == 0).any(1)
+        cells = _n_cells(limit)[owner[here]]
+        ends = np.cumsum(cells * levels[here])
+        at = 0
+        while at < len(here):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + CHUNK, side="right")))
+            _throw(here[at:end], cells[at:end], owner, element, weight, levels, limit, whole, k, best, sig)
+            at = end
+        todo &= (sig.reshape(n_sets, k) == 0).any(1)
         limit = np.where(todo, 2 * limit, limit)
-    return sig
+    return sig.reshape(n_sets, k)
+
+
+def _throw(here: np.ndarray, cells: np.ndarray, owner: np.ndarray, element: np.ndarray, weight: np.ndarray, levels: np.ndarray, limit: np.ndarray, whole: bool, k: int, best: np.ndarray, sig: np.ndarray) -> None:
+    """Darts of some elements (``here``, with ``cells`` rank cells each), into the earliest rank and dart of each coordinate."""
+    pairs = cells * levels[here]
+    of = np.repeat(np.arange(len(here)), pairs)
+    c = np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    level = c // cells[of] if (pairs != cells).any() else None
+    if level is not None:
+        c -= level * cells[of]
+    number = (1 + c if level is None else 1 + c + (level << 32)).astype(np.uint64)
+    cell = mix(element[here][of] + _GOLDEN * number)
+    kind = np.minimum(c, len(_STARTS) - 1)
+    some = np.flatnonzero(cell >= _SOME[kind])
+    cell, c, kind, of = cell[some], c[some], kind[some], of[some]
+    u, n = _uniform(cell), np.ones(len(some), np.int64)
+    more = np.arange(len(some))
+    for j in range(1, _STEPS.shape[1]):
+        more = more[u[more] >= _STEPS[kind[more], j]]
+        if not len(more):
+            break
+        n[more] += 1
+    many = np.repeat(np.arange(len(some)), n)
+    nth = np.arange(len(many)) - np.repeat(np.cumsum(n) - n, n)
+    dart = mix(cell[many] + _GOLDEN * (nth + 1).astype(np.uint64))
+    start = _STARTS[kind] + (c - kind)
+    rank = start[many] + _WIDTHS[kind][many] * _uniform(mix(dart ^ np.uint64(0xA5A5A5A5)))
+    who = here[of[many]]
+    own = owner[who]
+    hit = rank <= limit[own]
+    if not whole:
+        low = 0 if level is None else level[some][many]
+        hit &= low + _uniform(mix(dart ^ np.uint64(0x5A5A5A5A))) < weight[who]
+    own, rank, dart = own[hit], rank[hit], dart[hit]
+    spot = own * k + (mix(dart) % np.uint64(k)).astype(np.int64)
+    np.minimum.at(best, spot, rank)
+    won = rank == best[spot]
+    sig[spot[won]] = dart[won]

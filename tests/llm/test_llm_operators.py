@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -439,6 +440,29 @@ def test_dart_minhash_estimates_weighted_jaccard():
     assert (sig[:2] != 0).all() and not sig[2].any()
 
 
+def test_dart_minhash_costs_no_more_beside_a_small_set():
+    """A set of one element has a thousand rank cells; the others aren't gone through for each of them."""
+    n, k = 100_000, 144
+    element, one = np.arange(n + 1), np.ones(n + 1)
+    large = np.arange(n) // 1000
+    with_small = np.append(large, 100)
+
+    def took(own):
+        best = np.inf
+        for _ in range(3):
+            began = time.process_time()
+            sig = dart.signatures(own, element[: len(own)], one[: len(own)], 101, k)
+            best = min(best, time.process_time() - began)
+        return best, sig
+
+    alone, sig = took(large)
+    beside, both = took(with_small)
+    assert beside < 3 * alone
+    assert np.array_equal(sig[:100], both[:100])
+    assert np.array_equal(both[100:], dart.signatures(np.zeros(1, int), element[n:], one[n:], 1, k))
+
+
+
 def brute_components(rows):
     """Rows by component of texts that are equal or have five-word shingles at a similarity of 0.8."""
     parent = list(range(len(rows)))
