@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaudit.llm.common import arrow_map, by_size, cut
+from lexaudit.llm.common import arrow_map, by_size, cut, keep_for_next
 
 CAPACITY = 4096
 SLACK = 8
@@ -113,18 +113,18 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for a worker process, whatever tasks it runs."""
+    """One for a worker process, until it turns to tasks that use none."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
+    keep_for_next("word tokenizers", _TOKENIZERS.clear)
     return _TOKENIZERS[path]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    schema = _PIECES.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _PIECES
+def _tokenize(path: str, capacity: int, schema: pa.Schema):
+    """Pieces of batches of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
@@ -137,12 +137,22 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         row = [doc, n, at // 4, len(part) // 4, zlib.crc32(part)]
-                        for column, value in zip(out, [*row, np.frombuffer(part, "<u4")] if with_ids else row, strict=True):
+                        for column, value in zip(out, [*row, np.frombuffer(part, "<u4")] if "ids" in schema.names else row, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+    schema = _PIECES.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _PIECES
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, kind)
+    return arrow_map(_texts(docs), _tokenize(path, capacity, schema), kind)
 
 
 class Bins:
@@ -257,10 +267,25 @@ def reach(fan_in: int, levels: int) -> int:
     return fan_in * levels
 
 
+_LEAVES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, place long, node long"
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, place long, node long"
-    leaves = cut(arrow_map(pieces, _leaves(capacity, slack), kind))
+    return _tree(cut(arrow_map(pieces, _leaves(capacity, slack), _LEAVES)), capacity, slack, fan_in)
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN) -> DataFrame:
+    """Pieces of documents with sequence_id and offset: as ``pack`` of ``tokenized_pieces``, but one Python worker a task does both."""
+    tokenize, fill = _tokenize(path, capacity, _PIECES), _leaves(capacity, slack)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fill(tokenize(batches))
+
+    return _tree(cut(arrow_map(_texts(docs), run, _LEAVES)), capacity, slack, fan_in)
+
+
+def _tree(leaves: DataFrame, capacity: int, slack: int, fan_in: int) -> DataFrame:
     nodes = leaves.rdd.getNumPartitions()
     levels = 1
     while fan_in**levels < nodes:

@@ -10,7 +10,7 @@ from lexaudit.llm.common import vocabulary
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return packing.pack(packing.tokenized_pieces(docs, vocabulary(packing.VOCABULARY)))
+    return packing.pack_documents(docs, vocabulary(packing.VOCABULARY))
 
 
 SQL: dict[str, str] = {}

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexaudit.llm import chat, dart, html, jpeg, kneser, media, mixing, near, packing, registry, rules, substrings, warc
+from lexaudit.llm import chat, common, dart, html, jpeg, kneser, media, mixing, near, packing, registry, rules, substrings, warc
 from lexaudit.llm.common import vocabulary
 from lexaudit.llm.suffix import suffix_array
 
@@ -221,6 +221,27 @@ def test_packing(docs, none):
     assert packing.pack(packing.tokenized_pieces(none, path)).count() == 0
 
 
+def test_packing_of_documents_takes_one_worker_a_task(docs, none, monkeypatch):
+    path = vocabulary(packing.VOCABULARY)
+    want = packing.pack(packing.tokenized_pieces(docs, path)).collect()
+    steps = []
+    monkeypatch.setattr(packing, "arrow_map", lambda df, run, kind: steps.append(kind) or common.arrow_map(df, run, kind))
+    assert Counter(packing.pack_documents(docs, path).collect()) == Counter(want)
+    assert len(steps) == 1
+    assert packing.pack_documents(none, path).count() == 0
+
+
+def test_workers_keep_a_tokenizer_until_they_turn_to_another_step():
+    path = vocabulary(packing.VOCABULARY)
+    first = packing.word_tokenizer(path)
+    common.trim()  # its task ends
+    assert packing.word_tokenizer(path) is first
+    common.trim()
+    common.trim()  # a task of another step ends
+    assert not packing._TOKENIZERS
+
+
+
 def sequences(pieces, **options):
     got = packing.pack(pieces, **options).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count(F.lit(1)).alias("k")).collect()
     assert all(x["n"] == x["end"] <= 4096 for x in got)
