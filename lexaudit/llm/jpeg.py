@@ -74,21 +74,20 @@ def _write(value: np.ndarray, length: np.ndarray, seg: np.ndarray, n_segs: int)
     total = np.cumsum(length)
     before = np.concatenate([[0], np.cumsum(bits)])
     at = total - length - before[seg] + 8 * starts[seg]
+    # codes don't overlap, so those of one 64-bit word add up; one at most goes on in the next word
+    word, room = at >> 6, 64 - (at & 63) - length
+    code = value.astype(np.uint64)
+    over = np.flatnonzero(room < 0)
+    high = code << np.maximum(room, 0).astype(np.uint64)
+    high[over] = code[over] >> (-room[over]).astype(np.uint64)
+    out = np.zeros((int(starts[-1]) >> 3) + 2, np.uint64)
+    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out[word[heads]] = np.add.reduceat(high, heads)
+    out[word[over] + 1] += code[over] << (64 + room[over]).astype(np.uint64)
+    data = out.astype(">u8").view(np.uint8)
     short = np.flatnonzero(size * 8 > bits)
-    n_pad = size[short] * 8 - bits[short]
-    value = np.concatenate([value, (1 << n_pad) - 1])
-    length = np.concatenate([length, n_pad])
-    at = np.concatenate([at, 8 * starts[short] + bits[short]])
-    byte, off = at >> 3, at & 7
-    out = np.zeros(int(starts[-1]) + 8, np.float64)
-    span = off + length
-    shifted = value << (48 - span)
-    for j in range(6):
-        here = slice(None) if j == 0 else np.flatnonzero(span > 8 * j)
-        if j and not len(here):
-            break
-        out += np.bincount(byte[here] + j, (shifted[here] >> (40 - 8 * j)) & 255, len(out))
-    return out[: int(starts[-1])].astype(np.uint8), starts
+    data[starts[short + 1] - 1] |= ((1 << (size[short] * 8 - bits[short])) - 1).astype(np.uint8)
+    return data[: int(starts[-1])], starts
 
 
 def _extra(v: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -609,35 +608,93 @@ def _dct_matrix() -> np.ndarray:
 _INVERSE = _dct_matrix()
 
 
+#: The same for coefficients in zigzag order.
+_FROM_ZIGZAG = np.ascontiguousarray(_INVERSE.T[ZIGZAG])
+
+
+def _samples(blocks: np.ndarray) -> np.ndarray:
+    """Samples 0 to 255 of dequantised blocks, 64 a block."""
+    pixels = blocks.astype(np.float64) @ _FROM_ZIGZAG
+    pixels += 128.5 + 1e-6
+    np.maximum(pixels, 0, out=pixels)
+    np.minimum(pixels, 255, out=pixels)
+    return pixels.astype(np.uint8)
+
+
+def _plane(samples: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    return samples.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+
+
 def plane(blocks: np.ndarray, rows: int, cols: int, quant: np.ndarray) -> np.ndarray:
     """Samples 0 to 255 of a component from its zigzag coefficients."""
-    natural = np.zeros((len(blocks), 64))
-    natural[:, ZIGZAG] = blocks * quant
-    pixels = natural @ _INVERSE.T + 128.0
-    pixels = np.clip(np.floor(pixels + 0.5 + 1e-6), 0, 255).astype(np.uint8)
-    return pixels.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+    return _plane(_samples(blocks * quant), rows, cols)
 
 
-def rgb(im: Image) -> np.ndarray:
-    """The image's full-resolution RGB tensor (height, width, 3)."""
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x + 0.5 + 1e-6).astype(np.int16)
+
+
+_LEVELS = np.arange(256, dtype=np.float64) - 128
+#: What Cr adds to red, Cb (times 256) and Cr to green, and Cb to blue. Luma is whole, so it is rounded by itself.
+_RED, _BLUE = _rounded(1.402 * _LEVELS), _rounded(1.772 * _LEVELS)
+_GREEN = _rounded(-0.344136 * _LEVELS[:, None] - 0.714136 * _LEVELS).ravel()
+
+
+def tensors(images: list[Image], together: int = 1 << 12) -> list[np.ndarray]:
+    """Each image's full-resolution RGB tensor (height, width, 3). Blocks of images are transformed ``together``."""
+    out: list[np.ndarray] = []
+    group: list[Image] = []
+    n = 0
+    for im in images:
+        group.append(im)
+        n += sum(map(len, im.coefficients))
+        if n >= together:
+            out += _tensors(group)
+            group, n = [], 0
+    return out + (_tensors(group) if group else [])
+
+
+def _tensors(images: list[Image]) -> list[np.ndarray]:
+    blocks = []
+    for im in images:
+        for i, c in enumerate(im.coefficients):
+            quant = im.quant[im.quant_of[i]]
+            blocks.append(c if (quant == 1).all() else c * quant)
+    sizes = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    samples = np.split(_samples(np.concatenate(blocks)), np.cumsum(sizes)[:-1])
+    out, at = [], 0
+    for im in images:
+        k = len(im.factors)
+        out.append(_coloured(im, [_plane(p, *im.grid(i)) for i, p in enumerate(samples[at : at + k])]))
+        at += k
+    return out
+
+
+def _coloured(im: Image, planes: list[np.ndarray]) -> np.ndarray:
+    """The RGB tensor of an image's planes, chroma upsampled."""
     hm, vm = max(h for h, _ in im.factors), max(v for _, v in im.factors)
 
     def upsampled(p: np.ndarray, i: int) -> np.ndarray:
         h, v = im.factors[i]
-        return np.repeat(np.repeat(p, vm // v, 0), hm // h, 1)[: im.height, : im.width]
+        return np.repeat(np.repeat(p, vm // v, 0), hm // h, 1)
 
-    planes = [plane(im.coefficients[i], *im.grid(i), im.quant[im.quant_of[i]]) for i in range(len(im.factors))]
-    y = upsampled(planes[0], 0)
+    y = upsampled(planes[0], 0) if im.factors[0] != (hm, vm) else planes[0]
     if len(planes) == 1:
-        return np.stack([y] * 3, -1)
+        return np.stack([y[: im.height, : im.width]] * 3, -1)
     cb, cr = planes[1:3]
-    alike = im.factors[1] == im.factors[2]
-    if not alike:
+    if im.factors[1] != im.factors[2]:
         cb, cr = upsampled(cb, 1), upsampled(cr, 2)
-    cb, cr = cb.astype(np.float64) - 128, cr.astype(np.float64) - 128
-    # luma is whole, so what chroma adds to it is rounded by itself, before it is upsampled
-    out = np.empty((im.height, im.width, 3), np.uint8)
-    for k, more in enumerate((1.402 * cr, -0.344136 * cb - 0.714136 * cr, 1.772 * cb)):
-        whole = np.floor(more + 0.5 + 1e-6).astype(np.int16)
-        out[..., k] = np.clip((upsampled(whole, 1) if alike else whole) + y, 0, 255)
-    return out
+    rows, cols = cb.shape
+    luma = y.reshape(rows, len(y) // rows, cols, y.shape[1] // cols)
+    out = np.empty((*luma.shape, 3), np.uint8)
+    for k, more in enumerate((_RED[cr], _GREEN[cb.astype(np.int32) * 256 + cr], _BLUE[cb])):
+        level = luma + more[:, None, :, None]
+        np.maximum(level, 0, out=level)
+        np.minimum(level, 255, out=level)
+        out[..., k] = level
+    return out.reshape(*y.shape, 3)[: im.height, : im.width]
+
+
+def rgb(im: Image) -> np.ndarray:
+    """The image's full-resolution RGB tensor (height, width, 3)."""
+    return _tensors([im])[0]

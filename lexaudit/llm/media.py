@@ -88,7 +88,7 @@ def feature(tensor: np.ndarray) -> str:
     width = np.maximum(np.diff(edges), 1) * luma.shape[0]
     mean = (total[edges[1:]] - total[edges[:-1]]) / width
     level = luma.sum() / luma.size
-    bits = int("".join("1" if m > level else "0" for m in mean), 2)
+    bits = int.from_bytes(np.packbits(mean > level).tobytes())
     return f"{tensor.shape[1]}x{tensor.shape[0]}:{int(16 * int(luma.sum()) // luma.size)}:{bits:016x}"
 
 
@@ -119,9 +119,10 @@ def with_tensors(media: DataFrame) -> DataFrame:
             for batch in by_size(whole, "media", 2 * SLICE_BYTES):
                 files = batch.column("media").to_pylist()
                 rows = []
-                for doc, data, im in zip(batch.column("doc_id").to_pylist(), files, jpeg.decode_coefficients(files), strict=True):
+                images = jpeg.decode_coefficients(files)
+                for doc, data, im, rgb in zip(batch.column("doc_id").to_pylist(), files, images, jpeg.tensors(images), strict=True):
                     payload, n = unpack(im)
-                    tensor = jpeg.rgb(im).tobytes()
+                    tensor = rgb.tobytes()
                     rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), im.height, im.width, tensor))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

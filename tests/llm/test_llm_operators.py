@@ -434,6 +434,37 @@ def test_media_chroma_is_upsampled_into_a_stored_tensor(spark):
         assert media.unpack(im)[0].rstrip(b"\0") == texts[i].encode()
 
 
+def test_media_images_are_transformed_together(monkeypatch):
+    rng = random.Random(5)
+    files = media.pack_texts([rng.randbytes(n) for n in (0, 1, 63, 64, 500, 3000, 20_000, 7)])
+    images = jpeg.decode_coefficients(files)
+    alone = [jpeg.rgb(im) for im in images]
+    calls = []
+    transform = jpeg._samples
+    monkeypatch.setattr(jpeg, "_samples", lambda blocks: calls.append(len(blocks)) or transform(blocks))
+    found = jpeg.tensors(images)
+    assert len(calls) == 1
+    for im, x, y in zip(images, alone, found, strict=True):
+        assert np.array_equal(x, y) and x.shape == (im.height, im.width, 3)
+        planes = [jpeg.plane(c, *im.grid(i), np.ones(64)).astype(float) for i, c in enumerate(im.coefficients)]
+        cb, cr = (np.kron(p - 128, np.ones((2, 2))) for p in planes[1:])
+        green = planes[0] + np.floor(-0.344136 * cb - 0.714136 * cr + 0.5 + 1e-6)
+        assert np.array_equal(x[..., 1], np.clip(green, 0, 255)[: im.height, : im.width])
+
+
+def test_media_codes_are_written_bit_by_bit():
+    rng = random.Random(6)
+    seg = np.sort([rng.randrange(40) for _ in range(3000)] + list(range(40)))
+    length = np.array([rng.randrange(1, 49) for _ in seg])
+    value = np.array([rng.getrandbits(int(n)) for n in length])
+    data, starts = jpeg._write(value, length, seg, 40)
+    for s in range(40):
+        bits = "".join(format(v, f"0{n}b") for v, n in zip(value[seg == s].tolist(), length[seg == s].tolist(), strict=True))
+        bits += "1" * (-len(bits) % 8)
+        assert data[starts[s] : starts[s + 1]].tobytes() == int(bits, 2).to_bytes(len(bits) // 8)
+
+
+
 def test_media_query(docs, none):
     got = media.media_digest(media.with_media(docs)).collect()
     want = Counter()
