@@ -15,6 +15,7 @@ Coefficients are kept in zigzag order as int16 arrays of (blocks, 64).
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 from dataclasses import dataclass, field
@@ -198,6 +199,7 @@ class Component:
     v: int = 1
 
 
+@functools.lru_cache(256)
 def _segment(mark: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
 
@@ -246,6 +248,13 @@ class _Scan:
     parts: list[bytes] = field(default_factory=list)
 
 
+@functools.lru_cache(4096)
+def _grid(height: int, width: int, factors: tuple[tuple[int, int], ...], i: int) -> tuple[int, int]:
+    hm, vm = max(h for h, _ in factors), max(v for _, v in factors)
+    h, v = factors[i]
+    return -(-height // (8 * vm)) * v, -(-width // (8 * hm)) * h
+
+
 @dataclass
 class Image:
     width: int = 0
@@ -260,9 +269,7 @@ class Image:
 
     def grid(self, i: int) -> tuple[int, int]:
         """Rows and columns of a component's blocks, padded to whole units."""
-        hm, vm = max(h for h, _ in self.factors), max(v for _, v in self.factors)
-        h, v = self.factors[i]
-        return -(-self.height // (8 * vm)) * v, -(-self.width // (8 * hm)) * h
+        return _grid(self.height, self.width, tuple(self.factors), i)
 
     def real(self, i: int) -> tuple[int, int]:
         """Rows and columns of blocks that a scan of this component alone holds."""
@@ -276,6 +283,15 @@ def _split(data: bytes) -> list[bytes]:
     return [p.replace(b"\xff\x00", b"\xff") for p in _AT_RESTART.split(data)]
 
 
+@functools.lru_cache(1024)
+def _scan_head(body: bytes, ids: tuple[int, ...]) -> tuple[list[int], list[int], int, int, int]:
+    k = body[0]
+    comps = [ids.index(body[1 + 2 * j]) for j in range(k)]
+    which = [body[2 + 2 * j] for j in range(k)]
+    ss, se, a = body[1 + 2 * k : 4 + 2 * k]
+    return comps, which, ss, se, a
+
+
 def parse(data: bytes) -> Image:
     """Markers of a progressive (or baseline-free) JPEG; entropy-coded data stay as they are."""
     if data[:2] != b"\xff\xd8":
@@ -314,10 +330,7 @@ def parse(data: bytes) -> Image:
         elif mark == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif mark == 0xDA:
-            k = body[0]
-            comps = [im.ids.index(body[1 + 2 * j]) for j in range(k)]
-            which = [body[2 + 2 * j] for j in range(k)]
-            ss, se, a = body[1 + 2 * k : 4 + 2 * k]
+            comps, which, ss, se, a = _scan_head(body, tuple(im.ids))
             found = _AT_END.search(data, at)
             if found is None:
                 raise ValueError("entropy-coded data without an end")
@@ -527,14 +540,22 @@ def decode_coefficients(files: list[bytes], max_blocks: int = 1 << 15) -> list[I
 def _waves(scans: list[_Scan]) -> list[list[_Scan]]:
     """Scans that follow each other and have no component in common can be decoded together."""
     out: list[list[_Scan]] = []
+    taken: set[int] = set()
     for s in scans:
-        if out and not any(set(s.comps) & set(x.comps) for x in out[-1]):
+        if out and taken.isdisjoint(s.comps):
             out[-1].append(s)
+            taken.update(s.comps)
         else:
             out.append([s])
+            taken = set(s.comps)
     return out
 
 
+def _lanes(n: int, step: int) -> list[int]:
+    """Blocks of each restart interval."""
+    return [step] * (n // step) + ([n % step] if n % step else [])
+
+
 def _accumulate(images: list[Image]) -> None:
     first: dict[tuple[int, int], int] = {}
     total = 0
@@ -544,7 +565,7 @@ def _accumulate(images: list[Image]) -> None:
             r, c = im.grid(i)
             total += r * c
     out = np.zeros((total, 64), np.int16)
-    own_rows: dict[tuple[int, int], np.ndarray] = {}  # of the scans of one component
+    own_rows: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, list[int]]] = {}  # of the scans of one component
     waves = [_waves(im.scans) for im in images]
     for turn in range(max(map(len, waves))):
         alike: dict[tuple, list[tuple[int, _Scan]]] = {}
@@ -558,12 +579,12 @@ def _accumulate(images: list[Image]) -> None:
                 im = images[a]
                 if len(s.comps) == 1:
                     i = s.comps[0]
-                    row = own_rows.get((a, i))
-                    if row is None:
+                    known = own_rows.get((a, i, s.restart))
+                    if known is None:
                         (_, gc), (rr, rc) = im.grid(i), im.real(i)
-                        row = own_rows[a, i] = first[a, i] + (np.arange(rr)[:, None] * gc + np.arange(rc)).ravel()
-                    slot = np.zeros(len(row), np.int64)
-                    per = 1
+                        row = first[a, i] + (np.arange(rr)[:, None] * gc + np.arange(rc)).ravel()
+                        known = own_rows[a, i, s.restart] = row, np.zeros(len(row), np.int64), _lanes(len(row), s.restart or len(row))
+                    row, slot, lanes = known
                 else:  # interleaved: unit by unit, each component's blocks in turn
                     cols, own = [], []
                     for j, i in enumerate(s.comps):
@@ -573,10 +594,9 @@ def _accumulate(images: list[Image]) -> None:
                         cols.append(first[a, i] + g)
                         own += [j] * (v * h)
                     grid = np.concatenate(cols, 1)
-                    row, slot, per = grid.ravel(), np.tile(own, len(grid)), len(own)
+                    row, slot = grid.ravel(), np.tile(own, len(grid))
+                    lanes = _lanes(len(row), (s.restart or len(row)) * len(own))
                 found = _split(s.parts[0])
-                step = (s.restart or len(row)) * per
-                lanes = [min(step, len(row) - x) for x in range(0, len(row), step)]
                 if len(found) != len(lanes):
                     raise ValueError(f"{len(lanes)} restart intervals are due, {len(found)} are there")
                 parts += found
