@@ -79,7 +79,7 @@ def replay(pairs: DataFrame, scores: DataFrame, model: str | None = None, asked:
 
 def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], pd.Series]], size: int | None = None) -> DataFrame:
     """Adds ``raw_scores`` from a scorer, made once a task and fed batches of (premise, hypothesis): of ``size`` rows
-    at most, as a language model takes them, or Arrow batches whole."""
+    at most, as a language model takes them, or Arrow batches whole. Rows go back by Arrow batches whatever the size."""
     if size is not None and size < 1:
         raise ValueError("batches have a row at least")
     schema = StructType([*pairs.schema.fields, StructField("raw_scores", MapType(StringType(), DoubleType()))])
@@ -88,9 +88,14 @@ def score_with(pairs: DataFrame, scorer: Callable[[], Callable[[pd.DataFrame], p
         model = None
         for whole in batches:
             model = model or scorer()
+            told: list = []
             for at in range(0, len(whole), size or max(len(whole), 1)):
                 b = whole.iloc[at : at + (size or len(whole))]
-                yield b.assign(raw_scores=model(b))
+                answers = model(b)
+                if not isinstance(answers, list) or len(answers) != len(b):  # by index, as a column is set; lists go by place
+                    answers = pd.Series(answers, index=b.index, dtype=object)
+                told.extend(answers)
+            yield whole.assign(raw_scores=pd.Series(told, index=whole.index, dtype=object))
 
     return pairs.mapInPandas(run, schema)
 

@@ -502,8 +502,7 @@ def batched_verifier(spark: SparkSession, d: str) -> DataFrame:
 
     def scorer():
         def answer(b):
-            told = b["claim_id"].map(lambda n: answers["7" if n == 7 else str(n % 2)])
-            return [{a: float(len(b))} for a in told]
+            return [{answers["7" if n == 7 else str(n % 2)]: float(len(b))} for n in b["claim_id"].tolist()]
 
         return answer
 

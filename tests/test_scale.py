@@ -118,3 +118,20 @@ def test_parts_are_dealt_out(spark, sf):
     """What is composed of a part is composed by more tasks than read its small file."""
     assert queries._records(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "hashpartitioning(p_partkey" in plan(queries.composed_claims(spark, sf)) and "REPARTITION_BY_NUM" in plan(queries.composed_claims(spark, sf))
+
+
+def test_small_batches_go_back_together(spark):
+    """A scorer is asked for sixteen pairs at a time, in answers of any order, and Spark gets an Arrow batch whole."""
+    pairs = spark.createDataFrame([], "id long, premise string, hypothesis string")
+    asked, caught = [], []
+    held = type("Pairs", (), {"schema": pairs.schema, "mapInPandas": lambda self, run, schema: caught.append(run)})()
+
+    def model(b):
+        asked.append(len(b))
+        return b["id"].map(lambda i: {"n": float(i)})[::-1]
+
+    verdicts.score_with(held, lambda: model, 16)
+    whole = pairs.toPandas().reindex(range(50)).assign(id=range(50))
+    got = list(caught[0](iter([whole, whole[:0]])))
+    assert asked == [16, 16, 16, 2] and [len(b) for b in got] == [50, 0]
+    assert [x["n"] for x in got[0]["raw_scores"]] == [float(i) for i in range(50)]
