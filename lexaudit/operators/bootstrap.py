@@ -7,6 +7,7 @@ tasks as there are partitions, and draws are dealt out by number: any number of
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from lexaudit.session import cut
 #: Units up to which they are sent to all tasks; more are joined by a shuffle.
 BROADCAST_UNITS = 100_000
 _DRAWS = 500_000
+#: Groups that a task deals to the folds one by one.
+_DEALT = 20_000
 ROUNDS = 20
 
 
@@ -97,6 +100,40 @@ def paired_bootstrap(rows: DataFrame, unit: str, gold: str, first: str, second:
     return observed.join(interval(deltas, "delta", level, by_index))
 
 
+def _told_apart(v: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Counts by label as shares of the whole: rows, then what each label has more or less than the rows let expect.
+
+    Groups are mostly alike in their labels, so that counts as they are would hide what they differ in. Rows weigh
+    tenfold, or else a fold with one row of a rare label would draw all that it takes to dilute it."""
+    size = v.sum(axis=1, keepdims=True)
+    return np.hstack([10 * size / max(whole.sum(), 1), (v - size * whole / max(whole.sum(), 1)) / np.maximum(whole, 1)])
+
+
+def _deal(v: np.ndarray, k: int) -> np.ndarray:
+    """The fold, from 0, of each group in turn: the one that has least of what the group brings, so that no drift adds up."""
+    each = _told_apart(v, v.sum(axis=0))
+    totals, folds = np.zeros((k, each.shape[1])), np.empty(len(each), int)
+    for i, x in enumerate(each):
+        folds[i] = a = (totals @ x).argmin()
+        totals[a] += x
+    return folds
+
+
+def _turn(totals: np.ndarray, part: np.ndarray) -> list[int]:
+    """The fold that each fold of a part is put to: exchanged by twos until none lessens the spread of both together.
+
+    Deviations then never point the same way on the whole, so the squared spread grows by the part's own at most."""
+    meet = (totals - totals.mean(axis=0)) @ (part - part.mean(axis=0)).T
+    to, again = list(range(len(part))), True
+    while again:
+        again = False
+        for a in range(len(to)):
+            for b in range(a):
+                if meet[to[a], b] + meet[to[b], a] < meet[to[a], a] + meet[to[b], b] - 1e-15:
+                    to[a], to[b], again = to[b], to[a], True
+    return to
+
+
 def _moves(groups: DataFrame, totals: np.ndarray) -> list[tuple]:
     """For each pair of folds the group whose move between them lessens the spread most: (gain, group, from, to, counts)."""
     k, width = totals.shape
@@ -127,28 +164,40 @@ def _swaps(groups: DataFrame, totals: np.ndarray) -> list[tuple]:
 def grouped_folds(rows: DataFrame, group: str, label: str, n_splits: int = 5, seed: int = 1) -> DataFrame:
     """Adds ``fold``: groups stay whole, folds get like numbers of rows and labels; null groups and labels are values.
 
-    Groups are sorted by the size classes (powers of two) of their label counts, then by their rows, ties in a
-    seeded order, and dealt to the folds to and fro: two folds' counts then differ by twice the largest group
-    of each class at most. Then rounds move groups: tasks propose for each pair of folds the move that lessens
+    Groups are sorted by their rows, ties in a seeded order, and dealt in turn to parts of ``_DEALT`` groups or so, all of
+    like make. A task deals a part's groups, the largest first, each to the fold that has least of its labels and rows;
+    the parts' folds are then matched so that what one has too much of another lacks. So folds differ by little more
+    than a group, whatever their number. Then rounds move groups: tasks propose for each pair of folds the move that lessens
     the squared spread of label shares most, and a round takes those that still do after the ones before, or
-    exchanges groups of two folds where no move does, until there is none or ``ROUNDS`` are over. The driver holds a row a pair of folds and the moves made. Labels are
-    few; their counts are a group's columns. The folds are planned by jobs that run at once."""
+    exchanges groups of two folds where no move does, until there is none or ``ROUNDS`` are over. The driver holds a row a pair of folds,
+    one a fold of a part, and the moves made. Labels are few; their counts are a group's columns. The folds are planned by jobs that run at once."""
     named = rows.select(F.col(group).cast("string").alias("g"), F.col(label).cast("string").alias("y"))
     labels = [r["y"] for r in named.select("y").distinct().orderBy(F.col("y").asc_nulls_last()).collect()]
     counts = named.groupBy("g").agg(*(F.count_if(F.col("y").eqNullSafe(F.lit(y))).cast("double").alias(f"n{i}") for i, y in enumerate(labels)))
     v = F.array(*[F.col(f"n{i}") for i in range(len(labels))]) if labels else F.array().cast("array<double>")
     sized = counts.select("g", v.alias("v"))
-    kind = F.transform("v", lambda x: F.floor(F.log2(x + 1)))
-    order = [kind.desc(), F.aggregate("v", F.lit(0.0), lambda x, y: x + y).desc(), F.xxhash64(F.lit(seed), "g"), F.col("g").asc_nulls_last()]
+    order = [F.aggregate("v", F.lit(0.0), lambda x, y: x + y).desc(), F.xxhash64(F.lit(seed), "g"), F.col("g").asc_nulls_last()]
     placed = numbered(sized, *order)
-    place, back = F.col("u") % n_splits, F.floor(F.col("u") / n_splits) % 2
-    dealt = cut(placed.withColumn("fold", (F.when(back == 0, place).otherwise(n_splits - 1 - place) + 1).cast("int")))
-    n = dealt.count()
+    n = placed.count()
     if not 2 <= n_splits <= n:
         raise ValueError(f"splits must be between 2 and the number of groups ({n})")
-    totals = np.zeros((n_splits, len(labels)))
-    for r in dealt.groupBy("fold").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"n{i}") for i in range(len(labels)))).collect():
-        totals[r["fold"] - 1] = [r[f"n{i}"] for i in range(len(labels))]
+    parts = max(1, n // max(_DEALT, 2 * n_splits))
+
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("u")
+        return part.assign(fold=_deal(np.vstack(part["v"].to_list()), n_splits) + 1)
+
+    own = cut(placed.withColumn("part", F.col("u") % parts).groupBy("part").applyInPandas(deal, "g string, v array<double>, u long, part long, fold int"))
+    of_parts = np.zeros((parts, n_splits, len(labels)))
+    for r in own.groupBy("part", "fold").agg(*(F.sum(F.get("v", F.lit(i))).alias(f"n{i}") for i in range(len(labels)))).collect():
+        of_parts[r["part"], r["fold"] - 1] = [r[f"n{i}"] for i in range(len(labels))]
+    totals, to = np.zeros((n_splits, len(labels))), []
+    whole = of_parts.sum(axis=(0, 1))
+    for part in of_parts:
+        to.append(_turn(_told_apart(totals, whole), _told_apart(part, whole)))
+        totals[to[-1]] += part
+    turned = rows.sparkSession.createDataFrame([(p, f + 1, x + 1) for p, folds in enumerate(to) for f, x in enumerate(folds)], "part long, fold int, _to int")
+    dealt = cut(own.join(F.broadcast(turned), ["part", "fold"]).select("g", "v", "u", F.col("_to").alias("fold")))
     moved: dict[int, int] = {}
 
     def now() -> DataFrame:

@@ -135,3 +135,12 @@ def test_small_batches_go_back_together(spark):
     got = list(caught[0](iter([whole, whole[:0]])))
     assert asked == [16, 16, 16, 2] and [len(b) for b in got] == [50, 0]
     assert [x["n"] for x in got[0]["raw_scores"]] == [float(i) for i in range(50)]
+
+
+def test_folds_dont_drift_apart_with_the_number_of_groups(spark, monkeypatch):
+    """Many groups of one size whose labels differ by chance: dealing alone, in several parts, keeps folds within a group of each other."""
+    monkeypatch.setattr(bootstrap, "ROUNDS", 0)
+    monkeypatch.setattr(bootstrap, "_DEALT", 1500, raising=False)
+    rows = spark.range(360_000).selectExpr("concat('g', id % 6000) as g", "substr('aabbc', pmod(hash(id), 5) + 1, 1) as y")
+    for r in bootstrap.grouped_folds(rows, "g", "y", 5).groupBy("y").pivot("fold", [1, 2, 3, 4, 5]).count().collect():
+        assert max(r[1:]) - min(r[1:]) <= 20
