@@ -49,18 +49,15 @@ def inherit_acts(claims: DataFrame, doc: str = "document_id") -> DataFrame:
     """Resolve acts left open, from the acts a document names anywhere.
 
     First the one act that the same provision has elsewhere, else the document's one act. Both
-    look at the claims as extracted. One window set per document; no join."""
+    look at the claims as extracted. One window set per document; no join. The document's windows come first, as claims
+    that are dealt out by document lie right for those of its provisions too: they are shuffled once."""
     norm = F.col("citation.act_norm")
     named = F.when(norm != "", F.struct(F.col("claim_ord"), F.col("citation.act_raw").alias("raw"), norm.alias("norm")))
     same = W.partitionBy(doc, "citation.provision_type", "citation.provision_number")
     whole = W.partitionBy(doc)
     kinds = F.when(norm != "", norm)
-    out = (
-        claims.withColumn("_same_n", F.size(F.collect_set(kinds).over(same)))
-        .withColumn("_same", F.min(named).over(same))
-        .withColumn("_all_n", F.size(F.collect_set(kinds).over(whole)))
-        .withColumn("_all", F.min(named).over(whole))
-    )
+    out = claims.withColumns({"_all_n": F.size(F.collect_set(kinds).over(whole)), "_all": F.min(named).over(whole)})
+    out = out.withColumns({"_same_n": F.size(F.collect_set(kinds).over(same)), "_same": F.min(named).over(same)})
     pick = F.when(norm != "", F.lit(None)).when(F.col("_same_n") == 1, F.col("_same")).when(F.col("_all_n") == 1, F.col("_all"))
     out = out.withColumn("_pick", pick)
     citation = F.struct(
@@ -73,17 +70,15 @@ def inherit_acts(claims: DataFrame, doc: str = "document_id") -> DataFrame:
     return out.withColumn("citation", citation).drop("_same_n", "_same", "_all_n", "_all", "_pick")
 
 
-def extract_claims(fields: DataFrame, doc: str = "document_id", text: str = "text", distinct_texts: bool = False) -> DataFrame:
-    """A row per claim: doc, claim_id, claim_ord, sentence_ord, claim_text, citation, assertion_text, assertion_spans.
-
-    Sentences without citations give none. With ``distinct_texts`` equal texts are parsed once."""
+def parsed_claims(fields: DataFrame, doc: str = "document_id", text: str = "text", distinct_texts: bool = False) -> DataFrame:
+    """Claims as ``extract_claims`` gives them, acts not yet inherited."""
     if distinct_texts:
         parsed = fields.select(F.col(text).alias("_t")).distinct().withColumn("_claims", claims_of(F.col("_t")))
         rows = fields.select(doc, text).join(parsed, F.col(text).eqNullSafe(F.col("_t"))).select(doc, "_claims")
     else:
         rows = fields.select(doc, claims_of(F.col(text)).alias("_claims"))
     flat = rows.select(doc, F.posexplode("_claims").alias("_at", "c"))
-    numbered = flat.select(
+    return flat.select(
         doc,
         F.concat(F.lit("c"), (F.col("_at") + 1).cast("string")).alias("claim_id"),
         (F.col("_at") + 1).alias("claim_ord"),
@@ -93,7 +88,13 @@ def extract_claims(fields: DataFrame, doc: str = "document_id", text: str = "tex
         "c.assertion_text",
         "c.assertion_spans",
     )
-    return inherit_acts(numbered, doc)
+
+
+def extract_claims(fields: DataFrame, doc: str = "document_id", text: str = "text", distinct_texts: bool = False) -> DataFrame:
+    """A row per claim: doc, claim_id, claim_ord, sentence_ord, claim_text, citation, assertion_text, assertion_spans.
+
+    Sentences without citations give none. With ``distinct_texts`` equal texts are parsed once."""
+    return inherit_acts(parsed_claims(fields, doc, text, distinct_texts), doc)
 
 
 def claims_by_sentence(claims: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -62,13 +62,16 @@ def new_identities(before: DataFrame, after: DataFrame, doc: str = "document_id"
 
 
 def counterparts(before: DataFrame, after: DataFrame, doc: str = "document_id") -> DataFrame:
-    """Claims with their counterpart after the rewrite: the k-th of an identity with the k-th (null if gone)."""
-    a = C.identity_ordinal(before, doc)
-    b = C.identity_ordinal(after, doc).select(
-        F.col(doc).alias("_d"), F.col("identity").alias("_i"), F.col("ordinal").alias("_o"), F.col("claim_text").alias("new_text"), F.col("assertion_text").alias("new_assertion"),
-        F.col("assertion_spans").alias("new_spans"), F.col("citation").alias("new_citation"), F.col("claim_id").alias("new_claim_id"),
-    )
-    return a.join(b, (F.col(doc) == F.col("_d")) & (F.col("identity") == F.col("_i")) & (F.col("ordinal") == F.col("_o")), "left").drop("_d", "_i", "_o")
+    """Claims with their counterpart after the rewrite: the k-th of an identity with the k-th (null if gone).
+
+    Of the counterpart's text, assertion and spans what ``after`` has is taken over."""
+    taken = {"claim_text": "new_text", "assertion_text": "new_assertion", "assertion_spans": "new_spans", "citation": "new_citation", "claim_id": "new_claim_id"}
+    news = [F.col(c).alias(new) for c, new in taken.items() if c in after.columns]
+    a = C.identity_ordinal(before, doc).select(F.col(doc).alias("_d"), "identity", "ordinal", F.struct(*before.columns).alias("_own"))
+    b = C.identity_ordinal(after, doc).select(F.col(doc).alias("_d"), "identity", "ordinal", F.struct(*news).alias("_new"))
+    found = F.first("_new", True).over(W.partitionBy("_d", "identity", "ordinal"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_new", F.when(F.col("_d").isNotNull(), found)).filter(F.col("_own").isNotNull())
+    return both.select("_own.*", "identity", "ordinal", "_new.*")
 
 
 def ordinal_ambiguous(paired: DataFrame, targets: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -10,7 +10,7 @@ from lexaudit.functions import stats
 from lexaudit.functions import text as T
 from lexaudit.operators import bootstrap, claims, evidence, gates, reports, retrieval, verdicts, workflow
 from lexaudit.plans.queries import CTE, composed_claims, query, usable
-from lexaudit.session import cut, scratch, table
+from lexaudit.session import cut, scratch, stored, table
 from lexaudit.sources import io
 
 # ---------------------------------------------------------------- golden texts of the citation grammar
@@ -76,11 +76,12 @@ def claim_golden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's lines as one composed text."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    sentence = F.concat(F.lit("Section "), (F.col("l_partkey") % 60).cast("string"), F.when(F.col("l_linenumber") % 3 == 0, F.lit(" deals with trade.")).otherwise(F.concat(F.lit(" of the Trade Act, "), (1950 + F.col("l_partkey") % 3).cast("string"), F.lit(" prescribes a fine."))))
-    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", sentence.alias("s"))))
-    return li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_join(F.transform(listed, lambda x: x["s"]), " ").alias("text"))
+    """Every order's lines as one composed text; sentences are composed when an order's lines have come together."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    ending = lambda x: F.when(x["l_linenumber"] % 3 == 0, F.lit(" deals with trade.")).otherwise(F.concat(F.lit(" of the Trade Act, "), (1950 + x["l_partkey"] % 3).cast("string"), F.lit(" prescribes a fine.")))
+    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))  # lines that are equal in both have one sentence
+    sentences = F.transform(listed, lambda x: F.concat(F.lit("Section "), (x["l_partkey"] % 60).cast("string"), ending(x)))
+    return li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_join(sentences, " ").alias("text"))
 
 
 #: Claims of ``order_texts``: a bare citation takes the one act its provision, else its document, has elsewhere.
@@ -112,12 +113,19 @@ def claim_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return found.select("document_id", "claim_id", F.col("identity.provision_number").alias("provision_number"), "ordinal")
 
 
+def order_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of the orders' texts without their words, for two sides that read them: texts are parsed once, and what
+    is stored is dealt out by document once a side, for acts, ordinals and the join alike."""
+    found = claims.parsed_claims(order_texts(spark, d)).select("document_id", "claim_id", "claim_ord", "citation")
+    return claims.inherit_acts(stored(found, "citations"))
+
+
 @query(f"""WITH {TEXT_CLAIMS}, a AS (SELECT * FROM tc WHERE claim_ord <> 2), o AS (SELECT *, row_number() OVER (PARTITION BY document_id, num, act ORDER BY claim_ord) AS k FROM a),
 n AS (SELECT *, row_number() OVER (PARTITION BY document_id, num, act ORDER BY claim_ord) AS k FROM tc WHERE claim_ord <> 1)
 SELECT o.document_id, o.claim_id, n.claim_id AS new_claim_id FROM o LEFT JOIN n ON o.document_id = n.document_id AND o.num = n.num AND o.act = n.act AND o.k = n.k""")
 def claim_counterparts(spark: SparkSession, d: str) -> DataFrame:
     """Claims without each document's second, and their counterparts among those without its first."""
-    found = cut(claims.extract_claims(order_texts(spark, d)))  # read twice
+    found = order_citations(spark, d)
     return gates.counterparts(found.filter("claim_ord != 2"), found.filter("claim_ord != 1")).select("document_id", "claim_id", "new_claim_id")
 
 

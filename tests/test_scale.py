@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaudit.llm import near
-from lexaudit.operators import benchmarks, bootstrap, claims, evidence, learning, retrieval, review, verdicts, workflow
+from lexaudit.operators import benchmarks, bootstrap, claims, evidence, gates, learning, retrieval, review, verdicts, workflow
 from lexaudit.plans import queries, queries_metrics, queries_workflow
 
 
@@ -144,3 +144,34 @@ def test_folds_dont_drift_apart_with_the_number_of_groups(spark, monkeypatch):
     rows = spark.range(360_000).selectExpr("concat('g', id % 6000) as g", "substr('aabbc', pmod(hash(id), 5) + 1, 1) as y")
     for r in bootstrap.grouped_folds(rows, "g", "y", 5).groupBy("y").pivot("fold", [1, 2, 3, 4, 5]).count().collect():
         assert max(r[1:]) - min(r[1:]) <= 20
+
+
+def test_claims_are_dealt_out_once(spark, sf):
+    """Orders' lines meet in one shuffle, claims in one more a side, without the words that no side reads."""
+    assert plan(queries_workflow.claim_extraction(spark, sf)).count("Exchange hashpartitioning") == 2
+    for query in (queries_workflow.claim_counterparts,):
+        text = plan(query(spark, sf))
+        assert text.count("Exchange hashpartitioning") == 2
+        assert "ExistingRDD" not in text and "claim_text" not in text
+
+
+def test_counterparts_of_sides_of_unlike_size(spark):
+    """Claims meet their counterparts though one side's partitions are put together and the other's aren't; a null document has none."""
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    citation = "named_struct('provision_type', 'Section', 'provision_number', cast(id % 2 as string), 'subsection', null, 'act_raw', repeat('a', 40), 'act_norm', 'a') as citation"
+    before = spark.range(120_000).selectExpr("if(id < 6, null, id div 6) as document_id", "concat('c', id % 6 + 1) as claim_id", "int(id % 6 + 1) as claim_ord", citation, "map('x', rand()) as raw_scores")
+    after = before.filter("document_id is null or document_id % 97 = 0").filter("claim_ord > 1").drop("raw_scores")
+    try:
+        for k, v in zip(keep, ("24", "32k", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = gates.counterparts(before, after)
+        assert got.columns == [*before.columns, "identity", "ordinal", "new_citation", "new_claim_id"]
+        rows = got.select("document_id", "claim_id", "new_claim_id").collect()
+        assert got.repartition(1).filter("new_claim_id is not null").count() == sum(r["new_claim_id"] is not None for r in rows)
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 120_000
+    found = {(r["document_id"], r["claim_id"]): r["new_claim_id"] for r in rows if r["new_claim_id"]}
+    want = {"c1": "c3", "c2": "c2", "c3": "c5", "c4": "c4", "c6": "c6"}  # without the first, the third is the first of its identity
+    assert found == {(d, a): b for d in range(1, 20_000) if d % 97 == 0 for a, b in want.items()}
