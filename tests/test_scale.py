@@ -149,7 +149,7 @@ def test_folds_dont_drift_apart_with_the_number_of_groups(spark, monkeypatch):
 def test_claims_are_dealt_out_once(spark, sf):
     """Orders' lines meet in one shuffle, claims in one more a side, without the words that no side reads."""
     assert plan(queries_workflow.claim_extraction(spark, sf)).count("Exchange hashpartitioning") == 2
-    for query in (queries_workflow.claim_counterparts,):
+    for query in (queries_workflow.claim_counterparts, queries_workflow.new_identities):
         text = plan(query(spark, sf))
         assert text.count("Exchange hashpartitioning") == 2
         assert "ExistingRDD" not in text and "claim_text" not in text
